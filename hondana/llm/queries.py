@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hondana.llm import op10_mix
 from hondana.llm.op1_rans import op1_rans
+from hondana.llm.op5_simhash import op5_simhash
 
 
 def _table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +19,21 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_rans(_table("documents", spark, sf_dir))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_simhash(_table("documents", spark, sf_dir))
+
+
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_mix.op10_mix(_table("documents", spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rans": _op1,
+    "op5_simhash": _op5,
+    "op10_mix": _op10,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_mix": op10_mix.SQL,
+}
