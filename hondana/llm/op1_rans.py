@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hondana.llm import scratch
+from hondana.llm.worker import kept
 
 VERSION = 1
 SCALE_BITS = 18
@@ -81,17 +82,12 @@ class Pieces(dict):
         return b"".join(b"".join(map(get, _PIECES.findall(c.lower()))) if _SAFE.fullmatch(c) else self[c] for c in _CHUNKS.findall(text))
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 def token_table(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, n_tokens, ids (binary, uint16 LE, end id included) of every row of ``docs``."""
     end = np.asarray([end_id], "<u2").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _pieces:
-            _pieces[path] = Pieces(path)
-        pieces = _pieces[path]
+        pieces = kept("pieces", path, lambda: Pieces(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
