@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hondana.llm import op10_mix
 from hondana.llm.op1_rans import op1_rans
+from hondana.llm.op3_toxicity import op3_toxicity
+from hondana.llm.op4_language import op4_language
 from hondana.llm.op5_simhash import op5_simhash
 
 
@@ -19,6 +21,14 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_rans(_table("documents", spark, sf_dir))
 
 
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_toxicity(_table("documents", spark, sf_dir), _table("labels", spark, sf_dir))
+
+
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_language(_table("documents", spark, sf_dir))
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_simhash(_table("documents", spark, sf_dir))
 
@@ -29,6 +39,8 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rans": _op1,
+    "op3_toxicity": _op3,
+    "op4_language": _op4,
     "op5_simhash": _op5,
     "op10_mix": _op10,
 }
