@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hondana.llm import op10_mix
+from hondana.llm import op9_topk, op10_mix
 from hondana.llm.op1_rans import op1_rans
 from hondana.llm.op3_toxicity import op3_toxicity
 from hondana.llm.op4_language import op4_language
 from hondana.llm.op5_simhash import op5_simhash
+from hondana.llm.op6_decontaminate import op6_decontaminate
+from hondana.llm.op7_quality import op7_quality
 
 
 def _table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +35,18 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_simhash(_table("documents", spark, sf_dir))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_decontaminate(_table("documents", spark, sf_dir), _table("benchmark", spark, sf_dir))
+
+
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_quality(_table("documents", spark, sf_dir), _table("labels", spark, sf_dir))
+
+
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_topk.op9_topk(_table("embeddings", spark, sf_dir))
+
+
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_mix.op10_mix(_table("documents", spark, sf_dir))
 
@@ -42,10 +56,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": _op3,
     "op4_language": _op4,
     "op5_simhash": _op5,
+    "op6_decontaminate": _op6,
+    "op7_quality": _op7,
+    "op9_topk": _op9,
     "op10_mix": _op10,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op9_topk": op9_topk.SQL,
     "op10_mix": op10_mix.SQL,
 }
