@@ -13,6 +13,7 @@ from hondana.llm.op4_language import op4_language
 from hondana.llm.op5_simhash import op5_simhash
 from hondana.llm.op6_decontaminate import op6_decontaminate
 from hondana.llm.op7_quality import op7_quality
+from hondana.llm.op8_pseudolikelihood import op8_pseudolikelihood
 
 
 def _table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,10 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_quality(_table("documents", spark, sf_dir), _table("labels", spark, sf_dir))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_pseudolikelihood(_table("documents", spark, sf_dir))
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_topk.op9_topk(_table("embeddings", spark, sf_dir))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": _op5,
     "op6_decontaminate": _op6,
     "op7_quality": _op7,
+    "op8_pseudolikelihood": _op8,
     "op9_topk": _op9,
     "op10_mix": _op10,
 }
