@@ -1,8 +1,7 @@
 """Mixing sources to target weights by Pareto order sampling. DataFrame functions only.
 
 Every source gets a target of words. A document's expected number of copies is its source's target
-over its source's size, scaled by the document's own ``weight`` where one is given: its whole part is
-taken for certain, the rest p is the inclusion probability of one more copy. Documents are ranked by
+over its source's size: its whole part is taken for certain, the rest p is the inclusion probability of one more copy. Documents are ranked by
 random odds over inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``, and each source takes the first
 ones up to a fixed size in words: the prefix whose words come nearest to what its whole copies leave of
 the target. The random number u is a digest of seed, doc_id and text, so that reruns agree.
@@ -51,8 +50,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return given.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("common") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def op10_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, buckets: int = BUCKETS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken (and the columns ``keep``) of every row of ``docs``."""
+def op10_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, buckets: int = BUCKETS, keep: tuple[str, ...] = (), with_source: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken (source and the columns ``keep``, if asked for) of every row of ``docs``."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), digest.alias("digest"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -77,7 +76,7 @@ def op10_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     inside = inside.withColumn("more", (F.col("before") + F.col("size") / 2 <= F.col("rest")).cast("long"))
     outside = placed.where("bucket is null or last_bucket is null or bucket != last_bucket").withColumn("more", F.coalesce((F.col("bucket") < F.col("last_bucket")).cast("long"), F.lit(0)))
     copies = (F.col("whole") + F.col("more")).alias("copies")
-    return outside.unionByName(inside).select("doc_id", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    return outside.unionByName(inside).select("doc_id", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"), *(["source"] if with_source else []), *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
 #: The same sample in DuckDB SQL: the digest, order and cut of the DataFrame form, without its ranges.

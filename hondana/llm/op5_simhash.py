@@ -35,24 +35,29 @@ SHINGLE = 3
 SEED = 42
 MOST_BITS = 2
 DENSE = 64
+#: For :func:`similar`: samples of so many shingles each, and least shingles kept to measure similarity.
+SAMPLES, SAMPLED, SKETCH = 8, 4, 128
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one text: bit b is set if over half of the shingles' hashes have it."""
+def hashes_of(text: str | None, shingle: int = SHINGLE) -> list[int]:
+    """XXH64 of every shingle of a text, repeats included."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return []
     line, ends, at = b" ".join(words), [], 0
     for word in words:
         at += len(word) + 1
         ends.append(at)
     starts = [0, *ends[:-1]]
     if len(words) <= shingle:
-        hashes = [xxh64_intdigest(line, SEED)]
-    else:
-        hashes = [xxh64_intdigest(line[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
+        return [xxh64_intdigest(line, SEED)]
+    return [xxh64_intdigest(line[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """Bit b is set if over half of the hashes have it; zero for none."""
     ones, n = np.zeros(64, np.int64), len(hashes)
     for k in range(0, n, 8192):
         bits = np.unpackbits(np.array(hashes[k : k + 8192], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -60,6 +65,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(hashes_of(text, shingle))
+
+
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a long) and the columns ``keep``."""
 
@@ -152,6 +161,108 @@ def grouped(docs: DataFrame, keep: tuple[str, ...] = (), shingle: int = SHINGLE,
     return fps.join(named, "fp")
 
 
+_MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _words_key(text: str | None) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), SEED)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, key (of the sequence of words), fp, samples, sketch of every row.
+
+    A sample is the fingerprint of the SAMPLED shingles that are least under one of SAMPLES orders, so texts of
+    similarity s share one with probability s ** SAMPLED; the sketch holds the SKETCH least hashes.
+    """
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, fps, samples, least = [], [], [], []
+            for x in batch.column(1):
+                text = x.as_py()
+                hashes = hashes_of(text, shingle)
+                unique = np.unique(np.array(hashes, np.uint64))
+                own = []
+                for m in _MULTIPLIERS:
+                    order = unique * m
+                    order ^= order >> np.uint64(29)
+                    k = min(SAMPLED, len(unique))
+                    own.append(_signed(majority(unique[np.argpartition(order, k - 1)[:k]])) if k else 0)
+                keys.append(_signed(_words_key(text)))
+                fps.append(_signed(majority(hashes)))
+                samples.append(own)
+                least.append(unique[:SKETCH].astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(fps, pa.int64()), pa.array(samples, pa.list_(pa.int64())), pa.array(least, pa.binary())], ["doc_id", "key", "fp", "samples", "sketch"])
+
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return source.mapInArrow(sketched, "doc_id long, key long, fp long, samples array<long>, sketch binary")
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets from their least hashes: exact for sets of at most SKETCH, else of the SKETCH least of both."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = np.union1d(x, y)
+    if len(x) == SKETCH or len(y) == SKETCH:
+        both = both[:SKETCH]
+    return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
+
+
+def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """key, doc_id (the smallest of the group), chosen (the key that has it), rows (with both) for every distinct sequence of words.
+
+    Texts of similarity 0.8 differ in about ten bits of a fingerprint, too many for any grid. So besides links of whole fingerprints,
+    found as above, texts that share the fingerprint of a sample are candidates: each with the first and the last one that share
+    it (no pairs within a group). Every candidate is then verified by its similarity.
+    """
+    all_rows = scratch.write(sketches(docs, shingle), "sketches")
+    texts = all_rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("sketch").alias("sketch"))
+    texts = scratch.write(texts, "texts")
+    marks = texts.select("key", F.posexplode("samples").alias("table", "mark")).unionByName(texts.select("key", F.lit(SAMPLES).alias("table"), F.col("fp").alias("mark")))
+    ends = marks.groupBy("table", "mark").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    pairs = marks.join(ends, ["table", "mark"]).select(F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    of_fp = texts.groupBy("fp").agg(F.min("key").alias("key"))
+    near = links(of_fp.select("fp")).join(of_fp.select(F.col("fp").alias("a"), F.col("key").alias("ka")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("key").alias("kb")), "b")
+    pairs = pairs.unionByName(near.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first, second = texts.select(F.col("key").alias("a"), F.col("sketch").alias("x")), texts.select(F.col("key").alias("b"), F.col("sketch").alias("y"))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    edges = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+    roots = components(edges)
+    rooted = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("m"))
+    named = rooted.join(best, "root").select("key", F.col("m.least").alias("doc_id"), F.col("m.key").alias("chosen"))
+    copies = all_rows.groupBy(F.col("key").alias("of"), F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
+    return named.join(copies, F.expr("chosen = of and doc_id <=> id"), "left").select("key", "doc_id", "chosen", "rows")
+
+
+def first_of_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that come first of their group of similar texts: one a group."""
+    stays = scratch.write(similar(docs, shingle, least).where("key = chosen").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), F.col("rows").alias("_rows")), "stays")
+    names, at = docs.columns, docs.columns.index("text")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([_signed(_words_key(x.as_py())) for x in batch.column(at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*names, "_key"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _key long"
+    rows = docs.mapInArrow(keyed, schema).join(stays, "_key").where("doc_id <=> _id")
+    single = rows.where("_rows = 1").select(*names)
+    several = rows.where("_rows > 1").groupBy("_key").agg(F.min(F.struct(*names)).alias("r")).select("r.*")
+    return single.unionByName(several)
+
+
 def op5_simhash(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs``."""
     return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "rows")

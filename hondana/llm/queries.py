@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hondana.llm import op9_topk, op10_mix
+from hondana.llm import op2_tools, op9_topk, op10_mix
 from hondana.llm.op1_rans import op1_rans
 from hondana.llm.op3_toxicity import op3_toxicity
 from hondana.llm.op4_language import op4_language
@@ -24,6 +24,11 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_rans(_table("documents", spark, sf_dir))
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = op2_tools.conversation_view(_table("conversations", spark, sf_dir))
+    return op2_tools.op2_tools(calls, results, op2_tools.VIEW_SCHEMAS)
+
+
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_toxicity(_table("documents", spark, sf_dir), _table("labels", spark, sf_dir))
 
@@ -58,6 +63,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rans": _op1,
+    "op2_tools": _op2,
     "op3_toxicity": _op3,
     "op4_language": _op4,
     "op5_simhash": _op5,
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op2_tools": op2_tools.SQL,
     "op9_topk": op9_topk.SQL,
     "op10_mix": op10_mix.SQL,
 }

@@ -44,7 +44,11 @@ def write(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def fresh() -> str:
+    return uuid.uuid4().hex
+
+
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -60,7 +64,7 @@ def release(since: int = 0) -> None:
     while len(_made) > since:
         spark, path = _made.pop()
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the session has ended: nothing left that could delete
             if spark.sparkContext._jsc is not None:
                 raise
@@ -72,7 +76,7 @@ def drop(df: DataFrame) -> None:
         path = file[: file.index("/hondana-") + len("/hondana-") + 32]
         for entry in [x for x in _made if path.endswith(x[1].rpartition("/")[2])]:
             _made.remove(entry)
-            _delete(*entry)
+            delete(*entry)
 
 
 @atexit.register
