@@ -718,9 +718,9 @@ def _(spark, sf_dir):
 
 
 def _versions(spark, sf_dir):
-    """Drafts and published sections: two parts of a source's documents, by article of 25 documents."""
+    """Drafts and published sections: documents of a language by parity of doc_id."""
     docs = sources.documents(spark, sf_dir).where("text is not null")
-    rows = docs.select(F.concat_ws("-", "source", F.floor(F.col("doc_id") / 500).cast("string")).alias("article"), (F.col("doc_id") % 2).alias("side"), F.col("doc_id").cast("int").alias("section_index"), "text", F.length("text").alias("chars"))
+    rows = docs.select(F.concat_ws("-", "lang", F.floor(F.col("doc_id") / 1000).cast("string")).alias("article"), (F.col("doc_id") % 2).alias("side"), F.col("doc_id").cast("int").alias("section_index"), "text", F.length("text").alias("chars"))
     return rows.where("side = 0"), rows.where("side = 1")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +45,8 @@ def lint(
 ) -> DataFrame:
     """All issues of ``docs`` (doc_id, text and, if known, file and path) under a profile; see ``hondana.schema.ISSUES``.
 
-    Only branches of the profile's checks are built. The Markdown pass runs once per document, for blog checks only.
+    Only branches of the profile's checks are built. The Markdown pass runs once per document, for blog checks only; its
+    result is persisted until the session's cache is cleared.
     The vault profile needs ``path`` (relative to the vault) and the tag ``vocabulary``.
     """
     wanted = checks_of(profile) if checks is None else checks
@@ -55,7 +57,8 @@ def lint(
         parts.append(("secrets", secrets.check_secrets(raw)))
     blog = profile == "blog"
     if blog and {"notation", "blog_style", "blog_structure"} & set(wanted):
-        tree = parsed(docs, ("doc_id", *extra))
+        # Several branches read it: kept, so that each document is parsed once. A lost part is parsed again.
+        tree = parsed(docs, ("doc_id", *extra)).persist(StorageLevel.MEMORY_AND_DISK)
         lines = tree.select("doc_id", *extra, F.explode("lines").alias("l")).select("doc_id", *extra, "l.*")
     if "notation" in wanted and blog:
         parts += [("notation", notation.check_notation_blog(lines, dictionary)), ("notation", notation.check_slash(lines)), ("notation", notation.check_spacing(lines))]
