@@ -15,10 +15,10 @@ LOGICAL_BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """path, text of every file below ``path``, each a whole document."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def from_texts(spark: SparkSession, texts: list[str]) -> DataFrame:

@@ -1,0 +1,80 @@
+"""Files, vault scans, versions, publishing and streams."""
+
+import json
+
+from hondana.__main__ import main
+from hondana.sources import documents, publish
+from hondana.sources.versions import VersionedBlobs
+from hondana.streaming import lint_stream
+
+
+def test_vault_scan_and_command_line(spark, tmp_path, capsys):
+    for name, text in {
+        "docs/a.md": "---\nauthor: human\ntags: [ok]\n---\n10.0.0.1\n",
+        "docs/raw/b.md": "x",
+        "top.md": "x",
+        "other/c.md": "x",
+        "wiki/d.txt": "x",
+        ".claude/tag-vocabulary.txt": "# c\n ok \n\n",
+    }.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    assert [r.path for r in documents.read_vault(spark, str(tmp_path)).collect()] == ["docs/a.md"]
+    assert [r.tag for r in documents.read_vocabulary(spark, str(tmp_path)).collect()] == ["ok"]
+    assert main(["check", str(tmp_path), "--profile", "vault"]) == 1
+    out = capsys.readouterr().out
+    assert "IP アドレス" in out and "合計: 1 件" in out
+    assert main(["gate", str(tmp_path / "docs"), "--tags", "a", "--title", "t"]) == 1
+
+
+def test_logical_lines(spark):
+    texts = ["", "a", "a\n", "a\r\nb\rc d\n\n", "\n", "x\u000by\u001cz"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in df.select(documents.logical_lines(F.col("t"))).collect()] == [t.splitlines() for t in texts]
+
+
+def test_versions(spark):
+    class MemoryBlobs(VersionedBlobs):  # inside the test, so that it travels by value
+        reader_function = staticmethod(lambda repository, commit, path: f"{repository} {commit} {path}")
+
+        @classmethod
+        def name(cls):
+            return "memory_blobs"
+
+    spark.dataSource.register(MemoryBlobs)
+    rows = spark.read.format("memory_blobs").option("repository", "r").option("blobs", json.dumps([["c1", "a.md"], ["c2", "b.md"]])).load().collect()
+    assert sorted(r.text for r in rows) == ["r c1 a.md", "r c2 b.md"]
+
+
+def test_publish(spark, tmp_path):
+    def send(method, endpoint, payload, token, timeout):
+        if payload["title"] == "late":
+            raise TimeoutError
+        if payload["title"] == "down":
+            raise OSError(token)
+        return (403, json.dumps({"message": f"bad {token}"})) if payload["title"] == "no" else (201, json.dumps({"url": "u", "id": "i"}))
+
+    df = spark.createDataFrame([(k, t, "body", tags, True) for k, (t, tags) in enumerate([("ok", ["a"]), ("late", ["a"]), ("down", ["a"]), ("no", ["a"]), ("ok", [])])], "doc_id long, title string, text string, tags array<string>, private boolean")
+    rows = {r.doc_id: r for r in publish.publish(df, send, "secret-token").collect()}
+    assert rows[0].ok and rows[0].url == "u" and rows[0].item_id == "i"
+    assert [rows[k].error_message for k in (1, 2, 3, 4)] == [publish.TIMED_OUT, publish.UNREACHABLE, "bad ***", publish.NO_TAGS]
+    assert publish.publish_one(send, None, "ok", "b", ["a"])["error_message"] == publish.NO_TOKEN
+    assert publish.publish_one(lambda *a: (200, "{}"), "t", "ok", "b", ["a"], item_id="x")["ok"]
+    assert publish.load_token({}, tmp_path) is None
+    (tmp_path / ".secrets").mkdir()
+    (tmp_path / ".secrets/qiita.env").write_text("A=1\nexport QIITA_TOKEN='x'\n")
+    assert publish.load_token({}, tmp_path) == "x" and publish.load_token({"QIITA_TOKEN": "y"}, tmp_path) == "y"
+
+
+def test_streams(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "10.0.0.1"), (1, "サーバ")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "in"))
+    stream = lint_stream.read_documents(spark, str(tmp_path / "in"))
+    q = lint_stream.secret_stream(stream).writeStream.format("memory").queryName("secrets_seen").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [r.doc_id for r in spark.table("secrets_seen").collect()] == [0]
+    q = lint_stream.lint_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), checks=("secrets", "notation"))
+    q.awaitTermination(120)
+    assert {(r.doc_id, r.category) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(0, "secret"), (1, "notation")}
