@@ -36,7 +36,7 @@ from hondana.llm.worker import kept
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 TRAIN = 2500
-LANDMARKS = 160
+LANDMARKS = 320
 ROUNDS = 5
 DECAY = 0.5
 LONGEST = 22
@@ -136,7 +136,7 @@ def against(words: list[str], landmarks: list[tuple[np.ndarray, np.ndarray]]) ->
     return out
 
 
-def machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Weights (bias last) of a squared-hinge machine, by Newton steps."""
     x = np.c_[x, np.ones(len(x))].astype(np.float64)
     w, held = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
