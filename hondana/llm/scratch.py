@@ -55,10 +55,15 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def mark() -> int:
-    """A point to give to :func:`release`."""
+    """A point to give to :func:`release`, which then spares what is older."""
     return len(_made)
 
 
+def adopt(spark: SparkSession, path: str) -> None:
+    """Have ``path`` deleted by the next :func:`release`."""
+    _made.append((spark, path))
+
+
 def release(since: int = 0) -> None:
     """Delete the scratch tables made after ``since``; what was derived from them must be written by now."""
     while len(_made) > since:
