@@ -21,7 +21,7 @@ come out once each; other columns are ignored unless kept by the caller.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -126,13 +126,17 @@ def kernel_rows(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def against(words: list[str], landmarks: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Kernel of every word with every landmark."""
-    dense = np.zeros((len(landmarks), 1 << 18), np.float32)
+    """Kernel of every word with every landmark, over the subsequences that landmarks have."""
+    held = np.unique(np.concatenate([code for code, _ in landmarks]))
+    dense = np.zeros((len(held), len(landmarks)), np.float32)
     for k, (code, w) in enumerate(landmarks):
-        dense[k, code] = w
+        dense[np.searchsorted(held, code), k] = w
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for k, (code, w) in enumerate(kernel_rows(words)):
-        out[k] = dense[:, code] @ w
+    for k, word in enumerate(words):
+        code, w = kernel_rows([word])[0]
+        at = np.minimum(np.searchsorted(held, code), len(held) - 1)
+        known = held[at] == code
+        out[k] = w[known].astype(np.float32) @ dense[at[known]]
     return out
 
 
@@ -169,15 +173,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.maximum(margin, self.floor) + self.offset, -60, 60)))
 
 
-def fit(bags: list[tuple[list[str], int]], counts: dict[int, int] | None = None, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model:
+def fit(bags: Iterable[tuple[list[str], int]], counts: dict[int, int] | None = None, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model:
     """The model from (distinct words, label) of documents; ``counts``: documents of each class there are, where ``bags`` hold a share of them."""
-    labels = np.array([label for _, label in bags])
-    empty = np.zeros(1 << 18, np.float32)
+    place: dict[str, int] = {}
+    members, found = [], []
+    for words, label in bags:  # one pass that keeps a number for each word
+        members.append(np.array([place.setdefault(w, len(place)) for w in words], np.int64))
+        found.append(label)
+    vocabulary, labels = list(place), np.array(found)
+    del place
     if len(set(labels.tolist())) < 2:
-        return Model(empty, 0.0, 0.0, 0.0, 0.0, float(labels.max()) if len(labels) else 0.0)
-    vocabulary = sorted({w for words, _ in bags for w in words})
-    place = {w: k for k, w in enumerate(vocabulary)}
-    members = [np.array([place[w] for w in words], np.int64) for words, _ in bags]
+        return Model(np.zeros(1 << 18, np.float32), 0.0, 0.0, 0.0, 0.0, float(labels.max()) if len(labels) else 0.0)
     toxic, clean = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
     for at, label in zip(members, labels):
         (toxic if label else clean)[at] += 1
@@ -279,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
     # At most 2 * most rows of two numbers: a fixed size, so broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("text", "label")
     rows = sorted((r.words, r.label) for r in texts.mapInArrow(split, "words string, label int").collect())
-    return fit([(words.split(), label) for words, label in rows], counts)
+    return fit(((words.split(), label) for words, label in rows), counts)
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
