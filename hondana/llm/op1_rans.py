@@ -15,7 +15,7 @@ File format (two Parquet tables below one folder; any store Spark writes can hol
   places array<int> (first word of each segment), payload binary (uint32 LE words), crc32 long.
 
 Edge cases: a null or empty text is a document of only the end id; null doc_ids come first; equal
-doc_ids are ordered by their ids' bytes; an empty table gives an empty file; other columns are ignored.
+doc_ids are ordered by a hash of their ids; an empty table gives an empty file; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -238,7 +238,8 @@ def write_file(tokens: DataFrame, path: str, lanes: int = LANES, segment: int =
         if held:
             yield close(False)
 
-    ordered = tokens.select("doc_id", "ids").repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    # The ids' hash, not the ids, beside doc_id: range bounds are sampled to the driver, and rows of one doc_id may be many.
+    ordered = tokens.select("doc_id", "ids", F.xxhash64("ids").alias("mark")).repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "ids").drop("mark")
     ordered.mapInArrow(encode, _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
