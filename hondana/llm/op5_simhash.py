@@ -35,8 +35,8 @@ SHINGLE = 3
 SEED = 42
 MOST_BITS = 2
 DENSE = 64
-#: For :func:`similar`: samples of so many shingles each, and least shingles kept to measure similarity.
-SAMPLES, SAMPLED, SKETCH = 8, 4, 128
+#: For :func:`similar`: shingles that a task packs before it passes them on.
+PACK = 2_000_000
 
 
 def hashes_of(text: str | None, shingle: int = SHINGLE) -> list[int]:
@@ -161,9 +161,6 @@ def grouped(docs: DataFrame, keep: tuple[str, ...] = (), shingle: int = SHINGLE,
     return fps.join(named, "fp")
 
 
-_MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def _words_key(text: str | None) -> int:
     from xxhash import xxh64_intdigest
 
@@ -174,71 +171,134 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, key (of the sequence of words), fp, samples, sketch of every row.
+def keyed(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, key (of the sequence of words), size (distinct shingles) of every row."""
 
-    A sample is the fingerprint of the SAMPLED shingles that are least under one of SAMPLES orders, so texts of
-    similarity s share one with probability s ** SAMPLED; the sketch holds the SKETCH least hashes.
-    """
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, fps, samples, least = [], [], [], []
+            keys, sizes = [], []
             for x in batch.column(1):
                 text = x.as_py()
-                hashes = hashes_of(text, shingle)
-                unique = np.unique(np.array(hashes, np.uint64))
-                own = []
-                for m in _MULTIPLIERS:
-                    order = unique * m
-                    order ^= order >> np.uint64(29)
-                    k = min(SAMPLED, len(unique))
-                    own.append(_signed(majority(unique[np.argpartition(order, k - 1)[:k]])) if k else 0)
                 keys.append(_signed(_words_key(text)))
-                fps.append(_signed(majority(hashes)))
-                samples.append(own)
-                least.append(unique[:SKETCH].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(fps, pa.int64()), pa.array(samples, pa.list_(pa.int64())), pa.array(least, pa.binary())], ["doc_id", "key", "fp", "samples", "sketch"])
+                sizes.append(len(set(hashes_of(text, shingle))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "key", "size"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measured, "doc_id long, key long, size long")
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(sketched, "doc_id long, key long, fp long, samples array<long>, sketch binary")
 
+def shared_shingles(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
+    """key, token, n of every shingle (its hash, ``token``) that n > 1 distinct sequences of words hold, once for each that does.
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets from their least hashes: exact for sets of at most SKETCH, else of the SKETCH least of both."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    both = np.union1d(x, y)
-    if len(x) == SKETCH or len(y) == SKETCH:
-        both = both[:SKETCH]
-    return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
+    Shingles travel packed, by ``parts`` remainders of their hashes, so the shuffle moves 16 bytes each.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys, total = [], [], 0
+
+        def out():
+            token, owner = np.concatenate(held), np.repeat(np.array(keys, np.uint64), [len(x) for x in held])
+            part = token % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            token, owner, part = token[order], owner[order], part[order]
+            some, starts = np.unique(part, return_index=True)
+            ends = [*starts[1:], len(part)]
+            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), cut(token), cut(owner)], ["part", "tokens", "owners"])
+
+        seen: set[int] = set()
+        for batch in batches:
+            for x in batch.column(0):
+                text = x.as_py()
+                key = _words_key(text)
+                if key in seen:
+                    continue
+                seen.add(key)
+                keys.append(key)
+                held.append(np.unique(np.array(hashes_of(text, shingle), np.uint64)))
+                total += len(held[-1])
+                if total > PACK:
+                    yield out()
+                    held, keys, total = [], [], 0
+                    seen.clear()
+        if total:
+            yield out()
+
+    def shared(table: pa.Table) -> pa.Table:
+        token = np.frombuffer(b"".join(x.as_py() for x in table["tokens"]), "<u8")
+        owner = np.frombuffer(b"".join(x.as_py() for x in table["owners"]), "<u8")
+        order = np.lexsort((owner, token))
+        token, owner = token[order], owner[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])  # copies in several batches count once
+        token, owner = token[new], owner[new]
+        _, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
+        n = count[inverse]
+        several = n > 1
+        return pa.table({"key": owner[several].view(np.int64), "token": token[several].view(np.int64), "n": n[several].astype(np.int64)})
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(packed, "part long, tokens binary, owners binary")
+    return rows.groupBy("part").applyInArrow(shared, "key long, token long, n long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose Jaccard similarity, from all shingles both hold, is at least ``least``."""
+    side = lambda key, size, held: sets.select(F.col("key").alias(key), F.col("size").alias(size), F.col("tokens").alias(held))
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y, xs, ys = batch.columns
+            flags = []
+            for m, n, p, q in zip(x, y, xs, ys):
+                both = len(np.intersect1d(p.values.to_numpy(), q.values.to_numpy(), assume_unique=True))
+                flags.append(both >= least * (m.as_py() + n.as_py() - both) - 1e-9)
+            keep = pa.array(flags, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+
+    return pairs.join(side("a", "x", "xs"), "a").join(side("b", "y", "ys"), "b").select("a", "b", "x", "y", "xs", "ys").mapInArrow(good, "a long, b long")
+
+
+def similar_pairs(docs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """node, root: components of all pairs of ``texts`` (key, size) of similarity ``least`` or more, for the texts that have one.
+
+    Prefix filter: shingles in order of the number of texts that hold them; of two similar texts of size m, each must share one of its first
+    m - ceil(least * m) + 1 with the other, and shingles of one text only never do. So texts are candidates that share such a shingle and whose sizes allow it.
+    Each is first compared with the ends of every group that shares one; then all pairs of a group that those links leave in different components are.
+    """
+    spark = docs.sparkSession
+    total = texts.agg(F.sum("size")).first()[0] or 0
+    parts = max(total >> 18, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = shared_shingles(docs, shingle, parts).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("held"))
+    room = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1 - (F.col("size") - F.size("held"))
+    sets = found.join(texts.select("key", "size"), "key").withColumn("room", room.cast("int")).where("room > 0")
+    sets = sets.select("key", "size", F.slice("held.token", 1, F.col("room")).alias("first"), F.col("held.token").alias("tokens"))
+    sets = scratch.write(sets, "sets")
+    index = scratch.write(sets.select("key", "size", F.explode("first").alias("token")), "index")
+    fits = F.least("x", "y") >= F.greatest("x", "y") * least - 1e-9
+    once = lambda df: df.where((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    end = F.struct("key", "size")
+    ends = index.groupBy("token").agg(F.array(F.min(end), F.max(end)).alias("ends")).where("ends[0] != ends[1]")
+    stars = index.join(ends, "token").select(F.col("key").alias("a"), F.col("size").alias("x"), F.explode("ends").alias("e")).select("a", "x", F.col("e.key").alias("b"), F.col("e.size").alias("y"))
+    edges = scratch.write(verified(once(stars), sets, least), "links")
+    rooted = index.join(components(edges), F.col("key") == F.col("node"), "left").select("key", "size", "token", F.coalesce("root", "key").alias("root"))
+    rooted = scratch.write(rooted, "rooted")
+    # In a group of several components, every text outside the commonest one meets all texts of others.
+    common = rooted.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    mixed = rooted.join(common, "token")
+    a = mixed.where("root != most").select("token", F.col("key").alias("a"), F.col("size").alias("x"), F.col("root").alias("r"))
+    b = mixed.select(F.col("token").alias("at"), F.col("key").alias("b"), F.col("size").alias("y"), F.col("root").alias("s"), (F.col("root") == F.col("most")).alias("of_most"))
+    rest = a.join(b, (F.col("token") == F.col("at")) & (F.col("r") != F.col("s")) & fits & (F.col("of_most") | (F.col("a") < F.col("b"))))
+    return components(edges.unionByName(verified(once(rest), sets, least)))
 
 
 def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """key, doc_id (the smallest of the group), chosen (the key that has it), rows (with both) for every distinct sequence of words.
 
-    Texts of similarity 0.8 differ in about ten bits of a fingerprint, too many for any grid. So besides links of whole fingerprints,
-    found as above, texts that share the fingerprint of a sample are candidates: each with the first and the last one that share
-    it (no pairs within a group). Every candidate is then verified by its similarity.
+    Groups are the components of all pairs with a Jaccard similarity of shingles of at least ``least``, found and measured exactly.
     """
-    all_rows = scratch.write(sketches(docs, shingle), "sketches")
-    texts = all_rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("sketch").alias("sketch"))
-    texts = scratch.write(texts, "texts")
-    marks = texts.select("key", F.posexplode("samples").alias("table", "mark")).unionByName(texts.select("key", F.lit(SAMPLES).alias("table"), F.col("fp").alias("mark")))
-    ends = marks.groupBy("table", "mark").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    pairs = marks.join(ends, ["table", "mark"]).select(F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b"))
-    of_fp = texts.groupBy("fp").agg(F.min("key").alias("key"))
-    near = links(of_fp.select("fp")).join(of_fp.select(F.col("fp").alias("a"), F.col("key").alias("ka")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("key").alias("kb")), "b")
-    pairs = pairs.unionByName(near.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
-    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first, second = texts.select(F.col("key").alias("a"), F.col("sketch").alias("x")), texts.select(F.col("key").alias("b"), F.col("sketch").alias("y"))
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    edges = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
-    roots = components(edges)
+    all_rows = scratch.write(keyed(docs, shingle), "keyed")
+    texts = scratch.write(all_rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("size").alias("size")), "texts")
+    roots = similar_pairs(docs, texts, shingle, least)
     rooted = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("m"))
     named = rooted.join(best, "root").select("key", F.col("m.least").alias("doc_id"), F.col("m.key").alias("chosen"))
@@ -251,13 +311,13 @@ def first_of_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> Da
     stays = scratch.write(similar(docs, shingle, least).where("key = chosen").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), F.col("rows").alias("_rows")), "stays")
     names, at = docs.columns, docs.columns.index("text")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = pa.array([_signed(_words_key(x.as_py())) for x in batch.column(at)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*names, "_key"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _key long"
-    rows = docs.mapInArrow(keyed, schema).join(stays, "_key").where("doc_id <=> _id")
+    rows = docs.mapInArrow(with_key, schema).join(stays, "_key").where("doc_id <=> _id")
     single = rows.where("_rows = 1").select(*names)
     several = rows.where("_rows > 1").groupBy("_key").agg(F.min(F.struct(*names)).alias("r")).select("r.*")
     return single.unionByName(several)

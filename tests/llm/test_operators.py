@@ -288,6 +288,36 @@ def test_similar_groups(spark, odd, empty):
     assert op5_simhash.first_of_groups(empty).count() == 0
 
 
+def _plain_groups(texts, shingle=5, least=0.8):
+    """All pairs compared on whole shingle sets; the texts that come first of their component."""
+    sets = [{tuple(t[k : k + shingle]) for k in range(len(t) - shingle + 1)} for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= least * (len(sets[a]) + len(sets[b]) - both) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return {k for k, r in enumerate(root) if k == r}
+
+
+def test_similar_compares_all_of_a_crowded_group(spark):
+    """Texts with one long passage in common, and a near copy of each: no two ends of a group are like all of it."""
+    rng = random.Random(11)
+    passage, texts = [f"p{k}" for k in range(200)], []
+    for k in range(60):
+        base = passage + [f"w{k}x{j}" for j in range(44)]
+        near = list(base)
+        for place in (205, 214, 223, 232):
+            near[place] = "changed"
+        texts += [base, near]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    expected = _plain_groups(texts)
+    assert len(expected) == 60
+    assert {r.doc_id for r in op5_simhash.first_of_groups(docs).collect()} == expected
+
+
 # 6
 
 
