@@ -318,6 +318,23 @@ def test_similar_compares_all_of_a_crowded_group(spark):
     assert {r.doc_id for r in op5_simhash.first_of_groups(docs).collect()} == expected
 
 
+def test_similar_measures_whole_texts(spark):
+    """Similarities close to 0.8 on both sides, of sets far larger than any sketch."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(40):
+        base = [f"v{k}x{j}" for j in range(454)]  # 450 shingles
+        near = list(base)
+        for place in range(5, 5 + 20 * (9 + k % 3), 20):  # 9, 10 or 11 changes of 5 shingles: similarity 0.818, 0.8 and 0.782
+            near[place] = "changed"
+        texts += [base, near]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    expected = _plain_groups(texts)
+    assert len(expected) == 53
+    assert {r.doc_id for r in op5_simhash.first_of_groups(docs).collect()} == expected
+
+
 # 6
 
 
