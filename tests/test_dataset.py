@@ -6,6 +6,7 @@ import pytest
 
 from hondana.functions import article
 from hondana.operators import dataset
+from hondana.plans import catalog
 
 
 @pytest.mark.parametrize(
@@ -75,3 +76,13 @@ def test_violations(spark):
     broken = dataset.assemble(articles.where("article != 'y' or variant != 'draft'"), kept.where("article != 'x' or variant != 'draft'"))
     assert {(r["check"], r["key"]) for r in dataset.violations(broken).collect()} == {("sections of one variant", "x"), ("variants", "y"), ("sections of one variant", "y")}
     assert "| 計 | 計 | 計 | 8 |" in dataset.markdown_report(records)
+
+
+def test_validate_records_reads_every_document(spark, tmp_path):
+    rows = [(k, f"text of {k}\nand more") for k in (0, 1, 398, 399, 5000, 5001, 5003)] + [(9000, ""), (9001, "fine")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {(r["check"], r["key"]) for r in catalog.QUERIES["validate_records"](spark, str(tmp_path)).collect()}
+    pairs = {}
+    for d, _ in rows:
+        pairs.setdefault(f"a{d // 2}", set()).add(d % 2)
+    assert {k for c, k in found if c == "variants"} == {a for a, v in pairs.items() if len(v) < 2} == {"a2501"}
