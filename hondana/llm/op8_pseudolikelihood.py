@@ -5,11 +5,11 @@ neighbour (embedding and first layer in one table per place), applies tanh, and
 token's class, then the token within its class, so a prediction costs two short softmaxes instead of one over
 the vocabulary. A document's score is the sum of the conditional log-probabilities of all its tokens.
 
-Tokens are lower-cased runs of letters, single digits and other marks. The vocabulary is the ``VOCABULARY``
-most frequent ones, counted over the whole corpus; classes cut it, in order of frequency, into runs of
-``CLASS`` tokens. A token outside it is coded as the rare token and then evenly among the corpus's occurrences of rare
-tokens, so its log-probability includes -log(those + 1). The output biases start from corpus counts.
-Training runs in numpy on at most ``TRAIN`` documents, whole, chosen by digest of doc_id (a documented bound).
+Tokens are lower-cased runs of letters, single digits and other marks. The vocabulary is the most frequent ones, counted over
+the whole corpus, as many as a quarter of the square root of its tokens, ``VOCABULARY`` at least; classes cut it, in order of frequency, into runs of
+about the square root of it. A token outside it is coded as the rare token and then by its characters, each given the one before, by the corpus's counts
+over all rare tokens. The output biases start from corpus counts.
+Training reads every document: groups of documents, by digest, are each trained on in numpy from the same start, and the networks' mean, by tokens, is the result.
 
 Edge cases: null and empty texts and texts without tokens have 0 tokens, sum 0 and mean null; ends of a text are seen as an edge
 token; rows come out once each; other columns are ignored.
@@ -17,6 +17,7 @@ token; rows come out once each; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,9 +32,11 @@ WINDOW = 2
 VOCABULARY = 1023
 CLASS = 32
 HIDDEN = 24
-TRAIN = 600
-EPOCHS = 2
+EPOCHS = 1
 STEP = 4096
+#: Groups of documents to train on: this many, of LEAST tokens at least and MOST at most.
+GROUPS, LEAST, MOST = 64, 250_000, 8_000_000
+PARTS = ("near", "bias", "to_class", "class_bias", "to_word", "word_bias")
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d|[^\w\s]")
 
@@ -64,6 +67,43 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+class Spelling:
+    """Probability of a token by its characters, each given the one before; "" is the start and the end. Falls back to single characters, then to any."""
+
+    def __init__(self, pairs: dict[tuple[str, str], int]):
+        self.pairs, self.before, self.single = pairs, {}, {}
+        for (a, b), n in pairs.items():
+            self.before[a] = self.before.get(a, 0) + n
+            self.single[b] = self.single.get(b, 0) + n
+        self.total = sum(self.single.values()) + 0x110000 + 1
+
+    def __call__(self, token: str) -> float:
+        out, a = 0.0, ""
+        for b in [*token, ""]:
+            alone = (self.single.get(b, 0) + 1) / self.total
+            out += math.log((self.pairs.get((a, b), 0) + alone) / (self.before.get(a, 0) + 1))
+            a = b
+        return out
+
+
+def spelling(counts: DataFrame, known: list[str]) -> Spelling:
+    """From all tokens of ``counts`` (token, n) but the known ones."""
+    apart = frozenset(known)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, str], int] = {}
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if x not in apart:
+                    for pair in zip(["", *x], [*x, ""]):
+                        seen[pair] = seen.get(pair, 0) + y
+        a, b = [k[0] for k in seen], [k[1] for k in seen]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(seen.values()), pa.int64())], ["a", "b", "n"])
+
+    rows = counts.select("token", "n").mapInArrow(pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    return Spelling({(r.a, r.b): r.n for r in rows})
+
+
 class Network:
     """Two-sided window network over token numbers: 0 rare, 1 to V the vocabulary, V + 1 the edge of a text."""
 
@@ -180,43 +220,89 @@ class Network:
                         k += 1
 
 
-def train(docs: DataFrame, vocabulary: int = VOCABULARY, most: int = TRAIN) -> Network:
-    """Vocabulary and biases from all of ``docs``; weights from at most ``most`` of them, whole."""
+def train(docs: DataFrame, vocabulary: int | None = None, most: int | None = None) -> Network:
+    """Vocabulary, biases, spelling and weights from all of ``docs``; weights from ``most`` of them only where the caller says so."""
     counts = scratch.write(count_tokens(docs), "tokens")
-    top = counts.orderBy(F.col("n").desc(), "token").limit(vocabulary).collect()
     total = counts.agg(F.sum("n")).first()[0] or 0
+    if vocabulary is None:
+        vocabulary = max(VOCABULARY, math.isqrt(total) // 4)
+    top = counts.orderBy(F.col("n").desc(), "token").limit(vocabulary).collect()
+    words = [r.token for r in top]
+    network = Network(words, [r.n for r in top], total - sum(r.n for r in top), max(CLASS, math.isqrt(vocabulary)))
+    network.spelling = spelling(counts, words)
     scratch.drop(counts)
-    network = Network([r.token for r in top], [r.n for r in top], total - sum(r.n for r in top))
-    chosen = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("mark")).orderBy("mark", "doc_id").limit(most)
-    table = {w: k + 1 for k, w in enumerate(network.words)}
+    if not total:
+        return network
+    groups = max(1, min(GROUPS, total // LEAST), total // MOST)
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if most is not None:
+        texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    shared = docs.sparkSession.sparkContext.broadcast({k: v for k, v in vars(network).items() if k != "spelling"})
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = {w: k + 1 for k, w in enumerate(shared.value["words"])}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.fromiter((table.get(t, 0) for t in tokens_of(x.as_py())), "<i4").tobytes() for x in batch.column(0)], pa.binary())], ["numbers"])
+            numbers = [np.fromiter((table.get(t, 0) for t in tokens_of(x.as_py())), "<i4").tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.binary())], ["part", "numbers"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
-    rows = sorted(bytes(r.numbers) for r in texts.mapInArrow(number, "numbers binary").collect())
-    network.train([np.frombuffer(r, "<i4") for r in rows])
+    def trained(table: pa.Table) -> pa.Table:
+        net = Network.__new__(Network)
+        vars(net).update({k: v.copy() if k in PARTS else v for k, v in shared.value.items()})
+        rows = [np.frombuffer(x, "<i4") for x in sorted(table["numbers"].to_pylist())]
+        net.train(rows)
+        weights = np.concatenate([getattr(net, k).ravel() for k in PARTS]).astype("<f4")
+        return pa.table({"part": table["part"][:1].cast(pa.int64()), "n": pa.array([sum(map(len, rows))], pa.int64()), "weights": pa.array([weights.tobytes()], pa.binary())})
+
+    def mean(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["part"].to_pylist(), table["n"].to_pylist(), table["weights"]))  # parts differ
+        n = sum(r[1] for r in rows)
+        out = np.zeros(len(rows[0][2].as_py()) // 4)
+        for _, m, w in rows:
+            out += np.frombuffer(w.as_py(), "<f4") * (m / max(n, 1))
+        return pa.table({"part": pa.array([rows[0][0]], pa.int64()), "n": pa.array([n], pa.int64()), "weights": pa.array([out.astype("<f4").tobytes()], pa.binary())})
+
+    kind = "part long, n long, weights binary"
+    rows = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("part"), "text").mapInArrow(number, "part long, numbers binary")
+    # Means of means: no task holds more than about the root of all networks, the driver one.
+    some = scratch.write(rows.groupBy("part").applyInArrow(trained, kind), "networks")
+    some = some.withColumn("over", F.col("part") % math.isqrt(groups)).groupBy("over").applyInArrow(mean, kind)
+    found = some.withColumn("over", F.lit(0)).groupBy("over").applyInArrow(mean, kind).collect()
+    at, weights = 0, np.frombuffer(bytes(found[0].weights), "<f4") if found else None
+    for k in PARTS if found else ():
+        old = getattr(network, k)
+        setattr(network, k, weights[at : at + old.size].reshape(old.shape).copy())
+        at += old.size
     return network
 
 
 def scored(docs: DataFrame, network: Network) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (natural logarithms, summed), mean of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(network))  # fixed size: vocabulary times hidden units
+    shared = docs.sparkSession.sparkContext.broadcast(vars(network))  # vocabulary times hidden units, and the pairs of characters
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.__new__(Network)
         vars(net).update(shared.value)
         table = {w: k + 1 for k, w in enumerate(net.words)}
+        constant, spelt = math.log(net.rare + 1.0), {}
+
+        def spell(token: str) -> float:
+            if token not in spelt:
+                if len(spelt) > 200_000:
+                    spelt.clear()
+                spelt[token] = net.spelling(token) + constant  # instead of the even share
+            return spelt[token]
+
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 some = batch.slice(start, 256)
-                numbers = [net.framed(net.numbers(tokens_of(x.as_py()), table)) for x in some.column(1)]
+                tokens = [tokens_of(x.as_py()) for x in some.column(1)]
+                spelling = np.array([sum(spell(t) for t in x if t not in table) for x in tokens], np.float64)
+                numbers = [net.framed(net.numbers(x, table)) for x in tokens]
                 framed = np.concatenate(numbers)
                 places = np.flatnonzero(framed != net.edge)
                 value = np.concatenate([net.log_probabilities(framed, places[k : k + STEP]) for k in range(0, len(places), STEP)] or [np.zeros(0)])
                 sizes = np.array([len(x) - 2 * net.window for x in numbers])
-                sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), value, len(sizes))
+                sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), value, len(sizes)) + spelling
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array([s / n if n else None for s, n in zip(sums, sizes)], pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -414,6 +414,19 @@ def test_pseudolikelihood(spark, odd, empty):
     assert abs(one.log_likelihood - rows[3].log_likelihood) < 1e-3
 
 
+def test_pseudolikelihood_learns_from_every_document(spark):
+    """Rare words differ by their letters, and documents beyond any fixed number change the weights."""
+    docs = spark.createDataFrame([(k, f"one{k % 7} two {'three' if k % 3 else 'four'}") for k in range(1500)], "doc_id long, text string")
+    other = spark.createDataFrame([(2000, "two q"), (2001, "two 3")], "doc_id long, text string")
+    model = op8_pseudolikelihood.train(docs, vocabulary=4)
+    rows = {r.doc_id: r for r in op8_pseudolikelihood.scored(other, model).collect()}
+    assert rows[2000].log_likelihood < rows[2001].log_likelihood
+    fewer = op8_pseudolikelihood.train(docs, vocabulary=4, most=1400)
+    assert not np.array_equal(model.to_word, fewer.to_word)
+    spelling = op8_pseudolikelihood.Spelling({("", "a"): 3, ("a", "b"): 2, ("a", ""): 1, ("b", ""): 2})
+    assert np.exp(spelling("ab")) > np.exp(spelling("a")) > np.exp(spelling("b")) > 0
+
+
 # 9
 
 
