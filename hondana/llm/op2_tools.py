@@ -1,15 +1,15 @@
 """Tool-call linking for chat data. DataFrame functions only.
 
-Calls and results meet by identifier in a hash join after each side is reduced to one row per
-identifier (partial aggregates first, so a common identifier costs no more than others and no pairs are made). Calls
+Calls and results meet by conversation and identifier in a hash join; where an identifier is repeated, the first call meets the first result,
+the second the second and so on, so all are kept and no pairs are made. Calls
 are ordered so that each follows the calls whose results its arguments use: levels grow outward from calls that need
 nothing, one join a level, over the edges not yet settled. Arguments are checked against the tool's schema: well-formed
 object, required keys, no unknown keys, types. Everything is serialised as canonical JSON: keys sorted, no white
 space, one form for every value (Spark's variant keeps object keys sorted).
 
-Edge cases, each named in ``errors``: duplicate identifiers (the call of the least turn, then least name and arguments,
-stays), calls without a result, results without a call (rows of their own, no name), malformed arguments, unknown tools, missing or unknown keys, wrong
-types, needs that are unknown or in a cycle (level null, last in order). Rows without an identifier are left out. Null contents are
+Edge cases, each named in ``errors``: duplicate identifiers (numbered by turn, then name and arguments; they share a level, above the needs of
+all), calls without a result, results without a call (rows of their own, no name), malformed arguments, unknown tools, missing or unknown keys, wrong
+types, needs that are unknown or in a cycle (level null, last in order). Rows without an identifier are left out, or with ``unnamed`` come as rows of their own. Null contents are
 JSON null. Empty tables give an empty result; other columns are ignored.
 """
 
@@ -51,11 +51,11 @@ def canonical(text: Column) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """call_id, level of every call (call_id, needs array<string>) that no cycle or unknown need holds back."""
-    edges = calls.select("call_id", F.explode(F.array_distinct("needs")).alias("need")).where("need is not null")
+    """call_id, level of every identifier in ``calls`` (call_id, needs array<string>; repeats add their needs) that no cycle or unknown need holds back."""
+    edges = calls.select("call_id", F.explode(F.array_distinct("needs")).alias("need")).where("need is not null").distinct()
     edges = scratch.write(edges, "edges")
     waiting = edges.select("call_id").distinct()
-    settled = scratch.write(calls.select("call_id").join(waiting, "call_id", "left_anti").withColumn("level", F.lit(0)), "levels")
+    settled = scratch.write(calls.select("call_id").distinct().join(waiting, "call_id", "left_anti").withColumn("level", F.lit(0)), "levels")
     while edges.take(1):
         # An edge whose need is settled has a level; a call is settled when all its edges are.
         joined = edges.join(settled.select(F.col("call_id").alias("need"), F.col("level").alias("below")), "need", "left")
@@ -71,33 +71,58 @@ def levels(calls: DataFrame) -> DataFrame:
     return settled
 
 
-def op2_tools(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """conv_id, position, level, call_id, name, errors, json: one row per identifier.
+def _node(call_id: Column) -> Column:
+    """One text for a conversation and an identifier in it; null for none."""
+    return F.when(call_id.isNotNull(), F.to_json(F.array(F.col("conv_id").cast("string"), call_id)))
+
+
+def _numbered(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """``rows`` with ``k``, their number within ``node``: counts by range of turns, then places within a range."""
+    rows = rows.withColumn("stretch", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / RANGE))
+    before = Window.partitionBy("node").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("node", "stretch").count().select("node", "stretch", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("node", "stretch").orderBy("turn", *order)
+    return rows.join(sums, ["node", "stretch"]).withColumn("k", F.col("before") + F.row_number().over(inside)).drop("before", "stretch")
+
+
+def op2_tools(calls: DataFrame, results: DataFrame, schemas: Schemas, unnamed: bool = False) -> DataFrame:
+    """conv_id, position, level, call_id, name, errors, json: one row per call, and one per result that has none.
 
     ``calls``: conv_id, turn, call_id, name, arguments (JSON text), needs array<string>; ``results``: conv_id, turn, call_id, content.
     ``position`` counts the calls of a conversation in order of level, turn and call_id.
     """
-    first = F.min(F.struct("turn", "conv_id", "name", "arguments", "needs"))
-    one = calls.where("call_id is not null").groupBy("call_id").agg(first.alias("c"), F.count(F.lit(1)).alias("n_calls"))
-    answer = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "conv_id", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
-    linked = one.join(answer, "call_id", "full_outer")
+    needs = F.coalesce("needs", F.array().cast("array<string>"))
+    one = calls.withColumn("node", _node(F.col("call_id"))).withColumn("needs", F.transform(needs, _node))
+    answer = results.withColumn("node", _node(F.col("call_id")))
+    named, told = one.where("node is not null"), answer.where("node is not null")
+    c = _numbered(named, ("name", "arguments", "needs")).select("node", "k", F.struct("conv_id", "turn", "call_id", "name", "arguments", "needs").alias("c"))
+    r = _numbered(told, ("content",)).select("node", "k", F.struct("conv_id", "turn", "call_id", "content").alias("r"))
+    linked = c.join(r, ["node", "k"], "full_outer").select("node", "k", "c", "r")
+    if unnamed:
+        lone = lambda df, c, r: df.where("node is null").select("node", F.lit(1).cast("long").alias("k"), c.alias("c"), r.alias("r"))
+        kinds = {f.name: f.dataType for f in linked.schema.fields}
+        linked = linked.unionByName(lone(one, F.struct("conv_id", "turn", "call_id", "name", "arguments", "needs"), F.lit(None).cast(kinds["r"])))
+        linked = linked.unionByName(lone(answer, F.lit(None).cast(kinds["c"]), F.struct("conv_id", "turn", "call_id", "content")))
     linked = linked.select(
-        F.coalesce("c.conv_id", "r.conv_id").alias("conv_id"), F.coalesce("c.turn", "r.turn").alias("turn"), "call_id", F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"),
-        F.coalesce("c.needs", F.array().cast("array<string>")).alias("needs"), F.col("r.content").alias("content"), F.col("n_calls"), F.col("n_results"),
+        F.coalesce("c.conv_id", "r.conv_id").alias("conv_id"), F.coalesce("c.turn", "r.turn").alias("turn"), F.coalesce("c.call_id", "r.call_id").alias("call_id"), F.col("c.name").alias("name"),
+        F.col("c.arguments").alias("arguments"), F.col("c.needs").alias("needs"), F.col("r.content").alias("content"), "node", "k", F.col("c").isNotNull().alias("has_call"), F.col("r").isNotNull().alias("has_result"),
     )
     linked = scratch.write(linked, "linked")
-    levelled = linked.join(levels(linked.where("n_calls is not null").select("call_id", "needs")), "call_id", "left")
+    sizes = linked.where("node is not null").groupBy("node").agg(F.count_if("has_call").alias("n_calls"), F.count_if("has_result").alias("n_results"))
+    known = linked.where("has_call and node is not null").select(F.col("node").alias("call_id"), "needs")
+    levelled = linked.join(sizes, "node", "left").join(levels(known).withColumnRenamed("call_id", "node"), "node", "left")
+    levelled = levelled.withColumn("level", F.when(F.col("has_call"), F.col("level")))
 
     def flag(when: Column, text: str) -> Column:
         return F.when(when, F.lit(text))
 
     flags = F.filter(
         F.array(
-            flag(F.col("n_calls").isNull(), "no call"), flag(F.col("n_results").isNull(), "no result"), flag(F.col("n_calls") > 1, "duplicate call"), flag(F.col("n_results") > 1, "duplicate result"),
-            flag(F.col("n_calls").isNotNull() & F.col("level").isNull(), "needs not met"),
+            flag(F.col("node").isNull(), "no identifier"), flag(~F.col("has_call"), "no call"), flag(~F.col("has_result"), "no result"), flag(F.col("n_calls") > 1, "duplicate call"), flag(F.col("n_results") > 1, "duplicate result"),
+            flag(F.col("has_call") & F.col("node").isNotNull() & F.col("level").isNull(), "needs not met"),
         ), lambda x: x.isNotNull(),
     )
-    errors = F.when(F.col("n_calls").isNull(), flags).otherwise(F.concat(errors_of(schemas), flags))
+    errors = F.when(~F.col("has_call"), flags).otherwise(F.concat(errors_of(schemas), flags))
     rows = levelled.withColumn("errors", errors)
     quote = lambda x: F.coalesce(F.to_json(x.cast("variant")), F.lit("null"))
     rows = rows.withColumn(
@@ -114,7 +139,7 @@ def op2_tools(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFra
     before = Window.partitionBy("conv_id").orderBy("deep", "stretch").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("conv_id").alias("_conv"), F.col("deep").alias("_deep"), F.col("stretch").alias("_stretch"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     placed = rows.join(sums, F.expr("conv_id <=> _conv and deep = _deep and stretch = _stretch"))
-    inside = Window.partitionBy("conv_id", "deep", "stretch").orderBy("turn", "call_id")
+    inside = Window.partitionBy("conv_id", "deep", "stretch").orderBy("turn", "call_id", "k", "has_call", "name", "arguments", "content")
     return placed.select("conv_id", (F.col("before") + F.row_number().over(inside)).alias("position"), "level", "call_id", "name", "errors", "json")
 
 

@@ -26,7 +26,7 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = op2_tools.conversation_view(_table("conversations", spark, sf_dir))
-    return op2_tools.op2_tools(calls, results, op2_tools.VIEW_SCHEMAS)
+    return op2_tools.op2_tools(calls, results, op2_tools.VIEW_SCHEMAS, unnamed=True)
 
 
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:

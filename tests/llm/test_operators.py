@@ -1,5 +1,6 @@
 """Every operator against a plain version of itself, and on odd rows and empty tables."""
 
+import json
 import random
 import zlib
 from collections import Counter
@@ -94,6 +95,22 @@ def test_tools(spark):
     assert op2_tools.op2_tools(calls.limit(0), results.limit(0), schemas).collect() == []
 
 
+def test_tools_keep_every_call_and_result(spark):
+    """Identifiers used again in other conversations, and repeated in one: no text is lost."""
+    calls = [(c, 1, "call_1", "f", f'{{"a":{c}}}', []) for c in range(5)] + [(0, 3, "call_1", "f", '{"a":70}', []), (0, 4, "call_2", "f", '{"a":71}', ["call_1"]), (0, 5, None, "f", '{"a":72}', [])]
+    results = [(c, 2, "call_1", f"r{c}") for c in range(5)] + [(1, 3, "call_1", "r80"), (1, 4, None, "r81")]
+    calls = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>")
+    results = spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string")
+    rows = op2_tools.op2_tools(calls, results, {"f": {"a": ("BIGINT", True)}}, unnamed=True).collect()
+    got = sorted((r.conv_id, r.position, r.call_id, json.loads(r.json)["arguments"], json.loads(r.json)["result"], r.level, tuple(r.errors)) for r in rows)
+    plain = [(c, 1, "call_1", {"a": c}, f"r{c}", 0, ()) for c in (2, 3, 4)]
+    assert got == [
+        (0, 1, "call_1", {"a": 0}, "r0", 0, ("duplicate call",)), (0, 2, "call_1", {"a": 70}, None, 0, ("no result", "duplicate call")), (0, 3, "call_2", {"a": 71}, None, 1, ("no result",)),
+        (0, 4, None, {"a": 72}, None, None, ("no identifier", "no result")), (1, 1, "call_1", {"a": 1}, "r1", 0, ("duplicate result",)),
+        (1, 2, "call_1", None, "r80", None, ("no call", "duplicate result")), (1, 3, None, None, "r81", None, ("no identifier", "no call")), *plain,
+    ]
+
+
 # 3, 4, 7: held-out accuracy on the driver's small tables
 
 
