@@ -165,22 +165,25 @@ def violations(records: DataFrame) -> DataFrame:
     """check, key of every broken constraint: none for sound records. Each check is one grouped aggregate or filter."""
     named = lambda df, check, key: df.select(F.lit(check).alias("check"), F.col(key).cast("string").alias("key"))
     per = records.groupBy("article").agg(
-        F.count_distinct("split").alias("splits"), F.count_distinct("variant").alias("variants"),
+        F.count_distinct("split").alias("splits"), *[F.count_if((F.col("granularity") == "article") & (F.col("variant") == v)).alias(v) for v in ("draft", "published")],
         F.count_distinct(F.when(F.col("granularity") == "section", F.col("variant"))).alias("with_sections"),
-        F.count_distinct(F.when(F.col("granularity") == "article", F.col("text"))).alias("texts"),
+        F.count_distinct(F.when(F.col("granularity") == "article", strip(F.col("text")))).alias("texts"),
         F.count(F.when(F.col("granularity") == "article", 1)).alias("wholes"),
     )
     found = [
         named(records.groupBy("id").count().where("count > 1"), "duplicate id", "id"),
         named(per.where("splits > 1"), "split", "article"),
-        named(per.where("variants != 2"), "variants", "article"),
+        named(per.where("draft != 1 or published != 1"), "variants", "article"),
         named(per.where("with_sections = 1"), "sections of one variant", "article"),
         named(per.where("wholes = 2 and texts = 1"), "identical texts", "article"),
         named(records.where("text is null or trim(text) = ''"), "empty text", "id"),
-        named(records.where(F.col("chars") != visible_chars(F.col("text"))), "chars", "id"),
+        named(records.where(~F.col("chars").eqNullSafe(visible_chars(F.col("text")))), "chars", "id"),
         named(records.where("granularity = 'article' and (heading is not null or section_index is not null)"), "article with heading", "id"),
-        named(records.where("granularity = 'section' and (heading is null or section_index is null)"), "section without heading", "id"),
-        named(records.where("not ((variant = 'draft' and label = 'ai') or (variant = 'published' and label = 'human'))"), "label", "id"),
+        named(records.where("granularity = 'section' and (heading is null or heading = '' or section_index is null or section_index < 0)"), "section without heading", "id"),
+        named(records.where("not coalesce((variant = 'draft' and label = 'ai') or (variant = 'published' and label = 'human'), false)"), "label", "id"),
+        named(records.where("not coalesce(granularity in ('article', 'section'), false)"), "granularity", "id"),
+        named(records.where("not coalesce(split in ('train', 'test'), false)"), "unknown split", "id"),
+        named(records.where("id is null or id = ''"), "empty id", "id"),
         named(records.agg(F.count(F.when(F.col("granularity") == "section", 1)).alias("n")).where("n = 0"), "no sections", "n"),
     ]
     out = found[0]

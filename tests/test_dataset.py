@@ -86,3 +86,13 @@ def test_validate_records_reads_every_document(spark, tmp_path):
     for d, _ in rows:
         pairs.setdefault(f"a{d // 2}", set()).add(d % 2)
     assert {k for c, k in found if c == "variants"} == {a for a, v in pairs.items() if len(v) < 2} == {"a2501"}
+
+
+def test_violations_of_nulls_and_counts(spark):
+    rows = [(f"x:{v}:{g}", "x", "train", v, {"draft": "ai", "published": "human"}[v], g, "h" if k else None, 0 if k else None, "c", "p", v, len(v)) for v in ("draft", "published") for k, g in enumerate(("article", "section"))]
+    found = lambda rows: {r["check"] for r in dataset.violations(spark.createDataFrame(rows, dataset.RECORD)).collect()}
+    other = lambda at, value: [(*rows[1][:at], value, *rows[1][at + 1 :]), rows[0], *rows[2:]]
+    assert found(rows) == set()
+    assert found(rows[1:]) == {"variants"} and found([*rows, ("again", *rows[0][1:])]) == {"variants"}
+    assert found(other(4, None)) == {"label"} and found(other(7, -1)) == {"section without heading"} and found(other(11, None)) == {"chars"}
+    assert found(other(0, "")) == {"empty id"} and "granularity" in found(other(5, None)) and "unknown split" in found(other(2, "dev"))
