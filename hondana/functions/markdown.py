@@ -31,9 +31,12 @@ _DEFINITION = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*(<[^<>\n]*>|\S+)
 _TITLE_LINE = re.compile(r"[ \t]*(?:\"[^\"\n]*\"|'[^'\n]*'|\([^()\n]*\))[ \t]*$")
 _AUTOLINK = re.compile(r"<(?:[A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*|[A-Za-z0-9.!#$%&'*+/=?^_`{|}~\-]+@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?)>")
 _TAG_NAME = re.compile(r"[A-Za-z][A-Za-z0-9_.:\-]*")
-_CONTINUES = re.compile(r"[ \t]+\S|[A-Za-z_:][\w:.\-]*\s*=|/?>|\{")
-_URL = re.compile(r"(?<![A-Za-z0-9])(?:https?://|www\.)", re.I)
-_URL_STOPS = set("<>\"'。、！？）」』】〉》") | set(" \t\n\r\f\v　")
+# How a line goes on with a tag (behind the marks of quotes), where a quote's mark stands, what starts, stops and ends a URL.
+_QUOTED = re.compile(r"[ \t]{0,3}(?:>(?=[> \t])[ \t]?)+")
+_CONTINUES = re.compile(r"[ \t]+[^ \t\n]|/?>|\{|[A-Za-z_:][A-Za-z0-9_.:-]*\s*=")
+_QUOTE_MARKS = re.compile(r"[ \t]{0,3}(?:>[ \t]?)*")
+_URL = re.compile(r"(?:https?://|www\.)", re.I)
+_URL_STOPS = set("<>\"'。、！？）」』】〉》")
 _URL_TAIL = ".,;:!?。、！？"
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 _PUNCTUATION = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -447,8 +450,17 @@ def destination_end(s: str, at: int) -> int:
     return i + m.end() if m else 0
 
 
+def _escaped(s: str, at: int) -> bool:
+    """Whether an odd number of back-slashes stands before a place."""
+    head = s[:at]
+    return (at - len(head.rstrip("\\"))) % 2 == 1
+
+
 def scan_tag(s: str, start: int, limit: int) -> tuple[int, str, bool, bool] | None:
-    """End, name, whether closing, whether self-closing of the HTML/JSX tag at ``start``; None if there is none."""
+    """End, name, whether closing, whether self-closing of the HTML/JSX tag at ``start``; None if there is none.
+
+    Quotes of any kind hide what they hold, braces what is no quote in them; a tag ends at the first > outside both that isn't the mark of a quote.
+    """
     for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<?", "?>")):
         if s.startswith(opening, start):
             end = s.find(closing, start + len(opening), limit)
@@ -456,50 +468,43 @@ def scan_tag(s: str, start: int, limit: int) -> tuple[int, str, bool, bool] | No
     for fragment in ("<>", "</>"):
         if s.startswith(fragment, start):
             return start + len(fragment), "", fragment == "</>", False
-    at = start + 1
-    closing = s.startswith("/", at)
-    m = _TAG_NAME.match(s, at + closing, limit)
+    is_closing = s.startswith("/", start + 1)
+    m = _TAG_NAME.match(s, start + 1 + is_closing, limit)
     if not m:
         return None
-    at, depth, quote, last = m.end(), 0, "", ""
-    if at < limit and s[at] not in " \t\r\n/>{":
+    at, depth, quote = m.end(), 0, ""
+    if at < limit and not (s[at].isspace() or s[at] in "/>={"):
         return None
-    while at < limit:
+    for at in range(at, limit):
         c = s[at]
         if quote:
-            if c == "\\" and depth:
-                at += 1
-            elif c == quote:
+            if c == quote and not _escaped(s, at):
                 quote = ""
-        elif c in "\"'`" and (depth or last == "="):
+        elif c in "\"'`":
             quote = c
         elif c == "{":
             depth += 1
         elif c == "}":
             depth = max(0, depth - 1)
-        elif c == "\n" and not depth:
-            if not _CONTINUES.match(s, at + 1, limit):
+        elif depth:
+            continue
+        elif c == "\n":
+            marks = _QUOTED.match(s, at + 1, limit)
+            if not _CONTINUES.match(s, marks.end() if marks else at + 1, limit):
                 return None
-        elif c == "<" and not depth:
-            return None
-        elif c == ">" and not depth:
-            if not _quote_marker(s, at, start):
-                return at + 1, m.group(0), closing, last == "/"
-        if not c.isspace():
-            last = c
-        at += 1
+        elif c == ">" and not _quote_marker(s, at, start):
+            return at + 1, m.group(0), is_closing, s[start:at].rstrip().endswith("/")
     return None
 
 
 def _quote_marker(s: str, at: int, start: int) -> bool:
-    """Whether the > at ``at`` is a quote marker at the head of a continuation line of a tag that opens in a quote."""
-    head = s.rfind("\n", 0, at) + 1
-    opening = s[s.rfind("\n", 0, start) + 1 : start]
-    return head > start and not s[head:at].strip(" \t>") and opening.lstrip().startswith(">")
+    """Whether the > at ``at`` is the mark of a quote, at the head of a line that goes on with the tag."""
+    head = s.rfind("\n", start, at) + 1
+    return head > start and bool(_QUOTE_MARKS.fullmatch(s, head, at)) and s[at + 1 : at + 2] in (" ", "\t", ">")
 
 
 def tag_ranges(text: str, protected: list[Range]) -> list[Range]:
-    """Tags outside ``protected``; script and style up to and with their closing tag."""
+    """Tags outside ``protected``; script and style up to and with their closing tag, if they have one."""
     out, at = [], 0
     firsts = [a for a, _ in protected]
     while (at := text.find("<", at)) >= 0:
@@ -513,21 +518,23 @@ def tag_ranges(text: str, protected: list[Range]) -> list[Range]:
             continue
         end, name, closing, alone = tag
         if name.lower() in ("script", "style") and not closing and not alone:
-            m = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, end)
-            end = m.end() if m else len(text)
+            m = re.compile(rf"</\s*{name}(?=[\s>])", re.I).search(text, end)
+            last = scan_tag(text, m.start(), len(text)) if m else None
+            if last and last[2] and last[1].lower() == name.lower():
+                end = last[0]
         out.append((at, end))
         at = end
     return out
 
 
 def url_ranges(text: str, protected: list[Range] = ()) -> list[Range]:
-    """Bare URLs: to white space, quotes, Japanese marks or a bracket that isn't open in it, without marks at the end."""
+    """Bare URLs, wherever one starts: to white space, quotes, Japanese marks or a bracket that isn't open in it, without marks at the end."""
     out = []
     for m in _URL.finditer(text):
         if (out and m.start() < out[-1][1]) or overlaps(m.start(), m.end(), protected):
             continue
         at, open_ = m.end(), []
-        while at < len(text) and text[at] not in _URL_STOPS:
+        while at < len(text) and not (text[at].isspace() or text[at] in _URL_STOPS):
             if text[at] in "([{":
                 open_.append(text[at])
             elif text[at] in _PAIRS:
@@ -535,9 +542,9 @@ def url_ranges(text: str, protected: list[Range] = ()) -> list[Range]:
                     break
                 open_.pop()
             at += 1
-        while at > m.end() and text[at - 1] in _URL_TAIL:
+        while at > m.start() and text[at - 1] in _URL_TAIL:
             at -= 1
-        if at > m.end():
+        if at > m.start():
             out.append((m.start(), at))
     return out
 

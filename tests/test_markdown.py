@@ -47,6 +47,48 @@ def test_what_is_prose(text, hidden, shown):
         assert x in out, x
 
 
+@pytest.mark.parametrize(
+    "text, ranges",
+    [
+        ('<div "a>b">', [(0, 11)]),
+        ("<a=b>", [(0, 5)]),
+        ("<b <c>", [(0, 6)]),
+        ('<a t="x\\">y">z', [(0, 13)]),
+        ("<a t={`>`}>z", [(0, 11)]),
+        ("<a\nb>", []),
+        ("<a\nb=1>", [(0, 7)]),
+        ("<a\n  b>", [(0, 7)]),
+        ("> <a\n> b=1\n> />", [(2, 15)]),
+        ("<a\n\nb=1>", []),
+        ("<1>", []),
+        ("<a#>", []),
+        ("<>x</>", [(0, 2), (3, 6)]),
+        ("<script>a</script >b", [(0, 19)]),
+        ("<script>a", [(0, 8)]),
+        ("<style>a</styles>b", [(0, 7), (8, 17)]),
+    ],
+)
+def test_tags(text, ranges):
+    assert m.tag_ranges(text, []) == ranges
+
+
+@pytest.mark.parametrize(
+    "text, ranges",
+    [
+        ("abchttps://x.jp/a", [(3, 17)]),
+        ("https:// x", [(0, 8)]),
+        ("www. x", [(0, 3)]),
+        ("https://x.jp/a).", [(0, 14)]),
+        ("https://x.jp/(a).", [(0, 16)]),
+        ("https://x.jp/a・b、c", [(0, 16)]),
+        ("HTTP://x?!?", [(0, 8)]),
+        ("https://x.jp/?q=www.y", [(0, 21)]),
+    ],
+)
+def test_urls(text, ranges):
+    assert m.url_ranges(text) == ranges
+
+
 def test_headings_and_tables():
     p = m.parse("# 一 #\n\n二\n==\n\n> ## 三\n\n```\n# no\n```\n\n| a | b |\n|---|---|\n| c | d |\n\n---\n")
     assert [(a, b, t) for a, b, t in p.headings] == [(0, 1, "一"), (2, 4, "二"), (5, 6, "三")]
