@@ -6,6 +6,11 @@ them come from two built-ins, and a match's column is the length of all that sta
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +22,49 @@ def pattern(rx: str, ignore_case: bool = False) -> str:
     return FLAGS + ("(?i)" if ignore_case else "") + rx
 
 
+#: Lengths that are added up one by one before sums of as many are.
+CHUNK = 64
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is evaluated once however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _add(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0), lambda a, x: a + x)
+
+
+def running_sums(sizes: Column) -> Column:
+    """Sums of all that stand before each element: sums of chunks first, so that long arrays cost little more than their length."""
+
+    def placed(x: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda c: _add(F.slice(x, c * CHUNK + 1, F.lit(CHUNK))))
+        grown = F.aggregate(chunks, F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all")), lambda a, c: F.struct((a["sum"] + c).alias("sum"), F.array_append(a["all"], a["sum"]).alias("all")))["all"]
+        return bound(grown, lambda before: F.transform(x, lambda _, k: before[F.floor(k / CHUNK).cast("int")] + _add(F.slice(x, k - k % CHUNK + 1, k % CHUNK))))
+
+    return F.when(F.size(sizes) > 0, bound(sizes, placed)).otherwise(F.array().cast("array<int>"))
+
+
 def find_all(line: Column, rx: str | Column) -> Column:
     """array<struct<col:int,matched:string>>: 1-based code-point columns of all matches, zero-width ones too."""
     rule = F.lit(rx) if isinstance(rx, str) else rx
-    found, gaps = F.regexp_extract_all(line, rule, F.lit(0)), F.split(line, rule, -1)
 
-    def total(parts: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+    def placed(both: Column) -> Column:
+        found, gaps = both["found"], both["gaps"]
+        lengths = F.transform(found, lambda m, k: F.length(m) + F.length(gaps[k]))
+        return bound(running_sums(lengths), lambda before: F.transform(found, lambda m, k: F.struct((before[k] + F.length(gaps[k]) + 1).alias("col"), m.alias("matched"))))
 
-    placed = F.transform(found, lambda m, k: F.struct((total(gaps, k + 1) + total(found, k) + 1).alias("col"), m.alias("matched")))
+    both = F.struct(F.regexp_extract_all(line, rule, F.lit(0)).alias("found"), F.split(line, rule, -1).alias("gaps"))
     # One cheap test first: most lines match nothing.
-    return F.when(F.rlike(line, rule), placed).otherwise(F.array().cast("array<struct<col:int,matched:string>>"))
+    return F.when(F.rlike(line, rule), bound(both, placed)).otherwise(F.array().cast("array<struct<col:int,matched:string>>"))
+
+
+def first_match(text: Column, rx: str) -> Column:
+    """struct<col:int,matched:string> of the first match, null if there is none."""
+    hit = F.regexp_extract(text, rx, 0)
+    before = F.split(text, rx, 2)[0]
+    return F.when(F.rlike(text, F.lit(rx)), F.struct((F.length(before) + 1).alias("col"), hit.alias("matched")))
 
 
 def matches(lines: DataFrame, rx: str, on: str = "line", keep: tuple[str, ...] = ("doc_id", "n", "line")) -> DataFrame:
@@ -36,14 +73,36 @@ def matches(lines: DataFrame, rx: str, on: str = "line", keep: tuple[str, ...] =
     return lines.select(*keep, at).select(*keep, "k", "at.col", "at.matched")
 
 
-def rule_matches(lines: DataFrame, patterns: list[str], on: str = "line") -> DataFrame:
+def folded(text: Column) -> Column:
+    """``text`` with all cases of a letter made one; the dot that lower-casing leaves of a capital dotted I goes."""
+    return F.translate(F.lower(F.upper(text)), "\u0307", "")
+
+
+def folded_text(text: str) -> str:
+    return text.upper().lower().replace("\u0307", "")
+
+
+def needle(literal: str) -> tuple[str, ...]:
+    """What a line must hold, in any case, for a literal pattern to match; nothing for other patterns."""
+    return (folded_text(literal),) if re.escape(literal) == literal or literal.isalnum() else ()
+
+
+def rule_matches(lines: DataFrame, patterns: list[str], on: str = "line", needles: list[tuple[str, ...]] | None = None) -> DataFrame:
     """``lines`` with one row per match of any pattern: variant (number of the pattern), col, matched.
 
-    Every line is tested against all patterns as literals, compiled once a task; only where one matches is the line
+    Every line is tested against all patterns as literals, compiled once a task; a pattern with ``needles`` only if the line holds one of them. Only
+    where a pattern matches is the line
     taken apart, by one expression for all, so plans stay small however many rules there are.
     """
-    hit = F.filter(F.array(*[F.when(F.col(on).rlike(rx), F.lit(k)) for k, rx in enumerate(patterns)]), lambda k: k.isNotNull())
-    rows = lines.withColumn("variant", F.explode(hit))
+    rows = lines.withColumn("_folded", folded(F.col(on))) if needles else lines
+
+    def test(k: int, rx: str) -> Column:
+        hit = F.col(on).rlike(rx)
+        given = needles[k] if needles else ()
+        return reduce(or_, [F.contains(F.col("_folded"), F.lit(x)) for x in given]) & hit if given else hit
+
+    hit = F.filter(F.array(*[F.when(test(k, rx), F.lit(k)) for k, rx in enumerate(patterns)]), lambda k: k.isNotNull())
+    rows = rows.withColumn("variant", F.explode(hit)).drop("_folded")
     rx = F.element_at(F.array(*map(F.lit, patterns)), F.col("variant") + 1)
     return rows.withColumn("at", F.explode(find_all(F.col(on), rx))).select("*", "at.*").drop("at")
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hondana.functions.matching import char_at, matches, pattern, rule_matches
+from hondana.functions.matching import bound, char_at, folded, folded_text, matches, needle, pattern, rule_matches, running_sums
 from hondana.schema import issue
 
 
@@ -136,6 +136,30 @@ def with_context(lines: DataFrame) -> DataFrame:
     return lines.withColumn("around", F.lower(F.array_join(F.collect_list("line").over(near), "\n")))
 
 
+def lines_with_context(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The lines of whole texts (``keep``, n, line) with in_fence and around, made within each row, so that no line moves.
+
+    ``around`` is null on lines that hold no term of a rule with a context.
+    """
+    terms = [folded_text(v.body) for r in rules if r.context for v in r.variants]
+
+    def placed(parts: Column) -> Column:
+        fences = F.transform(parts, lambda x: F.regexp_replace(x, "(?U)^\\s+", "").startswith("```").cast("int"))
+
+        def row(x: Column, k: Column, before: Column) -> Column:
+            first = F.greatest(k - 1, F.lit(1))
+            near = F.lower(F.array_join(F.slice(parts, first, k + 4 - first), "\n"))
+            held = F.lit(False)
+            for term in terms:
+                held = held | F.contains(folded(x), F.lit(term))
+            return F.struct((k + 1).alias("n"), x.alias("line"), (before[k] % 2 == 1).alias("in_fence"), F.when(held, near).alias("around"))
+
+        return bound(running_sums(fences), lambda before: F.transform(parts, lambda x, k: row(x, k, before)))
+
+    at = F.explode(bound(F.split("text", "\n", -1), placed)).alias("at")
+    return docs.where("text is not null").select(*keep, at).select(*keep, "at.*")
+
+
 def in_inline_code(line: Column, col: Column) -> Column:
     """An odd number of back-ticks before the column."""
     before = F.substr(line, F.lit(1), col - 1)
@@ -148,9 +172,9 @@ def kanji_beside(line: Column, col: Column, matched: Column) -> Column:
 
 def _hits(lines: DataFrame, rules: tuple[Rule, ...], on: str) -> DataFrame:
     """Every match of every variant, with rule and variant numbers."""
-    variants = [(r, pattern(v.rx, not rule.case_sensitive)) for r, rule in enumerate(rules) for v in rule.variants]
-    rule_of = F.element_at(F.array(*[F.lit(r) for r, _ in variants]), F.col("variant") + 1)
-    return rule_matches(lines, [rx for _, rx in variants], on).withColumn("rule", rule_of)
+    variants = [(r, pattern(v.rx, not rule.case_sensitive), needle(v.body)) for r, rule in enumerate(rules) for v in rule.variants]
+    rule_of = F.element_at(F.array(*[F.lit(r) for r, *_ in variants]), F.col("variant") + 1)
+    return rule_matches(lines, [rx for _, rx, _ in variants], on, [x for *_, x in variants]).withColumn("rule", rule_of)
 
 
 def _of(rules: tuple[Rule, ...], value) -> Column:
@@ -160,7 +184,9 @@ def _of(rules: tuple[Rule, ...], value) -> Column:
 def check_notation_legacy(lines: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Issues of the publishing profile. Every variant that matches gives an issue, so one place may give several."""
     context = [k for k, r in enumerate(rules) if r.context]
-    known = with_context(with_fence_parity(lines)) if context else with_fence_parity(lines)
+    known = lines if "in_fence" in lines.columns else with_fence_parity(lines)
+    if context and "around" not in lines.columns:
+        known = with_context(known)
     hits = _hits(known.where("not in_fence"), rules, "line")
     hits = hits.where(~in_inline_code(F.col("line"), F.col("col")) & (F.col("matched") != _of(rules, lambda r: r.preferred)))
     for k in context:

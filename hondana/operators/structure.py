@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hondana.functions.matching import find_all, pattern
+from hondana.functions.matching import bound, first_match, folded, folded_text, pattern
 from hondana.schema import issue
 
 #: Short and full names.
@@ -47,22 +48,23 @@ def check_citations(lines: DataFrame) -> DataFrame:
     return issue(hits, "structure", "citation-density", message, "出典表記を 2 回以下に整理する", seq=F.col("n"))
 
 
-def _outside(bare: Column, full: Column, short: int, formal: int) -> Column:
-    """Short names that lie in no full name."""
-    return F.filter(bare, lambda m: ~F.exists(full, lambda f: (f["col"] <= m["col"]) & (m["col"] + short <= f["col"] + formal)))
+def _short(short: str, formal: str) -> Callable[[Column], Column]:
+    """A match of either name as a mention, null for one of the full name."""
+    return lambda m: F.when(F.length(m["matched"]) == len(short), F.struct(F.lit(short).alias("short"), F.lit(formal).alias("formal"), m["col"].alias("place"), m["matched"].alias("matched")))
 
 
 def first_mentions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one row per service whose short name comes first: short, formal, place (1-based), matched."""
+    """``docs`` with one row per service whose short name comes first: short, formal, place (1-based), matched.
+
+    The first match of either name decides: a short name within a full one starts after it.
+    """
     found = []
     for short, formal in SERVICES:
-        bare = find_all(F.col(text), pattern(f"(?<![A-Za-z0-9]){re.escape(short)}(?![A-Za-z0-9])", True))
-        full = find_all(F.col(text), pattern(re.escape(formal), True))
-
-        first = F.try_element_at(_outside(bare, full, len(short), len(formal)), F.lit(1))
-        earlier = F.try_element_at(full, F.lit(1))["col"] < first["col"]
-        found.append(F.when(first.isNotNull() & ~F.coalesce(earlier, F.lit(False)), F.struct(F.lit(short).alias("short"), F.lit(formal).alias("formal"), first["col"].alias("place"), first["matched"].alias("matched"))))
-    return docs.withColumn("hit", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()))).select("*", "hit.*").drop("hit")
+        either = first_match(F.col(text), pattern(f"{re.escape(formal)}|(?<![A-Za-z0-9]){re.escape(short)}(?![A-Za-z0-9])", True))
+        hit = F.when(F.contains(F.col("_folded"), F.lit(folded_text(short))), either)
+        found.append(bound(hit, _short(short, formal)))
+    rows = docs.withColumn("_folded", folded(F.col(text))).withColumn("hit", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    return rows.select("*", "hit.*").drop("hit", "_folded")
 
 
 def line_and_column(text: Column, place: Column) -> tuple[Column, Column]:

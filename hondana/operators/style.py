@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hondana.functions.matching import char_at, find_all, matches, pattern
+from hondana.functions.matching import bound, char_at, find_all, matches, pattern
 from hondana.operators.notation import KANJI
 from hondana.schema import issue
 
@@ -23,9 +23,11 @@ OPEN_KANJI = {
     "の為": "のため",
 }
 COMPOUND = ("事が出来る", "事ができる", "の為")
-END = "[。！？!?]"
-SENTENCE = f"[^。！？!?\\n]*{END}+"
-POLITE = f"(?:ませんでした|でした|ました|ません|でしょう|ください|です|ます){END}+$"
+MARKS = "。！？!?"
+END = f"[{MARKS}]"
+SENTENCE = f"[^{MARKS}\\n]*{END}+"
+POLITE_ENDINGS = ("ませんでした", "でした", "ました", "ません", "でしょう", "ください", "です", "ます")
+POLITE = f"(?:{'|'.join(POLITE_ENDINGS)}){END}+$"
 PLAIN_ENDINGS = ("である", "だ", "する", "した", "しない", "できる", "できない", "できた", "なる", "なった", "ある", "ない", "いる", "いた", "書く", "読む", "使う")
 PLAIN = f"(?:{'|'.join(PLAIN_ENDINGS)}){END}+$"
 STEM = "[^\\s、。！？!?はがをにへとでのも]+$"
@@ -77,6 +79,10 @@ def plain_stem(sentence: Column, size: Column) -> Column:
 
 def is_plain(ending: Column, stem: Column) -> Column:
     """Whether a plain ending, without marks, is an inflected ending and not a part of a word."""
+    return F.when(~ending.isin("ない", "いた", "した"), F.lit(True)).otherwise(bound(stem, lambda s: _inflected(ending, s)))
+
+
+def _inflected(ending: Column, stem: Column) -> Column:
     last, kanji = F.right(stem, F.lit(1)), stem.rlike(KANJI)
     adjective = F.lit(False)
     for word in ADJECTIVES:
@@ -86,14 +92,22 @@ def is_plain(ending: Column, stem: Column) -> Column:
     return F.when(ending == "ない", negative).when(ending == "いた", onbin).when(ending == "した", stem.rlike(CONTENT)).otherwise(F.lit(True))
 
 
+def _longest(body: Column, endings: tuple[str, ...]) -> Column:
+    """The longest of ``endings`` that ``body`` ends with, null for none."""
+    out = F.lit(None).cast("string")
+    for ending in sorted(endings, key=len):
+        out = F.when(body.endswith(ending), F.lit(ending)).otherwise(out)
+    return out
+
+
 def endings(found: DataFrame) -> DataFrame:
     """Sentences with ``style`` (polite or plain), ``matched`` and ``at`` (0-based place of the ending in the sentence); others go."""
-    s = F.col("sentence")
-    polite, plain = F.regexp_extract(s, pattern(POLITE), 0), F.regexp_extract(s, pattern(PLAIN), 0)
-    word = F.regexp_replace(plain, f"{END}+$", "")
-    style = F.when(polite != "", F.lit("polite")).when((plain != "") & is_plain(word, plain_stem(s, F.length(plain))), F.lit("plain"))
-    matched = F.when(polite != "", polite).otherwise(plain)
-    return found.withColumn("style", style).where("style is not null").withColumn("matched", matched).withColumn("at", F.length("sentence") - F.length("matched"))
+    rows = found.withColumn("_body", F.rtrim("sentence", F.lit(MARKS)))
+    rows = rows.withColumn("_polite", _longest(F.col("_body"), POLITE_ENDINGS)).withColumn("_plain", _longest(F.col("_body"), PLAIN_ENDINGS)).where("_polite is not null or _plain is not null")
+    stem = plain_stem(F.col("sentence"), F.length("sentence") - F.length("_body") + F.length("_plain"))
+    rows = rows.withColumn("style", F.when(F.col("_polite").isNotNull(), F.lit("polite")).when(is_plain(F.col("_plain"), stem), F.lit("plain"))).where("style is not null")
+    rows = rows.withColumn("at", F.length("_body") - F.length(F.coalesce("_polite", "_plain")))
+    return rows.withColumn("matched", F.substr("sentence", F.col("at") + 1)).drop("_body", "_polite", "_plain")
 
 
 def check_style_mixing(found: DataFrame) -> DataFrame:

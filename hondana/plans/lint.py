@@ -63,7 +63,7 @@ def lint(
     if "notation" in wanted and blog:
         parts += [("notation", notation.check_notation_blog(lines, dictionary)), ("notation", notation.check_slash(lines)), ("notation", notation.check_spacing(lines))]
     elif "notation" in wanted:
-        parts.append(("notation", notation.check_notation_legacy(raw)))
+        parts.append(("notation", notation.check_notation_legacy(notation.lines_with_context(docs, ("doc_id", *extra)))))
     if "ai_writing" in wanted:
         parts.append(("ai_writing", external.check_ai_writing(docs, linter)))
     if "blog_style" in wanted:
