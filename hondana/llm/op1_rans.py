@@ -63,6 +63,10 @@ class Pieces(dict):
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer do not fit 16 bits")
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Tokens that the library takes out before its pattern splits the text; those that hold white space cut across chunks.
+        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
+        self.across = any(_CHUNKS.fullmatch(x) is None for x in added)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
@@ -73,13 +77,16 @@ class Pieces(dict):
         return ids
 
     def ids(self, text: str | None) -> bytes:
-        """All ids of ``text``. No piece of the tokenizer spans white space, so chunks encode alone."""
+        """All ids of ``text``. No piece of the tokenizer spans white space, so chunks encode alone, and those that hold one of its added tokens whole."""
         if not text:
             return b""
-        get = self.__getitem__
-        if _SAFE.fullmatch(text):
+        get, added = self.__getitem__, self.added
+        if added and added.search(text):
+            if self.across:
+                return self[text]
+        elif _SAFE.fullmatch(text):
             return b"".join(map(get, _PIECES.findall(text.lower())))
-        return b"".join(b"".join(map(get, _PIECES.findall(c.lower()))) if _SAFE.fullmatch(c) else self[c] for c in _CHUNKS.findall(text))
+        return b"".join(b"".join(map(get, _PIECES.findall(c.lower()))) if _SAFE.fullmatch(c) and not (added and added.search(c)) else self[c] for c in _CHUNKS.findall(text))
 
 
 def token_table(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
