@@ -1,16 +1,19 @@
-"""Exact top-k search by columnar branch and bound.
+"""Exact top-k inner products by columnar branch and bound.
 
-Components become integers, so scores are exact. Queries travel in blocks of ``QUERIES`` rows, each against one
-scan of all vectors. A task holds some vectors in vertical layout, dimension by dimension, the dimensions of
-most mass first. It adds up the first ``DIMS`` dimensions for all queries at once; then, for each query,
+Queries go to the tasks in blocks of at most ``QUERY_BYTES``, one at a time: a block's partial results are a table before the
+next one is read, and its broadcast is destroyed, so neither the driver nor a worker holds more than one. Candidates come in Arrow batches, turned to a vertical layout (a row per
+dimension), dimensions in order of
+most mass first. It adds up the first ``DIMS`` dimensions for some queries at once; then, for each query,
 only such candidates are kept, packed together, whose sum so far plus the product of the remaining norms of query and
 candidate (no inner product of the rest can be larger) reaches the k-th best score known; the next dimension block
-is added for those alone. Each task returns at most k rows per query, which one ranking merges.
+is added for those alone. Each task returns at most k + 1 rows per query, which one ranking merges.
+
+Every row whose vec_id is divisible is a query, every row but itself its candidate, also others of the same vec_id. Tasks take all rows for candidates; as
+the query's own row is one of those with its id and its square, the ranking takes one such off.
 
 Edge cases: vectors that are null or hold null or non-finite components, and rows without vec_id, take no
-part; vectors of other lengths count as padded with zeros; rows with the query's vec_id are not its
-candidates, so copies under other ids are; equal scores go to the smaller vec_id; of several vectors under a query's id the least is
-asked; other columns are ignored.
+part; vectors of other lengths count as padded with zeros; equal scores go to the smaller vec_id; rows of one vec_id are
+queries of their own, with ranks of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hondana.llm import scratch
+
 K = 10
 EVERY = 100
-QUERIES = 2048
+QUERY_BYTES = 64 << 20
+#: Queries that a task works on at once.
+SOME = 512
 DIMS = 16
 ROWS = 4096
 
@@ -66,8 +73,12 @@ class Best:
         self.scores[q], self.ids[q] = s[order], i[order]
 
 
-def search(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, dims: int = DIMS) -> int:
+def search(best: Best, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, dims: int = DIMS) -> int:
     """Add the candidates ``rows`` to ``best``; the number of products that were left out."""
+    return sum(_search(best, at, queries[at : at + SOME], ids, rows, dims) for at in range(0, len(queries), SOME))
+
+
+def _search(best: Best, offset: int, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, dims: int) -> int:
     mass = np.abs(queries).sum(axis=0, dtype=np.float64) * np.abs(rows).sum(axis=0, dtype=np.float64)
     order = np.argsort(-mass, kind="stable")
     q, x = queries[:, order], np.ascontiguousarray(rows[:, order].T)  # x: one row a dimension
@@ -79,9 +90,7 @@ def search(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarr
     width, skipped = len(x), 0
     first = q[:, :dims] @ x[:dims]
     for k in range(len(q)):
-        least = best.least(k)
-        some = np.flatnonzero(ids != query_ids[k])
-        total = first[k][some]
+        least, some, total = best.least(offset + k), np.arange(len(ids)), first[k]
         for d in range(dims, width, dims):
             if least > -np.inf:
                 keep = total + rest_q[k, d] * rest_x[d, some] * (1 + 1e-9) + 1e-6 >= least
@@ -94,67 +103,75 @@ def search(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarr
             keep = total >= least
             some, total = some[keep], total[keep]
         if len(some):
-            best.add(k, total.astype(np.int64), ids[some])
+            best.add(offset + k, total.astype(np.int64), ids[some])
     return skipped
 
 
-def op9_topk(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = QUERIES) -> DataFrame:
+def op9_topk(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` best candidates of every row whose vec_id ``every`` divides."""
     spark = vectors.sparkSession
     rows = whole(vectors)
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id")
-    schema = "query_id long, vec_id long, score long"
-    found = None
-    for ids, queries in _blocks(asked, block):
-        shared = spark.sparkContext.broadcast((ids, queries))  # at most ``block`` vectors
-
-        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, q = shared.value
-            best = Best(len(q), k)
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies")).orderBy("vec_id", "v")
+    schema = "query long, query_id long, copies long, vec_id long, score long, own boolean"
+    path, number = scratch.folder(spark, "found"), 0
+    spark.createDataFrame([], schema).write.parquet(path)
+    for ids, copies, queries in _blocks(asked, block):
+        shared = spark.sparkContext.broadcast((ids, copies, queries))
+
+        def task(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
+            ids, copies, q = shared.value
+            best = Best(len(q), k + 1)
             for batch in batches:
                 for at in range(0, batch.num_rows, ROWS):
                     some = batch.slice(at, ROWS)
-                    search(best, query_ids, q, some.column(0).to_numpy(), padded(some.column(1), q.shape[1]))
-            of = np.repeat(query_ids, [len(x) for x in best.scores])
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(np.concatenate([*best.ids, np.zeros(0, np.int64)])), pa.array(np.concatenate([*best.scores, np.zeros(0, np.int64)]))], ["query_id", "vec_id", "score"])
-
-        part = rows.mapInArrow(task, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")).cast("int"))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _blocks(asked: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries in order of id, ``block`` at a time, padded to the longest of their block."""
+                    search(best, q, some.column(0).to_numpy(), padded(some.column(1), q.shape[1]))
+            of = np.repeat(np.arange(len(q)), [len(x) for x in best.scores])
+            found, scores = np.concatenate([*best.ids, np.zeros(0, np.int64)]), np.concatenate([*best.scores, np.zeros(0, np.int64)])
+            own = (found == ids[of]) & (scores == (q * q).sum(axis=1)[of])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of + number, ids[of], copies[of], found, scores, own)], ["query", "query_id", "copies", "vec_id", "score", "own"])
+
+        rows.mapInArrow(task, schema).write.mode("append").parquet(path)
+        shared.destroy()
+        number += len(ids)
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", F.col("own").desc())
+    ranked = spark.read.schema(schema).parquet(path).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    mine = F.min(F.when(F.col("own"), F.col("place"))).over(Window.partitionBy("query"))
+    ranked = ranked.withColumn("mine", F.coalesce(mine, F.lit(k + 2))).where("place != mine")
+    ranked = ranked.withColumn("rank", F.col("place") - (F.col("place") > F.col("mine")).cast("int")).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+
+
+def _blocks(asked: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """vec_ids, copies and vectors of the queries in order, ``block`` bytes at a time, padded to the longest of their block."""
     held: list = []
+    widest = 1
 
     def packed():
         out = np.zeros((len(held), max([1, *(len(r.v) for r in held)])), np.int64)
         for row, r in zip(out, held):
             row[: len(r.v)] = r.v
-        return np.array([r.vec_id for r in held], np.int64), out
+        return np.array([r.vec_id for r in held], np.int64), np.array([r.copies for r in held], np.int64), out
 
     for r in asked.toLocalIterator():
-        held.append(r)
-        if len(held) == block:
+        widest = max(widest, len(r.v))
+        if held and 8 * widest * (len(held) + 1) > block:
             yield packed()
-            held = []
+            held, widest = [], max(1, len(r.v))
+        held.append(r)
     if held:
         yield packed()
 
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id != c.vec_id),
+  SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r != c.r),
 ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+  SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
