@@ -2,8 +2,9 @@
 
 Calls and results meet by conversation and identifier in a hash join; where an identifier is repeated, the first call meets the first result,
 the second the second and so on, so all are kept and no pairs are made. Calls
-are ordered so that each follows the calls whose results its arguments use: levels grow outward from calls that need
-nothing, one join a level, over the edges not yet settled. Arguments are checked against the tool's schema: well-formed
+are ordered so that each follows the calls whose results its arguments use. Calls with one need form chains, which doubling steps
+take back to their first call in as many joins as the length has binary digits; levels of calls with several needs then grow outward, one join a level, over
+the edges not yet settled. Arguments are checked against the tool's schema: well-formed
 object, required keys, no unknown keys, types. Everything is serialised as canonical JSON: keys sorted, no white
 space, one form for every value (Spark's variant keeps object keys sorted).
 
@@ -31,11 +32,12 @@ def errors_of(schemas: Schemas) -> Column:
     """Errors in column ``arguments`` (JSON text) of a call of tool ``name``."""
     parsed = F.try_parse_json("arguments")
     is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    by_key = F.try_variant_get(parsed, "$", "map<string,variant>")  # no path, so keys may hold any character
     out = F.array(F.lit("unknown tool"))
     for tool, keys in schemas.items():
         found = []
         for key, (kind, required) in sorted(keys.items()):
-            value = F.try_variant_get(parsed, f"$.{key}", "variant")
+            value = F.try_element_at(by_key, F.lit(key))
             if required:
                 found.append(F.when(value.isNull(), F.lit(f"missing {key}")))
             found.append(F.when(value.isNotNull() & (F.schema_of_variant(value) != kind), F.lit(f"type of {key}")))
@@ -52,23 +54,48 @@ def canonical(text: Column) -> Column:
 
 def levels(calls: DataFrame) -> DataFrame:
     """call_id, level of every identifier in ``calls`` (call_id, needs array<string>; repeats add their needs) that no cycle or unknown need holds back."""
-    edges = calls.select("call_id", F.explode(F.array_distinct("needs")).alias("need")).where("need is not null").distinct()
-    edges = scratch.write(edges, "edges")
-    waiting = edges.select("call_id").distinct()
-    settled = scratch.write(calls.select("call_id").distinct().join(waiting, "call_id", "left_anti").withColumn("level", F.lit(0)), "levels")
-    while edges.take(1):
-        # An edge whose need is settled has a level; a call is settled when all its edges are.
-        joined = edges.join(settled.select(F.col("call_id").alias("need"), F.col("level").alias("below")), "need", "left")
-        ready = joined.groupBy("call_id").agg(F.count(F.when(F.col("below").isNull(), 1)).alias("open"), (F.max("below") + 1).alias("level")).where("open = 0").select("call_id", "level")
-        ready = scratch.write(ready, "ready")
-        if not ready.take(1):
-            break
-        rest = scratch.write(edges.join(ready, "call_id", "left_anti"), "edges")
-        after = scratch.write(settled.unionByName(ready), "levels")
-        for old in (edges, settled, ready):
-            scratch.drop(old)
-        edges, settled = rest, after
-    return settled
+    spark, path = calls.sparkSession, scratch.folder(calls.sparkSession, "levels")
+
+    def keep(rows: DataFrame, number: int) -> DataFrame:
+        """Each round's rows are written once, to a folder that in the end holds those of all."""
+        rows.write.parquet(f"{path}/round={number}")
+        return spark.read.schema(rows.schema).parquet(f"{path}/round={number}")
+
+    edges = scratch.write(calls.select("call_id", F.explode(F.array_distinct("needs")).alias("need")).where("need is not null").distinct(), "edges")
+    needs = edges.groupBy("call_id").count()
+    new, number = keep(calls.select("call_id").distinct().join(needs, "call_id", "left_anti").withColumn("level", F.lit(0)), 0), 0
+    one = edges.join(needs.where("count = 1"), "call_id").select("call_id", F.col("need").alias("back"), F.lit(1).alias("steps"))
+    chains = _chains(scratch.write(one, "chains"))
+    # Edges of calls with several needs, each from the end of the chain that the need is on.
+    end = chains.select(F.col("call_id").alias("need"), "back", "steps")
+    several = edges.join(needs.where("count > 1"), "call_id").select("call_id", "need").join(end, "need", "left")
+    several = several.select("call_id", F.coalesce("back", "need").alias("back"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")).groupBy("call_id", "back").agg(F.max("steps").alias("steps"))
+    waiting = table = scratch.write(several.withColumn("level", F.lit(None).cast("int")), "waiting")
+    while waiting.take(1) and new.take(1):
+        known = new.select(F.col("call_id").alias("back"), F.col("level").alias("below"))
+        joined = scratch.write(waiting.join(known, "back", "left").select("call_id", "back", "steps", F.coalesce("level", F.col("below") + F.col("steps")).alias("level")), "waiting")
+        number += 1
+        new = keep(joined.groupBy("call_id").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("level").alias("level")).where("open = 0").select("call_id", "level"), number)
+        waiting = joined.join(new.select("call_id"), "call_id", "left_anti")
+        scratch.drop(table)
+        table = joined
+    settled = spark.read.schema(new.schema).parquet(*[f"{path}/round={k}" for k in range(number + 1)])
+    at = settled.select(F.col("call_id").alias("back"), "level")
+    return settled.unionByName(chains.join(at, "back").select("call_id", (F.col("level") + F.col("steps")).alias("level")))
+
+
+def _chains(links: DataFrame) -> DataFrame:
+    """``links`` (call_id, back, steps; one a call_id) with ``back`` moved to the first call that has no link, and ``steps`` up to it; links in or behind a cycle go."""
+    reach, most = 1, links.count()
+    while True:
+        nearer = links.select(F.col("call_id").alias("back"), F.col("back").alias("further"), F.col("steps").alias("more"))
+        joined = links.join(nearer, "back", "left").select("call_id", F.coalesce("further", "back").alias("back"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNull().alias("ended"))
+        joined = scratch.write(joined, "chains")
+        scratch.drop(links)
+        # A link that ended still leads others on, so all stay until none moves, or steps exceed the number of links: a cycle.
+        if reach > most or not joined.where("not ended").take(1):
+            return joined.where("ended").drop("ended")
+        links, reach = joined.drop("ended"), 2 * reach
 
 
 def _node(call_id: Column) -> Column:
