@@ -1,21 +1,22 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nyström landmarks.
 
-The kernel of two words is the inner product of their gap-weighted subsequences of three characters:
+The kernel of two words is the inner product of their gap-weighted subsequences of three characters within ``SPAN``:
 each counts ``DECAY`` for every character it skips, so inserted characters and gaps lower a match instead of
-ending it. Words carry boundary marks; letters that stand alone ("i d i o t") or behind symbols ("id*iot")
-are also read as one word. Kernel rows against ``LANDMARKS`` landmark words, whitened by the landmarks' own
+ending it. Subsequences of any characters are hashed into 2 ** ``BITS`` slots. Words carry boundary marks; letters that stand alone ("i d i o t") or
+behind symbols ("id*iot") are also read as one word, and a word of more than ``LONGEST`` characters as overlapping windows, which leave out no
+subsequence, in training as in scoring. Kernel rows against ``LANDMARKS`` landmark words, whitened by the landmarks' own
 kernel matrix, give the vectors of a linear squared-hinge machine. As the kernel is an inner product of explicit
 subsequences, the landmarks' weights add up to one weight per subsequence, so a word costs one pass over its own.
 
 Labels mark documents, but a toxic document has few toxic words. Every word of clean documents is clean;
-in each toxic one the word with the highest margin stands for it, and machine and choice are fitted in turn.
+in each toxic one the word with the highest margin stands for it, and machine and choice are fitted in turn. The machine
+works on those clean words that violate its margin, which all are checked for after each fit, so that it is the machine of all words.
 A document's score is a logistic function of its highest margin, fitted on the same documents.
 
-The fit takes at most ``TRAIN`` documents of each class (a documented bound); scoring reads every word of every text.
+The fit takes at most ``TRAIN`` documents of each class (a documented bound), whole; scoring reads every word of every text.
 
 Edge cases: texts that are null or have no word score as ones with only clean words; without documents of both
-classes every score is 0 if there are no toxic ones, else 1; words of more than ``LONGEST`` characters are read in overlapping windows; rows
-come out once each; other columns are ignored unless kept by the caller.
+classes every score is 0 if there are no toxic ones, else 1; rows come out once each; other columns are ignored unless kept by the caller.
 """
 
 from __future__ import annotations
@@ -39,117 +40,140 @@ TRAIN = 2500
 LANDMARKS = 320
 ROUNDS = 5
 DECAY = 0.5
-LONGEST = 22
-CACHE = 400_000
-_SEED = 7
+SPAN = 12
+LONGEST = 24
+BITS = 22
+#: Weight of a clean word beside the toxic ones' total of TOXIC_COST.
+CLEAN_COST, TOXIC_COST = 0.2, 400.0
+CACHE = 150_000
 
 _WORDS = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"[^\W_]+(?:[^\w\s]{1,3}[^\W_]+)+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][\W_]{1,3}){2,23}[^\W_](?![^\W_])")
 _SYMBOLS = re.compile(r"[\W_]+")
+#: Stands at both ends of a word; no word holds it.
+_MARK = "_"
+#: Odd numbers that spread the code points of a subsequence over the slots.
+_SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def words_of(text: str | None) -> set[str]:
-    """Distinct words of a text, with broken and spaced ones put together."""
+    """Distinct words of a text with their marks, broken and spaced ones put together, long ones as windows."""
     low = (text or "").lower()
     found = set(_WORDS.findall(low))
     found.update(_SYMBOLS.sub("", x) for x in set(_BROKEN.findall(low)))
     found.update(_SYMBOLS.sub("", x) for x in set(_SPACED.findall(low)))
-    return found
+    out = set()
+    for word in found:
+        out.update(windows(_MARK + word + _MARK))
+    return out
 
 
-_CLASS = np.zeros(1 << 16, np.int32)
-for _c in range(1 << 16):
-    _CLASS[_c] = _c - 96 if 97 <= _c <= 122 else _c - 48 + 27 if 48 <= _c <= 57 else 37 + _c % 26
-_MARK = 63
+def windows(word: str) -> list[str]:
+    """A word of at most LONGEST characters, or windows of a longer one such that any SPAN characters lie in one."""
+    step = LONGEST - SPAN + 1
+    return [word] if len(word) <= LONGEST else [word[k : k + LONGEST] for k in range(0, len(word) - SPAN + 1, step)]
 
 
-_TRIPLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_TRIPLES: dict[int, tuple[np.ndarray, ...]] = {}
 
 
-def _triples(length: int) -> tuple[np.ndarray, np.ndarray]:
+def _triples(length: int) -> tuple[np.ndarray, ...]:
+    """Places of the three characters of every subsequence, and how many characters it skips."""
     if length not in _TRIPLES:
-        at = np.array(list(combinations(range(length), 3)), np.intp).reshape(-1, 3)
-        _TRIPLES[length] = at, (DECAY ** (at[:, 2] - at[:, 0] - 2)).astype(np.float32)
+        at = np.array([x for x in combinations(range(length), 3) if x[2] - x[0] < SPAN], np.intp).reshape(-1, 3)
+        _TRIPLES[length] = at[:, 0].copy(), at[:, 1].copy(), at[:, 2].copy(), (at[:, 2] - at[:, 0] - 2).astype(np.uint32)
     return _TRIPLES[length]
 
 
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Subsequence codes (18 bits) and their weights of words of one length."""
-    n = len(words[0]) + 2
-    chars = np.frombuffer("".join(words).encode("utf-16-le", "surrogatepass"), "<u2").reshape(len(words), -1) if all(ord(max(w)) < 1 << 16 for w in words) else np.array([[min(ord(c), 65535) for c in w] for w in words])
-    ids = np.full((len(words), n), _MARK, np.int32)
-    ids[:, 1:-1] = _CLASS[chars]
-    at, weight = _triples(n)
-    return ids[:, at[:, 0]] << 12 | ids[:, at[:, 1]] << 6 | ids[:, at[:, 2]], weight
+_GAPS = (DECAY ** np.arange(16)).astype(np.float32)
 
 
-def _merged(codes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, code and summed weight of each distinct subsequence of each row."""
-    flat = (np.arange(len(codes), dtype=np.int64)[:, None] << 18 | codes).ravel()
-    order = np.argsort(flat, kind="stable")
-    flat, w = flat[order], np.tile(weight, len(codes))[order]
-    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    return flat[first] >> 18, (flat[first] & 0x3FFFF).astype(np.int64), np.add.reduceat(w, first)
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, slot and summed weight of each distinct subsequence of words of one length."""
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1).astype(np.uint64)
+    a, b, c = (chars * np.uint64(k) for k in _SPREAD)
+    i, j, k, gap = _triples(chars.shape[1])
+    if not len(i):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    slots = ((a[:, i] + b[:, j] + c[:, k]) >> np.uint64(64 - BITS)).astype(np.uint32)
+    packed = np.sort(slots << np.uint32(4) | gap, axis=1)  # the gap rides in the low bits, so one plain sort merges a row
+    slots = packed >> np.uint32(4)
+    first = np.ones(slots.shape, bool)
+    first[:, 1:] = slots[:, 1:] != slots[:, :-1]
+    at = np.flatnonzero(first)
+    return at // slots.shape[1], slots.ravel()[at].astype(np.int64), np.add.reduceat(_GAPS[packed.ravel() & 15], at)
 
 
-def windows(word: str) -> list[str]:
-    """A word of at most LONGEST characters, or overlapping windows of a longer one."""
-    return [word] if len(word) <= LONGEST else [word[k : k + LONGEST] for k in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Numbers and words of some words of one length at a time."""
+    by: dict[int, list[int]] = {}
+    for k, word in enumerate(words):
+        by.setdefault(len(word), []).append(k)
+    for n, rows in by.items():
+        step = max(1, 300_000 // max(1, len(_triples(n)[0])))
+        for k in range(0, len(rows), step):
+            yield np.array(rows[k : k + step]), [words[j] for j in rows[k : k + step]]
+
+
+def _norms(row: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    return np.sqrt(np.maximum(np.bincount(row, w * w, n), 1e-30))
 
 
 def margins(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """Weighted subsequences over the kernel norm, for every word; windows of a long word count with the highest."""
-    out = np.full(len(words), -np.inf)
-    by: dict[int, tuple[list[int], list[str]]] = {}
-    for k, word in enumerate(words):
-        for part in windows(word):
-            rows, parts = by.setdefault(len(part), ([], []))
-            rows.append(k), parts.append(part)
-    for n, (rows, parts) in by.items():
-        step = max(1, 400_000 // max(1, len(_triples(n + 2)[1])))
-        for k in range(0, len(parts), step):
-            row, code, w = _merged(*_codes(parts[k : k + step]))
-            m = len(parts[k : k + step])
-            norm = np.sqrt(np.bincount(row, w * w, m))
-            np.maximum.at(out, rows[k : k + step], np.bincount(row, w * weights[code], m) / norm)
+    """Weighted subsequences over the kernel norm, for every word."""
+    out = np.zeros(len(words))
+    for rows, some in _by_length(words):
+        row, slot, w = features(some)
+        out[rows] = np.bincount(row, w * weights[slot], len(some)) / _norms(row, w, len(some))
     return out
 
 
+def _units(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number, slots and unit-length weights of each word, in no order."""
+    for rows, some in _by_length(words):
+        row, slot, w = features(some)
+        w = (w / _norms(row, w, len(some))[row]).astype(np.float32)
+        cuts = np.searchsorted(row, np.arange(len(some) + 1))
+        for k, a, b in zip(rows.tolist(), cuts, cuts[1:]):
+            yield k, slot[a:b], w[a:b]
+
+
 def kernel_rows(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Codes and unit-length weights of each word (its first window)."""
-    out = []
-    for word in words:
-        _, code, w = _merged(*_codes([word[:LONGEST]]))
-        out.append((code, w / np.sqrt((w * w).sum())))
-    return out
+    """Slots and unit-length weights of each word."""
+    out = {k: (slot.copy(), w.copy()) for k, slot, w in _units(words)}
+    return [out[k] for k in range(len(words))]
 
 
 def against(words: list[str], landmarks: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Kernel of every word with every landmark, over the subsequences that landmarks have."""
-    held = np.unique(np.concatenate([code for code, _ in landmarks]))
+    held = np.unique(np.concatenate([slot for slot, _ in landmarks]))
     dense = np.zeros((len(held), len(landmarks)), np.float32)
-    for k, (code, w) in enumerate(landmarks):
-        dense[np.searchsorted(held, code), k] = w
+    for k, (slot, w) in enumerate(landmarks):
+        dense[np.searchsorted(held, slot), k] = w
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for k, word in enumerate(words):
-        code, w = kernel_rows([word])[0]
-        at = np.minimum(np.searchsorted(held, code), len(held) - 1)
-        known = held[at] == code
-        out[k] = w[known].astype(np.float32) @ dense[at[known]]
+    for k, slot, w in _units(words):
+        at = np.minimum(np.searchsorted(held, slot), len(held) - 1)
+        known = held[at] == slot
+        out[k] = w[known] @ dense[at[known]]
     return out
 
 
 def machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Weights (bias last) of a squared-hinge machine, by Newton steps."""
-    x = np.c_[x, np.ones(len(x))].astype(np.float64)
-    w, held = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    """Weights (bias last) of a squared-hinge machine, by Newton steps summed over blocks of rows."""
+    n = x.shape[1] + 1
+    w, held = np.zeros(n), np.full(n, ridge)
     held[-1] = 1e-3
     for _ in range(30):
-        gap = 1 - y * (x @ w)
-        on = gap > 0
-        a, c = x[on], cost[on]
-        step = np.linalg.solve(2 * (a.T * c) @ a + np.diag(held), 2 * a.T @ (c * y[on] * gap[on]) - held * w)
+        gram, pull = np.diag(held), -held * w
+        for k in range(0, len(x), 4096):
+            a = np.c_[x[k : k + 4096], np.ones(len(x[k : k + 4096]))].astype(np.float64)
+            gap = 1 - y[k : k + 4096] * (a @ w)
+            on = gap > 0
+            a, c = a[on], cost[k : k + 4096][on]
+            gram += 2 * (a.T * c) @ a
+            pull += 2 * a.T @ (c * y[k : k + 4096][on] * gap[on])
+        step = np.linalg.solve(gram, pull)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -178,60 +202,62 @@ def fit(bags: Iterable[tuple[list[str], int]], counts: dict[int, int] | None = N
     place: dict[str, int] = {}
     members, found = [], []
     for words, label in bags:  # one pass that keeps a number for each word
-        members.append(np.array([place.setdefault(w, len(place)) for w in words], np.int64))
+        members.append(np.array([place.setdefault(w, len(place)) for w in words], np.int32))
         found.append(label)
     vocabulary, labels = list(place), np.array(found)
     del place
-    if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(1 << 18, np.float32), 0.0, 0.0, 0.0, 0.0, float(labels.max()) if len(labels) else 0.0)
-    toxic, clean = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
+    size = 1 << BITS
+    if len(set(labels.tolist())) < 2 or not vocabulary:
+        return Model(np.zeros(size, np.float32), 0.0, 0.0, 0.0, 0.0, float(labels.max()) if len(labels) and len(set(labels.tolist())) < 2 else 0.0)
+    toxic, clean = np.zeros(len(vocabulary), np.float32), np.zeros(len(vocabulary), np.float32)
     for at, label in zip(members, labels):
         (toxic if label else clean)[at] += 1
-    rng = np.random.default_rng(_SEED)
     # First guess: how much more often words with a subsequence are in toxic documents.
-    seen = [np.zeros(1 << 18), np.zeros(1 << 18)]
-    by: dict[int, list[int]] = {}
-    for k, w in enumerate(vocabulary):
-        by.setdefault(min(len(w), LONGEST), []).append(k)
-    for n, rows in by.items():
-        step = max(1, 400_000 // max(1, len(_triples(n + 2)[1])))
-        for k in range(0, len(rows), step):
-            some = rows[k : k + step]
-            row, code, w = _merged(*_codes([vocabulary[j][:LONGEST] for j in some]))
-            seen[1] += np.bincount(code, w * toxic[some][row], 1 << 18)
-            seen[0] += np.bincount(code, w * clean[some][row], 1 << 18)
-    share = seen[1].sum() / max(seen[0].sum(), 1e-9)
-    guess = np.log((seen[1] + 1.0) / (seen[0] * share + 1.0)).astype(np.float32)
+    seen = [np.zeros(size, np.float32), np.zeros(size, np.float32)]
+    for rows, some in _by_length(vocabulary):
+        row, slot, w = features(some)
+        np.add.at(seen[1], slot, w * toxic[rows][row])
+        np.add.at(seen[0], slot, w * clean[rows][row])
+    share = float(seen[1].sum(dtype=np.float64) / max(seen[0].sum(dtype=np.float64), 1e-9))
+    guess = np.log((seen[1] + 1) / (seen[0] * np.float32(share) + 1))
+    del seen
     margin = margins(vocabulary, guess)
-    model = Model(guess, 0.0, 1.0, 0.0, 0.0)
+    # Every word of a clean document is clean; ``hard``: those the machine has been given so far.
+    is_clean = clean > 0
+    hard, model = np.zeros(0, np.int64), Model(guess, 0.0, 1.0, 0.0, 0.0)
     for _ in range(rounds):
         best = np.array([at[np.argmax(margin[at])] if len(at) else -1 for at in members])
         witness, times = np.unique(best[(labels == 1) & (best >= 0)], return_counts=True)
-        hard = np.unique(best[(labels == 0) & (best >= 0)])
-        some = np.flatnonzero(clean > 0)
-        hard = np.union1d(hard, rng.choice(some, min(len(some), 3000), replace=False)) if len(some) else hard
-        witness_set = np.setdiff1d(witness, some)  # a word of a clean document is clean
-        if not len(witness_set):
-            witness_set = witness
-        times = times[np.isin(witness, witness_set)]
-        chosen = _landmarks([vocabulary[k] for k in witness_set[np.argsort(-times, kind="stable")]], [vocabulary[k] for k in hard[np.argsort(-margin[hard], kind="stable")]], landmarks)
+        own = ~is_clean[witness]
+        if own.any():
+            witness, times = witness[own], times[own]
+        tops = np.unique(best[(labels == 0) & (best >= 0)])
+        chosen = _landmarks([vocabulary[k] for k in witness[np.argsort(-times, kind="stable")]], [vocabulary[k] for k in tops[np.argsort(-margin[tops], kind="stable")]], landmarks)
         rows = kernel_rows(chosen)
-        own = against(chosen, rows).astype(np.float64)
-        value, vector = np.linalg.eigh(own)
+        value, vector = np.linalg.eigh(against(chosen, rows).astype(np.float64))
         value = np.maximum(value, 0)
         root = (vector * np.where(value > 1e-4, 1 / np.sqrt(np.maximum(value, 1e-12)), 0)) @ vector.T
-        words = [vocabulary[k] for k in np.r_[witness_set, hard]]
-        y = np.r_[np.ones(len(witness_set)), -np.ones(len(hard))]
-        cost = np.r_[np.minimum(times, 20) / np.minimum(times, 20).sum(), np.full(len(hard), 1 / max(len(hard), 1))] * 400
-        w = machine(against(words, rows) @ root, y, cost)
-        on_landmark = root @ w[:-1]
-        weights = np.zeros(1 << 18, np.float64)
-        for a, (code, unit) in zip(on_landmark, rows):
-            np.add.at(weights, code, a * unit)
-        model = Model(weights.astype(np.float32), float(w[-1]), 1.0, 0.0, 0.0)
-        margin = margins(vocabulary, model.weights) + model.bias
+        hard = np.union1d(tops, np.flatnonzero(is_clean & (margin > np.partition(margin, -len(tops) - 1)[-len(tops) - 1])))
+        hard = np.setdiff1d(hard, witness)
+        while True:
+            words = [vocabulary[k] for k in np.r_[witness, hard]]
+            y = np.r_[np.ones(len(witness)), -np.ones(len(hard))]
+            weight = np.minimum(times, 20)
+            x = against(words, rows)
+            for k in range(0, len(x), 4096):
+                x[k : k + 4096] = x[k : k + 4096] @ root
+            w = machine(x, y, np.r_[weight / weight.sum() * TOXIC_COST, np.full(len(hard), CLEAN_COST)])
+            weights = np.zeros(size, np.float32)
+            for a, (slot, unit) in zip(root @ w[:-1], rows):
+                np.add.at(weights, slot, (a * unit).astype(np.float32))
+            model = Model(weights, float(w[-1]), 1.0, 0.0, 0.0)
+            margin = margins(vocabulary, weights) + model.bias
+            violating = np.setdiff1d(np.flatnonzero(is_clean & (margin > -1 + 1e-3)), np.r_[hard, witness])
+            if not len(violating):
+                break
+            hard = np.union1d(hard, violating)
     top = np.array([margin[at].max() if len(at) else -np.inf for at in members])
-    model.floor = float(margin[np.isfinite(margin)].min())
+    model.floor = float(margin.min())
     top = np.maximum(top, model.floor)
     # Logistic fit of the highest margin, classes weighed by how many documents they have.
     have = counts or {k: int((labels == k).sum()) for k in (0, 1)}
@@ -243,17 +269,18 @@ def fit(bags: Iterable[tuple[list[str], int]], counts: dict[int, int] | None = N
 def _landmarks(toxic: list[str], clean: list[str], most: int) -> list[str]:
     """Words of both kinds, the first and then such as are least alike the ones taken."""
     out: list[str] = []
-    for words, room in ((toxic[: 6 * most], most // 2), (clean[: 6 * most], most - most // 2)):
+    for words, room in ((toxic, most // 2), (clean, most - most // 2)):
         if not words:
             continue
         rows = kernel_rows(words)
-        alike = np.zeros(len(words), np.float32)
-        taken = [0]
+        slots, weights = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+        starts = np.cumsum([0, *[len(r[0]) for r in rows]])[:-1]
+        dense, alike, taken = np.zeros(1 << BITS, np.float32), np.zeros(len(words), np.float32), [0]
         while len(taken) < min(room, len(words)):
-            dense = np.zeros(1 << 18, np.float32)
-            code, w = rows[taken[-1]]
-            dense[code] = w
-            alike = np.maximum(alike, [dense[c] @ v for c, v in rows])
+            slot, w = rows[taken[-1]]
+            dense[slot] = w
+            alike = np.maximum(alike, np.add.reduceat(dense[slots] * weights, starts))
+            dense[slot] = 0
             k = int(np.argmin(alike))
             if alike[k] > 0.98:
                 break
@@ -292,9 +319,10 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFra
     """doc_id, held_out, score, predicted (and the columns ``keep``) of every row."""
     names = [f"_{c}" for c in keep]
     tag = f"{model.bias!r}{model.slope!r}{float(np.abs(model.weights).sum())!r}"
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # 2 ** BITS weights, whatever the input
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept("toxicity", tag, dict)
+        model, known = kept("toxicity", tag, lambda: (Model(**shared.value), {}))
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)
