@@ -34,16 +34,20 @@ def check(spark: SparkSession, path: str, profile: str, vault_root: str | None)
             last = (r.path, r.category)
         print(f"  {r.text}")
     total = issues.count()
+    issues.unpersist()
+    lint.release()
     print(f"\n合計: {total} 件")
     return 1 if total else 0
 
 
 def gate(spark: SparkSession, path: str, title: str | None, tags: str, public: bool) -> int:
     """Print the decision for every document; 0 if all are ready."""
-    rows = lint.publish_gate(_numbered(documents.read_files(spark, path)), F.lit(tags), F.lit(title) if title else None, F.lit(public)).collect()
-    for r in rows:
+    rows = lint.publish_gate(_numbered(documents.read_files(spark, path)), F.lit(tags), F.lit(title) if title else None, F.lit(public))
+    ready = True
+    for r in rows.toLocalIterator():
         print(f"{r.decision}: {r.title} tags={r.tags} private={r.private} warnings={r.warnings}")
-    return 0 if all(r.decision == "ready" for r in rows) else 1
+        ready = ready and r.decision == "ready"
+    return 0 if ready else 1
 
 
 def main(args: list[str] | None = None) -> int:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hondana.functions import article
@@ -58,23 +59,20 @@ def sections(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 def similar_sections(drafts: DataFrame, published: DataFrame, least: float = UNCHANGED) -> DataFrame:
     """article, draft_index, published_index, ratio of pairs of one article whose texts are ``least`` alike.
 
-    Equal keys meet in a hash join. Others meet only where lengths allow the ratio (2 * min / (a + b)): lengths are
-    cut into steps within which the bound can hold, a section joins its step's neighbours, and only such pairs are compared.
+    Sections meet only where lengths and counts of characters allow the ratio (2 * common / (a + b)): lengths are
+    cut into steps within which the bound can hold, a section joins its step's neighbours without its text, and texts travel only for pairs that pass.
     """
     if not 0 <= least <= 1:
         raise ValueError("節の類似度は 0 以上 1 以下で指定してください")
-    sides = []
-    for df, name in ((drafts, "draft"), (published, "published")):
-        keyed = article.apply(df.select("article", F.col("section_index").alias(f"{name}_index"), F.col("text").alias(f"{name}_text")), article.comparison_key, f"{name}_text", f"{name}_key")
-        sides.append(keyed.drop(f"{name}_text"))
-    a, b = sides
+    a, b = _counted(drafts, "draft"), _counted(published, "published")
     # Lengths a <= b can reach the ratio only if b <= a * (2 / least - 1): logarithmic steps of that factor.
     factor = max(2 / max(least, 1e-6) - 1, 1.0001)
-    step = lambda key: F.floor(F.log(F.greatest(F.length(key), F.lit(1)).cast("double")) / F.log(F.lit(float(factor)))).cast("long")
-    a = a.withColumn("step", F.explode(F.array(*[step("draft_key") + k for k in (-1, 0, 1)])))
-    b = b.withColumn("step", step("published_key"))
-    la, lb = F.length("draft_key"), F.length("published_key")
-    pairs = a.join(b, ["article", "step"]).where((la + lb == 0) | (2 * F.least(la, lb) / (la + lb) >= least))
+    step = lambda size: F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(float(factor)))).cast("long")
+    small_a = a.select("article", "draft_index", F.col("size").alias("la"), F.col("bins").alias("x"), F.explode(F.array(*[step(F.col("size")) + k for k in (-1, 0, 1)])).alias("step"))
+    small_b = b.select("article", "published_index", F.col("size").alias("lb"), F.col("bins").alias("y"), step(F.col("size")).alias("step"))
+    both, la, lb = F.aggregate(F.zip_with("x", "y", lambda m, n: F.least(m, n)), F.lit(0), lambda t, n: t + n), F.col("la"), F.col("lb")
+    near = small_a.join(small_b, ["article", "step"]).where((la + lb == 0) | ((2 * F.least(la, lb) / (la + lb) >= least) & (2 * both / (la + lb) >= least))).select("article", "draft_index", "published_index")
+    pairs = near.join(a.select("article", "draft_index", "draft_key"), ["article", "draft_index"]).join(b.select("article", "published_index", "published_key"), ["article", "published_index"])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,6 +84,20 @@ def similar_sections(drafts: DataFrame, published: DataFrame, least: float = UNC
     return rows.where(F.col("ratio") >= least)
 
 
+def _counted(sections_: DataFrame, name: str) -> DataFrame:
+    """article, ``name``_index, ``name``_key (what is compared), size of the key and bins: how many of its characters fall in each of 32 by code point."""
+    names = ["article", f"{name}_index", f"{name}_key", "size", "bins"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [article.comparison_key(x.as_py() or "") for x in batch.column(2)]
+            bins = [np.bincount(np.frombuffer(k.encode("utf-32-le", "surrogatepass"), "<u4") % 32, minlength=32).tolist() for k in keys]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.string()), pa.array(map(len, keys), pa.int32()), pa.array(bins, pa.list_(pa.int32()))], names)
+
+    kind = sections_.schema["article"].dataType.simpleString()
+    return sections_.select("article", F.col("section_index").cast("int"), F.col("text").cast("string")).mapInArrow(run, f"article {kind}, {name}_index int, {name}_key string, size int, bins array<int>")
+
+
 def filtered_sections(drafts: DataFrame, published: DataFrame, least_chars: int = LEAST_CHARS, unchanged: float = UNCHANGED) -> tuple[DataFrame, DataFrame]:
     """Both versions' sections without short ones and without those nearly alike in both (both sides go)."""
     if least_chars < 0:
@@ -213,14 +225,69 @@ def split_overlap(articles: DataFrame, key: str = "article") -> DataFrame:
     return train.intersect(test)
 
 
-def markdown_report(records: DataFrame, warning: float = WARNING_ACCURACY) -> str:
-    """A Markdown report of counts, baselines and best thresholds. Only aggregates reach the driver."""
-    lines = ["# データセット", "", "| 粒度 | ラベル | 分割 | 件数 |", "|---|---|---|---|"]
-    for r in sorted(report_counts(records).collect(), key=lambda r: tuple(x or "~" for x in r[:3])):
-        lines.append(f"| {r[0] or '計'} | {r[1] or '計'} | {r[2] or '計'} | {r[3]} |")
+def source_violations(given: DataFrame, table: DataFrame) -> DataFrame:
+    """check, key of every way in which the sources ``given`` (article, split, commit, source_path) aren't those of ``table``; none if they are."""
+    names = ("split", "commit", "source_path")
+    repeats = given.groupBy("article").count().where("count > 1")
+    want = table.select(F.col("article").alias("of"), *[F.col(n).alias(f"_{n}") for n in names])
+    met = given.select("article", *names).distinct().join(want, F.col("article") == F.col("of"), "left")
+    named = lambda df, check: df.select(F.lit(check).alias("check"), F.col("article").alias("key"))
+    same = F.col("commit").eqNullSafe(F.col("_commit")) & F.col("source_path").eqNullSafe(F.col("_source_path"))
+    return (
+        named(repeats, "repeated article").unionByName(named(met.where("of is null"), "unknown article"))
+        .unionByName(named(table.join(given.select("article").distinct(), "article", "left_anti"), "missing article"))
+        .unionByName(named(met.where("of is not null and not (split <=> _split)"), "split unlike the table"))
+        .unionByName(named(met.where(F.col("of").isNotNull() & ~same), "version unlike the table"))
+    )
+
+
+def write_dataset(records: DataFrame, path: str, info: dict[str, str] | None = None) -> None:
+    """The records as JSON lines below ``path``/records, in order of article, variant, granularity and section, and what is told of them in ``path``/info.
+
+    Nulls are written, texts as they are; Spark writes as many files as there are ranges, so no size is too large.
+    """
+    order = ("article", "variant", "granularity", "section_index", "id")
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    records.select(*names).orderBy(*order).write.option("ignoreNullFields", False).json(f"{path}/records")
+    told = {"records": str(records.count()), **(info or {})}
+    records.sparkSession.createDataFrame([tuple(told.values())], ", ".join(f"`{k}` string" for k in told)).coalesce(1).write.json(f"{path}/info")
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """The records of :func:`write_dataset`."""
+    return spark.read.schema(RECORD).json(f"{path}/records")
+
+
+def _table(head: tuple[str, ...], rows: list[tuple]) -> list[str]:
+    return ["", *["| " + " | ".join(map(str, r)) + " |" for r in [head, ("---",) * len(head), *rows]]]
+
+
+def markdown_report(records: DataFrame, excluded: DataFrame | None = None, generated_at: str = "", warning: float = WARNING_ACCURACY) -> str:
+    """A Markdown report: counts, left-out sections (see :func:`exclusions`), baselines, feature means, best thresholds and warnings. Only aggregates reach the driver."""
+    lines = ["# データセット", *(["", f"生成日時: {generated_at}"] if generated_at else []), "", "## 件数"]
+    counts = sorted(report_counts(records).collect(), key=lambda r: tuple(x or "~" for x in r[:3]))
+    lines += _table(("粒度", "ラベル", "分割", "件数"), [(r[0] or "計", r[1] or "計", r[2] or "計", r[3]) for r in counts])
+    if excluded is not None:
+        e = excluded.first()
+        lines += ["", "## 除外した節", *_table(("理由", "下書き", "公開", "計"), [
+            (f"{LEAST_CHARS} 文字未満", e.short_draft, e.short_published, e.short_draft + e.short_published),
+            (f"類似度 {UNCHANGED:.2f} 以上", e.unchanged_draft, e.unchanged_published, e.unchanged_draft + e.unchanged_published),
+        ])]
     features = surface_features(records, ("granularity", "label"))
-    for name in FEATURES:
-        for r in sorted(best_threshold(features, name, by=("granularity",)).collect()):
-            mark = "（要注意）" if r.accuracy >= warning else ""
-            lines.append(f"- {r.granularity} {name}: {r.accuracy:.3f} ({r.ai_when} {r.threshold:.4g}){mark}")
-    return "\n".join(lines) + "\n"
+    base = {r[0]: r for r in majority_baseline(records).collect()}
+    sums = {(r.granularity, r.label): r for r in feature_means(features, ("granularity", "label")).collect()}
+    best = {(r.granularity, name): r for name in FEATURES for r in best_threshold(features, name, by=("granularity",)).collect()}
+    warned = []
+    for kind in sorted(base):
+        lines += ["", f"## {kind}", "", f"多数派の正解率 {base[kind].accuracy:.3f}、1 件の重み {base[kind].weight:.3f}"]
+        rows = []
+        for name in FEATURES:
+            ai, human, cut = sums.get((kind, "ai")), sums.get((kind, "human")), best.get((kind, name))
+            if ai is None or human is None:
+                rows.append((name, "-", "-", "-", "-"))
+                continue
+            rows.append((name, f"{ai[name]:.3f}", f"{human[name]:.3f}", f"{cut.accuracy:.3f}", f"{cut.ai_when} {cut.threshold:.4g}"))
+            if cut.accuracy >= warning:
+                warned.append(f"- {kind} の {name} だけで正解率 {cut.accuracy:.3f} に届きます。この特徴は評価の妨げになります。")
+        lines += _table(("特徴", "ai 平均", "human 平均", "最良の正解率", "ai とする条件"), rows)
+    return "\n".join([*lines, "", "## 警告", "", *(warned or ["ありません。"])]) + "\n"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hondana.functions import article, markdown
 from hondana.functions.matching import find_all, matches, pattern
 from hondana.operators import dataset, external, frontmatter, notation, ranges, secrets, structure, style
-from hondana.plans import lint, sql
+from hondana.plans import known, lint, sql
 from hondana.plans.sql import FENCES, KANJI_BESIDE, PUBLISHED, SECRET_VIEW, VIEW, issue_columns, q, scan, with_
 from hondana.schema import CHECKS
 from hondana.sources import documents as sources
@@ -250,11 +250,6 @@ def _(spark, sf_dir):
     return issues.groupBy("doc_id", F.col("line_number").cast("long").alias("line_number"), "column", "matched_text").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
 
-@query("notation_blog")
-def _(spark, sf_dir):
-    return lint.lint(article_docs(spark, sf_dir), "blog", checks=("notation",))
-
-
 def _review_sql(rule: notation.Rule, message: str) -> str:
     hits = f"SELECT * FROM ({sql.rule_hits('prose', (rule,))}) WHERE matched != preferred AND NOT (no_kanji AND {KANJI_BESIDE})"
     return with_(VIEW) + f"SELECT {issue_columns('notation', 'rule_name', message, 'NULL', 'review', 'variant * 1000000 + n')} FROM ({hits})"
@@ -281,28 +276,45 @@ def _(spark, sf_dir):
 # Looking ahead at the end of a pattern is the same as taking it in and leaving it out of the group.
 _SLASHES = notation.SLASH[notation.SLASH.index(")") + 1 : notation.SLASH.index("(?=")]
 _BEHIND = notation.SLASH[notation.SLASH.index("(?=") + 3 : -1]
-_SLASH = with_(VIEW) + f"""SELECT {issue_columns("notation", "'slash-coordination'", "'「' || matched || '」のスラッシュが並列、固有表記、パスのどれに当たるかは文脈で決まります。表記を確認してください。'", "NULL", "true", "900000000 + n")}
+_SLASH_ISSUES = f"""SELECT {issue_columns("notation", "'slash-coordination'", "'「' || matched || '」のスラッシュが並列、固有表記、パスのどれに当たるかは文脈で決まります。表記を確認してください。'", "NULL", "true", "900000000 + n")}
 FROM (SELECT *, pos AS col, regexp_extract(substr(line, pos), {q(f"^({_SLASHES})(?:{_BEHIND})")}, 1) AS matched FROM (SELECT *, unnest(range(1, length(line) + 1)) AS pos FROM prose WHERE contains(line, '/')))
 WHERE matched != '' AND NOT (pos > 1 AND regexp_matches(substr(line, pos - 1, 1), '[A-Za-z0-9{notation.JAPANESE}/]'))"""
 
 
-@query("slash_coordination", _SLASH)
+@query("slash_coordination", with_(VIEW) + _SLASH_ISSUES)
 def _(spark, sf_dir):
     return notation.check_slash(prose(spark, sf_dir))
 
 
 _J = f"[{notation.JAPANESE}]"
 _PLACES = "SELECT *, unnest(range(1, length(line))) AS pos FROM prose"
-_SPACING = with_(VIEW) + f"""SELECT {issue_columns("notation", "'alnum-japanese-spacing'", "'英数字と日本語の間に半角スペースを入れてください。'", "substr(line, pos, 1) || ' ' || substr(line, pos + 1, 1)", seq="950000000 + n")}
+_SPACING_ISSUES = f"""SELECT {issue_columns("notation", "'alnum-japanese-spacing'", "'英数字と日本語の間に半角スペースを入れてください。'", "substr(line, pos, 1) || ' ' || substr(line, pos + 1, 1)", seq="950000000 + n")}
 FROM (SELECT *, pos AS col, substr(line, pos, 2) AS matched FROM ({_PLACES}))
 WHERE regexp_matches(matched, '^(?:[A-Za-z0-9]{_J}|{_J}[A-Za-z0-9])')"""
 
 
-@query("alnum_japanese_spacing", _SPACING)
+@query("alnum_japanese_spacing", with_(VIEW) + _SPACING_ISSUES)
 def _(spark, sf_dir):
     return notation.check_spacing(prose(spark, sf_dir))
 
 
+_MESSAGES = "CASE rule_name WHEN 'brand-capitalization' THEN '「' || matched || '」は製品名なら「Eufy」、ライブラリ名・アカウント名・URLならそのままです。文脈に合う表記か確認してください。' WHEN 'chicken-notation' THEN '「' || matched || '」をひらがな・漢字・カタカナのどれで書くかは文脈で決まります。表記を確認してください。' ELSE '「' || matched || '」→「' || preferred || '」に統一を推奨。' || note END"
+_BLOG_ISSUES = f"""SELECT {issue_columns("notation", "rule_name", _MESSAGES, "preferred", "review", "variant * 1000000 + n")} FROM ({_BLOG_HITS})
+UNION ALL {_SLASH_ISSUES}
+UNION ALL {_SPACING_ISSUES}"""
+_NUMBERED = f"SELECT * REPLACE (seq + {CHECKS.index('notation') * 1_000_000_000_000} AS seq) FROM ({_BLOG_ISSUES})"
+
+
+@query("notation_blog", with_(known.KNOWN_PROSE) + _NUMBERED)
+def _(spark, sf_dir):
+    return lint.lint(known.known_docs(spark, sf_dir), "blog", checks=("notation",))
+
+
+@query("issue_source_lines", PUBLISHED + 'SELECT i.*, v.line AS source_line FROM issues i LEFT JOIN secret_view v ON i.doc_id = v.doc_id AND i.line_number = v.n')
+def _(spark, sf_dir):
+    return lint.with_source(published(spark, sf_dir), secret_docs(spark, sf_dir))
+
+
 # Style
 
 _TERMS = "|".join(sorted(style.OPEN_KANJI, key=lambda t: -len(t)))
@@ -582,25 +594,39 @@ def _(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    return markdown.parsed(article_docs(spark, sf_dir))
+    return markdown.parsed(known.known_docs(spark, sf_dir))
 
 
-@query("non_prose_ranges")
+@query("non_prose_ranges", with_(known.KNOWN) + known.known_ranges((1, 2, 3)))
 def _(spark, sf_dir):
     return _parsed(spark, sf_dir).select("doc_id", F.explode("ranges").alias("r")).select("doc_id", "r.*")
 
 
-@query("inline_ranges")
+@query("inline_ranges", with_(known.KNOWN) + known.known_ranges((1,)))
 def _(spark, sf_dir):
     return _parsed(spark, sf_dir).select("doc_id", F.explode("inlines").alias("r")).select("doc_id", "r.*")
 
 
-@query("mask_text")
+@query("mask_text", with_(known.KNOWN) + "SELECT doc_id, string_agg(masked, chr(10) || chr(10) ORDER BY n) AS masked FROM known GROUP BY doc_id")
 def _(spark, sf_dir):
     return _parsed(spark, sf_dir).select("doc_id", "masked")
 
 
-@query("lint_blog")
+@query("mask_articles")
+def _(spark, sf_dir):
+    return markdown.parsed(article_docs(spark, sf_dir)).select("doc_id", "masked")
+
+
+_KNOWN_MENTIONS = _MENTIONS[len(with_(VIEW, _PROSE_TEXT)) :]
+_BLOG = with_(known.KNOWN_PROSE, "texts AS (SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY n) AS text FROM prose GROUP BY doc_id)") + _KNOWN_MENTIONS.replace("SELECT doc_id, ''", f"{_NUMBERED} UNION ALL SELECT doc_id, '', 0, 0, '', 'ai_writing', '{external.SKIPPED}', '{external.NO_LINTER}', '', false, {CHECKS.index('ai_writing') * 1_000_000_000_000} FROM documents WHERE text IS NOT NULL\nUNION ALL SELECT * REPLACE (seq + {CHECKS.index('blog_structure') * 1_000_000_000_000} AS seq) FROM (SELECT doc_id, ''", 1) + ")"
+
+
+@query("lint_blog", _BLOG)
+def _(spark, sf_dir):
+    return lint.lint(known.known_docs(spark, sf_dir), "blog")
+
+
+@query("lint_articles")
 def _(spark, sf_dir):
     return lint.lint(article_docs(spark, sf_dir), "blog")
 
@@ -608,7 +634,8 @@ def _(spark, sf_dir):
 _RANGE_ROW = "array<struct<start:int,end:int>>"
 
 
-def _page_ranges(spark, sf_dir, find: Callable[[str], list]):
+def _found_ranges(texts: DataFrame, find: Callable[[str], list]):
+    """``doc_id``, start, end of what ``find`` gives for each text (doc_id, text)."""
     import pyarrow as pa
 
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -616,20 +643,38 @@ def _page_ranges(spark, sf_dir, find: Callable[[str], list]):
     def run(batches):
         for batch in batches:
             found = [[{"start": a, "end": b} for a, b in find(x.as_py() or "")] for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["page_id", "ranges"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "ranges"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id long, ranges {_RANGE_ROW}").select("doc_id", F.explode("ranges").alias("r")).select("doc_id", "r.*")
+
 
-    pages = table(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(run, f"page_id long, ranges {_RANGE_ROW}")
-    return pages.select("page_id", F.explode("ranges").alias("r")).select("page_id", "r.*")
+def _pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
 
 
-@query("html_tag_ranges")
+# Automatic links read as tags where nothing is protected.
+_LINKS = 'SELECT doc_id, CAST(begin AS INTEGER) AS start, CAST(begin + 15 + length(u) AS INTEGER) AS "end" FROM known WHERE k = 6'
+_LINKED = 'SELECT doc_id, CAST(begin + 1 AS INTEGER) AS start, CAST(begin + 14 + length(u) AS INTEGER) AS "end" FROM known WHERE k = 6'
+
+
+@query("html_tag_ranges", with_(known.KNOWN) + known.known_ranges((2,)) + f" UNION ALL {_LINKS}")
 def _(spark, sf_dir):
-    return _page_ranges(spark, sf_dir, lambda t: markdown.tag_ranges(t, []))
+    return _found_ranges(known.known_docs(spark, sf_dir), lambda t: markdown.tag_ranges(t, []))
 
 
-@query("raw_url_ranges")
+@query("raw_url_ranges", with_(known.KNOWN) + known.known_ranges((3,)) + f" UNION ALL {_LINKED}")
 def _(spark, sf_dir):
-    return _page_ranges(spark, sf_dir, markdown.url_ranges)
+    return _found_ranges(known.known_docs(spark, sf_dir), markdown.url_ranges)
+
+
+@query("page_tag_ranges")
+def _(spark, sf_dir):
+    return _found_ranges(_pages(spark, sf_dir), lambda t: markdown.tag_ranges(t, [])).withColumnRenamed("doc_id", "page_id")
+
+
+@query("page_url_ranges")
+def _(spark, sf_dir):
+    return _found_ranges(_pages(spark, sf_dir), markdown.url_ranges).withColumnRenamed("doc_id", "page_id")
 
 
 @query("front_matter_range", f"WITH {_NOTES} SELECT doc_id, CASE WHEN doc_id % 17 NOT IN (0, 1) THEN 4 ELSE 0 END AS lines FROM notes")
@@ -647,11 +692,15 @@ FROM lined l LEFT JOIN marked m ON l.doc_id = m.doc_id AND l.n = m.n
 WHERE k IS NOT NULL OR (l.n > 5 AND (l.n // 5) % 2 = 1)"""
 
 
-@query("fence_lines", _FENCE_LINES)
-def _(spark, sf_dir):
+def _fenced(spark, sf_dir):
     docs = sources.documents(spark, sf_dir).where("text is not null")
     lines = F.transform(F.split("text", "\n", -1), lambda x, k: F.when((k + 1) % 10 == 5, "```py").when((k + 1) % 10 == 0, " ````").otherwise(F.when((k + 1) % 10 == 7, "~~~").otherwise(F.concat(F.lit("x"), x))))
-    return ranges.top_level_fences(docs.select("doc_id", F.array_join(lines, "\n").alias("text"))).select("doc_id", F.col("n").cast("long").alias("n"), "kind")
+    return docs.select("doc_id", F.array_join(lines, "\n").alias("text"))
+
+
+@query("fence_lines", _FENCE_LINES)
+def _(spark, sf_dir):
+    return ranges.top_level_fences(_fenced(spark, sf_dir)).select("doc_id", F.col("n").cast("long").alias("n"), "kind")
 
 
 @query("line_offsets", "SELECT doc_id, n, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)")
@@ -686,9 +735,13 @@ def _(spark, sf_dir):
 # Evaluation records
 
 
-@query("strip_fences")
+_UNFENCED = """SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (n % 10 < 5 AND n % 10 > 0), '') AS body
+FROM (SELECT doc_id, n, 'x' || line AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)) GROUP BY doc_id"""
+
+
+@query("strip_fences", _UNFENCED)
 def _(spark, sf_dir):
-    return article.apply(article_docs(spark, sf_dir), article.strip_fences, "text", "body").select("doc_id", "body")
+    return article.apply(_fenced(spark, sf_dir), article.strip_fences, "text", "body").select("doc_id", "body")
 
 
 @query("strip_comments", "SELECT page_id, regexp_replace(regexp_replace(html, '(?s)\\{/\\*.*?(?:\\*/\\}|\\z)', '', 'g'), '(?s)<!--.*?(?:-->|\\z)', '', 'g') AS body FROM pages")
@@ -697,12 +750,22 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", body.alias("body"))
 
 
-@query("strip_components")
+@query("strip_components", with_(known.ARTICLE_LIKE) + "SELECT doc_id, string_agg(CASE k WHEN 7 THEN c ELSE given END, chr(10) || chr(10) ORDER BY m) AS body FROM (SELECT b.*, s.c FROM blocks b JOIN spelt s ON b.doc_id = s.doc_id AND b.m = s.n) GROUP BY doc_id")
+def _(spark, sf_dir):
+    return article.apply(known.article_like_docs(spark, sf_dir), article.strip_components, "text", "body").select("doc_id", "body")
+
+
+@query("extract_article", with_(known.ARTICLE_LIKE) + "SELECT doc_id, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY m) FILTER (block != ''), '') AS body FROM blocks GROUP BY doc_id")
+def _(spark, sf_dir):
+    return article.apply(known.article_like_docs(spark, sf_dir), article.extract_article, "text", "body").select("doc_id", "body")
+
+
+@query("page_components")
 def _(spark, sf_dir):
     return article.apply(table(spark, sf_dir, "pages").select("page_id", "html"), article.strip_components, "html", "body").select("page_id", "body")
 
 
-@query("extract_article")
+@query("extract_view_article")
 def _(spark, sf_dir):
     return article.apply(article_docs(spark, sf_dir), article.extract_article, "text", "body").select("doc_id", "body")
 
@@ -831,14 +894,58 @@ def _records(spark, sf_dir):
     return dataset.assemble(base.where(F.col("article") != "a7"), parts)
 
 
-@query("validate_records")
+_VIOLATIONS = with_(VIEW, _SECTIONS) + """,
+arts AS (SELECT doc_id, 'a' || (doc_id // 2) AS article, CASE WHEN doc_id % 2 = 0 THEN 'draft' ELSE 'published' END AS variant, string_agg(line, chr(10) ORDER BY n) AS text FROM view GROUP BY doc_id),
+wholes AS (SELECT article, variant, article || ':' || variant || ':article' AS id, text FROM arts WHERE article != 'a7'),
+kept_parts AS (SELECT article, variant, article || ':' || variant || ':section:' || section_index AS id FROM sections JOIN arts USING (doc_id) WHERE chars >= 200 AND article != 'a7'),
+doubled AS (SELECT * FROM wholes UNION ALL SELECT * FROM wholes WHERE article = 'a13'),
+per AS (
+  SELECT article, count(*) FILTER (variant = 'draft') AS draft, count(*) FILTER (variant = 'published') AS published, count(*) AS n, count(DISTINCT regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS texts,
+         (SELECT count(DISTINCT variant) FROM kept_parts p WHERE p.article = d.article) AS with_sections FROM doubled d GROUP BY article)
+SELECT 'duplicate id' AS "check", id AS key FROM wholes WHERE article = 'a13'
+UNION ALL SELECT 'variants', article FROM per WHERE draft != 1 OR published != 1
+UNION ALL SELECT 'sections of one variant', article FROM per WHERE with_sections = 1
+UNION ALL SELECT 'identical texts', article FROM per WHERE n = 2 AND texts = 1
+UNION ALL SELECT 'label', id FROM wholes WHERE article = 'a11' AND variant = 'draft'
+UNION ALL SELECT 'label', id FROM kept_parts WHERE article = 'a11' AND variant = 'draft'"""
+
+
+@query("validate_records", _VIOLATIONS)
 def _(spark, sf_dir):
     records = _records(spark, sf_dir)
     broken = records.withColumn("label", F.when(F.col("article") == "a11", "human").otherwise(F.col("label"))).unionByName(records.where("article = 'a13' and granularity = 'article'"))
     return dataset.violations(broken)
 
 
-@query("split_overlap", "SELECT DISTINCT source AS article FROM documents WHERE doc_id % 5 < 3 INTERSECT SELECT DISTINCT source FROM documents WHERE doc_id % 5 >= 3")
-def _(spark, sf_dir):
+def _sources(spark, sf_dir):
+    """A table of sources as they should be, and one that differs in some of them."""
+    d = F.col("doc_id")
     docs = sources.documents(spark, sf_dir)
-    return dataset.split_overlap(docs.select(F.col("source").alias("article"), F.when(F.col("doc_id") % 5 < 3, "train").otherwise("test").alias("split")))
+    known_ = docs.select(F.concat(F.lit("s"), d.cast("string")).alias("article"), F.when(d % 3 == 0, "test").otherwise("train").alias("split"), F.lit("c").alias("commit"), F.concat(F.col("source"), F.lit(".md")).alias("source_path"))
+    given = docs.where(d % 11 != 5).select(
+        F.concat(F.when(d % 13 == 4, "t").otherwise("s"), d.cast("string")).alias("article"), F.when((d % 3 == 0) == (d % 17 != 2), "test").otherwise("train").alias("split"), F.when(d % 19 == 6, F.lit(None)).otherwise(F.lit("c")).alias("commit"), F.concat(F.col("source"), F.lit(".md")).alias("source_path"),
+    )
+    return given.unionByName(given.where("article like 's%7'")), known_
+
+
+_SOURCE_TABLE = """
+WITH known AS (SELECT doc_id, 's' || doc_id AS article, CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM documents),
+given AS (
+  SELECT doc_id, CASE WHEN doc_id % 13 = 4 THEN 't' ELSE 's' END || doc_id AS article, CASE WHEN (doc_id % 3 = 0) = (doc_id % 17 != 2) THEN 'test' ELSE 'train' END AS split, doc_id % 19 = 6 AS other
+  FROM documents WHERE doc_id % 11 != 5)
+SELECT 'repeated article' AS "check", article AS key FROM given WHERE suffix(article, '7') AND starts_with(article, 's')
+UNION ALL SELECT 'unknown article', article FROM given WHERE starts_with(article, 't')
+UNION ALL SELECT 'missing article', article FROM known WHERE article NOT IN (SELECT article FROM given)
+UNION ALL SELECT 'split unlike the table', g.article FROM given g JOIN known k ON g.article = k.article WHERE g.split != k.split
+UNION ALL SELECT 'version unlike the table', article FROM given WHERE other AND starts_with(article, 's')"""
+
+
+@query("source_table", _SOURCE_TABLE)
+def _(spark, sf_dir):
+    return dataset.source_violations(*_sources(spark, sf_dir))
+
+
+@query("split_overlap", "SELECT DISTINCT lang AS article FROM documents WHERE doc_id % 5 < 3 AND lang IS NOT NULL INTERSECT SELECT DISTINCT lang FROM documents WHERE doc_id % 5 >= 3")
+def _(spark, sf_dir):
+    docs = sources.documents(spark, sf_dir).where("lang is not null")
+    return dataset.split_overlap(docs.select(F.col("lang").alias("article"), F.when(F.col("doc_id") % 5 < 3, "train").otherwise("test").alias("split")))

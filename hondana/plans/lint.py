@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -40,13 +40,24 @@ def style_issues(lines: DataFrame) -> list[DataFrame]:
     return [style.check_open_kanji(lines), style.check_style_mixing(ended), style.check_comma_join(lines), style.check_opening_mazu(lines)]
 
 
+#: Turns documents into (doc_id, json and perhaps failure).
+Linter = Callable[[DataFrame], DataFrame]
+_kept: list[DataFrame] = []
+
+
+def release() -> None:
+    """Drop the parsed documents that earlier calls of :func:`lint` keep for their branches; issues that are still to be computed parse anew."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 def lint(
-    docs: DataFrame, profile: str = "blog", linter: Callable[[DataFrame], DataFrame] | None = None, vocabulary: DataFrame | None = None, dictionary: dict[str, str] | None = None, checks: tuple[str, ...] | None = None,
+    docs: DataFrame, profile: str = "blog", linters: Mapping[str, Linter] | None = None, vocabulary: DataFrame | None = None, dictionary: dict[str, str] | None = None, checks: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """All issues of ``docs`` (doc_id, text and, if known, file and path) under a profile; see ``hondana.schema.ISSUES``.
 
     Only branches of the profile's checks are built. The Markdown pass runs once per document, for blog checks only; its
-    result is persisted until the session's cache is cleared.
+    result is persisted until :func:`release`. ``linters`` gives the external linter of each profile, with its configuration, where one is to run.
     The vault profile needs ``path`` (relative to the vault) and the tag ``vocabulary``.
     """
     wanted = checks_of(profile) if checks is None else checks
@@ -59,13 +70,14 @@ def lint(
     if blog and {"notation", "blog_style", "blog_structure"} & set(wanted):
         # Several branches read it: kept, so that each document is parsed once. A lost part is parsed again.
         tree = parsed(docs, ("doc_id", *extra)).persist(StorageLevel.MEMORY_AND_DISK)
+        _kept.append(tree)
         lines = tree.select("doc_id", *extra, F.explode("lines").alias("l")).select("doc_id", *extra, "l.*")
     if "notation" in wanted and blog:
         parts += [("notation", notation.check_notation_blog(lines, dictionary)), ("notation", notation.check_slash(lines)), ("notation", notation.check_spacing(lines))]
     elif "notation" in wanted:
         parts.append(("notation", notation.check_notation_legacy(notation.lines_with_context(docs, ("doc_id", *extra)))))
     if "ai_writing" in wanted:
-        parts.append(("ai_writing", external.check_ai_writing(docs, linter)))
+        parts.append(("ai_writing", external.check_ai_writing(docs, (linters or {}).get(profile))))
     if "blog_style" in wanted:
         parts += [("blog_style", df) for df in style_issues(lines)]
     if "blog_structure" in wanted:
@@ -126,6 +138,12 @@ def report_rows(issues: DataFrame) -> DataFrame:
     return issues.select("doc_id", F.row_number().over(w).alias("place"), "category", F.concat(head, arrow).alias("text"))
 
 
+def with_source(issues: DataFrame, docs: DataFrame) -> DataFrame:
+    """``issues`` with ``source_line``, the line of the text they are on; null for places that are no line."""
+    lines = split_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_doc"), F.col("n").alias("_n"), F.col("line").alias("source_line"))
+    return issues.join(lines, (F.col("doc_id") == F.col("_doc")) & (F.col("line_number") == F.col("_n")), "left").drop("_doc", "_n")
+
+
 def category_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("category").agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("doc_id").alias("documents"))
 

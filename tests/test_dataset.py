@@ -67,7 +67,7 @@ def test_best_threshold(spark):
         assert (got.accuracy, got.threshold, got.ai_when) == brute_threshold(rows)
 
 
-def test_violations(spark):
+def test_violations(spark, tmp_path):
     info = [(a, "train", v, {"draft": "ai", "published": "human"}[v], "c", "p", f"text {a} {v}") for a in ("x", "y") for v in ("draft", "published")]
     articles = spark.createDataFrame(info, "article string, split string, variant string, label string, commit string, source_path string, text string")
     kept = spark.createDataFrame([(a, v, "h", 0, "body", 4) for a in ("x", "y") for v in ("draft", "published")], "article string, variant string, heading string, section_index int, text string, chars int")
@@ -75,7 +75,35 @@ def test_violations(spark):
     assert dataset.violations(records).collect() == []
     broken = dataset.assemble(articles.where("article != 'y' or variant != 'draft'"), kept.where("article != 'x' or variant != 'draft'"))
     assert {(r["check"], r["key"]) for r in dataset.violations(broken).collect()} == {("sections of one variant", "x"), ("variants", "y"), ("sections of one variant", "y")}
-    assert "| 計 | 計 | 計 | 8 |" in dataset.markdown_report(records)
+    report = dataset.markdown_report(records, dataset.exclusions(*(kept.where(f"variant = '{v}'") for v in ("draft", "published"))), "2026")
+    assert "| 計 | 計 | 計 | 8 |" in report and "生成日時: 2026" in report and "| 200 文字未満 | 2 | 2 | 4 |" in report and "多数派の正解率 0.500、1 件の重み 0.250" in report and "- article の chars だけで正解率 1.000" in report
+    only = dataset.markdown_report(records.where("label = 'ai'"))
+    assert "| chars | - | - | - | - |" in only and "ありません。" in only
+    dataset.write_dataset(records, str(tmp_path / "set"), {"seed": "1"})
+    assert sorted(map(tuple, dataset.read_dataset(spark, str(tmp_path / "set")).collect()), key=str) == sorted(map(tuple, records.collect()), key=str)
+    info = spark.read.json(str(tmp_path / "set/info")).first()
+    assert (info.records, info.seed) == ("8", "1") and '"heading":null' in spark.read.text(str(tmp_path / "set/records")).where("value like '%null%'").first()[0]
+
+
+def test_source_violations(spark):
+    kind = "article string, split string, commit string, source_path string"
+    table = spark.createDataFrame([("a", "train", "c", "p"), ("b", "test", "c", "q"), ("d", "test", "c", None)], kind)
+    found = lambda rows: {tuple(r) for r in dataset.source_violations(spark.createDataFrame(rows, kind), table).collect()}
+    assert found(table.collect()) == set()
+    assert found([("a", "test", "c", "p"), ("a", "train", "c", "p"), ("b", "test", "x", "q"), ("e", None, "c", "p")]) == {
+        ("repeated article", "a"), ("split unlike the table", "a"), ("version unlike the table", "b"), ("unknown article", "e"), ("missing article", "d"),
+    }
+
+
+def test_similar_sections_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("あいうえおかきくけこ。、") for _ in range(rng.randrange(30, 90))) for _ in range(8)]
+    near = lambda t: "".join(c if rng.random() > 0.02 else rng.choice("さしす") for c in t)
+    sides = [[("a" if k % 3 else "b", k, near(rng.choice(base)), 200) for k in range(40)] for _ in range(2)]
+    kind = "article string, section_index int, text string, chars int"
+    want = {(x[0], x[1], y[1]) for x in sides[0] for y in sides[1] if x[0] == y[0] and article.ratio(article.comparison_key(x[2]), article.comparison_key(y[2])) >= 0.9}
+    got = {(r.article, r.draft_index, r.published_index) for r in dataset.similar_sections(*(spark.createDataFrame(s, kind) for s in sides), 0.9).collect()}
+    assert got == want and len(want) > 20
 
 
 def test_validate_records_reads_every_document(spark, tmp_path):

@@ -1,6 +1,7 @@
 """Rules on written documents: a hit and a near miss for each, and the golden document of the publishing profile."""
 
 import re
+import sys
 
 import pytest
 from hypothesis import given, settings
@@ -155,3 +156,32 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(0, None), (1, ""), (2, "サーバ"), (2, "サーバ")], "doc_id long, text string")
     assert [r.doc_id for r in lint.lint(docs, "blog", checks=("secrets", "notation", "blog_style", "blog_structure")).collect()] == []
     assert [r.doc_id for r in lint.lint(docs, "qiita", checks=("notation",)).collect()] == [2, 2]
+
+
+LINTER = """
+import json, sys, time
+text = sys.stdin.buffer.read().decode()
+if "slow" in text: time.sleep(30)
+if "broken" in text: print("[{")
+elif "object" in text: print("{}")
+else: print(json.dumps([{"messages": [{"line": 2, "column": 3, "message": sys.argv[1], "ruleId": "a/b/" + text[:4]}]}]))
+"""
+
+
+def test_external_linter_runs(spark):
+    docs = spark.createDataFrame([(1, "文章 text"), (2, "slow"), (3, "broken"), (4, "object"), (5, None)], "doc_id long, text string")
+    run = lambda profile, command: {r.doc_id: (r.line_number, r.column, r.rule_name, r.message) for r in lint.lint(docs, profile, {profile: external.runner(command, {"": "plain.json", "blog": "blog.json"}, profile, 3)}, checks=("ai_writing",)).collect()}
+    skip = lambda message: (0, 0, external.SKIPPED, message)
+    command = [sys.executable, "-c", LINTER, "{config}"]
+    want = {2: skip(external.TOO_SLOW.format(3)), 3: skip(external.BAD_OUTPUT), 4: skip(external.BAD_OUTPUT)}
+    assert run("blog", command) == want | {1: (2, 3, "文章 t", "blog.json"), 5: (2, 3, "", "blog.json")}
+    assert run("qiita", command) == want | {1: (2, 3, "文章 t", "plain.json"), 5: (2, 3, "", "plain.json")}
+    assert set(run("qiita", ["/no/such/linter"]).values()) == {skip(external.NO_LINTER)}
+    assert set(run("qiita", ["/"]).values()) == {skip(external.NOT_RUN.format("[Errno 13] Permission denied: '/'"))}
+    assert {r.message for r in lint.lint(docs, "qiita", checks=("ai_writing",)).collect()} == {external.NO_LINTER}
+
+
+def test_issues_with_source_lines(spark):
+    docs = spark.createDataFrame([(1, "a\nghp_" + "x" * 36)], "doc_id long, text string")
+    rows = lint.with_source(lint.lint(docs, "qiita"), docs).collect()
+    assert {(r.category, r.line_number, r.source_line) for r in rows} == {("secret", 2, "ghp_" + "x" * 36), ("ai_writing", 0, None)}
