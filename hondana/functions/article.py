@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Fixed values of the extraction: fences, headings, list items, and lines that are no text.
 FENCE = re.compile(r"\s*(`{3,}|~{3,})")
 HEADING = re.compile(r"\s{0,3}#{1,6}(?:\s+|$)")
 LIST = re.compile(r"\s*(?:[-+*]|\d+[.)])\s+")
@@ -19,7 +20,7 @@ _MODULE = re.compile(r"\s*(?:import|export)\b")
 _REFERENCE = re.compile(r"\s*\[[^]]+\]:\s*\S+")
 _LINK_ONLY = re.compile(r"\s*(?:\[[^]]+\](?:\([^)]+\)|\[[^]]*\])|<?https?://\S+>?)[。.]?\s*$")
 _IMAGES = re.compile(r"!\[[^]]*\](?:\([^)]+\)|\[[^]]*\])")
-#: Lines that open with one of these, or are one of those, are no text.
+#: Lines that open with one of these, or are one of those, are no text.
 _OPENINGS = ("|", ">", "//", ":::", "（出典:", "（出典：", "出典:", "出典：")
 _RULES = ("---", "***", "___")
 #: Inline rewrites in order (fixed values of the extraction).

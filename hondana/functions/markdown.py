@@ -6,7 +6,7 @@ code points of the source, so masking keeps offsets. Front matter, fenced and in
 destinations, automatic links, emphasis marks, reference definitions, HTML/JSX tags (not the text between them, but
 for ``script`` and ``style``) and bare URLs count as not prose.
 
-Known limits: definitions spread over more than two lines, HTML blocks are parsed as paragraphs, entities are not decoded.
+Known limit: HTML blocks are parsed as paragraphs. Entities stay as they stand in the source, whose places are kept.
 """
 
 from __future__ import annotations
@@ -27,8 +27,12 @@ _SETEXT = re.compile(r"(?:=+|-+)[ \t]*$")
 _BREAK = re.compile(r"(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 _ITEM = re.compile(r"(?:[-+*]|(\d{1,9})[.)])(?=[ \t]|$)")
 _DELIMITERS = re.compile(r"\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-_DEFINITION = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*(<[^<>\n]*>|\S+)[ \t]*(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\))?[ \t]*$")
-_TITLE_LINE = re.compile(r"[ \t]*(?:\"[^\"\n]*\"|'[^'\n]*'|\([^()\n]*\))[ \t]*$")
+#: A reference definition at the head of a paragraph: its label, destination and title may each start on a line of their own, label and title go over several.
+_DEFINITION = re.compile(
+    r"\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(<(?:[^<>\n\\]|\\.)*>|[^\s<]\S*)"
+    r"(?:(?:[ \t]+|[ \t]*\n[ \t]*)(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?=\n|$)",
+    re.S,
+)
 _AUTOLINK = re.compile(r"<(?:[A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*|[A-Za-z0-9.!#$%&'*+/=?^_`{|}~\-]+@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?)>")
 _TAG_NAME = re.compile(r"[A-Za-z][A-Za-z0-9_.:\-]*")
 # How a line goes on with a tag (behind the marks of quotes), where a quote's mark stands, what starts, stops and ends a URL.
@@ -151,16 +155,13 @@ class Blocks:
 
     def _define(self) -> None:
         """Take reference definitions off the paragraph's head."""
-        while self.para:
-            line, a, b = self.para[0]
-            m = _DEFINITION.match(self.text[a:b])
-            if not m:
+        while self.para and self.text[self.para[0][1]] == "[":
+            m = _DEFINITION.match("\n".join(self.text[a:b] for _, a, b in self.para))
+            if not m or not m.group(1).strip():
                 return
-            used = 1
-            if m.group(3) is None and len(self.para) > 1 and _TITLE_LINE.match(self.text[self.para[1][1] : self.para[1][2]]):
-                used = 2
+            used = m.group(0).count("\n") + 1
             self.labels.add(" ".join(m.group(1).split()).casefold())
-            self.definitions.append((a, self.para[used - 1][2]))
+            self.definitions.append((self.para[0][1], self.para[used - 1][2]))
             self.para = self.para[used:]
 
     def _line(self, k: int, line: str) -> None:

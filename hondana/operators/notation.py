@@ -95,6 +95,7 @@ CHICKEN = Rule("ニワトリ", (Variant("にわとり"), Variant("鶏")), name="
 #: Terms whose translation is not the official one -> official term. Ships empty; callers fill it or pass their own.
 UNOFFICIAL_TRANSLATIONS: dict[str, str] = {}
 
+# What counts as Japanese, terms beside slashes, and where letters meet Japanese.
 JAPANESE = "ぁ-んァ-ヶ一-鿿々〆ヶー"
 KANJI = "[一-鿿々〆ヶ]"
 _SLASH_TERM = f"[A-Za-z0-9{JAPANESE}+#-]+?"

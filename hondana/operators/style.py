@@ -22,6 +22,7 @@ OPEN_KANJI = {
     "出来た": "できた",
     "の為": "のため",
 }
+# Marks, endings, stems and joints of the style rules.
 COMPOUND = ("事が出来る", "事ができる", "の為")
 MARKS = "。！？!?"
 END = f"[{MARKS}]"
@@ -32,7 +33,7 @@ PLAIN_ENDINGS = ("である", "だ", "する", "した", "しない", "できる
 PLAIN = f"(?:{'|'.join(PLAIN_ENDINGS)}){END}+$"
 STEM = "[^\\s、。！？!?はがをにへとでのも]+$"
 CONTENT = "[A-Za-z0-9ァ-ヶー一-鿿々〆ヶ]"
-#: Characters before ない of verbs (a row; i and e rows), and before いた of verbs; adjectives whose stems look like verbs.
+#: Characters before ない of verbs (a row; i and e rows), and before いた of verbs; adjectives whose stems look like verbs.
 NEGATIVE_A = "わかがさたなばまらり"
 NEGATIVE_IE = "いきぎしじちにひびみりえけげせぜてでねべめれ"
 ONBIN = "いきぎしじちにひびみりつづてで"

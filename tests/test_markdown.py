@@ -22,6 +22,9 @@ def masked(text):
         ("[説明](./eufy \"題\") を読む", ["eufy", "題"], ["説明", "を読む"]),
         ("![代替](eufy.png)本文", ["代替", "eufy"], ["本文"]),
         ("[x][id]\n\n[id]: http://eufy.example 'eufy'\n", ["eufy"], ["x"]),
+        ("[x][a b]\n\n[a\n b]:\n  /eufy\n  'eufy\n二行'\n本文", ["eufy", "二行"], ["x", "本文"]),
+        ("[x][id]\n\n[id]: /eufy\n\"題\" 本文", ["/eufy"], ["x", "本文", "題"]),
+        ("[id]: /eufy 本文", [], ["eufy", "本文"]),
         ("<https://eufy.example> 本文", ["eufy"], ["本文"]),
         ('<img alt="eufy" /> 本文 <b>太字</b>', ["eufy"], ["本文", "太字"]),
         ('<Card\n  title={a > "eufy"}\n>中身</Card>', ["eufy", "title"], ["中身"]),
