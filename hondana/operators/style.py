@@ -26,7 +26,8 @@ OPEN_KANJI = {
 COMPOUND = ("事が出来る", "事ができる", "の為")
 MARKS = "。！？!?"
 END = f"[{MARKS}]"
-SENTENCE = f"[^{MARKS}\\n]*{END}+"
+#: Only where the one before ends: what follows the last mark is then read once, not from each of its characters.
+SENTENCE = f"\\G[^{MARKS}\\n]*{END}+"
 POLITE_ENDINGS = ("ませんでした", "でした", "ました", "ません", "でしょう", "ください", "です", "ます")
 POLITE = f"(?:{'|'.join(POLITE_ENDINGS)}){END}+$"
 PLAIN_ENDINGS = ("である", "だ", "する", "した", "しない", "できる", "できない", "できた", "なる", "なった", "ある", "ない", "いる", "いた", "書く", "読む", "使う")
