@@ -1,28 +1,36 @@
 """Language-model scoring by masked pseudo-likelihood.
 
-A token is predicted from the ``WINDOW`` tokens on both of its sides, itself left out. The network adds up one row per
+A token is predicted from the ``WINDOW`` tokens on both of its sides, itself masked. The network adds up one row per
 neighbour (embedding and first layer in one table per place), applies tanh, and predicts in two steps: the
 token's class, then the token within its class, so a prediction costs two short softmaxes instead of one over
 the vocabulary. A document's score is the sum of the conditional log-probabilities of all its tokens.
 
 Tokens are lower-cased runs of letters, single digits and other marks. The vocabulary is the most frequent ones, counted over
-the whole corpus, as many as a quarter of the square root of its tokens, ``VOCABULARY`` at least; classes cut it, in order of frequency, into runs of
-about the square root of it. A token outside it is coded as the rare token and then by its characters, each given the one before, by the corpus's counts
-over all rare tokens. The output biases start from corpus counts.
-Training reads every document: groups of documents, by digest, are each trained on in numpy from the same start, and the networks' mean, by tokens, is the result.
+the whole corpus, as many as an eighth of the square root of its tokens, ``VOCABULARY`` at least; classes cut it, in order of frequency, into runs of
+about the square root of it. A token outside it is predicted as the rare token and then spelt, each byte given the one before, by the corpus's counts
+over all rare tokens; how often the corpus has it, by slots of a hash, corrects that. The output biases start from corpus counts.
+
+Training reads every document: in each, a share ``MASKED`` of the places, spread evenly, is masked and predicted. Documents are dealt by digest to groups of about
+``GROUP`` tokens; from one start a network is trained on each group in numpy, batch by batch, and the networks' mean, by places, is the result.
+
+What travels is bounded: the network by its vocabulary, spelling by pairs of bytes, slots by ``SLOTS``.
 
 Edge cases: null and empty texts and texts without tokens have 0 tokens, sum 0 and mean null; ends of a text are seen as an edge
-token; rows come out once each; other columns are ignored.
+token; equal texts score alike; rows come out once each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +40,20 @@ WINDOW = 2
 VOCABULARY = 1023
 CLASS = 32
 HIDDEN = 24
-EPOCHS = 1
-STEP = 4096
-#: Groups of documents to train on: this many, of LEAST tokens at least and MOST at most.
-GROUPS, LEAST, MOST = 64, 250_000, 8_000_000
+STEP = 16384
+MASKED = 0.1
+#: Tokens a group has about, and how many groups there are at most (beyond that they grow).
+GROUP, GROUPS = 8_000_000, 4096
+#: Networks that one task averages.
+FAN = 16
+#: Tokens whose value a task keeps.
+KNOWN = 150_000
+#: Slots for counts of rare tokens: at least two for each distinct one up to this many.
+SLOTS = 1 << 24
 PARTS = ("near", "bias", "to_class", "class_bias", "to_word", "word_bias")
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d|[^\w\s]")
+_END = 256
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -49,12 +64,10 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """token, n over all of ``docs``: each task counts what it reads before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
         seen: Counter[str] = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([t.encode("utf-8", "replace") for t in seen], pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
 
         for batch in batches:
             for x in batch.column(0):
@@ -67,41 +80,62 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-class Spelling:
-    """Probability of a token by its characters, each given the one before; "" is the start and the end. Falls back to single characters, then to any."""
+def byte_logs(pairs: np.ndarray) -> np.ndarray:
+    """Log-probabilities of each byte given the one before, from counts of pairs; ``_END`` stands before the first and after the last."""
+    pairs = pairs.reshape(257, 257).astype(np.float64)
+    single = (pairs.sum(axis=0) + 1) / (pairs.sum() + 257)
+    return np.log((pairs + single) / (pairs.sum(axis=1, keepdims=True) + 1)).astype(np.float32)
 
-    def __init__(self, pairs: dict[tuple[str, str], int]):
-        self.pairs, self.before, self.single = pairs, {}, {}
-        for (a, b), n in pairs.items():
-            self.before[a] = self.before.get(a, 0) + n
-            self.single[b] = self.single.get(b, 0) + n
-        self.total = sum(self.single.values()) + 0x110000 + 1
 
-    def __call__(self, token: str) -> float:
-        out, a = 0.0, ""
-        for b in [*token, ""]:
-            alone = (self.single.get(b, 0) + 1) / self.total
-            out += math.log((self.pairs.get((a, b), 0) + alone) / (self.before.get(a, 0) + 1))
-            a = b
-        return out
+def spelt(logs: np.ndarray, tokens: list[bytes]) -> np.ndarray:
+    """Log-probabilities of tokens by their bytes."""
+    if not tokens:
+        return np.zeros(0)
+    data, size = _chained(tokens)
+    return np.add.reduceat(logs[data[:-1], data[1:]], np.cumsum(size + 1) - size - 1, dtype=np.float64)
+
 
+def _chained(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of tokens one after the other with ``_END`` around each, and their lengths."""
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    data = np.full(int(size.sum()) + len(size) + 1, _END, np.int64)
+    of = np.repeat(np.arange(len(size)), size)
+    data[np.arange(len(of)) + of + 1] = np.frombuffer(b"".join(tokens), np.uint8)
+    return data, size
 
-def spelling(counts: DataFrame, known: list[str]) -> Spelling:
-    """From all tokens of ``counts`` (token, n) but the known ones."""
-    apart = frozenset(known)
+
+def spelling(rare: DataFrame) -> np.ndarray:
+    """:func:`byte_logs` of the tokens of ``rare`` (token, n); at most 257 * 257 sums reach the driver."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str], int] = {}
+        seen = np.zeros(257 * 257, np.int64)
         for batch in batches:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if x not in apart:
-                    for pair in zip(["", *x], [*x, ""]):
-                        seen[pair] = seen.get(pair, 0) + y
-        a, b = [k[0] for k in seen], [k[1] for k in seen]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(seen.values()), pa.int64())], ["a", "b", "n"])
+            if not batch.num_rows:
+                continue
+            data, size = _chained(batch.column(0).cast(pa.binary()).to_pylist())
+            seen += np.bincount(data[:-1] * 257 + data[1:], np.repeat(batch.column(1).to_numpy(), size + 1), 257 * 257).astype(np.int64)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(seen[some], pa.int64())], ["pair", "n"])
+
+    out = np.zeros(257 * 257, np.int64)
+    for r in rare.select("token", "n").mapInArrow(pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r.pair] = r.n
+    return byte_logs(out)
+
+
+def slots_of(rare: DataFrame) -> np.ndarray:
+    """For every slot of a hash of tokens, the logarithm of how many times oftener than the average one the corpus has it."""
+    distinct, total = rare.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    size = 1 << min(SLOTS.bit_length() - 1, max(12, (2 * distinct).bit_length()))
+    out = np.full(size, 1.0)
+
+    def packed(table: pa.Table) -> pa.Table:
+        return pa.table({"part": table["part"][:1], "slots": pa.array([table["slot"].to_numpy().astype("<i4").tobytes()], pa.binary()), "n": pa.array([table["n"].to_numpy().astype("<i8").tobytes()], pa.binary())})
 
-    rows = counts.select("token", "n").mapInArrow(pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
-    return Spelling({(r.a, r.b): r.n for r in rows})
+    sums = rare.groupBy(F.crc32("token").bitwiseAND(F.lit(size - 1)).alias("slot")).agg(F.sum("n").alias("n")).withColumn("part", F.shiftright("slot", 16))
+    for r in sums.groupBy("part").applyInArrow(packed, "part long, slots binary, n binary").toLocalIterator():
+        out[np.frombuffer(r.slots, "<i4")] += np.frombuffer(r.n, "<i8")
+    return np.log(out * (size / (total + size))).astype(np.float16)
 
 
 class Network:
@@ -110,7 +144,7 @@ class Network:
     def __init__(self, words: list[str], counts: list[int], rare: int, size: int = CLASS, hidden: int = HIDDEN, window: int = WINDOW):
         rng = np.random.default_rng(3)
         n = len(words) + 1  # with rare, the first
-        self.words, self.size, self.window, self.rare = words, size, window, rare
+        self.words, self.size, self.window = words, size, window
         self.classes = -(-n // size)
         self.edge = n
         weight = np.array([max(rare, 1), *counts], np.float64)
@@ -119,7 +153,7 @@ class Network:
         self.slot = np.empty(n, np.int32)
         self.slot[order] = np.arange(n)
         full = np.full(self.classes * size, 1e-6)
-        full[: n] = weight[order]
+        full[:n] = weight[order]
         full = full.reshape(self.classes, size)
         self.near = (rng.standard_normal((2 * window, n + 1, hidden)) * 0.1).astype(np.float32)
         self.bias = np.zeros(hidden, np.float32)
@@ -128,130 +162,161 @@ class Network:
         self.to_word = (rng.standard_normal((self.classes, hidden, size)) * 0.1).astype(np.float32)
         self.word_bias = np.log(full / full.sum(axis=1, keepdims=True)).astype(np.float32)
 
-    def numbers(self, tokens: list[str], table: dict[str, int]) -> np.ndarray:
-        return np.fromiter((table.get(t, 0) for t in tokens), np.int32, len(tokens))
-
     def framed(self, numbers: np.ndarray) -> np.ndarray:
         edge = np.full(self.window, self.edge, np.int32)
         return np.concatenate([edge, numbers, edge])
 
-    def _hidden(self, framed: np.ndarray, at: np.ndarray) -> np.ndarray:
-        total = np.broadcast_to(self.bias, (len(at), len(self.bias))).copy()
-        k = 0
-        for step in range(-self.window, self.window + 1):
-            if step:
-                total += self.near[k][framed[at + step]]
-                k += 1
+    def windows(self, framed: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A row per place of ``at``: its neighbours from left to right, then the token itself."""
+        steps = [k for k in range(-self.window, self.window + 1) if k]
+        return framed[at[:, None] + np.array([*steps, 0])]
+
+    def _hidden(self, rows: np.ndarray) -> np.ndarray:
+        total = np.broadcast_to(self.bias, (len(rows), len(self.bias))).copy()
+        for k in range(2 * self.window):
+            total += self.near[k][rows[:, k]]
         return np.tanh(total, out=total)
 
-    def log_probabilities(self, framed: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of the token at each place of ``at``, given its neighbours."""
-        h = self._hidden(framed, at)
-        slot = self.slot[framed[at]]
-        c, w = slot // self.size, slot % self.size
-        out = np.empty(len(at), np.float64)
-        logits = h @ self.to_class + self.class_bias
-        rows = np.arange(len(at))
-        top = logits.max(axis=1)
-        out[:] = logits[rows, c] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            some = order[cuts[k] : cuts[k + 1]]
-            if len(some):
-                z = h[some] @ self.to_word[k] + self.word_bias[k]
-                top = z.max(axis=1)
-                out[some] += z[np.arange(len(some)), w[some]] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
-        return out - (framed[at] == 0) * np.log(self.rare + 1.0)
-
-    def train(self, texts: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.3, batch: int = 1024) -> None:
-        """Stochastic gradient steps with Adagrad on every place of ``texts``."""
-        if not texts:
-            return
-        framed = np.concatenate([self.framed(t) for t in texts])
-        places = np.flatnonzero(framed != self.edge)
-        rng = np.random.default_rng(5)
-        rate /= 3
-        parts = {"near": self.near, "bias": self.bias, "to_class": self.to_class, "class_bias": self.class_bias, "to_word": self.to_word, "word_bias": self.word_bias}
-        square = {k: np.full_like(v, 1e-2) for k, v in parts.items()}
-        for _ in range(epochs):
-            rng.shuffle(places)
-            for start in range(0, len(places), batch):
-                at = places[start : start + batch]
-                h = self._hidden(framed, at)
-                slot = self.slot[framed[at]]
-                c, w, rows = slot // self.size, slot % self.size, np.arange(len(at))
-                grad = {}
-                p = h @ self.to_class + self.class_bias
-                p = np.exp(p - p.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[rows, c] -= 1
-                grad["to_class"], grad["class_bias"] = h.T @ p, p.sum(axis=0)
-                dh = p @ self.to_class.T
-                z = np.einsum("bh,bhs->bs", h, self.to_word[c]) + self.word_bias[c]
-                z = np.exp(z - z.max(axis=1, keepdims=True))
-                z /= z.sum(axis=1, keepdims=True)
-                z[rows, w] -= 1
-                dh += np.einsum("bs,bhs->bh", z, self.to_word[c])
-                grad["word_bias"] = np.zeros_like(self.word_bias)
-                np.add.at(grad["word_bias"], c, z)
-                grad["to_word"] = np.zeros_like(self.to_word)
-                order = np.argsort(c, kind="stable")
-                cuts = np.searchsorted(c[order], np.arange(self.classes + 1))
-                for k in np.unique(c):
-                    some = order[cuts[k] : cuts[k + 1]]
-                    grad["to_word"][k] = h[some].T @ z[some]
-                dh *= 1 - h * h
-                grad["bias"] = dh.sum(axis=0)
-                for k, v in grad.items():
-                    v /= len(at)
-                    square[k] += v * v
-                    parts[k] -= rate * v / np.sqrt(square[k])
-                dh /= len(at)
-                k = 0
-                for step in range(-self.window, self.window + 1):
-                    if step:
-                        n = framed[at + step]
-                        some, inverse = np.unique(n, return_inverse=True)
-                        g = np.zeros((len(some), dh.shape[1]), np.float32)
-                        np.add.at(g, inverse, dh)
-                        square["near"][k, some] += g * g
-                        self.near[k, some] -= rate * g / np.sqrt(square["near"][k, some])
-                        k += 1
-
-
-def train(docs: DataFrame, vocabulary: int | None = None, most: int | None = None) -> Network:
-    """Vocabulary, biases, spelling and weights from all of ``docs``; weights from ``most`` of them only where the caller says so."""
+    def _by_class(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Rows ordered by the class of their token, classes and places in it, and each class's stretch of the rows."""
+        slot = self.slot[rows[:, -1]]
+        order = np.argsort(slot, kind="stable")
+        c, w = slot[order] // self.size, slot[order] % self.size
+        cuts = np.searchsorted(c, np.arange(self.classes + 1))
+        return order, c, w, [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+
+    def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
+        """Of the token of every row (see :meth:`windows`), given its neighbours."""
+        order, c, w, stretches = self._by_class(rows)
+        h = self._hidden(rows[order])
+        z = h @ self.to_class + self.class_bias
+        at = np.arange(len(rows))
+        got = z[at, c] - _log_sum(z)
+        for k, a, b in stretches:
+            z = h[a:b] @ self.to_word[k] + self.word_bias[k]
+            got[a:b] += z[at[: b - a], w[a:b]] - _log_sum(z)
+        out = np.empty(len(rows), np.float32)
+        out[order] = got
+        return out
+
+    def trainer(self, rate: float = 0.3) -> "Trainer":
+        return Trainer(self, rate)
+
+
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    top = z.max(axis=1)
+    return top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+
+
+class Trainer:
+    """Gradient steps with Adagrad; ``seen``: rows trained on."""
+
+    def __init__(self, net: Network, rate: float):
+        self.net, self.rate, self.seen = net, rate, 0
+        self.square = {k: np.full_like(getattr(net, k), 1e-2) for k in PARTS}
+
+    def _step(self, part: str, gradient: np.ndarray, at=...) -> None:
+        self.square[part][at] += gradient * gradient
+        getattr(self.net, part)[at] -= self.rate * gradient / np.sqrt(self.square[part][at])
+
+    def batch(self, rows: np.ndarray) -> None:
+        net = self.net
+        order, c, w, stretches = net._by_class(rows)
+        rows, at = rows[order], np.arange(len(rows))
+        h = net._hidden(rows)
+        scale = np.float32(1 / len(rows))
+        p = _softmax(h @ net.to_class + net.class_bias)
+        p[at, c] -= 1
+        p *= scale
+        dh = p @ net.to_class.T
+        self._step("to_class", h.T @ p)
+        self._step("class_bias", p.sum(axis=0))
+        for k, a, b in stretches:
+            z = _softmax(h[a:b] @ net.to_word[k] + net.word_bias[k])
+            z[at[: b - a], w[a:b]] -= 1
+            z *= scale
+            dh[a:b] += z @ net.to_word[k].T
+            self._step("to_word", h[a:b].T @ z, k)
+            self._step("word_bias", z.sum(axis=0), k)
+        dh *= 1 - h * h
+        self._step("bias", dh.sum(axis=0))
+        for k in range(2 * net.window):
+            near = np.argsort(rows[:, k], kind="stable")
+            some, starts = np.unique(rows[near, k], return_index=True)
+            self._step("near", np.add.reduceat(dh[near], starts, axis=0), (k, some))
+        self.seen += len(rows)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def masked_places(text: str, n: int, share: float = MASKED) -> np.ndarray:
+    """A share of the places 0 to n - 1, spread evenly from a start that depends on the text."""
+    turns = (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B1) + np.uint64(zlib.crc32(text.encode("utf-8", "replace")))) & np.uint64(0xFFFFFFFF)
+    return np.flatnonzero(turns < np.uint64(int(share * 2**32)))
+
+
+def train(docs: DataFrame, vocabulary: int | None = None, share: float = MASKED, batch: int = 2048) -> Network:
+    """Vocabulary, biases, spelling, counts of rare tokens and weights, all from the whole of ``docs``."""
+    spark = docs.sparkSession
     counts = scratch.write(count_tokens(docs), "tokens")
     total = counts.agg(F.sum("n")).first()[0] or 0
     if vocabulary is None:
-        vocabulary = max(VOCABULARY, math.isqrt(total) // 4)
+        vocabulary = max(VOCABULARY, math.isqrt(total) // 8)
     top = counts.orderBy(F.col("n").desc(), "token").limit(vocabulary).collect()
     words = [r.token for r in top]
     network = Network(words, [r.n for r in top], total - sum(r.n for r in top), max(CLASS, math.isqrt(vocabulary)))
-    network.spelling = spelling(counts, words)
+    known = spark.createDataFrame([(w,) for w in words], "token string")
+    rare = scratch.write(counts.join(F.broadcast(known), "token", "left_anti"), "rare")  # the vocabulary: its size is a parameter
+    network.spelling, network.often = spelling(rare), slots_of(rare)
     scratch.drop(counts)
+    scratch.drop(rare)
     if not total:
         return network
-    groups = max(1, min(GROUPS, total // LEAST), total // MOST)
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if most is not None:
-        texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    shared = docs.sparkSession.sparkContext.broadcast({k: v for k, v in vars(network).items() if k != "spelling"})
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {w: k + 1 for k, w in enumerate(shared.value["words"])}
-        for batch in batches:
-            numbers = [np.fromiter((table.get(t, 0) for t in tokens_of(x.as_py())), "<i4").tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.binary())], ["part", "numbers"])
+    groups = max(1, min(GROUPS, total // GROUP))
+    shared = spark.sparkContext.broadcast({k: v for k, v in vars(network).items() if k not in ("spelling", "often")})
 
-    def trained(table: pa.Table) -> pa.Table:
+    def given() -> Network:
         net = Network.__new__(Network)
         vars(net).update({k: v.copy() if k in PARTS else v for k, v in shared.value.items()})
-        rows = [np.frombuffer(x, "<i4") for x in sorted(table["numbers"].to_pylist())]
-        net.train(rows)
+        return net
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = given()
+        get = {w: k + 1 for k, w in enumerate(net.words)}.get
+        for some in batches:
+            rows = []
+            for x in some.column(1):
+                text = x.as_py()
+                tokens = tokens_of(text)
+                framed = net.framed(np.array([get(t, 0) for t in tokens], np.int32))
+                rows.append(net.windows(framed, masked_places(text, len(tokens), share) + net.window).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, pa.binary())], ["key", "rows"])
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, held, size = given(), [], 0
+        trainer = net.trainer()
+
+        def work(rows: np.ndarray):
+            for k in range(0, len(rows), batch):
+                trainer.batch(rows[k : k + batch])
+
+        for some in batches:
+            for x in some.column(1):
+                held.append(np.frombuffer(x.as_py(), "<i4").reshape(-1, 2 * net.window + 1))
+                size += len(held[-1])
+                if size >= 64 * batch:
+                    rows = np.random.default_rng(5).permutation(np.concatenate(held))
+                    cut = len(rows) - len(rows) % batch
+                    work(rows[:cut])
+                    held, size = [rows[cut:]], len(rows) - cut
+        if size:
+            work(np.random.default_rng(5).permutation(np.concatenate(held)))
         weights = np.concatenate([getattr(net, k).ravel() for k in PARTS]).astype("<f4")
-        return pa.table({"part": table["part"][:1].cast(pa.int64()), "n": pa.array([sum(map(len, rows))], pa.int64()), "weights": pa.array([weights.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.seen], pa.int64()), pa.array([weights.tobytes()], pa.binary())], ["part", "n", "weights"])
 
     def mean(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["part"].to_pylist(), table["n"].to_pylist(), table["weights"]))  # parts differ
@@ -259,50 +324,78 @@ def train(docs: DataFrame, vocabulary: int | None = None, most: int | None = Non
         out = np.zeros(len(rows[0][2].as_py()) // 4)
         for _, m, w in rows:
             out += np.frombuffer(w.as_py(), "<f4") * (m / max(n, 1))
-        return pa.table({"part": pa.array([rows[0][0]], pa.int64()), "n": pa.array([n], pa.int64()), "weights": pa.array([out.astype("<f4").tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([rows[0][0] // FAN], pa.int64()), "n": pa.array([n], pa.int64()), "weights": pa.array([out.astype("<f4").tobytes()], pa.binary())})
 
     kind = "part long, n long, weights binary"
-    rows = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("part"), "text").mapInArrow(number, "part long, numbers binary")
-    # Means of means: no task holds more than about the root of all networks, the driver one.
-    some = scratch.write(rows.groupBy("part").applyInArrow(trained, kind), "networks")
-    some = some.withColumn("over", F.col("part") % math.isqrt(groups)).groupBy("over").applyInArrow(mean, kind)
-    found = some.withColumn("over", F.lit(0)).groupBy("over").applyInArrow(mean, kind).collect()
-    at, weights = 0, np.frombuffer(bytes(found[0].weights), "<f4") if found else None
-    for k in PARTS if found else ():
+    # The partition in the key spreads rows that are alike, however many there are.
+    texts = docs.where("text is not null").select(F.xxhash64("doc_id", "text", F.spark_partition_id()).alias("key"), F.col("text").cast("string").alias("text"))
+    dealt = texts.mapInArrow(mask, "key long, rows binary").repartition(groups, "key").sortWithinPartitions("key", "rows")
+    networks = scratch.write(dealt.mapInArrow(trained, kind), "networks")
+    while groups > 1:
+        networks = scratch.write(networks.groupBy(F.floor(F.col("part") / FAN).alias("over")).applyInArrow(mean, kind), "networks")
+        groups = -(-groups // FAN)
+    at, weights = 0, np.frombuffer(bytes(networks.first().weights), "<f4")
+    for k in PARTS:
         old = getattr(network, k)
         setattr(network, k, weights[at : at + old.size].reshape(old.shape).copy())
         at += old.size
     return network
 
 
+class Scorer:
+    """Scores texts by a network; keeps what it found out about up to ``KNOWN`` tokens."""
+
+    def __init__(self, net: Network):
+        self.net = net
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {w: k + 1 for k, w in enumerate(self.net.words)}  # as they are numbered; others follow
+        self.rare = len(self.place) + 1
+        self.value = np.zeros(0)
+
+    def places(self, texts: list[list[str]]) -> np.ndarray:
+        """A number for every token, from ``rare`` on for those outside the vocabulary."""
+        if len(self.place) > KNOWN:
+            self._forget()
+        new = list(set().union(*texts).difference(self.place))
+        if new:
+            self.place.update(zip(new, range(len(self.place) + 1, len(self.place) + len(new) + 1)))
+            as_bytes = [t.encode("utf-8", "replace") for t in new]
+            slot = np.fromiter(map(zlib.crc32, as_bytes), np.int64, len(new)) & (len(self.net.often) - 1)
+            self.value = np.concatenate([self.value, spelt(self.net.spelling, as_bytes) + self.net.often[slot]])
+        return np.fromiter(map(self.place.__getitem__, chain.from_iterable(texts)), np.int32, sum(map(len, texts)))
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of tokens and sum of log-probabilities of every text."""
+        net, tokens = self.net, [tokens_of(x) for x in texts]
+        sizes = np.array([len(x) for x in tokens])
+        number = self.places(tokens)
+        rare = number >= self.rare
+        value = np.zeros(len(number))
+        value[rare] = self.value[number[rare] - self.rare]
+        number[rare] = 0
+        # Each text's frame of edges shifts what follows it.
+        framed = np.full(len(number) + 2 * net.window * len(sizes), net.edge, np.int32)
+        places = np.arange(len(number)) + net.window * (2 * np.repeat(np.arange(len(sizes)), sizes) + 1)
+        framed[places] = number
+        for k in range(0, len(places), STEP):
+            value[k : k + STEP] += net.log_probabilities(net.windows(framed, places[k : k + STEP]))
+        return sizes, np.bincount(np.repeat(np.arange(len(sizes)), sizes), value, len(sizes))
+
+
 def scored(docs: DataFrame, network: Network) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (natural logarithms, summed), mean of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(network))  # vocabulary times hidden units, and the pairs of characters
+    shared = docs.sparkSession.sparkContext.broadcast(vars(network))  # vocabulary times hidden units, pairs of bytes, slots
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.__new__(Network)
         vars(net).update(shared.value)
-        table = {w: k + 1 for k, w in enumerate(net.words)}
-        constant, spelt = math.log(net.rare + 1.0), {}
-
-        def spell(token: str) -> float:
-            if token not in spelt:
-                if len(spelt) > 200_000:
-                    spelt.clear()
-                spelt[token] = net.spelling(token) + constant  # instead of the even share
-            return spelt[token]
-
+        scorer = Scorer(net)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 some = batch.slice(start, 256)
-                tokens = [tokens_of(x.as_py()) for x in some.column(1)]
-                spelling = np.array([sum(spell(t) for t in x if t not in table) for x in tokens], np.float64)
-                numbers = [net.framed(net.numbers(x, table)) for x in tokens]
-                framed = np.concatenate(numbers)
-                places = np.flatnonzero(framed != net.edge)
-                value = np.concatenate([net.log_probabilities(framed, places[k : k + STEP]) for k in range(0, len(places), STEP)] or [np.zeros(0)])
-                sizes = np.array([len(x) - 2 * net.window for x in numbers])
-                sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), value, len(sizes)) + spelling
+                sizes, sums = scorer(some.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array([s / n if n else None for s, n in zip(sums, sizes)], pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
