@@ -2,18 +2,19 @@
 
 Every text gets a 64-bit fingerprint. Rows with one fingerprint collapse first, so that copies cost
 nothing later. A fingerprint maps to the bit counts of its 32 two-bit segments. One changed bit changes
-one count by one, so the Manhattan distance of two such vectors is a lower bound of the Hamming distance. The
-vectors' halves are cells of two 16-dimensional grids: of at most two changed bits, one half sees at most one,
-so a fingerprint probes, in each half, its own cell and those
-one step up (the other end of a link probes for those one step down). Hits must pass the bound over all
-segments, then the exact Hamming distance.
-
-A cell that holds more than ``DENSE`` fingerprints isn't expanded into pairs. All fingerprints that lie in or
-probe such a cell are linked through common neighbours instead: two values differ in at most two bits if and only if
+one count by one, so the Manhattan distance of two such vectors is a lower bound of the Hamming distance. The range join under that
+distance goes by a grid: the segments form ``GROUPS`` groups, at most two of which two changed bits can touch, so two
+vectors within the range agree in all but two groups. Every choice of groups to agree on is a cell, and a
+fingerprint lies in one cell of each (28 of 24 segments); hits must pass the bound over all
+segments, then the exact Hamming distance. A cell of 24 segments holds a share of about 6e-11 of even fingerprints, so cells stay small
+up to some 10^10 of them.
+
+Only clusters of many fingerprints a few bits apart crowd a cell. One that holds more than ``DENSE`` isn't expanded into pairs: its
+fingerprints are linked through common neighbours instead: two values differ in at most two bits if and only if
 some value is within one bit of both, so each one joins the groups of its 65 such values, which is exact as well.
 
 Components are found on distinct fingerprints by alternating large-star and small-star steps; lineage is cut
-by tables in the shared folder, and nothing but a count reaches the driver.
+by tables in the shared folder, and nothing but sums reaches the driver.
 
 Edge cases: a null text counts as empty; texts without words have fingerprint zero, which links like any
 other; fewer than three words give one shingle of all of them; component_id is the smallest doc_id, null only where all of a
@@ -23,6 +24,7 @@ component's are; repeated rows come out once each; other columns are ignored unl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,10 @@ from hondana.llm import scratch
 SHINGLE = 3
 SEED = 42
 MOST_BITS = 2
+GROUPS = 8
 DENSE = 64
 #: For :func:`similar`: shingles that a task packs before it passes them on.
-PACK = 2_000_000
+PACK = 500_000
 
 
 def hashes_of(text: str | None, shingle: int = SHINGLE) -> list[int]:
@@ -89,10 +92,19 @@ def _counts(fp: Column, half: int) -> Column:
     return bits.bitwiseAND(low) + F.shiftrightunsigned(bits, 1).bitwiseAND(low)
 
 
-def _probes(cell: Column) -> Column:
-    """The cell, and the valid cells where one count is one more (counts stay within 0 to 2): of two cells a step apart, the lower one probes the upper."""
-    steps = [F.when(F.shiftrightunsigned(cell, 2 * k).bitwiseAND(F.lit(3)) < 2, cell + F.lit(1 << 2 * k)) for k in range(16)]
-    return F.filter(F.array(cell, *steps), lambda x: x.isNotNull())
+def _cells(fp: Column, groups: int = GROUPS) -> Column:
+    """array<struct<choice,cell>>: for every choice of two groups to leave out, the counts of all other groups."""
+    width = 64 // groups
+    counts = _counts(fp, 0).bitwiseOR(F.shiftleft(_counts(fp, 1), 32))
+    out = []
+    for number, gone in enumerate(combinations(range(groups), MOST_BITS)):
+        mask = sum(((1 << width) - 1) << (width * g) for g in range(groups) if g not in gone)
+        out.append(F.struct(F.lit(number).alias("choice"), counts.bitwiseAND(F.lit(_signed(mask))).alias("cell")))
+    return F.array(*out)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def manhattan(x: Column, y: Column) -> Column:
@@ -108,32 +120,36 @@ def manhattan(x: Column, y: Column) -> Column:
 
 def links(values: DataFrame, dense: int = DENSE) -> DataFrame:
     """Edges (a, b) between values (column fp, distinct) whose graph has the components of Hamming distance at most 2."""
-    halves = F.explode(F.array(*[F.struct(F.lit(h).alias("half"), _counts(F.col("fp"), h).alias("cell")) for h in (0, 1)])).alias("at")
-    cells = values.select("fp", halves).select("fp", "at.*")
-    crowded = scratch.write(cells.groupBy("half", "cell").count().where(F.col("count") > dense).select("half", "cell"), "dense_cells")
-    probes = cells.select("fp", "half", F.posexplode(_probes(F.col("cell"))).alias("step", "cell"))
-    sparse = cells.join(crowded, ["half", "cell"], "left_anti") if crowded.take(1) else cells
-    a, b = probes.alias("a"), sparse.alias("b")
-    same_cell = F.expr("a.half = b.half and a.cell = b.cell and (a.step > 0 or a.fp > b.fp)")
+    cells = values.select("fp", F.explode(_cells(F.col("fp"))).alias("at")).select("fp", "at.*")
+    sizes = cells.groupBy("choice", "cell").count().where("count > 1")
+    shared = scratch.write(cells.join(sizes, ["choice", "cell"]), "cells")  # most fingerprints are alone in their cells
+    a, b = shared.where(F.col("count") <= dense).alias("a"), shared.alias("b")
     x, y = F.col("a.fp"), F.col("b.fp")
     near = (manhattan(x, y) <= MOST_BITS) & (F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS)
-    pairs = a.join(b, same_cell & near).select(x.alias("a"), y.alias("b"))
-    if not crowded.take(1):
+    pairs = a.join(b, F.expr("a.choice = b.choice and a.cell = b.cell and a.fp > b.fp") & near).select(x.alias("a"), y.alias("b"))
+    inside = shared.where(F.col("count") > dense).select("fp").distinct()
+    if not inside.take(1):
         return pairs
-    inside = probes.join(crowded, ["half", "cell"], "left_semi").select("fp").distinct()
-    near_values = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(v - (1 << 64) if v >> 63 else v)) for v in (1 << k for k in range(64))])
+    near_values = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)])
     around = inside.select("fp", F.explode(near_values).alias("point"))
     least = around.groupBy("point").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = around.join(least, "point").where("fp > b").select(F.col("fp").alias("a"), "b").distinct()
     return pairs.unionByName(stars)
 
 
+def _sum(edges: DataFrame) -> tuple:
+    """Number of edges and a sum over their hashes: equal for equal sets."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of ``edges`` (a, b).
 
     Large-star links every larger neighbour of a node to the least of it and its neighbours, small-star every smaller one; both keep components. Together they end, in about log(n) rounds, in stars.
+    A star's centre has many edges but one row of ``least``, so the join on it splits like any hot key.
     """
     edges = scratch.write(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = _sum(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("m"))
@@ -143,10 +159,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(lower, F.col("a") == F.col("node"))
         small = small.select(F.col("a"), F.col("m").alias("b")).union(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         after = scratch.write(small, "edges")
-        same = after.count() == edges.count() and not after.exceptAll(edges).take(1)
         scratch.drop(edges)
-        edges = after
-        if same:
+        edges, was, before = after, before, _sum(after)
+        if was == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -167,12 +182,8 @@ def _words_key(text: str | None) -> int:
     return xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), SEED)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def keyed(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, key (of the sequence of words), size (distinct shingles) of every row."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of the sequence of words), words (how many) of every row."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,14 +191,15 @@ def keyed(docs: DataFrame, shingle: int) -> DataFrame:
             for x in batch.column(1):
                 text = x.as_py()
                 keys.append(_signed(_words_key(text)))
-                sizes.append(len(set(hashes_of(text, shingle))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "key", "size"])
+                sizes.append(len((text or "").split()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "key", "words"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measured, "doc_id long, key long, size long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measured, "doc_id long, key long, words long")
 
 
 def shared_shingles(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
-    """key, token, n of every shingle (its hash, ``token``) that n > 1 distinct sequences of words hold, once for each that does.
+    """key, token, n of every shingle (its hash, ``token``) that n > 1 distinct sequences of words hold, once for each that does;
+    and with token null the number n of distinct shingles of every sequence.
 
     Shingles travel packed, by ``parts`` remainders of their hashes, so the shuffle moves 16 bytes each.
     """
@@ -196,14 +208,17 @@ def shared_shingles(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
         held, keys, total = [], [], 0
 
         def out():
-            token, owner = np.concatenate(held), np.repeat(np.array(keys, np.uint64), [len(x) for x in held])
-            part = token % np.uint64(parts)
+            sizes = np.array([len(x) for x in held], np.int64)
+            owner = np.array(keys, np.uint64)
+            # Sizes go as parts of their own, the negative ones.
+            part = np.concatenate([(np.concatenate(held) % np.uint64(parts)).astype(np.int64), -1 - (owner % np.uint64(parts)).astype(np.int64)])
+            token, owner = np.concatenate([*held, sizes.astype(np.uint64)]), np.concatenate([np.repeat(owner, sizes), owner])
             order = np.argsort(part, kind="stable")
             token, owner, part = token[order], owner[order], part[order]
             some, starts = np.unique(part, return_index=True)
             ends = [*starts[1:], len(part)]
             cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), cut(token), cut(owner)], ["part", "tokens", "owners"])
+            return pa.RecordBatch.from_arrays([pa.array(some), cut(token), cut(owner)], ["part", "tokens", "owners"])
 
         seen: set[int] = set()
         for batch in batches:
@@ -215,7 +230,7 @@ def shared_shingles(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
                 seen.add(key)
                 keys.append(key)
                 held.append(np.unique(np.array(hashes_of(text, shingle), np.uint64)))
-                total += len(held[-1])
+                total += len(held[-1]) + 1
                 if total > PACK:
                     yield out()
                     held, keys, total = [], [], 0
@@ -226,15 +241,18 @@ def shared_shingles(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
     def shared(table: pa.Table) -> pa.Table:
         token = np.frombuffer(b"".join(x.as_py() for x in table["tokens"]), "<u8")
         owner = np.frombuffer(b"".join(x.as_py() for x in table["owners"]), "<u8")
+        if table["part"][0].as_py() < 0:
+            owner, first = np.unique(owner, return_index=True)
+            return pa.table({"key": owner.view(np.int64), "token": pa.nulls(len(owner), pa.int64()), "n": token[first].view(np.int64)})
         order = np.lexsort((owner, token))
         token, owner = token[order], owner[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])  # copies in several batches count once
         token, owner = token[new], owner[new]
-        _, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
-        n = count[inverse]
-        several = n > 1
-        return pa.table({"key": owner[several].view(np.int64), "token": token[several].view(np.int64), "n": n[several].astype(np.int64)})
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        count = np.diff(np.r_[starts, len(token)])
+        several = np.repeat(count > 1, count)
+        return pa.table({"key": owner[several].view(np.int64), "token": token[several].view(np.int64), "n": np.repeat(count, count)[several].astype(np.int64)})
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(packed, "part long, tokens binary, owners binary")
     return rows.groupBy("part").applyInArrow(shared, "key long, token long, n long")
@@ -243,33 +261,22 @@ def shared_shingles(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose Jaccard similarity, from all shingles both hold, is at least ``least``."""
     side = lambda key, size, held: sets.select(F.col("key").alias(key), F.col("size").alias(size), F.col("tokens").alias(held))
-
-    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y, xs, ys = batch.columns
-            flags = []
-            for m, n, p, q in zip(x, y, xs, ys):
-                both = len(np.intersect1d(p.values.to_numpy(), q.values.to_numpy(), assume_unique=True))
-                flags.append(both >= least * (m.as_py() + n.as_py() - both) - 1e-9)
-            keep = pa.array(flags, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
-
-    return pairs.join(side("a", "x", "xs"), "a").join(side("b", "y", "ys"), "b").select("a", "b", "x", "y", "xs", "ys").mapInArrow(good, "a long, b long")
+    both = F.size(F.array_intersect("xs", "ys"))
+    return pairs.join(side("a", "x", "xs"), "a").join(side("b", "y", "ys"), "b").where(both >= least * (F.col("x") + F.col("y") - both) - 1e-9).select("a", "b")
 
 
-def similar_pairs(docs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """node, root: components of all pairs of ``texts`` (key, size) of similarity ``least`` or more, for the texts that have one.
+def similar_pairs(docs: DataFrame, words: int, shingle: int, least: float) -> DataFrame:
+    """node, root: components of all pairs of texts of similarity ``least`` or more, by key, for the texts that have one; ``words``: of all texts.
 
     Prefix filter: shingles in order of the number of texts that hold them; of two similar texts of size m, each must share one of its first
     m - ceil(least * m) + 1 with the other, and shingles of one text only never do. So texts are candidates that share such a shingle and whose sizes allow it.
     Each is first compared with the ends of every group that shares one; then all pairs of a group that those links leave in different components are.
     """
     spark = docs.sparkSession
-    total = texts.agg(F.sum("size")).first()[0] or 0
-    parts = max(total >> 18, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = shared_shingles(docs, shingle, parts).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("held"))
+    parts = max(words >> 18, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = shared_shingles(docs, shingle, parts).groupBy("key").agg(F.max(F.when(F.col("token").isNull(), F.col("n"))).alias("size"), F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("n", "token")))).alias("held"))
     room = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1 - (F.col("size") - F.size("held"))
-    sets = found.join(texts.select("key", "size"), "key").withColumn("room", room.cast("int")).where("room > 0")
+    sets = found.where(F.size("held") > 0).withColumn("room", room.cast("int")).where("room > 0")
     sets = sets.select("key", "size", F.slice("held.token", 1, F.col("room")).alias("first"), F.col("held.token").alias("tokens"))
     sets = scratch.write(sets, "sets")
     index = scratch.write(sets.select("key", "size", F.explode("first").alias("token")), "index")
@@ -282,23 +289,61 @@ def similar_pairs(docs: DataFrame, texts: DataFrame, shingle: int, least: float)
     edges = scratch.write(verified(once(stars), sets, least), "links")
     rooted = index.join(components(edges), F.col("key") == F.col("node"), "left").select("key", "size", "token", F.coalesce("root", "key").alias("root"))
     rooted = scratch.write(rooted, "rooted")
-    # In a group of several components, every text outside the commonest one meets all texts of others.
+    # In a group of several components, every text outside the commonest one meets such texts of others as sizes and bits allow.
     common = rooted.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    mixed = rooted.join(common, "token")
-    a = mixed.where("root != most").select("token", F.col("key").alias("a"), F.col("size").alias("x"), F.col("root").alias("r"))
-    b = mixed.select(F.col("token").alias("at"), F.col("key").alias("b"), F.col("size").alias("y"), F.col("root").alias("s"), (F.col("root") == F.col("most")).alias("of_most"))
-    rest = a.join(b, (F.col("token") == F.col("at")) & (F.col("r") != F.col("s")) & fits & (F.col("of_most") | (F.col("a") < F.col("b"))))
+    mixed = scratch.write(rooted.join(common, "token"), "mixed")
+    known = mixed.join(with_bits(sets.join(mixed.select("key").distinct(), "key")), "key").join(sets.select("key", "first"), "key")
+    a = known.where("root != most").select("token", F.col("key").alias("a"), F.col("size").alias("x"), F.col("root").alias("r"), F.col("held").alias("m"), F.col("bits").alias("u"), F.col("first").alias("p"))
+    b = known.select(F.col("token").alias("at"), F.col("key").alias("b"), F.col("size").alias("y"), F.col("root").alias("s"), (F.col("root") == F.col("most")).alias("of_most"), F.col("held").alias("n"), F.col("bits").alias("v"), F.col("first").alias("q"))
+    # Two texts of several groups in common meet in one: that of the first shingle their prefixes share, in the order of hashes.
+    once_only = F.array_min(F.array_intersect("p", "q")) == F.col("token")
+    rest = a.join(b, (F.col("token") == F.col("at")) & (F.col("r") != F.col("s")) & fits & (F.col("of_most") | (F.col("a") < F.col("b"))) & _may_be_alike(least) & once_only)
     return components(edges.unionByName(verified(once(rest), sets, least)))
 
 
+def with_bits(sets: DataFrame) -> DataFrame:
+    """key, held (shared shingles), bits: a bit for each of them by its hash's low bits, some four to eight times as many as the text has shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for size, tokens in zip(batch.column(1).to_pylist(), batch.column(2)):
+                flags = np.zeros(64 << max(0, size.bit_length() - 4), bool)
+                flags[tokens.values.to_numpy().view(np.uint64) & np.uint64(len(flags) - 1)] = True
+                rows.append(np.packbits(flags, bitorder="little").view("<i8"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in batch.column(2)], pa.int32()), pa.array(rows, pa.list_(pa.int64()))], ["key", "held", "bits"])
+
+    return sets.select("key", "size", "tokens").mapInArrow(run, "key long, held int, bits array<long>")
+
+
+def _may_be_alike(least: float) -> Column:
+    """Whether two texts (x and y shingles, m and n of them shared, bits u and v) can reach ``least``: a bit that only one has stands for a shingle that only it has.
+
+    Sizes that allow the similarity differ by less than two, so one of the bit arrays is at most twice as long; its halves then fold onto each other.
+    """
+    u, v = F.col("u"), F.col("v")
+
+    def folded(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q))
+
+    def apart(p: Column, q: Column) -> Column:
+        return F.bit_count(p.bitwiseAND(F.bitwise_not(q))).cast("long") + F.shiftleft(F.bit_count(q.bitwiseAND(F.bitwise_not(p))).cast("long"), 32)
+
+    wide, narrow = F.when(F.size(u) > F.size(v), folded(u)).otherwise(u), F.when(F.size(v) > F.size(u), folded(v)).otherwise(v)
+    both = F.aggregate(F.zip_with(wide, narrow, apart), F.lit(0).cast("long"), lambda t, k: t + k)
+    common = F.transform(F.array(both), lambda k: F.least(F.col("m") - k.bitwiseAND(F.lit(0xFFFFFFFF)), F.col("n") - F.shiftrightunsigned(k, 32)))[0]
+    return common >= F.lit(least / (1 + least)) * (F.col("x") + F.col("y")) - 1e-6
+
+
 def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """key, doc_id (the smallest of the group), chosen (the key that has it), rows (with both) for every distinct sequence of words.
 
     Groups are the components of all pairs with a Jaccard similarity of shingles of at least ``least``, found and measured exactly.
     """
-    all_rows = scratch.write(keyed(docs, shingle), "keyed")
-    texts = scratch.write(all_rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("size").alias("size")), "texts")
-    roots = similar_pairs(docs, texts, shingle, least)
+    all_rows = scratch.write(keyed(docs), "keyed")
+    texts = scratch.write(all_rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")), "texts")
+    roots = similar_pairs(docs, texts.agg(F.sum("words")).first()[0] or 0, shingle, least)
     rooted = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("m"))
     named = rooted.join(best, "root").select("key", F.col("m.least").alias("doc_id"), F.col("m.key").alias("chosen"))
