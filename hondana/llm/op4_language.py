@@ -4,8 +4,8 @@ Each language has a tree of byte contexts of up to ``ORDER`` bytes. A byte is co
 that the language's tree holds; where it never followed there, an escape is coded and the next shorter
 context is asked, down to an even spread over all bytes. Escape probabilities are those of PPM method C: distinct
 followers over count plus distinct followers. The statistics are frozen after training, so every code length
-is a fixed number per context and byte: the trees become one table with a row per context and a column per
-byte class, which holds the code lengths of all languages side by side, and a text costs one look-up per byte.
+is a fixed number per context and byte. A tree is kept as sorted arrays of what its training holds and no more, so that the trees grow with the
+languages in proportion; each distinct run of ORDER + 1 bytes of some texts is looked up once.
 
 A text's code length in a language is the exact sum over all its bytes (lower-cased letters, runs of
 anything else as one space). The shortest wins; the score is its share of exp(-code length / ``SCALE``)
@@ -13,7 +13,7 @@ over all languages.
 
 The trees take at most ``TRAIN`` documents per language (a documented bound), whole texts; every text is scored whole.
 
-Edge cases: null texts and texts without letters get ``und`` and score 0; equal code lengths go to the
+Edge cases: null texts and texts without letters (Unicode category L) get ``und`` and score 0; equal code lengths go to the
 first language by code point; without training rows all get ``und``; rows come out once each; other columns are ignored.
 """
 
@@ -27,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hondana.llm import sampling
+from hondana.llm import sampling, scratch
 
 FOLDS, HELD_OUT = 5, 0
 ORDER = 3
 TRAIN = 400
-TRAIN_BYTES = 1_500_000
 SCALE = 20.0
 SLICE = 1 << 20
 
@@ -41,108 +40,119 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 def letters(text: str | None) -> bytes:
     """Lower-cased words of letters, each run of anything else as one space; empty if there is no letter."""
-    plain = _OTHER.sub(" ", (text or "").lower()).strip()
+    plain = _OTHER.sub(" ", (text or "").lower())
+    # What is left beside letters: other numbers, such as fractions and Roman numerals.
+    if others := [c for c in set(plain) if not c.isalpha() and c != " "]:
+        plain = re.sub(f"[{re.escape(''.join(others))} ]+", " ", plain)
+    plain = plain.strip()
     return f" {plain} ".encode("utf-8", "surrogatepass") if plain else b""
 
 
+def _codes(data: np.ndarray, size: int) -> np.ndarray:
+    """Every run of ``size`` bytes as one number."""
+    wide = data.astype(np.uint32 if size <= 4 else np.uint64)
+    n = max(0, len(wide) - size + 1)
+    out = np.zeros(n, wide.dtype)
+    for k in range(size):
+        out = out << wide.dtype.type(8) | wide[k : k + n]
+    return out
+
+
+def _counted(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of ``size`` bytes in order, and how often each occurs; some bytes at a time."""
+    keys, times = _codes(data[:0], size), np.zeros(0, np.int64)
+    for at in range(0, max(0, len(data) - size + 1), SLICE):
+        more, n = np.unique(_codes(data[at : at + SLICE + size - 1], size), return_counts=True)
+        both = np.concatenate([keys, more])
+        keys, inverse = np.unique(both, return_inverse=True)
+        times = np.bincount(inverse, np.concatenate([times, n]), len(keys)).astype(np.int64)
+    return keys, times
+
+
 class Trees:
-    """Frozen code lengths: ``table[row of context, class of byte]`` holds float32 bits for every language."""
+    """Frozen code lengths in bits. ``levels[language][k]``: runs of k + 1 bytes in order and their costs, contexts of k bytes in order and the costs of their escapes."""
 
     def __init__(self, texts: dict[str, bytes], order: int = ORDER):
         self.languages, self.order = sorted(texts), order
-        data = {k: np.frombuffer(texts[k], np.uint8) for k in self.languages}
-        count = np.bincount(np.concatenate([*data.values(), np.zeros(0, np.uint8)]), minlength=256)
-        seen = np.flatnonzero(count)
-        self.byte_class = np.zeros(256, np.int64)
-        self.byte_class[seen] = np.arange(1, len(seen) + 1)  # 0: bytes that training never saw
-        self.n = n = len(seen) + 1
-        spread = -np.log2(1 / 256)
-        cost = np.full((1, n, len(self.languages)), spread, np.float32)
-        keys = np.zeros(1, np.int64)  # contexts of the present order, as numbers in base n, ascending
-        rows = [cost]
-        context_keys = [keys]
-        classes = {k: self.byte_class[v] for k, v in data.items()}
-        # Order 0 and up: each adds the contexts some language has seen, from the costs of their shorter context.
-        for k in range(order + 1):
-            grams = {}
-            for name, c in classes.items():
-                m = len(c) - k
-                code = np.zeros(max(m, 0), np.int64)
-                for j in range(k + 1):
-                    code = code * n + c[j : j + m] if m > 0 else code
-                grams[name] = np.unique(code, return_counts=True)
-            new = np.unique(np.concatenate([g // n for g, _ in grams.values()] + [np.zeros(0, np.int64)]))
-            shorter = np.searchsorted(keys, new % n ** max(k - 1, 0)) if k else np.zeros(len(new), np.int64)
-            cost = rows[-1][shorter].copy()
-            for i, name in enumerate(self.languages):
-                gram, times = grams[name]
-                at = np.searchsorted(new, gram // n)
-                total = np.bincount(at, times, len(new))
-                distinct = np.bincount(at, minlength=len(new))
-                has = total > 0
-                escape = np.zeros(len(new))
-                escape[has] = -np.log2(distinct[has] / (total[has] + distinct[has]))
-                cost[:, :, i] += escape[:, None].astype(np.float32)
-                cost[at, gram % n, i] = -np.log2(times / (total[at] + distinct[at]))
-            rows.append(cost)
-            context_keys.append(new)
-            keys = new
-        # One row number for every sequence of ``order`` classes: of the longest of its ends that a tree holds.
-        self.table = np.concatenate(rows[1:])
-        offsets = np.cumsum([0, *map(len, context_keys[1:])])
-        place = np.zeros(n**order, np.int32)
-        for k in range(order + 1):
-            block = place.reshape(-1, n**k) if k else place.reshape(-1, 1)
-            block[:, context_keys[k + 1]] = offsets[k] + np.arange(len(context_keys[k + 1]), dtype=np.int32)
-        self.place = place
+        self.levels = []
+        for name in self.languages:
+            data, levels = np.frombuffer(texts[name], np.uint8), []
+            for k in range(order + 1):
+                grams, times = _counted(data, k + 1)
+                contexts, at = np.unique(grams >> grams.dtype.type(8), return_inverse=True)
+                total, distinct = np.bincount(at, times, len(contexts)), np.bincount(at, minlength=len(contexts))
+                cost = -np.log2(times / (total + distinct)[at]) if len(at) else np.zeros(0)
+                levels.append((grams, cost.astype(np.float32), contexts, (-np.log2(distinct / (total + distinct)) if len(contexts) else np.zeros(0)).astype(np.float32)))
+            self.levels.append(levels)
+
+    def costs(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of every run of order + 1 bytes, in every language."""
+        out = np.zeros((len(codes), len(self.languages)), np.float32)
+        for i, levels in enumerate(self.levels):
+            left, mine = np.arange(len(codes)), out[:, i]
+            for k in range(self.order, -1, -1):
+                grams, cost, contexts, escape = levels[k]
+                own = codes[left] & codes.dtype.type((1 << 8 * (k + 1)) - 1)
+                own = own.astype(grams.dtype)
+                at, hit = _find(grams, own)
+                mine[left[hit]] += cost[at[hit]]
+                left, own = left[~hit], own[~hit] >> own.dtype.type(8)
+                at, hit = _find(contexts, own)
+                mine[left[hit]] += escape[at[hit]]
+            mine[left] += 8
+        return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of every text in every language, exact sums over all bytes."""
         out, k = np.zeros((len(texts), len(self.languages))), self.order
         sizes = np.array([len(t) + k for t in texts])  # each text starts after spaces of its own, which cost nothing
-        c = self.byte_class[np.frombuffer(b"".join(b" " * k + t for t in texts), np.uint8)]
+        data = np.frombuffer(b" " * k + b"".join(b" " * k + t for t in texts), np.uint8)  # k more in front: a run ends at each place
         ends = np.cumsum(sizes)
         lead = (ends - sizes)[:, None] + np.arange(k)
-        for a in range(0, len(c), SLICE):
-            b = min(a + SLICE, len(c))
-            code = np.zeros(b - a, np.int64)
-            for j in range(k, 0, -1):
-                code = code * self.n + (c[a - j : b - j] if a >= j else np.r_[np.full(j - a, c[0]), c[: b - j]])
-            cost = self.table[self.place[code], c[a:b]]
-            free = lead[(lead >= a) & (lead < b)] - a
-            cost[free] = 0
+        for a in range(0, int(sizes.sum()), SLICE):
+            b = min(a + SLICE, int(sizes.sum()))
+            codes = _codes(data[a : b + k], k + 1)
+            known = np.unique(codes)
+            cost = self.costs(known)[np.searchsorted(known, codes)]
+            cost[lead[(lead >= a) & (lead < b)] - a] = 0
             first, last = np.searchsorted(ends, [a, b - 1], side="right")
             starts = np.maximum(ends[first : last + 1] - sizes[first : last + 1], a) - a
             out[first : last + 1] += np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
         return out
 
 
-def train(docs: DataFrame, most: int = TRAIN, most_bytes: int = TRAIN_BYTES) -> Trees:
-    """Trees from at most ``most`` documents (whole; chosen by digest of doc_id) of each language outside the held-out fold.
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``keys``, and which are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.intp), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
 
-    Documents enter a language's tree in that order until it has had ``most_bytes``.
-    """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (sampling.fold(FOLDS) != HELD_OUT)).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("doc_id").alias("mark"))
-    # A language may hold most rows: take the least marks of each of 64 ranges of marks first, then of all.
-    part = Window.partitionBy("lang", F.pmod("mark", F.lit(64))).orderBy("mark", "doc_id")
-    small = rows.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= most)
-    chosen = small.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))).where(F.col("rank") <= most).select("doc_id", "lang", "rank")
+def train(docs: DataFrame, most: int = TRAIN) -> Trees:
+    """Trees from at most ``most`` documents (whole; chosen by digest of doc_id) of each language outside the held-out fold."""
+    mark = F.xxhash64("doc_id")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (sampling.fold(FOLDS) != HELD_OUT)).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"), mark.alias("mark"), F.shiftright(mark, 54).alias("range"))
+    # A language may hold most rows: counts by range of marks tell up to which range its least marks lie, and only those ranges are sorted.
+    running = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("lang", "range").count().withColumn("before", F.coalesce(F.sum("count").over(running), F.lit(0)))
+    last = scratch.write(counts.where(F.col("before") < most).groupBy("lang").agg(F.max("range").alias("last")), "ranges")
+    order = Window.partitionBy("lang").orderBy("mark", "doc_id", "text")
+    chosen = rows.join(last, "lang").where("range <= last").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("lang", "rank", "text")
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([letters(x.as_py()) for x in batch.column(2)], pa.binary())], ["lang", "rank", "text"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "rank", "text").mapInArrow(plain, "lang string, rank int, text binary")
-    gathered = texts.withColumn("before", F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("rank", "text").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     by: dict[str, list[tuple[int, bytes]]] = {}
-    for r in gathered.where(F.col("before") < most_bytes).collect():
+    for r in chosen.mapInArrow(plain, "lang string, rank int, text binary").collect():
         by.setdefault(r.lang, []).append((r.rank, bytes(r.text)))
     return Trees({k: b"".join(t for _, t in sorted(v)) for k, v in by.items()})
 
 
 def predicted(docs: DataFrame, trees: Trees) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(trees))  # bounded: contexts of at most TRAIN_BYTES per language
+    shared = docs.sparkSession.sparkContext.broadcast(vars(trees))  # in proportion to the bounded sample
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Trees.__new__(Trees)
