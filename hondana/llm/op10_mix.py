@@ -142,10 +142,10 @@ def decided(rows: DataFrame, known: DataFrame, buckets: int = BUCKETS) -> DataFr
     names = [*rows.columns, "_source_size", "_target"]
     marked = ranked.withColumn("_more", more)
     sure = marked.where("_more is not null").select(*names, F.when(F.col("_size") > 0, F.col("_whole") + F.col("_more")).otherwise(0).cast("long").alias("_copies"))
+    if not known.where("taken < alike").take(1):  # no source's prefix ends among rows alike
+        return sure
     # Rows alike are numbered by partition: counts of partitions first, then places within each.
     some = scratch.write(marked.where("_more is null").withColumn("_part", F.spark_partition_id()), "alike")
-    if not some.take(1):
-        return sure
     running = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = some.groupBy("source", "_part").count().select(F.col("source").alias("_of"), F.col("_part").alias("_at"), F.coalesce(F.sum("count").over(running), F.lit(0)).alias("_before"))
     placed = some.alias("s").join(counts.alias("n"), F.expr("s.source <=> n._of and s._part = n._at"))
