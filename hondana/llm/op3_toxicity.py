@@ -63,9 +63,10 @@ def words_of(text: str | None) -> set[str]:
     found = set(_WORDS.findall(low))
     found.update(_SYMBOLS.sub("", x) for x in set(_BROKEN.findall(low)))
     found.update(_SYMBOLS.sub("", x) for x in set(_SPACED.findall(low)))
-    out = set()
-    for word in found:
-        out.update(windows(_MARK + word + _MARK))
+    out = {f"{_MARK}{word}{_MARK}" for word in found}
+    for word in [x for x in out if len(x) > LONGEST]:
+        out.remove(word)
+        out.update(windows(word))
     return out
 
 
