@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -41,6 +43,17 @@ def test_rans_holds_the_library_s_ids(odd, empty):
     assert op1_rans.op1_rans(empty).collect() == []
 
 
+def test_rans_pieces_are_the_library_s():
+    """Added tokens of the tokenizer, in any case and anywhere, and letters that fold oddly."""
+    import public_tokenizers
+
+    pieces, rng = op1_rans.Pieces(public_tokenizers.path("word_bpe_49k.json")), random.Random(13)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", "<|", " ", "\n", "a", "b", "É", "Ab", "1", "½", "'s", "'S", "漢", "İ", "ſ", "\u0301", "\xa0", "\u3000", "!?", "ß", "\x00", "🔍"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 10)))
+        assert np.frombuffer(pieces.ids(text), "<u2").tolist() == pieces.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_rans_small_blocks_and_damage(spark, tmp_path):
     import public_tokenizers
 
@@ -111,6 +124,37 @@ def test_tools_keep_every_call_and_result(spark):
     ]
 
 
+def plain_levels(rows):
+    needs, level, moved = {}, {}, True
+    for call, n in rows:
+        needs.setdefault(call, set()).update(n)
+    while moved:
+        new = {c: max([level[x] + 1 for x in n], default=0) for c, n in needs.items() if c not in level and all(x in level for x in n)}
+        level |= new
+        moved = bool(new)
+    return level
+
+
+def test_tool_levels_are_the_plain_ones(spark):
+    """Chains, calls with several needs, cycles, repeats and unknown needs."""
+    rng = random.Random(3)
+    rows = [(f"n{k}", [f"n{rng.randrange(max(1, k) if rng.random() < 0.93 else 62)}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]) for k in range(60)]
+    rows += [("c1", ["c2"]), ("c2", ["c1"]), ("c3", ["c1"]), ("s", ["s"]), ("n5", ["n1"]), ("null", None), *[(f"a{k}", [f"a{k - 1}"] if k else []) for k in range(150)]]
+    got = op2_tools.levels(spark.createDataFrame(rows, "call_id string, needs array<string>")).collect()
+    assert {r.call_id: r.level for r in got} == plain_levels([(c, n or []) for c, n in rows]) and len({r.call_id for r in got}) == len(got)
+
+
+def test_tools_on_odd_rows(spark):
+    """Keys of any characters, a very long text, columns named like results, null conversations and deep chains."""
+    long = "x" * 300_000
+    kind = "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>, level string, n_calls int, json int, k int"
+    calls = spark.createDataFrame([(None, 1, "a", "f", json.dumps({"a-b.c'\"?": long}), None, "x", 1, 1, 1), (None, 2, "a2", "f", "{}", ["a"], "x", 1, 1, 1), (1, None, "b", None, "null", [None, "a"], "x", 1, 1, 1)], kind)
+    results = spark.createDataFrame([(None, 3, "a", long, 1)], "conv_id long, turn long, call_id string, content string, errors int")
+    rows = {(r.conv_id, r.call_id): r for r in op2_tools.op2_tools(calls, results, {"f": {"a-b.c'\"?": ("STRING", True)}}).collect()}
+    assert [rows[None, "a"].errors, rows[None, "a2"].errors, rows[1, "b"].errors] == [[], ["missing a-b.c'\"?", "no result"], ["unknown tool", "no result", "needs not met"]]
+    assert [rows[None, "a"].level, rows[None, "a2"].level, rows[1, "b"].level] == [0, 1, None] and json.loads(rows[None, "a"].json)["result"] == long
+
+
 # 3, 4, 7: held-out accuracy on the driver's small tables
 
 
@@ -125,14 +169,18 @@ def test_toxicity(spark, odd, empty):
     assert all((r.predicted == 1) == (r.score >= 0.3) and 0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     held = [r for r in rows if r.held_out]
     assert sum(r.predicted == r.toxic for r in held) >= 0.9 * len(held)
-    assert op3_toxicity.scored(odd, model).count() == len(ODD) and op3_toxicity.op3_toxicity(empty, labels).count() == 0
+    got = op3_toxicity.scored(odd, model).collect()
+    texts = {r.doc_id: r.score for r in got}
+    floor = model.score(np.array([-np.inf]))[0]
+    assert texts[0] == texts[1] == texts[2] == floor and texts[3] == texts[4] and all(0 <= r.score <= 1 for r in got)
+    assert len(got) == len(ODD) and op3_toxicity.op3_toxicity(empty, labels).count() == 0
     assert {r.score for r in op3_toxicity.op3_toxicity(odd, labels.limit(0)).collect()} == {0.0}
 
 
 def test_toxicity_learns_inserted_characters():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abdehilnorstu") for _ in range(rng.randrange(3, 9)))
-    bags = [([word() for _ in range(30)] + ["scoundrel"] * (k % 2), k % 2) for k in range(200)]
+    bags = [(sorted(op3_toxicity.words_of(" ".join([word() for _ in range(30)] + ["scoundrel"] * (k % 2)))), k % 2) for k in range(200)]
     model = op3_toxicity.fit(bags)
 
     def score(text):
@@ -143,23 +191,60 @@ def test_toxicity_learns_inserted_characters():
         assert score(bad) >= 0.3 > score("nothing to see in here")
 
 
+def plain_subsequences(word):
+    out = Counter()
+    for i in range(len(word)):
+        for j in range(i + 1, len(word)):
+            for k in range(j + 1, min(len(word), i + op3_toxicity.SPAN)):
+                out[word[i], word[j], word[k]] += op3_toxicity.DECAY ** (k - i - 2)
+    return out
+
+
+def plain_kernel(a, b):
+    x, y = plain_subsequences(a), plain_subsequences(b)
+    norm = lambda z: sum(v * v for v in z.values()) ** 0.5
+    return sum(v * y[k] for k, v in x.items()) / norm(x) / norm(y)
+
+
 def test_string_kernel_is_the_plain_one():
-    def plain(word):
-        s, out = "\0" + word + "\0", Counter()
-        for i in range(len(s)):
-            for j in range(i + 1, len(s)):
-                for k in range(j + 1, len(s)):
-                    out[s[i], s[j], s[k]] += op3_toxicity.DECAY ** (k - i - 2)
-        return out
-
-    def kernel(a, b):
-        x, y = plain(a), plain(b)
-        norm = lambda z: sum(v * v for v in z.values()) ** 0.5
-        return sum(v * y[k] for k, v in x.items()) / norm(x) / norm(y)
-
-    words = ["idiot", "idxiot", "banana", "an", "a"]
+    words = ["_idiot_", "_idxiot_", "_banana_", "_an_", "_a_", "_дурак_", "_dурак_", "_馬鹿者_", "_verylongwordofmanyletters"[:24]]
     got = op3_toxicity.against(words, op3_toxicity.kernel_rows(words))
-    assert np.allclose(got, [[kernel(a, b) for b in words] for a in words], atol=1e-5)
+    assert np.allclose(got, [[plain_kernel(a, b) for b in words] for a in words], atol=1e-5)
+    assert got[0, 5] < 0.02 and got[5, 6] > 0.3  # letters of any script stay apart
+
+
+def test_machine_is_that_of_all_words():
+    """Margins are those of the explicit Nyström vectors, and no clean word is left violating unseen."""
+    rng = random.Random(4)
+    word = lambda: "_" + "".join(rng.choice("abdehilnorstu") for _ in range(rng.randrange(3, 9))) + "_"
+    vocabulary = sorted({word() for _ in range(300)})
+    landmarks = op3_toxicity.kernel_rows(vocabulary[:20])
+    k = op3_toxicity.against(vocabulary[:20], landmarks).astype(float)
+    value, vector = np.linalg.eigh(k)
+    root = vector @ np.diag(1 / np.sqrt(value)) @ vector.T
+    x = op3_toxicity.against(vocabulary, landmarks) @ root
+    y = np.where(np.arange(len(vocabulary)) % 7 == 0, 1.0, -1.0)
+    cost = np.ones(len(vocabulary))
+    w = op3_toxicity.machine(x.astype(np.float32), y, cost)
+    full = np.c_[x, np.ones(len(x))]
+    gradient = lambda w: np.r_[0.1 * w[:-1], 1e-3 * w[-1]] - 2 * full.T @ (cost * y * np.maximum(0, 1 - y * (full @ w)))
+    assert np.abs(gradient(w)).max() < 1e-3
+    weights = np.zeros(1 << op3_toxicity.BITS, np.float32)
+    for a, (slot, unit) in zip(root @ w[:-1], landmarks):
+        np.add.at(weights, slot, (a * unit).astype(np.float32))
+    assert np.allclose(op3_toxicity.margins(vocabulary, weights), x @ w[:-1], atol=1e-3)
+
+
+def test_words_of_any_length_are_read_whole():
+    """Windows leave out no subsequence within the span, so words that differ late differ, in training too."""
+    long = "".join(random.Random(5).choice("abcdefgh") for _ in range(200))
+    seen = set()
+    for part in op3_toxicity.windows("_" + long + "_"):
+        seen |= set(plain_subsequences(part))
+    assert seen == set(plain_subsequences("_" + long + "_"))
+    bags = [(sorted(op3_toxicity.words_of("harmlessbeginningofword" + ("scoundrel" if k % 2 else "gentleman"))), k % 2) for k in range(60)]
+    model = op3_toxicity.fit(bags)
+    assert model.score(np.array([op3_toxicity.margins(bags[1][0], model.weights).max() + model.bias]))[0] > 0.5 > model.score(np.array([op3_toxicity.margins(bags[0][0], model.weights).max() + model.bias]))[0]
 
 
 def plain_code_length(texts, order, text):
@@ -197,6 +282,22 @@ def test_language(spark, odd, empty):
     got = {r.doc_id: r for r in op4_language.predicted(odd, model).collect()}
     assert got[0].lang_pred == got[1].lang_pred == got[2].lang_pred == "und" and got[3].lang_pred in {"de", "en", "es", "fr"} and all(0 <= r.score <= 1 for r in got.values())
     assert op4_language.op4_language(empty).count() == 0
+    numbers = spark.createDataFrame([(1, "½ ²", "en"), (2, "①Ⅷ", "en"), (3, "3 _ !", "en"), (4, "½é", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred == "und" for r in op4_language.predicted(numbers, model).collect()} == {1: True, 2: True, 3: True, 4: False}
+    assert {r.lang_pred for r in op4_language.op4_language(docs.withColumn("lang", docs.lang.cast("string").substr(1, 0)).where("lang is null")).collect()} <= {"und"}
+    nobody = op4_language.op4_language(odd.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()
+    assert {(r.lang_pred, r.score) for r in nobody} <= {("und", 0.0)} and len(nobody) == len(ODD)
+
+
+def test_language_sample_is_the_least_marks(spark):
+    """A language that holds nearly all rows, repeated ids too: the sample is that of a plain sort."""
+    docs = spark.range(3000).selectExpr("id % 2500 as doc_id", "concat('w', id) as text", "if(id % 50 = 0, 'xx', 'yy') as lang")
+    trees = op4_language.train(docs, 40)
+    rows = docs.selectExpr("doc_id", "text", "lang", "xxhash64(doc_id) as mark").collect()
+    for name in ("xx", "yy"):
+        mine = sorted((r.mark, r.doc_id, r.text) for r in rows if r.lang == name and zlib.crc32(str(r.doc_id).encode()) % 5 != 0)[:40]
+        want = op4_language.Trees({name: b"".join(op4_language.letters(t) for *_, t in mine)})
+        assert all(np.array_equal(a, b) for x, y in zip(trees.levels[trees.languages.index(name)], want.levels[0]) for a, b in zip(x, y))
 
 
 def test_quality(spark, odd, empty):
@@ -205,7 +306,35 @@ def test_quality(spark, odd, empty):
     held = [r for r in rows if r.held_out]
     assert held and sum(r.predicted == r.quality for r in held) >= 0.95 * len(held)
     assert all((r.predicted == 1) == (r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
-    assert op7_quality.op7_quality(odd, labels).count() == len(ODD) and op7_quality.op7_quality(empty, labels).count() == 0
+    got = op7_quality.op7_quality(odd, labels).collect()
+    by = {r.doc_id: r.score for r in got}
+    assert len(got) == len(ODD) and by[0] == by[1] and all(0 <= r.score <= 1 for r in got) and op7_quality.op7_quality(empty, labels).count() == 0
+    assert {r.score for r in op7_quality.op7_quality(odd, labels.limit(0)).collect()} == {0.0}
+    assert {r.score for r in op7_quality.op7_quality(docs, labels.where("quality = 1")).limit(9).collect()} == {1.0}
+
+
+def test_statistics_are_the_plain_ones(spark, odd):
+    """Every statistic of the rules against one counted in Python."""
+    docs = odd.unionByName(table(spark, "documents").where("doc_id < 120"), allowMissingColumns=True)
+    stats, names = op7_quality.statistics(docs, ("doc_id", "text"))
+
+    def plain(text):
+        t = text or ""
+        n, words, lines = max(1, len(t)), re.sub("[\x00-\x20]+", " ", t).split(" "), t.split("\n")
+        count = lambda marks: sum(c in marks for c in t) / n
+        tokens = [m for m in re.finditer(r"\S+", t, re.ASCII)]
+        repeats, at = 0, 0
+        while at < len(tokens) - 1:
+            a, b = tokens[at], tokens[at + 1]
+            repeats += a.group() == b.group() and b.start() == a.end() + 1
+            at += 1
+        return [
+            len(t), len(t) / len(words), sum(unicodedata.category(c)[0] == "L" for c in t) / n, sum(unicodedata.category(c) == "Lu" for c in t) / n, count("0123456789"),
+            count("!?|#$%&*<>{}[]=_~^+@/\\"), count("|"), count("!"), count(".,;:"), len(lines) / n, len(set(words)) / len(words), len(set(lines)) / len(lines), repeats / len(words),
+        ]
+
+    for r in stats.collect():
+        assert np.allclose([r[k] for k in names], plain(r.text)), (r.doc_id, dict(zip(names, zip([r[k] for k in names], plain(r.text)))))
 
 
 def test_rules_as_columns_and_in_numpy_agree(spark):
@@ -391,7 +520,7 @@ def test_decontamination(spark, odd, empty):
         n = rng.randrange(0, 2 * op6_decontaminate.budget(len(item)))
         docs.append((k, noise[:200] + " " + edited(item, n).upper() + "!! " + noise[200:] if k % 3 else noise))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    bench = spark.createDataFrame([*enumerate(items), (6, None), (7, ""), (8, "short"), (0, items[0])], "item_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (6, None), (7, ""), (8, "short"), (0, items[0]), (9, "!?")], "item_id long, text string")
     want = {(d, i) for d, t in docs for i, s in enumerate(items) if plain_distance(op6_decontaminate.normal(s), op6_decontaminate.normal(t)) <= op6_decontaminate.budget(len(s))}
     got = op6_decontaminate.op6_decontaminate(df, bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 10
@@ -400,48 +529,126 @@ def test_decontamination(spark, odd, empty):
     assert op6_decontaminate.clean(odd, bench).count() == len(ODD) and op6_decontaminate.op6_decontaminate(empty, bench).count() == 0 and op6_decontaminate.op6_decontaminate(odd, bench.limit(0)).count() == 0
 
 
+def test_short_items_and_places(spark):
+    """Short items match as whole words; places are those of the stretch at the distance; one item's matches don't overlap."""
+    match = lambda item, text: [x[1:] for x in op6_decontaminate.Matcher([(1, item)]).matches(text)]
+    assert match("yes", "yes sir yesterday eyes yes") == [(0, 3, 0), (23, 26, 0)] and match("2 2 4", "12 2 4 2 2 4") == [(7, 12, 0)]
+    assert match("ab" * 30, "ab" * 70) == [(0, 60, 0), (60, 120, 0)]
+    rng, edited = random.Random(4), 0
+    for _ in range(300):
+        item = "".join(rng.choice("abc") for _ in range(rng.randrange(40, 80)))
+        s = list(item)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(s))
+            s[k : k + 1] = rng.choice([[], ["x"], [s[k], "y"]])
+        text = "".join(rng.choice("abc ") for _ in range(20)) + "".join(s) + "".join(rng.choice("abc ") for _ in range(20))
+        for a, b, edits in match(item, text):
+            assert whole_distance(item, text[a:b]) == edits <= op6_decontaminate.budget(len(item))
+            edited += edits > 0
+    assert edited > 50
+    docs = spark.createDataFrame([(1, "the answer: YES"), (2, "eyes"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "Yes!"), (6, "yes")], "item_id long, text string")
+    assert {tuple(r) for r in op6_decontaminate.op6_decontaminate(docs, bench).collect()} == {(1, 5, 11, 14, 0), (1, 6, 11, 14, 0)}
+    assert {r.doc_id for r in op6_decontaminate.clean(docs, bench, block=1).collect()} == {2, 3}
+
+
+def whole_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
 # 8
 
 
+def plain_log_probability(net, left, right, token):
+    """The network's definition, one place at a time."""
+    h = np.tanh(net.bias.astype(float) + sum(net.near[k][n].astype(float) for k, n in enumerate([*left, *right])))
+    c, w = divmod(int(net.slot[token]), net.size)
+    soft = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
+    return soft(h @ net.to_class + net.class_bias)[c] + soft(h @ net.to_word[c] + net.word_bias[c])[w]
+
+
+def small_network():
+    return op8_pseudolikelihood.Network(list("abcdefg"), [9, 8, 7, 6, 5, 4, 3], 5, size=3, hidden=6)
+
+
+def test_network_is_the_plain_one():
+    net = small_network()
+    framed = net.framed(np.array([1, 2, 0, 7, 3, 3], np.int32))
+    at = np.arange(2, 8)
+    got = net.log_probabilities(net.windows(framed, at))
+    assert np.allclose(got, [plain_log_probability(net, framed[k - 2 : k], framed[k + 1 : k + 3], framed[k]) for k in at], atol=1e-5)
+    # Probabilities of all tokens at a place sum to one, the rare one's included.
+    total = sum(np.exp(plain_log_probability(net, framed[2:4], framed[5:7], token)) for token in range(8))
+    assert abs(total - 1) < 1e-6
+
+
+def test_gradient_is_the_numeric_one():
+    net, rng = small_network(), np.random.default_rng(2)
+    for part in op8_pseudolikelihood.PARTS:
+        setattr(net, part, getattr(net, part).astype(np.float64))
+    rows = net.windows(net.framed(rng.integers(0, 8, 40).astype(np.int32)), np.arange(2, 42))
+    loss = lambda: -np.mean([plain_log_probability(net, r[:2], r[2:4], r[4]) for r in rows])
+    steps = {}
+    trainer = net.trainer()
+    trainer._step = lambda part, gradient, at=...: steps.setdefault(part, []).append((at, gradient))
+    trainer.batch(rows)
+    for part in op8_pseudolikelihood.PARTS:
+        full = np.zeros_like(getattr(net, part))
+        for at, gradient in steps[part]:
+            full[at] += gradient
+        for place in [tuple(rng.integers(0, n) for n in full.shape) for _ in range(6)]:
+            was = getattr(net, part)[place]
+            values = []
+            for d in (1e-4, -1e-4):
+                getattr(net, part)[place] = was + d
+                values.append(loss())
+            getattr(net, part)[place] = was
+            assert abs((values[0] - values[1]) / 2e-4 - full[place]) < 1e-4, part
+
+
 def test_pseudolikelihood(spark, odd, empty):
-    net = op8_pseudolikelihood.Network(list("abcdefg"), [9, 8, 7, 6, 5, 4, 3], 5, size=3, hidden=6)
-    rng = np.random.default_rng(1)
+    net, rng = small_network(), np.random.default_rng(1)
     texts = [np.array([1, 2, 3, 1, 2, 3, 1, 2, 3, int(rng.integers(0, 8))], np.int32) for _ in range(200)]
-    framed = net.framed(texts[0])
-    at = np.arange(2, 12)
-    # Probabilities of all tokens at a place sum to one; the rare one stands for its occurrences + 1.
-    total = np.zeros(len(at))
-    for token in range(8):
-        other = framed.copy()
-        for k, place in enumerate(at):
-            other[:] = framed
-            other[place] = token
-            total[k] += np.exp(net.log_probabilities(other, np.array([place]))[0]) * (net.rare + 1 if token == 0 else 1)
-    assert np.allclose(total, 1, atol=1e-4)
-    places = lambda: np.mean([net.log_probabilities(net.framed(t), np.arange(2, 12)).sum() for t in texts])
-    before = places()
-    net.train(texts, epochs=20, batch=64)
-    assert places() > before + 5
-    docs = table(spark, "documents")
-    model = op8_pseudolikelihood.train(docs, most=100)
+    rows = np.concatenate([net.windows(net.framed(t), np.arange(2, 12)) for t in texts])
+    before, trainer = net.log_probabilities(rows).mean(), net.trainer()
+    for _ in range(20):
+        for k in range(0, len(rows), 64):
+            trainer.batch(rows[k : k + 64])
+    assert net.log_probabilities(rows).mean() > before + 0.5
+    model = op8_pseudolikelihood.train(table(spark, "documents").limit(200))
     rows = {r.doc_id: r for r in op8_pseudolikelihood.scored(odd, model).collect()}
     assert rows[0].n_tokens == rows[1].n_tokens == rows[2].n_tokens == 0 and rows[0].mean is None and rows[0].log_likelihood == 0 and rows[3].n_tokens == 8 and rows[3].log_likelihood < 0
     assert op8_pseudolikelihood.op8_pseudolikelihood(empty).count() == 0
     one = op8_pseudolikelihood.scored(odd.where("doc_id = 3"), model).first()
-    assert abs(one.log_likelihood - rows[3].log_likelihood) < 1e-3
+    assert abs(one.log_likelihood - rows[3].log_likelihood) < 1e-3 and abs(rows[3].log_likelihood - rows[4].log_likelihood) < 1e-3
+    # A whole document by the plain definition.
+    tokens = op8_pseudolikelihood.tokens_of("one two three four five six seven eight")
+    number = {w: k + 1 for k, w in enumerate(model.words)}
+    framed = model.framed(np.array([number.get(t, 0) for t in tokens], np.int32))
+    spell = lambda t: sum(model.spelling[a, b] for a, b in zip([256, *t.encode()], [*t.encode(), 256])) + float(model.often[zlib.crc32(t.encode()) & (len(model.often) - 1)])
+    plain = sum(plain_log_probability(model, framed[k : k + 2], framed[k + 3 : k + 5], framed[k + 2]) + (0 if t in number else spell(t)) for k, t in enumerate(tokens))
+    assert abs(plain - one.log_likelihood) < 1e-2
 
 
 def test_pseudolikelihood_learns_from_every_document(spark):
-    """Rare words differ by their letters, and documents beyond any fixed number change the weights."""
+    """Rare words differ by their letters and by how often the corpus has them, and every document changes the weights."""
     docs = spark.createDataFrame([(k, f"one{k % 7} two {'three' if k % 3 else 'four'}") for k in range(1500)], "doc_id long, text string")
-    other = spark.createDataFrame([(2000, "two q"), (2001, "two 3")], "doc_id long, text string")
-    model = op8_pseudolikelihood.train(docs, vocabulary=4)
-    rows = {r.doc_id: r for r in op8_pseudolikelihood.scored(other, model).collect()}
+    other = spark.createDataFrame([(2000, "two q"), (2001, "two 3"), (2002, "two zyx"), (2003, "two xyz")], "doc_id long, text string")
+    more = docs.unionByName(spark.createDataFrame([(3000 + k, "xyz zyx " + "xyz " * 9) for k in range(40)], docs.schema))
+    rows = {r.doc_id: r for r in op8_pseudolikelihood.scored(other, op8_pseudolikelihood.train(docs, vocabulary=4)).collect()}
     assert rows[2000].log_likelihood < rows[2001].log_likelihood
-    fewer = op8_pseudolikelihood.train(docs, vocabulary=4, most=1400)
+    model = op8_pseudolikelihood.train(more, vocabulary=3, share=1.0)
+    rows = {r.doc_id: r for r in op8_pseudolikelihood.scored(other, model).collect()}
+    assert rows[2002].log_likelihood < rows[2003].log_likelihood
+    fewer = op8_pseudolikelihood.train(more.where("doc_id != 3039"), vocabulary=3, share=1.0)
     assert not np.array_equal(model.to_word, fewer.to_word)
-    spelling = op8_pseudolikelihood.Spelling({("", "a"): 3, ("a", "b"): 2, ("a", ""): 1, ("b", ""): 2})
-    assert np.exp(spelling("ab")) > np.exp(spelling("a")) > np.exp(spelling("b")) > 0
+    logs = op8_pseudolikelihood.byte_logs(np.bincount([256 * 257 + 97, 97 * 257 + 98, 98 * 257 + 256], [3, 2, 2], 257 * 257))
+    assert np.allclose(np.exp(logs.astype(float)).sum(axis=1)[[256, 97, 98]], 1, atol=1e-4) and op8_pseudolikelihood.spelt(logs, [b"ab"])[0] > op8_pseudolikelihood.spelt(logs, [b"ba"])[0]
 
 
 # 9
@@ -451,22 +658,23 @@ def test_topk(spark):
     rng = np.random.default_rng(9)
     rows = [(k, [float(x) for x in rng.normal(size=24)], 1) for k in range(0, 700)]
     rows += [(k, rows[5][1], 1) for k in range(700, 730)]  # ties
+    rows += [(300, rows[300][1], 1), (300, rows[7][1], 1), (500, rows[8][1], 1)]  # repeated ids, one a whole row
     rows += [(1000, None, 1), (1100, [1.0, None], 1), (1200, [float("nan")] * 24, 1), (1300, [float("inf")] * 24, 1), (None, [1.0] * 24, 1), (1400, [2.0], 1), (1500, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     fine = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int).tolist()) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    want = set()
-    for i, q in fine:
-        if i % 100 == 0:
-            ranked = sorted(((-sum(a * b for a, b in zip(q, v)), j) for j, v in fine if j != i))[:10]
-            want |= {(i, r, j, -s) for r, (s, j) in enumerate(ranked, 1)}
-    assert {tuple(r) for r in op9_topk.op9_topk(df).collect()} == want
-    assert {tuple(r) for r in op9_topk.op9_topk(df, block=3).collect()} == want
+    want = []
+    for x, (i, q) in enumerate(fine):
+        if i % 100 == 0:  # every row is a query, its candidates all rows but itself
+            ranked = sorted(((-sum(a * b for a, b in zip(q, v)), j) for y, (j, v) in enumerate(fine) if y != x))[:10]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(ranked, 1)]
+    assert sorted(tuple(r) for r in op9_topk.op9_topk(df).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in op9_topk.op9_topk(df, block=3 * 24 * 8).collect()) == sorted(want)
     assert op9_topk.op9_topk(df.limit(0)).collect() == []
     q = rng.integers(-50, 50, (2, 64))
     x = rng.integers(-50, 50, (3000, 64)) // np.arange(1, 65)
     best = op9_topk.Best(2, 5)
-    op9_topk.search(best, np.array([-1, -2]), q, np.arange(1000), x[:1000])
-    assert op9_topk.search(best, np.array([-1, -2]), q, np.arange(1000, 3000), x[1000:]) > 0  # the bound leaves products out
+    op9_topk.search(best, q, np.arange(1000), x[:1000])
+    assert op9_topk.search(best, q, np.arange(1000, 3000), x[1000:]) > 0  # the bound leaves products out
 
 
 # 10
@@ -502,9 +710,47 @@ def test_mix(spark, odd, empty):
     assert op10_mix.op10_mix(odd).count() == len(ODD) and op10_mix.op10_mix(empty).count() == 0
 
 
-def test_mix_inclusion_is_even(spark):
-    df = spark.createDataFrame([(k, "w w", "b" if k % 4 else "a") for k in range(4000)], "doc_id long, text string, source string")
-    rows = [r for r in op10_mix.op10_mix(df, weights=(1.0, 1.0)).collect() if r.source_size == 6000]
-    # Two thirds of the larger source's documents, whatever their place.
-    half = [sum(r.copies for r in rows if (r.doc_id < 2000) == low) / (len(rows) / 2) for low in (True, False)]
-    assert all(abs(x - 2 / 3) < 0.05 for x in half)
+def test_mix_inclusion_is_that_of_the_size_class(spark):
+    """Expected copies are in proportion to the binary digits of the size, and add up to the target; whole parts are certain."""
+    rng = random.Random(14)
+    sizes = [rng.choice([1, 3, 10, 60, 200]) for _ in range(6000)]
+    df = spark.createDataFrame([(k, "w " * n, "b" if k % 4 else "a") for k, n in enumerate(sizes)], "doc_id long, text string, source string")
+    rows = [r for r in op10_mix.op10_mix(df, weights=(1.0, 1.0)).collect() if r.doc_id % 4]
+    digits = {n: len(bin(n)) - 2 for n in sizes}
+    words = {n: sum(r.size for r in rows if r.size == n) for n in digits}
+    rate = rows[0].target / sum(digits[n] * words[n] for n in words)
+    for n, d in digits.items():
+        own = [r.copies for r in rows if r.size == n]
+        assert abs(sum(own) / len(own) - rate * d) < 0.06 and set(own) <= {int(rate * d), int(rate * d) + 1}, n
+        half = [sum(r.copies for r in rows if r.size == n and (r.doc_id < 3000) == low) / max(1, sum(r.size == n and (r.doc_id < 3000) == low for r in rows)) for low in (True, False)]
+        assert abs(half[0] - half[1]) < 0.12
+    assert len({round(rate * d, 3) % 1 for d in digits.values()}) > 2  # odds differ
+
+
+def test_mix_on_rows_alike(spark):
+    """A third of all rows are one document: as many of them are taken as fit; values of odd rows."""
+    rows = [(k, "w " * (k % 9 + 1), "a") for k in range(400)] + [(7000, "x y z", "a")] * 200 + [(k, "w w", "b") for k in range(9000, 9100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = op10_mix.op10_mix(df).collect()
+    assert len(got) == len(rows) and abs(sum(r.taken for r in got if r.doc_id < 9000) - got[0].target) <= 9 if got[0].doc_id < 9000 else True
+    for name in ("a", "b"):
+        mine = [r for r in got if (r.doc_id >= 9000) == (name == "b")]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 9, name
+    names = sorted(op10_mix.mixed(df.withColumn("size", df.doc_id)).collect())
+    assert Counter(r.doc_id for r in names) == +Counter({k: sum(r.copies for r in got if r.doc_id == k) for k in {r.doc_id for r in got}})
+
+
+def test_mix_targets_with_many_sources(spark):
+    """Filling in rounds gives the level that filling in order does."""
+    sizes = [(f"s{k:03}" if k else None, 3 ** (k % 9) + k) for k in range(60)]
+    got = {r.source: r.target for r in op10_mix.source_targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+    names = sorted(got, key=lambda s: (s is None, s or ""))
+    weight, size = {s: k % 3 + 1 for k, s in enumerate(names)}, dict(sizes)
+    capped = set()
+    while True:
+        level = (sum(size.values()) - sum(3 * size[s] for s in capped)) / sum(w for s, w in weight.items() if s not in capped)
+        over = {s for s in names if s not in capped and level * weight[s] > 3 * size[s]}
+        if not over:
+            break
+        capped |= over
+    assert all(abs(got[s] - (3 * size[s] if s in capped else level * weight[s])) < 1e-6 for s in names) and capped

@@ -1,12 +1,21 @@
-"""Stages on a small corpus, each judged on its own input."""
+"""Stages on a small corpus, each judged on its own input, and the whole run."""
+
+import random
 
 import corpus_pipeline
-from hondana.llm import scratch
+import pytest
+from hondana.llm import op5_simhash, scratch
 from tests.llm.conftest import ODD
 
 DATA = "/root/testdata/sf0.01"
 
 
+@pytest.fixture(autouse=True)
+def _clean():
+    yield
+    scratch.release()
+
+
 def test_stages(spark, tmp_path, odd):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 300")
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -32,7 +41,84 @@ def test_stages(spark, tmp_path, odd):
         assert set(seen[name][0].asDict()) == set(corpus_pipeline.COLUMNS)
 
 
-def test_stages_on_odd_rows(spark, tmp_path, odd):
+def test_stages_on_odd_rows(spark, odd):
+    """Nulls, empty and very long texts, repeats and clashing columns: what each stage keeps."""
+    kept = {name: [(r.doc_id, r.text) for r in stage(spark, odd, DATA).select("doc_id", "text").collect()] for name, stage in corpus_pipeline.STAGES[:-1]}
+    rows = sorted(((r[0], r[1]) for r in ODD), key=str)
+    assert sorted(kept["toxicity"], key=str) == rows and sorted(kept["decontamination"], key=str) == rows
+    by_id = {r[0]: r[1] for r in ODD}
+    assert sorted(kept["near_duplicates"], key=str) == sorted(((d, by_id[d]) for d in (0, 3, 5, 6, 7, None)), key=str)  # blank texts are alike, as are 3, 3 and 4
+    assert set(kept["mixing"]) <= set(rows) and all(t and t.strip() for _, t in kept["mixing"])
+    ids = corpus_pipeline.STAGES[-1][1](spark, odd, DATA).collect()
+    assert sorted((str(r.doc_id) for r in ids)) == sorted(str(r[0]) for r in ODD) and min(r.n_tokens for r in ids) == 1
+
+
+def test_stages_on_empty_tables(spark, empty, tmp_path):
+    spark.read.parquet(f"{DATA}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.read.parquet(f"{DATA}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(20)
     for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd, DATA).count() <= 3 * len(ODD), name
-    scratch.release()
+        got = stage(spark, empty, str(tmp_path))
+        assert got.collect() == [] and (name == "token_ids" or set(got.columns) == set(corpus_pipeline.COLUMNS)), name
+    for name, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[2:3]:
+        assert stage(spark, docs, str(tmp_path)).count() == 20, name  # nothing is learnt, so nothing goes
+
+
+def test_run_is_the_stages_and_spares_other_results(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    groups = op5_simhash.op5_simhash(docs)  # lazy: its tables must outlive the pipeline
+    result = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    want = docs
+    for _, stage in corpus_pipeline.STAGES:
+        want = stage(spark, want, "/root/testdata/sf0.001")
+        if "n_tokens" not in want.columns:
+            want = scratch.write(want, "kept")
+    assert sorted(map(tuple, result.collect())) == sorted(map(tuple, want.collect())) and result.count() > 50
+    assert groups.count() == docs.count()
+
+
+def test_near_duplicates_are_all_found(spark):
+    """Recall and precision against all pairs at the similarity asked for, on thousands of documents."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    texts = []
+    for _ in range(900):
+        base = [rng.choice(words) for _ in range(rng.randrange(40, 160))]
+        texts.append(base)
+        for _ in range(rng.randrange(0, 3)):
+            near = list(base)
+            for k in rng.sample(range(len(base)), rng.randrange(0, max(1, len(base) // 25) + 1)):
+                near[k] = rng.choice(words)
+            texts.append(near)
+    rng.shuffle(texts)
+    sets = [frozenset(zip(*[t[k:] for k in range(5)])) for t in texts]
+    holders = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in {(x, y) for h in holders.values() for x in h for y in h if x < y}:  # pairs without a shingle in common have similarity 0
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    want = {k for k in range(len(texts)) if find(k) == k}
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()} == want and len(texts) - len(want) > 300
+
+
+def test_scratch_folders(spark, tmp_path):
+    """The session's checkpoint folder comes first; owners' tables go alone."""
+    with scratch.owner("a"):
+        mine = scratch.write(spark.range(3), "x")
+    other = scratch.write(spark.range(4), "y")
+    scratch.release("a")
+    assert other.count() == 4
+    with pytest.raises(Exception):
+        mine.count()
