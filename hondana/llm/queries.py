@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hondana.llm import op2_tools, op9_topk, op10_mix
+from hondana.llm import op2_tools, op9_topk, op10_mix, op11_multi_index, op12_divergence, op13_lloyd
 from hondana.llm.op1_rans import op1_rans
 from hondana.llm.op3_toxicity import op3_toxicity
 from hondana.llm.op4_language import op4_language
@@ -61,6 +61,18 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_mix.op10_mix(_table("documents", spark, sf_dir))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_multi_index.op11_multi_index(_table("embeddings", spark, sf_dir))
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_divergence.op12_divergence(_table("documents", spark, sf_dir))
+
+
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_lloyd.op13_lloyd(_table("embeddings", spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rans": _op1,
     "op2_tools": _op2,
@@ -72,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudolikelihood": _op8,
     "op9_topk": _op9,
     "op10_mix": _op10,
+    "op11_multi_index": _op11,
+    "op12_divergence": _op12,
+    "op13_lloyd": _op13,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -79,4 +94,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_tools": op2_tools.SQL,
     "op9_topk": op9_topk.SQL,
     "op10_mix": op10_mix.SQL,
+    "op11_multi_index": op11_multi_index.SQL,
+    "op12_divergence": op12_divergence.SQL,
+    "op13_lloyd": op13_lloyd.SQL,
 }
