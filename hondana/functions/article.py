@@ -12,14 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hondana.functions.tags import TagEnds
+
 # Fixed values of the extraction: fences, headings, list items, and lines that are no text.
 FENCE = re.compile(r"\s*(`{3,}|~{3,})")
 HEADING = re.compile(r"\s{0,3}#{1,6}(?:\s+|$)")
 LIST = re.compile(r"\s*(?:[-+*]|\d+[.)])\s+")
 _MODULE = re.compile(r"\s*(?:import|export)\b")
 _REFERENCE = re.compile(r"\s*\[[^]]+\]:\s*\S+")
-_LINK_ONLY = re.compile(r"\s*(?:\[[^]]+\](?:\([^)]+\)|\[[^]]*\])|<?https?://\S+>?)[。.]?\s*$")
-_IMAGES = re.compile(r"!\[[^]]*\](?:\([^)]+\)|\[[^]]*\])")
+_LINK_ONLY = re.compile(r"\s*(?:\[[^]]+\]\([^)]+\)|\[[^]]+\]\[[^]]*\]|<?https?://\S+>?)[。.]?\s*$")
+_IMAGES = re.compile(r"!\[[^]]*\]\([^)]+\)|!\[[^]]*\]\[[^]]*\]")
 #: Lines that open with one of these, or are one of those, are no text.
 _OPENINGS = ("|", ">", "//", ":::", "（出典:", "（出典：", "出典:", "出典：")
 _RULES = ("---", "***", "___")
@@ -73,37 +75,16 @@ def strip_comments(text: str) -> str:
 _NAME = re.compile(r"<(/?)([A-Za-z][\w.:-]*)?(?=[\s/>])")
 
 
-def _tag(text: str, at: int) -> tuple[int, str, bool, bool] | None:
-    """End, folded name, closing, self-closing of a tag or fragment at ``at``."""
-    m = _NAME.match(text, at)
-    if not m:
-        return None
-    k, depth, quote = m.end(), 0, ""
-    while k < len(text):
-        c = text[k]
-        if quote:
-            k += c == "\\"
-            quote = "" if c == quote else quote
-        elif c in "\"'`":
-            quote = c
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth = max(0, depth - 1)
-        elif c == ">" and not depth:
-            return k + 1, (m.group(2) or "").casefold(), bool(m.group(1)), text[at:k].rstrip().endswith("/") and not m.group(1)
-        k += 1
-    return None
-
-
 def strip_components(text: str) -> str:
     """Tags with all up to their own closing tag; closing, self-closing and unmatched ones alone. A bare < stays."""
-    tags, at = [], 0
-    while (at := text.find("<", at)) >= 0:
-        tag = _tag(text, at)
-        if tag:
-            tags.append((at, *tag))
-        at = tag[0] if tag else at + 1
+    tags, at, ends = [], 0, None
+    while m := _NAME.search(text, at):
+        ends = ends or TagEnds(text, lines=False)
+        end = ends.end(m.end())
+        if end >= 0:
+            alone = not m.group(1) and text[m.start() : end - 1].rstrip().endswith("/")
+            tags.append((m.start(), end, (m.group(2) or "").casefold(), bool(m.group(1)), alone))
+        at = end if end >= 0 else m.start() + 1
     # Closing tags matched to openings of their name, innermost first, in one pass.
     open_: dict[str, list[int]] = {}
     close_of: dict[int, int] = {}

@@ -6,19 +6,23 @@ code points of the source, so masking keeps offsets. Front matter, fenced and in
 destinations, automatic links, emphasis marks, reference definitions, HTML/JSX tags (not the text between them, but
 for ``script`` and ``style``) and bare URLs count as not prose.
 
-Known limit: HTML blocks are parsed as paragraphs. Entities stay as they stand in the source, whose places are kept.
+The seven kinds of HTML blocks are leaves of their own: what stands in them has no marks of Markdown, so only their tags are no prose. Entities stay as they
+stand in the source, whose places are kept. Tags, brackets, emphasis and code spans are found in time linear in the text, also where they never close.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hondana.functions.tags import TagEnds
+
 Range = tuple[int, int]
 
 _FENCE = re.compile(r"(`{3,}|~{3,})([^\n]*)$")
@@ -35,10 +39,30 @@ _DEFINITION = re.compile(
 )
 _AUTOLINK = re.compile(r"<(?:[A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*|[A-Za-z0-9.!#$%&'*+/=?^_`{|}~\-]+@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?)>")
 _TAG_NAME = re.compile(r"[A-Za-z][A-Za-z0-9_.:\-]*")
-# How a line goes on with a tag (behind the marks of quotes), where a quote's mark stands, what starts, stops and ends a URL.
-_QUOTED = re.compile(r"[ \t]{0,3}(?:>(?=[> \t])[ \t]?)+")
-_CONTINUES = re.compile(r"[ \t]+[^ \t\n]|/?>|\{|[A-Za-z_:][A-Za-z0-9_.:-]*\s*=")
-_QUOTE_MARKS = re.compile(r"[ \t]{0,3}(?:>[ \t]?)*")
+_SPACE = re.compile(r"\s*")
+_SPECIAL = re.compile(r"[\\`<!\[\]*_]")
+_LABEL = re.compile(r"\[((?:[^\[\]\\]|\\.)*)\]")
+_POINTED = re.compile(r"<(?:[^<>\n\\]|\\.)*>")
+_TITLE_END = re.compile(r"\s*+(?:(?<=\s)(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\))\s*+)?\)")
+# What opens and ends the kinds of HTML blocks of CommonMark. The last two end at a blank line; the last doesn't interrupt a paragraph.
+_HTML_NAMES = (
+    "address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|h[1-6]|head|header|hr|html|iframe|"
+    "legend|li|link|main|menu|menuitem|nav|noframes|ol|optgroup|option|p|param|search|section|summary|table|tbody|td|tfoot|th|thead|title|tr|track|ul"
+)
+_HTML_OPEN_TAG = r"<[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][A-Za-z0-9:._-]*(?:\s*=\s*(?:[^\"'=<>`\x00-\x20]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>"
+_HTML_BLOCKS = tuple(
+    (re.compile(start, re.I), end and re.compile(end, re.I))
+    for start, end in (
+        (r"<(?:script|pre|style|textarea)(?=\s|>|$)", r"</(?:script|pre|style|textarea)>"),
+        (r"<!--", r"-->"),
+        (r"<\?", r"\?>"),
+        (r"<![A-Z]", r">"),
+        (r"<!\[CDATA\[", r"\]\]>"),
+        (rf"</?(?:{_HTML_NAMES})(?=\s|/?>|$)", ""),
+        (rf"(?:{_HTML_OPEN_TAG}|</[A-Za-z][A-Za-z0-9-]*\s*>)\s*$", ""),
+    )
+)
+# What starts, stops and ends a URL.
 _URL = re.compile(r"(?:https?://|www\.)", re.I)
 _URL_STOPS = set("<>\"'。、！？）」』】〉》")
 _URL_TAIL = ".,;:!?。、！？"
@@ -96,16 +120,17 @@ def front_matter_end(lines: list[str]) -> int:
 def _indent(line: str, at: int) -> int:
     """Columns of white space from ``at``; a tab counts to the next multiple of four."""
     width = 0
-    for c in line[at:]:
-        if c == " ":
-            width += 1
-        elif c == "\t":
-            width += 4 - width % 4
-        else:
-            break
+    while (c := line[at : at + 1]) == " " or c == "\t":
+        width += 1 if c == " " else 4 - width % 4
+        at += 1
     return width
 
 
+def _blank(line: str, at: int) -> bool:
+    """Whether nothing but white space stands from ``at`` on."""
+    return _SPACE.match(line, at).end() == len(line)
+
+
 def _past(line: str, at: int, width: int) -> int:
     """Place after at most ``width`` columns of white space."""
     got = 0
@@ -130,6 +155,7 @@ class Blocks:
         self.leaf = ""
         self.para: list[tuple[int, int, int]] = []  # line, start, end in the source
         self.fence: tuple[str, int] = ("", 0)
+        self.html_end: re.Pattern | str = ""  # what ends the HTML block; a blank line if empty
         self.table: list[int] = []
         top = front_matter_end(self.lines)
         if top:
@@ -155,18 +181,20 @@ class Blocks:
 
     def _define(self) -> None:
         """Take reference definitions off the paragraph's head."""
-        while self.para and self.text[self.para[0][1]] == "[":
-            m = _DEFINITION.match("\n".join(self.text[a:b] for _, a, b in self.para))
+        if not self.para or self.text[self.para[0][1]] != "[":
+            return
+        body, at, used = "\n".join(self.text[a:b] for _, a, b in self.para), 0, 0
+        while used < len(self.para) and body[at] == "[":
+            m = _DEFINITION.match(body, at)
             if not m or not m.group(1).strip():
-                return
-            used = m.group(0).count("\n") + 1
+                break
+            first, used, at = used, used + m.group(0).count("\n") + 1, m.end() + 1
             self.labels.add(" ".join(m.group(1).split()).casefold())
-            self.definitions.append((self.para[0][1], self.para[used - 1][2]))
-            self.para = self.para[used:]
+            self.definitions.append((self.para[first][1], self.para[used - 1][2]))
+        self.para = self.para[used:]
 
     def _line(self, k: int, line: str) -> None:
         at, depth = 0, 0
-        blank = not line.strip()
         for kind, width in self.stack:
             if kind == ">":
                 p = _past(line, at, 3)
@@ -175,14 +203,14 @@ class Blocks:
                 at = p + 1
                 if line[at : at + 1] in (" ", "\t"):
                     at += 1
-            elif not line[at:].strip():
+            elif _blank(line, at):
                 pass
             elif _indent(line, at) >= width:
                 at = _past(line, at, width)
             else:
                 break
             depth += 1
-        rest_blank = not line[at:].strip()
+        rest_blank = _blank(line, at)
         if depth < len(self.stack):
             if self.leaf == "para" and not rest_blank and not self._starts(line, at):
                 self._append(k, line, at)  # lazy continuation
@@ -192,11 +220,15 @@ class Blocks:
             del self.stack[depth:]
         if self.leaf == "fence":
             mark, size = self.fence
-            m = _FENCE.match(line[_past(line, at, 3) :])
+            m = _FENCE.match(line, _past(line, at, 3))
             self._add_code(k, k + 1)
             if m and m.group(1)[0] == mark and len(m.group(1)) >= size and not m.group(2).strip():
                 self.leaf = ""
             return
+        if self.leaf == "html":
+            if self.html_end.search(line, at) if self.html_end else rest_blank:
+                self.leaf = ""
+            return
         while not rest_blank:
             indent = _indent(line, at)
             if indent > 3:
@@ -209,19 +241,19 @@ class Blocks:
                 if line[at : at + 1] in (" ", "\t"):
                     at += 1
             else:
-                m = _ITEM.match(line[p:])
-                if not m or _BREAK.match(line[p:]):
+                m = _ITEM.match(line, p)
+                if not m or _BREAK.match(line, p):
                     break
-                after = p + m.end()
-                empty = not line[after:].strip()
+                after = m.end()
+                empty = _blank(line, after)
                 if self.leaf == "para" and (empty or (m.group(1) and int(m.group(1)) != 1 and not self.stack)):
                     break
                 self._close_if("para", "table", "indented")
                 gap = _indent(line, after)
                 inner = 1 if empty or gap > 4 else gap
-                self.stack.append(("-", indent + m.end() + inner))
+                self.stack.append(("-", indent + after - p + inner))
                 at = _past(line, after, inner)
-            rest_blank = not line[at:].strip()
+            rest_blank = _blank(line, at)
         if rest_blank:
             if self.leaf in ("para", "table"):
                 self._close()
@@ -235,6 +267,13 @@ class Blocks:
         self._close_if("indented")
         body = line[p:]
         if indent <= 3:
+            html = self._html(line, p)
+            if html is not None:
+                self._close()
+                self.leaf, self.html_end = "html", html
+                if html and html.search(line, p):
+                    self.leaf = ""
+                return
             m = _FENCE.match(body)
             if m and not (m.group(1)[0] == "`" and "`" in m.group(2)):
                 self._close()
@@ -279,12 +318,20 @@ class Blocks:
                 return
         self._append(k, line, at)
 
+    def _html(self, line: str, at: int) -> re.Pattern | str | None:
+        """What ends the HTML block that opens at ``at``; None if none does."""
+        if line[at : at + 1] == "<":
+            for k, (start, end) in enumerate(_HTML_BLOCKS):
+                if start.match(line, at):
+                    return None if k == 6 and self.leaf in ("para", "table") else end
+        return None
+
     def _close_if(self, *kinds: str) -> None:
         if self.leaf in kinds:
             self._close()
 
     def _append(self, k: int, line: str, at: int) -> None:
-        p = at + len(line[at:]) - len(line[at:].lstrip())
+        p = _SPACE.match(line, at).end()
         self.leaf = "para"
         self.para.append((k, self.starts[k] + p, self.starts[k] + len(line.rstrip())))
 
@@ -294,7 +341,7 @@ class Blocks:
             return False
         body = line[_past(line, at, 3) :]
         item = _ITEM.match(body)
-        return bool(body.startswith(">") or _ATX.match(body) or _FENCE.match(body) or _BREAK.match(body) or (item and body[item.end() :].strip()))
+        return bool(body.startswith(">") or self._html(body, 0) is not None or _ATX.match(body) or _FENCE.match(body) or _BREAK.match(body) or (item and body[item.end() :].strip()))
 
     @staticmethod
     def _columns(row: str) -> int:
@@ -316,50 +363,57 @@ class Inline:
     def __init__(self, s: str, labels: set[str]):
         self.s, self.labels = s, labels
         self.ranges: list[Range] = []
-        self.brackets: list[list] = []  # place, is image, active, number of runs before
-        self.runs: list[list] = []  # character, place, size, opens, closes
+        self.brackets: list[tuple[int, bool, int]] = []  # place, is image, number of runs before
+        self.dead = 0  # how many of them, from the first, can't be links any more as one stands in them
+        self.runs: list[list] = []  # character, place, size, opens, closes, size at first
+        self.tags = Tags(s)
+        self.destinations: Destinations | None = None
+        self.ticks: dict[int, list[int]] | None = None
         self._scan()
         self._emphasis(0)
 
     def _scan(self) -> None:
         s, i = self.s, 0
-        while i < len(s):
+        while m := _SPECIAL.search(s, i):
+            i = m.start()
             c = s[i]
-            if c == "\\" and i + 1 < len(s) and s[i + 1] in _PUNCTUATION:
-                i += 2
+            if c == "\\":
+                i += 2 if i + 1 < len(s) and s[i + 1] in _PUNCTUATION else 1
             elif c == "`":
-                n = len(s) - i - len(s[i:].lstrip("`"))
-                end = self._ticks(i + n, n)
+                n = _size(s, i)
+                end = self._ticks_end(i + n, n)
                 if end:
                     self.ranges.append((i, end))
                 i = end or i + n
             elif c == "<" and (m := _AUTOLINK.match(s, i)):
                 self.ranges.append((i, m.end()))
                 i = m.end()
-            elif c == "<" and (tag := scan_tag(s, i, len(s))):
+            elif c == "<" and (tag := self.tags.scan(i)):
                 i = tag[0]
             elif c == "!" and s[i + 1 : i + 2] == "[":
-                self.brackets.append([i, True, True, len(self.runs)])
+                self.brackets.append((i, True, len(self.runs)))
                 i += 2
             elif c == "[":
-                self.brackets.append([i, False, True, len(self.runs)])
+                self.brackets.append((i, False, len(self.runs)))
                 i += 1
             elif c == "]":
                 i = self._bracket(i)
             elif c in "*_":
-                n = 1
-                while s[i + n : i + n + 1] == c:
-                    n += 1
+                n = _size(s, i)
                 self._run(c, i, n)
                 i += n
             else:
                 i += 1
 
-    def _ticks(self, at: int, n: int) -> int:
-        for m in re.finditer("`+", self.s[at:]):
-            if len(m.group(0)) == n:
-                return at + m.end()
-        return 0
+    def _ticks_end(self, at: int, n: int) -> int:
+        """Place after the first run of ``n`` back-ticks from ``at`` on, 0 if there is none."""
+        if self.ticks is None:
+            self.ticks = defaultdict(list)
+            for m in re.finditer("`+", self.s):
+                self.ticks[m.end() - m.start()].append(m.start())
+        runs = self.ticks.get(n, [])
+        k = bisect_left(runs, at)
+        return runs[k] + n if k < len(runs) else 0
 
     def _run(self, c: str, at: int, n: int) -> None:
         before, after = self.s[at - 1 : at] or " ", self.s[at + n : at + n + 1] or " "
@@ -373,8 +427,10 @@ class Inline:
     def _bracket(self, i: int) -> int:
         if not self.brackets:
             return i + 1
-        start, image, active, runs = self.brackets.pop()
-        end = link_end(self.s, i, self.s[start + (2 if image else 1) : i], self.labels) if active else 0
+        start, image, runs = self.brackets.pop()
+        active = image or len(self.brackets) >= self.dead
+        self.dead = min(self.dead, len(self.brackets))
+        end = self._link_end(i, start + (2 if image else 1)) if active else 0
         if not end:
             return i + 1
         if image:
@@ -383,144 +439,187 @@ class Inline:
         else:
             self.ranges += [(start, start + 1), (i, end)]
             self._emphasis(runs)
-            for b in self.brackets:
-                if not b[1]:
-                    b[2] = False
+            self.dead = len(self.brackets)
         return end
 
+    def _link_end(self, close: int, start: int) -> int:
+        """Place after a link whose text goes from ``start`` to ``close``; 0 if it's none."""
+        s, at = self.s, close + 1
+        if s[at : at + 1] == "(":
+            self.destinations = self.destinations or Destinations(s)
+            end = self.destinations.end(at)
+            if end:
+                return end
+        if not self.labels:
+            return 0
+        m = _LABEL.match(s, at)
+        name = m.group(1) if m and m.group(1).strip() else s[start:close]
+        if " ".join(name.split()).casefold() in self.labels:
+            return m.end() if m else at
+        return 0
+
     def _emphasis(self, first: int) -> None:
         """Pair runs from ``first`` on; every paired mark is a range."""
-        runs = self.runs[first:]
-        for k, closer in enumerate(runs):
+        open_: list[tuple[int, list]] = []
+        failed: dict[tuple, int] = {}  # number of the last run that a closer of this kind was tried on in vain
+        for k, closer in enumerate(self.runs[first:]):
+            kind = (closer[0], closer[3], closer[5] % 3)
             while closer[4] and closer[2]:
-                for opener in reversed(runs[:k]):
+                least, j = failed.get(kind, -1), len(open_) - 1
+                while j >= 0 and open_[j][0] > least:
+                    opener = open_[j][1]
                     odd = (opener[4] or closer[3]) and (opener[5] + closer[5]) % 3 == 0 and (opener[5] % 3 or closer[5] % 3)
-                    if opener[0] == closer[0] and opener[3] and opener[2] and not odd:
+                    if opener[0] == closer[0] and not odd:
                         break
+                    j -= 1
                 else:
+                    failed[kind] = open_[-1][0] if open_ else least
                     break
+                opener = open_[j][1]
                 n = 2 if opener[2] > 1 and closer[2] > 1 else 1
                 at = opener[1] + opener[2] - n
                 self.ranges += [(at, at + n), (closer[1], closer[1] + n)]
                 opener[2] -= n
                 closer[1], closer[2] = closer[1] + n, closer[2] - n
-                for other in runs[runs.index(opener) + 1 : k]:
-                    other[2] = 0
+                del open_[j + (opener[2] > 0) :]
+            if closer[3] and closer[2]:
+                open_.append((k, closer))
         del self.runs[first:]
 
 
-def link_end(s: str, close: int, inner: str, labels: set[str]) -> int:
-    """Place after a link whose text ends at ``close``; 0 if it's none."""
-    at = close + 1
-    if s[at : at + 1] == "(":
-        end = destination_end(s, at)
-        if end:
-            return end
-    m = re.match(r"\[((?:[^\[\]\\]|\\.)*)\]", s[at:])
-    name = m.group(1) if m and m.group(1).strip() else inner
-    if " ".join(name.split()).casefold() in labels:
-        return at + m.end() if m else at
-    return 0
-
-
-def destination_end(s: str, at: int) -> int:
-    """Place after ``(destination "title")`` that opens at ``at``; 0 if it isn't closed."""
-    i = at + 1
-    while s[i : i + 1] and s[i] in " \t\n":
-        i += 1
-    if s[i : i + 1] == "<":
-        m = re.match(r"<(?:[^<>\n\\]|\\.)*>", s[i:])
-        if not m:
-            return 0
-        i += m.end()
-    else:
-        depth = 0
-        while i < len(s) and not s[i].isspace():
-            if s[i] == "\\" and i + 1 < len(s) and s[i + 1] in _PUNCTUATION:
-                i += 1
-            elif s[i] == "(":
-                depth += 1
-            elif s[i] == ")":
-                if not depth:
-                    break
-                depth -= 1
+def _size(s: str, at: int) -> int:
+    """How often the character at ``at`` is repeated from there."""
+    n, c = 1, s[at]
+    while s[at + n : at + n + 1] == c:
+        n += 1
+    return n
+
+
+class Destinations:
+    """Ends of ``(destination "title")`` in a text: brackets are paired within words once, not for every link that may open."""
+
+    def __init__(self, s: str):
+        self.s = s
+        self.pair: dict[int, int] = {}  # an open bracket's own end in its word
+        self.last: set[int] = set()  # open brackets that stay open in their word, with none that does after them
+        self.words: list[int] = []  # where words start
+        self.stops: list[tuple[int, bool]] = []  # the first closing bracket of a word that closes none, else its end; whether none stays open there
+        for m in re.finditer(r"\S+", s):
+            open_, stop = [], -1
+            for x in re.finditer(r"\\[!-/:-@\[-`{-~]|[()]", m.group()):
+                at = m.start() + x.start()
+                if x.group() == "(":
+                    open_.append(at)
+                elif x.group() == ")":
+                    if open_:
+                        self.pair[open_.pop()] = at
+                    elif stop < 0:
+                        stop = at
+            self.words.append(m.start())
+            self.last.update(open_[-1:])
+            self.stops.append((stop, True) if stop >= 0 else (m.end(), not open_))
+
+    def end(self, at: int) -> int:
+        """Place after what opens at the bracket ``at``; 0 if it isn't closed."""
+        s, i = self.s, at + 1
+        while s[i : i + 1] and s[i] in " \t\n":
             i += 1
-        if depth:
+        if s[i : i + 1] == "<":
+            m = _POINTED.match(s, i)
+            if not m:
+                return 0
+            i = m.end()
+        elif i == len(s) or s[i].isspace():
+            pass
+        elif i > at + 1:
+            i, whole = self.stops[bisect_right(self.words, i) - 1]
+            if not whole:
+                return 0
+        elif at in self.pair:
+            i = self.pair[at]
+        elif at in self.last:
+            i = self.stops[bisect_right(self.words, at) - 1][0]
+            if s[i : i + 1] == ")":
+                i = _word_end(s, i)
+        else:
             return 0
-    m = re.match(r"(?:\s+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)", s[i:])
-    return i + m.end() if m else 0
-
-
-def _escaped(s: str, at: int) -> bool:
-    """Whether an odd number of back-slashes stands before a place."""
-    head = s[:at]
-    return (at - len(head.rstrip("\\"))) % 2 == 1
-
-
-def scan_tag(s: str, start: int, limit: int) -> tuple[int, str, bool, bool] | None:
-    """End, name, whether closing, whether self-closing of the HTML/JSX tag at ``start``; None if there is none.
-
-    Quotes of any kind hide what they hold, braces what is no quote in them; a tag ends at the first > outside both that isn't the mark of a quote.
-    """
-    for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<?", "?>")):
-        if s.startswith(opening, start):
-            end = s.find(closing, start + len(opening), limit)
-            return (end + len(closing), "", False, True) if end >= 0 else None
-    for fragment in ("<>", "</>"):
-        if s.startswith(fragment, start):
-            return start + len(fragment), "", fragment == "</>", False
-    is_closing = s.startswith("/", start + 1)
-    m = _TAG_NAME.match(s, start + 1 + is_closing, limit)
-    if not m:
-        return None
-    at, depth, quote = m.end(), 0, ""
-    if at < limit and not (s[at].isspace() or s[at] in "/>={"):
-        return None
-    for at in range(at, limit):
-        c = s[at]
-        if quote:
-            if c == quote and not _escaped(s, at):
-                quote = ""
-        elif c in "\"'`":
-            quote = c
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth = max(0, depth - 1)
-        elif depth:
-            continue
-        elif c == "\n":
-            marks = _QUOTED.match(s, at + 1, limit)
-            if not _CONTINUES.match(s, marks.end() if marks else at + 1, limit):
-                return None
-        elif c == ">" and not _quote_marker(s, at, start):
-            return at + 1, m.group(0), is_closing, s[start:at].rstrip().endswith("/")
-    return None
+        m = _TITLE_END.match(s, i)
+        return m.end() if m else 0
+
+
+def _word_end(s: str, at: int) -> int:
+    m = re.compile(r"\s").search(s, at)
+    return m.start() if m else len(s)
+
+
+class Tags:
+    """The tags of a text. Openings whose ends are missing are remembered, so that none is looked for twice."""
+
+    def __init__(self, s: str):
+        self.s = s
+        self.ends: TagEnds | None = None
+        self.missing: set[str] = set()
+        self.closings: dict[str, tuple[int, int]] = {}
+
+    def scan(self, start: int) -> tuple[int, str, bool, bool] | None:
+        """End, name, whether closing, whether self-closing of the HTML/JSX tag at ``start``; None if there is none.
+
+        Quotes of any kind hide what they hold, braces what is no quote in them; a tag ends at the first > outside both that isn't the mark of a quote.
+        """
+        s = self.s
+        for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<?", "?>")):
+            if s.startswith(opening, start):
+                end = -1 if closing in self.missing else s.find(closing, start + len(opening))
+                if end < 0:
+                    self.missing.add(closing)
+                    return None
+                return end + len(closing), "", False, True
+        for fragment in ("<>", "</>"):
+            if s.startswith(fragment, start):
+                return start + len(fragment), "", fragment == "</>", False
+        is_closing = s.startswith("/", start + 1)
+        m = _TAG_NAME.match(s, start + 1 + is_closing)
+        if not m:
+            return None
+        at = m.end()
+        if at < len(s) and not (s[at].isspace() or s[at] in "/>={"):
+            return None
+        self.ends = self.ends or TagEnds(s, lines=True)
+        end = self.ends.end(at)
+        return (end, m.group(0), is_closing, s[start : end - 1].rstrip().endswith("/")) if end >= 0 else None
+
+    def closing(self, name: str, at: int) -> int:
+        """Place of the first closing tag of ``name`` from ``at`` on; -1 if there is none."""
+        searched, found = self.closings.get(name, (0, 0))
+        if not (searched <= at <= found or found < 0):
+            m = re.compile(rf"</\s*{name}(?=[\s>])", re.I).search(self.s, at)
+            found = m.start() if m else -1
+            self.closings[name] = (at, found)
+        return found
 
 
-def _quote_marker(s: str, at: int, start: int) -> bool:
-    """Whether the > at ``at`` is the mark of a quote, at the head of a line that goes on with the tag."""
-    head = s.rfind("\n", start, at) + 1
-    return head > start and bool(_QUOTE_MARKS.fullmatch(s, head, at)) and s[at + 1 : at + 2] in (" ", "\t", ">")
+def scan_tag(s: str, start: int, limit: int | None = None) -> tuple[int, str, bool, bool] | None:
+    """:meth:`Tags.scan` of the text up to ``limit``."""
+    return Tags(s[:limit]).scan(start)
 
 
 def tag_ranges(text: str, protected: list[Range]) -> list[Range]:
     """Tags outside ``protected``; script and style up to and with their closing tag, if they have one."""
-    out, at = [], 0
+    out, at, tags = [], 0, Tags(text)
     firsts = [a for a, _ in protected]
     while (at := text.find("<", at)) >= 0:
         k = bisect_right(firsts, at) - 1
         if k >= 0 and at < protected[k][1]:
             at = protected[k][1]
             continue
-        tag = scan_tag(text, at, len(text))
+        tag = tags.scan(at)
         if not tag:
             at += 1
             continue
         end, name, closing, alone = tag
         if name.lower() in ("script", "style") and not closing and not alone:
-            m = re.compile(rf"</\s*{name}(?=[\s>])", re.I).search(text, end)
-            last = scan_tag(text, m.start(), len(text)) if m else None
+            place = tags.closing(name.lower(), end)
+            last = tags.scan(place) if place >= 0 else None
             if last and last[2] and last[1].lower() == name.lower():
                 end = last[0]
         out.append((at, end))
@@ -555,19 +654,21 @@ def parse(text: str) -> Parsed:
     blocks = Blocks(text)
     inline: list[Range] = []
     for parts in blocks.content:
-        s, places = "", []
-        for a, b in parts:
-            if s:
-                s += "\n"
-                places.append(places[-1] + 1 if places else a)
-            s += text[a:b]
-            places += range(a, b)
+        s = "\n".join(text[a:b] for a, b in parts)
+        if not _SPECIAL.search(s):
+            continue
+        firsts = [0]  # where each line of s starts
+        for a, b in parts[:-1]:
+            firsts.append(firsts[-1] + b - a + 1)
         for a, b in Inline(s, blocks.labels).ranges:
-            first = a
-            for k in range(a, b):  # a range over several lines leaves out what stands between them
-                if k + 1 == b or places[k + 1] != places[k] + 1:
-                    inline.append((places[first], places[k] + 1))
-                    first = k + 1
+            # A range over several lines leaves out what stands between them, but for the line's end itself.
+            k = bisect_right(firsts, a) - 1
+            while a < b:
+                size = parts[k][1] - parts[k][0]
+                last = min(b, firsts[k] + size + 1)
+                shift = parts[k][0] - firsts[k]
+                inline.append((a + shift, last + shift))
+                a, k = last, k + 1
     protected = merge_ranges(blocks.code + inline + blocks.definitions)
     marked = merge_ranges(protected + tag_ranges(text, protected))
     ranges = merge_ranges(marked + url_ranges(mask_ranges(text, marked)))
@@ -590,8 +691,8 @@ def visible(line: str, start: int, ranges: list[Range]) -> tuple[str, list[int]]
 LINES = (
     "array<struct<n:int,line:string,masked:string,visible:string,columns:array<int>,title:string,heading_end:int,nominal:boolean>>"
 )
-_LINES = pa.list_(pa.struct([("n", pa.int32()), ("line", pa.string()), ("masked", pa.string()), ("visible", pa.string()), ("columns", pa.list_(pa.int32())), ("title", pa.string()), ("heading_end", pa.int32()), ("nominal", pa.bool_())]))
-_RANGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_LINE = {"n": pa.int32(), "line": pa.string(), "masked": pa.string(), "visible": pa.string(), "columns": pa.list_(pa.int32()), "title": pa.string(), "heading_end": pa.int32(), "nominal": pa.bool_()}
+_SPARK = {"masked": "string", "ranges": "array<struct<start:int,end:int>>", "inlines": "array<struct<start:int,end:int>>", "lines": LINES}
 
 
 def line_rows(text: str, p: Parsed) -> list[dict]:
@@ -616,9 +717,35 @@ def line_rows(text: str, p: Parsed) -> list[dict]:
     return rows
 
 
-def parsed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, text, masked, ranges, inlines, lines of every row: one pass of Arrow batches, one parse a document, no shuffle."""
-    names = list(keep)
+def _range_lists(rows: list[list[Range]]) -> pa.ListArray:
+    offsets = [0]
+    for r in rows:
+        offsets.append(offsets[-1] + len(r))
+    sides = [pa.array([x[k] for r in rows for x in r], pa.int32()) for k in (0, 1)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(sides, ["start", "end"]))
+
+
+def _line_lists(rows: list[list[dict]]) -> pa.ListArray:
+    offsets = [0]
+    for r in rows:
+        offsets.append(offsets[-1] + len(r))
+    parts = [pa.array([x[name] for r in rows for x in r], kind) for name, kind in _LINE.items()]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, list(_LINE)))
+
+
+#: How each column comes from texts and what their parses hold.
+_MADE: dict[str, Callable[[list[str], list[Parsed]], pa.Array]] = {
+    "masked": lambda texts, got: pa.array([p.masked for p in got], pa.string()),
+    "ranges": lambda texts, got: _range_lists([p.ranges for p in got]),
+    "inlines": lambda texts, got: _range_lists([p.inlines for p in got]),
+    "lines": lambda texts, got: _line_lists([line_rows(t, p) for t, p in zip(texts, got)]),
+}
+
+
+def parsed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), columns: tuple[str, ...] = ("text", "masked", "ranges", "inlines", "lines")) -> DataFrame:
+    """``keep`` and of text, masked, ranges, inlines, lines the asked ``columns`` of every row: one pass of Arrow batches, one parse a document, no shuffle."""
+    names, made = list(keep), [c for c in columns if c != "text"]
+    with_text = ["text"] * ("text" in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -626,12 +753,9 @@ def parsed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
                 some = batch.slice(at, 64)
                 texts = [x.as_py() or "" for x in some.column(len(names))]
                 got = [parse(t) for t in texts]
-                as_rows = lambda r: [{"start": a, "end": b} for a, b in r]
-                yield pa.RecordBatch.from_arrays(
-                    [*some.columns[: len(names)], pa.array(texts, pa.string()), pa.array([p.masked for p in got], pa.string()), pa.array([as_rows(p.ranges) for p in got], _RANGES), pa.array([as_rows(p.inlines) for p in got], _RANGES), pa.array([line_rows(t, p) for t, p in zip(texts, got)], _LINES)],
-                    [*names, "text", "masked", "ranges", "inlines", "lines"],
-                )
+                own = [pa.array(texts, pa.string())] * len(with_text)
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(names)], *own, *[_MADE[c](texts, got) for c in made]], [*names, *with_text, *made])
 
     source = docs.select(*names, docs["text"].cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    return source.mapInArrow(run, f"{schema}, masked string, ranges array<struct<start:int,end:int>>, inlines array<struct<start:int,end:int>>, lines {LINES}")
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "text" or with_text] + [f"{c} {_SPARK[c]}" for c in made]
+    return source.mapInArrow(run, ", ".join(schema))

@@ -593,28 +593,28 @@ def _(spark, sf_dir):
 # Masking
 
 
-def _parsed(spark, sf_dir):
-    return markdown.parsed(known.known_docs(spark, sf_dir))
+def _parsed(spark, sf_dir, column):
+    return markdown.parsed(known.known_docs(spark, sf_dir), columns=(column,))
 
 
 @query("non_prose_ranges", with_(known.KNOWN) + known.known_ranges((1, 2, 3)))
 def _(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("doc_id", F.explode("ranges").alias("r")).select("doc_id", "r.*")
+    return _parsed(spark, sf_dir, "ranges").select("doc_id", F.explode("ranges").alias("r")).select("doc_id", "r.*")
 
 
 @query("inline_ranges", with_(known.KNOWN) + known.known_ranges((1,)))
 def _(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("doc_id", F.explode("inlines").alias("r")).select("doc_id", "r.*")
+    return _parsed(spark, sf_dir, "inlines").select("doc_id", F.explode("inlines").alias("r")).select("doc_id", "r.*")
 
 
 @query("mask_text", with_(known.KNOWN) + "SELECT doc_id, string_agg(masked, chr(10) || chr(10) ORDER BY n) AS masked FROM known GROUP BY doc_id")
 def _(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("doc_id", "masked")
+    return _parsed(spark, sf_dir, "masked")
 
 
 @query("mask_articles")
 def _(spark, sf_dir):
-    return markdown.parsed(article_docs(spark, sf_dir)).select("doc_id", "masked")
+    return markdown.parsed(article_docs(spark, sf_dir), columns=("masked",))
 
 
 _KNOWN_MENTIONS = _MENTIONS[len(with_(VIEW, _PROSE_TEXT)) :]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hondana.functions.matching import bound
 from hondana.plans.sql import q
 from hondana.sources.documents import documents
 
@@ -36,7 +37,7 @@ def _lettered(spark: SparkSession, sf_dir: str, form) -> DataFrame:
     def one(x: Column, n: Column) -> Column:
         letters = F.trim(F.regexp_replace(x, "[^A-Za-z]+", " "))
         c = F.when(letters == "", F.lit("x")).otherwise(letters)
-        return form(c, F.replace(c, F.lit(" "), F.lit("")), (F.col("doc_id") + n + 1) % 8)
+        return bound(c, lambda y: bound(F.replace(y, F.lit(" "), F.lit("")), lambda u: form(y, u, (F.col("doc_id") + n + 1) % 8)))
 
     docs = documents(spark, sf_dir).where("text is not null")
     return docs.select("doc_id", F.transform(F.split("text", "\n", -1), one).alias("parts"))

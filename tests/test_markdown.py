@@ -1,9 +1,12 @@
 """Masking: written cases, and properties on arbitrary texts."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from hondana.functions import article, tags
 from hondana.functions import markdown as m
 
 
@@ -50,6 +53,85 @@ def test_what_is_prose(text, hidden, shown):
         assert x in out, x
 
 
+@pytest.mark.parametrize(
+    "text, hidden, shown",
+    [
+        # The seven kinds: what stands in them is prose as it is written, tags are not.
+        ("<pre class=x>\n**サーバ** `鶏`\n\n`鶏` 中</pre> `まだ`\n`後`", ["<pre", "</pre>", "後"], ["**サーバ** `鶏`", "`鶏` 中", "`まだ`"]),
+        ("<TEXTAREA>\n`鶏`\n</textarea>\n`後`", ["後"], ["`鶏`"]),
+        ("<script>\n`鶏`\n\n`犬`</script>\n`後`", ["鶏", "犬", "後"], []),
+        ("<!-- 鶏\n\n`犬` --> `中`\n`後`", ["鶏", "犬", "後"], ["`中`"]),
+        ("<?php `鶏`\n\n?>`中`\n`後`", ["鶏", "後"], ["`中`"]),
+        ("<!DOCTYPE `鶏`\n\n`犬`> 中\n`後`", ["後"], ["`鶏`", "`犬`", "中"]),
+        ("<![CDATA[\n`鶏`\n]]> `中`\n`後`", ["鶏", "後"], ["`中`"]),
+        ("<div>\n**サーバ** `x`\n</div>\n\n`後`", ["<div>", "</div>", "後"], ["**サーバ** `x`"]),
+        ("</DIV> `鶏`\n[字](u)\n\n`後`", ["</DIV>", "後"], ["`鶏`", "[字](u)"]),
+        ("<h1>`鶏`\n```\n犬\n```\n\n`後`", ["<h1>", "後"], ["`鶏`", "犬"]),
+        ("<Card a='1'>\n`鶏`\n</Card>\n\n`後`", ["Card", "後"], ["`鶏`"]),
+        ("</x-y >\t\n`鶏`\n\n`後`", ["x-y", "後"], ["`鶏`"]),
+        # The last kind stands alone on its line and interrupts no paragraph; the others do.
+        ("<Card> `鶏`", ["鶏"], []),
+        ("本文\n<Card>\n`鶏`", ["鶏"], ["本文"]),
+        ("本文\n<div>\n`鶏`", [], ["本文", "`鶏`"]),
+        ("|a|b|\n|-|-|\n|`鶏`|c|\n<div>\n`犬`", ["鶏"], ["`犬`"]),
+        # Inside lists and quotes, and where those end.
+        ("- <div>\n  `鶏`\n\n  `中`\n- `後`", ["中", "後"], ["`鶏`"]),
+        ("- <div>\n  `鶏`\n`後`", ["後"], ["`鶏`"]),
+        ("> <div>\n> `鶏`\n`後`", ["後"], ["`鶏`"]),
+        ("> 本文\n<div>\n`鶏`", [], ["`鶏`", "本文"]),
+        ("1. > <!--\n   > `鶏`\n   > --> `中`\n   > `後`", ["鶏", "後"], ["`中`"]),
+        ("    <div>\n`後`", ["div", "後"], []),
+        ("   <div>\n`鶏`", [], ["`鶏`"]),
+        ("<divx>`鶏`", ["鶏"], []),
+        ("<div>\n# 鶏\n\n# 後", [], ["# 鶏"]),
+        ("<div>\n[a]: /eufy\n</div>\n\n[a]", [], ["[a]: /eufy", "[a]"]),
+    ],
+)
+def test_html_blocks(text, hidden, shown):
+    test_what_is_prose(text, hidden, shown)
+
+
+def test_html_blocks_have_no_headings():
+    assert m.parse("<div>\n# 鶏\n一\n===\n\n# 後\n").headings == [(5, 6, "後")]
+
+
+def brute_tag_end(s, at):
+    """End of a tag whose name ends at ``at``, by the rule itself."""
+    depth, quote = 0, ""
+    for k in range(at, len(s)):
+        c = s[k]
+        if quote:
+            if c == quote and (k - len(s[:k].rstrip("\\"))) % 2 == 0:
+                quote = ""
+        elif c in "\"'`":
+            quote = c
+        elif c in "{}":
+            depth = max(0, depth + (1 if c == "{" else -1))
+        elif c == ">" and not depth:
+            return k + 1
+    return -1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="<>{}\"'`\\a/ ", max_size=40))
+def test_tag_ends_are_those_of_one_scan_each(text):
+    ends = tags.TagEnds(text, lines=False)
+    assert [ends.end(k) for k in range(len(text) + 1)] == [brute_tag_end(text, k) for k in range(len(text) + 1)]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<A {", "<a '", "<!--", "<script>", "<script></script ", "`a``b", "[", "[a](", "[a](b 'c", "a* *b ", "**a*", "\\`", "<a\n", "<a \"\n> b=", "- ", ">", "[x]: y\n"])
+def test_hostile_texts_end(piece):
+    """Time grows with the text: ten times as long, far less than a hundred times the time; a megabyte in seconds."""
+    took = []
+    for size in (60_000, 600_000):
+        text = (piece * (size // len(piece) + 1))[:size]
+        start = time.process_time()
+        m.parse(text)
+        article.strip_components(text)
+        took.append(time.process_time() - start)
+    assert took[1] < 10 and took[1] < 25 * max(took[0], 0.02)
+
+
 @pytest.mark.parametrize(
     "text, ranges",
     [
