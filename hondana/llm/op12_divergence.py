@@ -1,14 +1,14 @@
 """Divergence of sources: how differently the sources of a language use its terms.
 
-Documents are counted where they lie: a task adds up the terms of its texts by (lang, source) and passes sums on, at most ``HELD`` terms at
-a time. The sums are dealt to shards by hash of (lang, term), each shard in the order of those. A shard runs DuckDB over its Arrow
-batches: vectorised SQL adds up the counts of whole terms (the last one of a batch waits for the next), keeps those in at least ``LEAST``
-documents of the language, and gives a row a term with its count in every source that has it. Spark adds up the totals of groups and languages.
+Documents are counted where they lie: a task adds up the terms of its texts by (lang, source) and passes sums on, a row for each (lang, term), when it
+holds ``HELD`` counts. The sums are dealt to shards by a hash of (lang, term), each shard in the order of that hash. A shard runs DuckDB over ``RUN`` rows at a time:
+vectorised SQL keeps the terms in at least ``LEAST`` documents of the language (the rows of the last hash wait for what follows), adds up
+their counts, and gives a row a term with its count in every source that has it. Spark adds up the totals of groups and languages.
 Then DuckDB turns slices of those rows into the groups' probabilities, for the partial sums of |p - q| of every pair of sources and the ``TOP`` terms of every
 group; Spark adds the partial sums, merges the best terms and ranks. All arithmetic is on integers, wide where a product needs it.
 
 Groups go to the tasks in blocks of ``BLOCK`` as (lang, source, total, V); a pair of blocks is one pass, so a corpus with any
-number of sources is held in pieces. A hot term costs a shard one row a task and source, added up as they stream by.
+number of sources is held in pieces. A hot term costs a shard one row a task and source, added up as they stream by; terms of one hash stay together.
 
 Edge cases: null text, lang and source are empty strings; an empty text has no terms, but its group exists; a language without kept terms
 has its pairs with value 0; a language of one source has no pairs; equal values go by item in UTF-8 order; repeated rows are documents of
@@ -21,6 +21,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,10 @@ from hondana.llm import scratch
 LEAST = 30
 TOP = 50
 #: Terms that a counting task holds before it passes their sums on.
-HELD = 250_000
+HELD = 500_000
+#: Rows of a batch that a task passes on, and that a shard hands to DuckDB at once.
+ROWS = 20_000
+RUN = 200_000
 #: Groups of a pass; pairs of them that a slice of terms makes at most.
 BLOCK = 4096
 PAIRS = 4_000_000
@@ -38,8 +42,9 @@ PAIRS = 4_000_000
 #: Bytes that are in no term become spaces, A-Z becomes a-z; bytes of letters beyond ASCII stay.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
-_SUMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
-_KEPT = pa.schema([("lang", pa.string()), ("term", pa.string()), ("held", pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())])))])
+_HELD = pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))
+_SUMS = pa.schema([("hash", pa.int64()), ("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("held", _HELD)])
+_KEPT = pa.schema([("lang", pa.string()), ("term", pa.string()), ("held", _HELD)])
 _FOUND = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
 
@@ -54,74 +59,97 @@ def _engine():
     return duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": "", "preserve_insertion_order": False})
 
 
-def _rows(sql: str, schema: pa.Schema, **tables: pa.Table) -> list[pa.RecordBatch]:
-    with _engine() as engine:
-        for name, table in tables.items():
-            engine.register(name, table)
-        found = engine.sql(sql).to_arrow_table()
+def _rows(engine, sql: str, schema: pa.Schema, **tables: pa.Table) -> list[pa.RecordBatch]:
+    for name, table in tables.items():
+        engine.register(name, table)
+    found = engine.sql(sql).to_arrow_table()
+    for name in tables:
+        engine.unregister(name)
     return found.cast(schema).combine_chunks().to_batches()
 
 
 def _counted(held: int):
-    """Sums by (lang, source, term) of the texts of a task."""
+    """A row for each (lang, term) of the texts of a task: in how many of them it is, and its count in every source that has it."""
+    kind = pa.schema([f for f in _SUMS if f.name != "hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        docs: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        count: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+        docs: dict[str, Counter] = defaultdict(Counter)
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), c in count.items():
-                d = docs[lang, source]
-                names = [t.decode("utf-8", "replace") for t in c]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array([source] * len(c), pa.string()), pa.array(names, pa.string()), pa.array(list(c.values()), pa.int64()), pa.array([d[t] for t in c], pa.int64())], schema=_SUMS)
+            for lang, of_source in count.items():
+                found, sources = docs[lang], list(of_source)
+                number = dict(zip(found, range(len(found))))
+                at = np.concatenate([np.fromiter(map(number.__getitem__, c), np.int32, len(c)) for c in of_source.values()])
+                n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in of_source.values()])
+                order = np.argsort(at, kind="stable")
+                which = np.repeat(np.arange(len(sources)), [len(c) for c in of_source.values()])[order]
+                parts = [pa.array(sources, pa.string()).take(pa.array(which)), pa.array(n[order])]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(found)))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["source", "n"]))
+                names = pa.array([t.decode("utf-8", "replace") for t in found], pa.string())
+                whole = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(found)), names, pa.array(list(found.values()), pa.int64()), lists], schema=kind)
+                yield from (whole.slice(k, ROWS) for k in range(0, len(found), ROWS))
             count.clear()
             docs.clear()
 
-        since = 0
+        most = 0  # entries at most
         for batch in batches:
             for text, lang, source in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found = Counter(terms(text.as_py()))
+                found = terms(text.as_py())
                 if found:
-                    count[lang, source].update(found)
-                    docs[lang, source].update(found.keys())
-                    since += len(found)
-                if since > held:
-                    since = sum(map(len, count.values()))
-                    if since > held // 2:
+                    once = set(found)
+                    count[lang][source].update(found)
+                    docs[lang].update(once)
+                    most += len(once)
+                if most > held:
+                    most = sum(len(c) for of_source in count.values() for c in of_source.values())
+                    if most > 0.75 * held:
                         yield from out()
-                        since = 0
+                        most = 0
         yield from out()
 
     return run
 
 
-def _kept_terms(least: int):
-    """Whole terms of a shard, which come in the order of (lang, term)."""
+_ADDED = """
+WITH c AS (SELECT hash, lang, term, h.source AS source, sum(h.n)::BIGINT AS n FROM (SELECT hash, lang, term, unnest(held) AS h FROM part) GROUP BY ALL),
+l AS (SELECT hash, lang, term, list({'source': source, 'n': n}) AS held FROM c GROUP BY ALL),
+d AS (SELECT hash, lang, term, sum(docs)::BIGINT AS docs FROM part GROUP BY ALL)
+SELECT hash, lang, term, docs, held FROM d JOIN l USING (hash, lang, term)"""
+
+
+def _kept_terms(least: int, size: int):
+    """Whole terms of a shard, whose rows come in the order of their hash."""
+    sql = f"""
+    WITH often AS (SELECT lang, term FROM part GROUP BY ALL HAVING sum(docs) >= {least}),
+    c AS (SELECT lang, term, h.source AS source, sum(h.n)::BIGINT AS n FROM (SELECT lang, term, unnest(held) AS h FROM part SEMI JOIN often USING (lang, term)) GROUP BY ALL)
+    SELECT lang, term, list({{'source': source, 'n': n}} ORDER BY source) AS held FROM c GROUP BY lang, term"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = _SUMS.empty_table()
+        engine, waiting, rows = _engine(), [], 0
 
-        def ready(table: pa.Table) -> list[pa.RecordBatch]:
-            return _rows(
-                f"""WITH c AS (SELECT lang, term, source, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM part GROUP BY ALL)
-                SELECT lang, term, list({{'source': source, 'n': n}} ORDER BY source) AS held FROM c GROUP BY lang, term HAVING sum(docs) >= {least}""",
-                _KEPT, part=table,
-            )
+        def cut() -> tuple[pa.Table, pa.Table]:
+            """Rows of whole terms, and those of the last hash."""
+            whole = pa.Table.from_batches(waiting, _SUMS)
+            hashes = whole["hash"].to_numpy()
+            at = int((hashes != hashes[-1]).nonzero()[0][-1]) + 1 if hashes[0] != hashes[-1] else 0
+            return whole.slice(0, at), whole.slice(at)
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            whole = pa.concat_tables([waiting, pa.Table.from_batches([batch.select(_SUMS.names)]).cast(_SUMS)])
-            last = {"lang": batch.column("lang")[-1].as_py(), "term": batch.column("term")[-1].as_py()}
-            mine = pa.compute.and_(pa.compute.equal(whole["lang"], last["lang"]), pa.compute.equal(whole["term"], last["term"]))
-            some = whole.filter(pa.compute.invert(mine))
-            if some.num_rows:
-                yield from ready(some)
-            waiting = whole.filter(mine)
-            if waiting.num_rows > 1:
-                waiting = pa.Table.from_batches(_rows("SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM part GROUP BY ALL", _SUMS, part=waiting), _SUMS)
-        if waiting.num_rows:
-            yield from ready(waiting)
+            if batch.num_rows:
+                waiting.append(batch.select(_SUMS.names).cast(_SUMS))
+                rows += batch.num_rows
+            if rows >= size:
+                whole, last = cut()
+                if whole.num_rows:
+                    yield from _rows(engine, sql, _KEPT, part=whole)
+                waiting = _rows(engine, _ADDED, _SUMS, part=last)
+                rows = sum(x.num_rows for x in waiting)
+                rows = 0 if rows >= size else rows  # a term of very many sources: added up again after as many rows
+        if waiting:
+            yield from _rows(engine, sql, _KEPT, part=pa.Table.from_batches(waiting, _SUMS))
+        engine.close()
 
     return run
 
@@ -159,14 +187,15 @@ def _partial(left: list[tuple], right: list[tuple], same: bool, top: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # DuckDB compares text by its UTF-8 bytes, as Spark does.
+        engine = _engine()
         groups = [pa.table([pa.array(c, k) for c, k in zip(zip(*side), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=names) for side in (left, right)]
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 some = pa.Table.from_batches([batch.slice(at, step)])
                 tables = {"part": some, "left_groups": groups[0], "right_groups": groups[1]}
-                yield from _rows(_PAIR_SUMS, _FOUND, **tables)
+                yield from _rows(engine, _PAIR_SUMS, _FOUND, **tables)
                 if same:
-                    yield from _rows(_BEST_TERMS.format(top=top), _FOUND, **tables)
+                    yield from _rows(engine, _BEST_TERMS.format(top=top), _FOUND, **tables)
 
     return run
 
@@ -176,12 +205,13 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds.get(f.type, 'array<struct<source:string,n:bigint>>')}" for f in schema)
 
 
-def counted(docs: DataFrame, least: int = LEAST, held: int = HELD) -> tuple[DataFrame, DataFrame]:
+def counted(docs: DataFrame, least: int = LEAST, held: int = HELD, run: int = RUN) -> tuple[DataFrame, DataFrame]:
     """Kept terms (lang, term, held: array of (source, n)) and groups (lang, source, total, lang_total, v)."""
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source"))
     rows = docs.select(text, lang, source)
-    sums = rows.mapInArrow(_counted(held), _ddl(_SUMS))
-    kept = sums.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_kept_terms(least), _ddl(_KEPT))
+    sums = rows.mapInArrow(_counted(held), _ddl(pa.schema([f for f in _SUMS if f.name != "hash"])))
+    sums = sums.select(F.xxhash64("lang", "term").alias("hash"), "*").repartition("hash").sortWithinPartitions("hash")
+    kept = sums.mapInArrow(_kept_terms(least, run), _ddl(_KEPT))
     kept = scratch.write(kept, "terms")
     of_group = kept.select("lang", F.explode("held").alias("h")).groupBy("lang", "h.source").agg(F.sum("h.n").alias("total"))
     of_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum(F.aggregate("held", F.lit(0).cast("long"), lambda t, h: t + h.n)).alias("lang_total"))
@@ -189,10 +219,10 @@ def counted(docs: DataFrame, least: int = LEAST, held: int = HELD) -> tuple[Data
     return kept, scratch.write(groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", "lang_total", "v")]), "groups")
 
 
-def op12_divergence(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int = BLOCK, held: int = HELD) -> DataFrame:
+def op12_divergence(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int = BLOCK, held: int = HELD, run: int = RUN) -> DataFrame:
     """lang, source, part, item, value, rank: every pair of sources of a language by divergence, and the ``top`` terms of every source."""
     spark = docs.sparkSession
-    kept, groups = counted(docs, least, held)
+    kept, groups = counted(docs, least, held, run)
     path = scratch.folder(spark, "partial")
     spark.createDataFrame([], _ddl(_FOUND)).write.parquet(path)
     for number, left in enumerate(_blocks(groups, block)):

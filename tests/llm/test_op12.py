@@ -69,7 +69,7 @@ def test_blocks_of_groups_and_small_batches(spark, monkeypatch):
     rows = random_rows(300, 2, sources=4)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = sorted(map(tuple, m.op12_divergence(docs_of(spark, rows), least=9, top=3, block=3, held=5).collect()))
+        got = sorted(map(tuple, m.op12_divergence(docs_of(spark, rows), least=9, top=3, block=3, held=5, run=4).collect()))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == plain(rows, 9, 3)
