@@ -34,15 +34,14 @@ def whole(vectors: DataFrame, scale: int = SCALE, size: int = SIZE) -> DataFrame
     """vec_id and v (array<long>, floor of ``scale`` times each component) of the vectors that take part."""
     x = F.col("embedding")
     fine = (F.size(x) == size) & F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) != float("inf")))
-    return vectors.where(x.isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda y: F.floor(F.lit(float(scale)) * y.cast("double"))).alias("v"))
+    scaled = lambda y: F.lit(float(scale)) * y.cast("double")
+    floor = lambda y: F.when(F.abs(scaled(y)) < 2.0**62, F.floor(scaled(y))).otherwise(F.raise_error(F.lit("components are too large")).cast("long"))
+    return vectors.where(x.isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, floor).alias("v"))
 
 
 def nearest(rows: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of the nearest centroid of each row, the lower one of several, and the squared distance to it."""
-    most = max(np.abs(rows).max(initial=0), np.abs(centroids).max(initial=0))
-    if most >= 1 << 62:  # Spark's floor ends at 2^63 - 1
-        raise ValueError("components are too large")
-    if most >= SMALL:
+    if max(np.abs(rows).max(initial=0), np.abs(centroids).max(initial=0)) >= SMALL:
         rows, centroids = rows.astype(object), centroids.astype(object)
     best = np.zeros(len(rows), np.int64)
     least = ((rows - centroids[0]) ** 2).sum(axis=1)
