@@ -9,9 +9,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hondana.functions.dictionary import term_matches
 from hondana.functions.matching import bound, char_at, folded, folded_text, matches, needle, pattern, rule_matches, running_sums
 from hondana.schema import issue
 
@@ -104,15 +105,14 @@ BOUNDARY = f"(?<=[A-Za-z0-9])(?=[{JAPANESE}])|(?<=[{JAPANESE}])(?=[A-Za-z0-9])"
 
 
 def translation_rules(dictionary: dict[str, str] | None = None) -> tuple[Rule, ...]:
-    """Review rules of a dictionary, read when called."""
+    """Review rules of a dictionary, read when called: what :func:`check_translations` finds, told one by one."""
     given = UNOFFICIAL_TRANSLATIONS if dictionary is None else dictionary
     return tuple(Rule(to, (Variant(re.escape(term)),), name="unofficial-translation", review=True, no_kanji_beside=True) for term, to in given.items())
 
 
-def rules_of(profile: str, dictionary: dict[str, str] | None = None) -> tuple[Rule, ...]:
-    if profile != "blog":
-        return RULES
-    return (*[r for r in RULES if r.blog], BRAND, CHICKEN, *translation_rules(dictionary))
+def rules_of(profile: str) -> tuple[Rule, ...]:
+    """The fixed rules of a profile; the dictionary of translations is no set of rules but a table, see :func:`check_translations`."""
+    return (*[r for r in RULES if r.blog], BRAND, CHICKEN) if profile == "blog" else RULES
 
 
 def review_message(rule: Rule, matched: Column) -> Column:
@@ -207,21 +207,40 @@ def _issues(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return issue(hits, "notation", _of(rules, lambda r: r.rule_name), message, preferred, _of(rules, lambda r: r.review), seq=F.col("variant") * 1_000_000 + F.col("n"))
 
 
-def check_notation_blog(lines: DataFrame, dictionary: dict[str, str] | None = None, rules: tuple[Rule, ...] | None = None) -> DataFrame:
+def check_notation_blog(lines: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """Term issues of the blog profile in ``lines`` (doc_id, n, line, masked)."""
-    rules = rules_of("blog", dictionary) if rules is None else rules
+    rules = rules_of("blog") if rules is None else rules
     hits = _hits(lines, rules, "masked")
     hits = hits.where((F.col("matched") != _of(rules, lambda r: r.preferred)) & ~(_of(rules, lambda r: r.no_kanji_beside) & kanji_beside(F.col("line"), F.col("col"), F.col("matched"))))
     return _issues(hits, rules)
 
 
+def dictionary_table(spark: SparkSession, dictionary: dict[str, str] | None = None) -> DataFrame:
+    """term, preferred, place of a dictionary, the shipped one unless given, read when called."""
+    given = UNOFFICIAL_TRANSLATIONS if dictionary is None else dictionary
+    return spark.createDataFrame([(term, to, k) for k, (term, to) in enumerate(given.items())], "term string, preferred string, place long")
+
+
+def check_translations(lines: DataFrame, dictionary: DataFrame, first: int = 0) -> DataFrame:
+    """Issues for review at every term of ``dictionary`` (term, preferred, place in its order) in ``lines`` (doc_id, n, line, masked).
+
+    One automaton finds all terms, in any case, so a dictionary of any size is one pass; ``first`` is the place of its first term among all rules. A term is looked up once for its matches, by a join.
+    Matches beside a kanji, and those that already read as preferred, are none.
+    """
+    extra = tuple(c for c in ("file",) if c in lines.columns)
+    hits = term_matches(lines.select("doc_id", "n", "line", *extra, "masked"), dictionary, "masked")
+    hits = hits.join(dictionary.select("term", "preferred", "place"), "term").where((F.col("matched") != F.col("preferred")) & ~kanji_beside(F.col("line"), F.col("col"), F.col("matched")))
+    message = F.concat(F.lit("「"), F.col("matched"), F.lit("」が「"), F.col("preferred"), F.lit("」を指すかは文脈で決まります。意図した用語か確認してください。"))
+    return issue(hits, "notation", "unofficial-translation", message, None, True, seq=(F.lit(first) + F.col("place")) * 1_000_000 + F.col("n"))
+
+
 def check_slash(lines: DataFrame) -> DataFrame:
     """Slashes between terms, for review."""
     extra = tuple(c for c in ("file",) if c in lines.columns)
     hits = matches(lines, pattern(SLASH), "masked", ("doc_id", "n", "line", *extra))
     hits = hits.withColumn("matched", F.substr("line", "col", F.length("matched")))
     message = F.concat(F.lit("「"), F.col("matched"), F.lit("」のスラッシュが並列、固有表記、パスのどれに当たるかは文脈で決まります。表記を確認してください。"))
-    return issue(hits, "notation", "slash-coordination", message, None, True, seq=F.lit(900_000_000) + F.col("n"))
+    return issue(hits, "notation", "slash-coordination", message, None, True, seq=F.lit(900_000_000_000) + F.col("n"))
 
 
 def check_spacing(lines: DataFrame) -> DataFrame:
@@ -230,4 +249,4 @@ def check_spacing(lines: DataFrame) -> DataFrame:
     hits = matches(lines, pattern(BOUNDARY), "masked", ("doc_id", "n", "line", *extra)).withColumn("col", F.col("col") - 1)
     a, b = F.substr("line", "col", F.lit(1)), F.substr("line", F.col("col") + 1, F.lit(1))
     hits = hits.withColumn("matched", F.concat(a, b)).withColumn("spaced", F.concat(a, F.lit(" "), b))
-    return issue(hits, "notation", "alnum-japanese-spacing", "英数字と日本語の間に半角スペースを入れてください。", F.col("spaced"), seq=F.lit(950_000_000) + F.col("n"))
+    return issue(hits, "notation", "alnum-japanese-spacing", "英数字と日本語の間に半角スペースを入れてください。", F.col("spaced"), seq=F.lit(950_000_000_000) + F.col("n"))

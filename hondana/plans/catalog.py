@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hondana.functions import article, markdown
+from hondana.functions.dictionary import term_matches
 from hondana.functions.matching import find_all, matches, pattern
-from hondana.operators import dataset, external, frontmatter, notation, ranges, secrets, structure, style
+from hondana.operators import dataset, external, frontmatter, intervals, notation, ranges, secrets, structure, style
 from hondana.plans import known, lint, sql
 from hondana.plans.sql import FENCES, KANJI_BESIDE, PUBLISHED, SECRET_VIEW, VIEW, issue_columns, q, scan, with_
 from hondana.schema import CHECKS
@@ -270,13 +271,27 @@ _DICTIONARY = {"比較": "対比"}
 
 @query("unofficial_translation", _review_sql(notation.translation_rules(_DICTIONARY)[0], "'「' || matched || '」が「対比」を指すかは文脈で決まります。意図した用語か確認してください。'"))
 def _(spark, sf_dir):
-    return notation.check_notation_blog(prose(spark, sf_dir), rules=notation.translation_rules(_DICTIONARY))
+    return notation.check_translations(prose(spark, sf_dir), notation.dictionary_table(spark, _DICTIONARY))
+
+
+# Words of four letters and more of the benchmark, as a dictionary: hundreds to thousands of terms.
+_TERMS_SQL = """
+terms AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM benchmark)),
+counted AS (SELECT d.doc_id, t.term, (length(lower(d.text)) - length(replace(lower(d.text), t.term, ''))) // length(t.term) AS times FROM documents d JOIN terms t ON contains(lower(d.text), t.term))
+SELECT doc_id, term, CAST(times AS BIGINT) AS times FROM counted"""
+
+
+@query("dictionary_terms", f"WITH {_TERMS_SQL}")
+def _(spark, sf_dir):
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term")
+    found = term_matches(sources.documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark").select(words), "text")
+    return found.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
 # Looking ahead at the end of a pattern is the same as taking it in and leaving it out of the group.
 _SLASHES = notation.SLASH[notation.SLASH.index(")") + 1 : notation.SLASH.index("(?=")]
 _BEHIND = notation.SLASH[notation.SLASH.index("(?=") + 3 : -1]
-_SLASH_ISSUES = f"""SELECT {issue_columns("notation", "'slash-coordination'", "'「' || matched || '」のスラッシュが並列、固有表記、パスのどれに当たるかは文脈で決まります。表記を確認してください。'", "NULL", "true", "900000000 + n")}
+_SLASH_ISSUES = f"""SELECT {issue_columns("notation", "'slash-coordination'", "'「' || matched || '」のスラッシュが並列、固有表記、パスのどれに当たるかは文脈で決まります。表記を確認してください。'", "NULL", "true", "900000000000 + n")}
 FROM (SELECT *, pos AS col, regexp_extract(substr(line, pos), {q(f"^({_SLASHES})(?:{_BEHIND})")}, 1) AS matched FROM (SELECT *, unnest(range(1, length(line) + 1)) AS pos FROM prose WHERE contains(line, '/')))
 WHERE matched != '' AND NOT (pos > 1 AND regexp_matches(substr(line, pos - 1, 1), '[A-Za-z0-9{notation.JAPANESE}/]'))"""
 
@@ -288,7 +303,7 @@ def _(spark, sf_dir):
 
 _J = f"[{notation.JAPANESE}]"
 _PLACES = "SELECT *, unnest(range(1, length(line))) AS pos FROM prose"
-_SPACING_ISSUES = f"""SELECT {issue_columns("notation", "'alnum-japanese-spacing'", "'英数字と日本語の間に半角スペースを入れてください。'", "substr(line, pos, 1) || ' ' || substr(line, pos + 1, 1)", seq="950000000 + n")}
+_SPACING_ISSUES = f"""SELECT {issue_columns("notation", "'alnum-japanese-spacing'", "'英数字と日本語の間に半角スペースを入れてください。'", "substr(line, pos, 1) || ' ' || substr(line, pos + 1, 1)", seq="950000000000 + n")}
 FROM (SELECT *, pos AS col, substr(line, pos, 2) AS matched FROM ({_PLACES}))
 WHERE regexp_matches(matched, '^(?:[A-Za-z0-9]{_J}|{_J}[A-Za-z0-9])')"""
 
@@ -310,6 +325,28 @@ def _(spark, sf_dir):
     return lint.lint(known.known_docs(spark, sf_dir), "blog", checks=("notation",))
 
 
+# Each line of the known texts, three characters on and so over line ends, against the ranges that are no prose.
+_SHIFTED = "SELECT k.doc_id, k.n, r.start, r.\"end\" FROM known k JOIN (" + known.known_ranges((1, 2, 3)) + ") r ON k.doc_id = r.doc_id AND r.start < k.begin + 3 + length(k.line) AND k.begin + 3 < r.\"end\""
+
+
+@query("line_range_overlaps", with_(known.KNOWN) + _SHIFTED)
+def _(spark, sf_dir):
+    docs = known.known_docs(spark, sf_dir)
+    lines = ranges.line_offsets(sources.lines(docs)).where("line != ''").select("doc_id", F.col("n").cast("long").alias("n"), (F.col("offset") + 3).alias("start"), (F.col("offset") + 3 + F.length("line")).alias("end"))
+    hidden = markdown.parsed(docs, columns=("ranges",)).select("doc_id", F.explode("ranges").alias("r")).select("doc_id", "r.*")
+    return intervals.overlapping(lines, hidden).select("doc_id", F.col("left.n").alias("n"), F.col("right.start").alias("start"), F.col("right.end").alias("end"))
+
+
+_HEADED = PUBLISHED + """, headings AS (SELECT doc_id, n, line FROM secret_view WHERE starts_with(line, '## '))
+SELECT i.*, h.line AS heading, h.n AS heading_line FROM issues i LEFT JOIN headings h ON h.doc_id = i.doc_id AND h.n = (SELECT max(n) FROM headings g WHERE g.doc_id = i.doc_id AND g.n <= i.line_number)"""
+
+
+@query("issue_headings", _HEADED)
+def _(spark, sf_dir):
+    headings = secret_lines(spark, sf_dir).where(F.col("line").startswith("## ")).select("doc_id", F.col("n").cast("long").alias("n"), "line")
+    return lint.with_headings(published(spark, sf_dir), headings)
+
+
 @query("issue_source_lines", PUBLISHED + 'SELECT i.*, v.line AS source_line FROM issues i LEFT JOIN secret_view v ON i.doc_id = v.doc_id AND i.line_number = v.n')
 def _(spark, sf_dir):
     return lint.with_source(published(spark, sf_dir), secret_docs(spark, sf_dir))

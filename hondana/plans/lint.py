@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hondana.functions.markdown import parsed
 from hondana.functions.matching import find_all, pattern, strip
-from hondana.operators import external, frontmatter, notation, secrets, structure, style
+from hondana.operators import external, frontmatter, intervals, notation, secrets, structure, style
 from hondana.schema import CATEGORIES, CHECKS, ISSUE_COLUMNS
 from hondana.sources.documents import lines as split_lines
 
@@ -52,12 +52,13 @@ def release() -> None:
 
 
 def lint(
-    docs: DataFrame, profile: str = "blog", linters: Mapping[str, Linter] | None = None, vocabulary: DataFrame | None = None, dictionary: dict[str, str] | None = None, checks: tuple[str, ...] | None = None,
+    docs: DataFrame, profile: str = "blog", linters: Mapping[str, Linter] | None = None, vocabulary: DataFrame | None = None, dictionary: dict[str, str] | DataFrame | None = None, checks: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """All issues of ``docs`` (doc_id, text and, if known, file and path) under a profile; see ``hondana.schema.ISSUES``.
 
     Only branches of the profile's checks are built. The Markdown pass runs once per document, for blog checks only; its
     result is persisted until :func:`release`. ``linters`` gives the external linter of each profile, with its configuration, where one is to run.
+    ``dictionary`` holds translations that aren't official, as a table (term, preferred, place) of any length or a small dict.
     The vault profile needs ``path`` (relative to the vault) and the tag ``vocabulary``.
     """
     wanted = checks_of(profile) if checks is None else checks
@@ -73,7 +74,12 @@ def lint(
         _kept.append(tree)
         lines = tree.select("doc_id", *extra, F.explode("lines").alias("l")).select("doc_id", *extra, "l.*")
     if "notation" in wanted and blog:
-        parts += [("notation", notation.check_notation_blog(lines, dictionary)), ("notation", notation.check_slash(lines)), ("notation", notation.check_spacing(lines))]
+        parts += [("notation", notation.check_notation_blog(lines)), ("notation", notation.check_slash(lines)), ("notation", notation.check_spacing(lines))]
+        if dictionary is None and notation.UNOFFICIAL_TRANSLATIONS or isinstance(dictionary, dict) and dictionary:
+            dictionary = notation.dictionary_table(docs.sparkSession, dictionary)
+        if isinstance(dictionary, DataFrame):
+            fixed = sum(len(r.variants) for r in notation.rules_of("blog"))
+            parts.append(("notation", notation.check_translations(lines, dictionary, fixed)))
     elif "notation" in wanted:
         parts.append(("notation", notation.check_notation_legacy(notation.lines_with_context(docs, ("doc_id", *extra)))))
     if "ai_writing" in wanted:
@@ -139,9 +145,19 @@ def report_rows(issues: DataFrame) -> DataFrame:
 
 
 def with_source(issues: DataFrame, docs: DataFrame) -> DataFrame:
-    """``issues`` with ``source_line``, the line of the text they are on; null for places that are no line."""
-    lines = split_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_doc"), F.col("n").alias("_n"), F.col("line").alias("source_line"))
-    return issues.join(lines, (F.col("doc_id") == F.col("_doc")) & (F.col("line_number") == F.col("_n")), "left").drop("_doc", "_n")
+    """``issues`` with ``source_line``, the line of the text they are on; null for places that are no line.
+
+    Issues go to the texts of their documents, and the line is taken there, so no other line of the corpus moves.
+    """
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.split("text", "\n", -1).alias("_lines"))
+    line = F.when(F.col("line_number") > 0, F.try_element_at("_lines", F.when(F.col("line_number") > 0, F.col("line_number")).otherwise(1)))
+    return issues.join(texts, F.col("doc_id") == F.col("_doc"), "left").withColumn("source_line", line).drop("_doc", "_lines")
+
+
+def with_headings(issues: DataFrame, headings: DataFrame) -> DataFrame:
+    """``issues`` with the last of ``headings`` (doc_id, n, line) at or before their line: heading and heading_line, null before the first."""
+    found = intervals.as_of(issues, headings, place="line_number", start="n", name="_heading")
+    return found.select(*issues.columns, F.col("_heading.line").alias("heading"), F.col("_heading.n").alias("heading_line"))
 
 
 def category_counts(issues: DataFrame) -> DataFrame:
