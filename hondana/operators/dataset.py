@@ -56,37 +56,115 @@ def sections(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return rows.select(*keep, F.col("s.heading").alias("heading"), "section_index", F.col("s.text").alias("text")).withColumn("chars", visible_chars(F.col("text")))
 
 
-def similar_sections(drafts: DataFrame, published: DataFrame, least: float = UNCHANGED) -> DataFrame:
-    """article, draft_index, published_index, ratio of pairs of one article whose texts are ``least`` alike.
+#: Sizes of grams, the longest that a length allows, and below which ratio they allow too little.
+GRAMS = (16, 12, 8, 6, 4, 3, 2, 1)
+LEAST_BY_GRAMS = 0.8
+#: Odd multiplier of the rolling sum that stands for a gram.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def edits(size: int, least: float) -> int:
+    """How many characters at most stand alone, in a text of this length and any other, where their ratio is ``least``."""
+    return int((1 - least) * 2 * size / least + 1e-9)
+
+
+def gram_lengths(least: float) -> list[tuple[int, int]]:
+    """(length, gram): from which length on a text is cut to grams of which size, so that it always has more of them than there are edits."""
+    out = []
+    for q in GRAMS:
+        spare = 1 / q - 2 * (1 - least) / least  # grams more than edits, a character
+        if spare > 0.005:
+            lack = [n for n in range(1, int(2 / spare) + 2) if n // q <= edits(n, least)]
+            out.append((max(lack, default=0) + 1, q))
+    return out
+
+
+def _rolling(codes: np.ndarray, q: int) -> np.ndarray:
+    """A sum for the ``q`` characters from each place on; equal grams have equal ones."""
+    out = np.zeros(max(0, len(codes) - q + 1), np.uint64)
+    for k in range(q):
+        out = out * _BASE + codes[k : k + len(out)]
+    return out.view(np.int64)
 
-    Sections meet only where lengths and counts of characters allow the ratio (2 * common / (a + b)): lengths are
-    cut into steps within which the bound can hold, a section joins its step's neighbours without its text, and texts travel only for pairs that pass.
+
+def similar_texts(a: DataFrame, b: DataFrame, least: float = UNCHANGED) -> DataFrame:
+    """article, a_id, b_id, ratio of all pairs of different texts of an article (article, id, key, size, bins: distinct) with a ratio of ``least`` or more.
+
+    Characters that match nothing are single edits, ``edits`` of them at most. A text cut to more grams than that has one that stands unbroken in the other text, no
+    further off than the edits. So of the grams of ``a`` as many as there may be edits and one more are looked for, those rarest in ``b``, among all of ``b``; the join is by article and gram, so neither a long
+    article nor a common passage makes a group of all its sections. Pairs found must pass the counts of characters, then the ratio itself.
     """
-    if not 0 <= least <= 1:
-        raise ValueError("節の類似度は 0 以上 1 以下で指定してください")
-    a, b = _counted(drafts, "draft"), _counted(published, "published")
-    # Lengths a <= b can reach the ratio only if b <= a * (2 / least - 1): logarithmic steps of that factor.
+    cuts = gram_lengths(least)
+    kind = a.schema["article"].dataType.simpleString()
+
+    def grams(every: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = lambda n: next(k for k, (length, _) in enumerate(cuts) if n >= length)
+            for batch in batches:
+                rows, qs, sums, places = [], [], [], []
+                for row, key in enumerate(batch.column(2)):
+                    codes = np.frombuffer((key.as_py() or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+                    if not len(codes):
+                        continue
+                    # Texts of ``a`` that may be alike are this much shorter or longer.
+                    lengths = (len(codes) * (2 - least) / least + 1, max(1, int(len(codes) * least / (2 - least)) - 1)) if every else (len(codes),) * 2
+                    for k in range(of(lengths[0]), of(lengths[1]) + 1):
+                        q = cuts[k][1]
+                        found = _rolling(codes, q)
+                        at = np.arange(0, len(found), 1 if every else q)
+                        rows.append(np.full(len(at), row))
+                        qs.append(np.full(len(at), q))
+                        sums.append(found[at])
+                        places.append(at)
+                if rows:
+                    row = np.concatenate(rows)
+                    some = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3)], ["article", "id", "size"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*some.columns, *[pa.array(np.concatenate(x).astype(np.int32)) for x in (qs, places)], pa.array(np.concatenate(sums))], ["article", "id", "size", "q", "place", "gram"])
+
+        return run
+
+    cut = lambda df, every: df.select("article", "id", "key", "size").mapInArrow(grams(every), f"article {kind}, id string, size int, q int, place int, gram long")
+    there = cut(b, True)
+    often = there.groupBy("article", "q", "gram").agg(F.count(F.lit(1)).alias("times"))
+    mine = cut(a, False).join(often, ["article", "q", "gram"], "left")
+    rarest = F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram", "place")))
+    most = F.floor(F.lit((1 - least) * 2 / least) * F.col("size") + 1e-9).cast("int") + 1
+    chosen = mine.groupBy("article", "id", "size", "q").agg(rarest.alias("all")).select("article", F.col("id").alias("a_id"), F.col("size").alias("la"), "q", F.explode(F.slice("all", F.lit(1), most)).alias("g"))
+    chosen = chosen.where("g.times > 0").select("article", "a_id", "la", "q", "g.gram", F.col("g.place").alias("pa"))
+    met = chosen.join(there.select("article", F.col("id").alias("b_id"), F.col("size").alias("lb"), "q", "gram", F.col("place").alias("pb")), ["article", "q", "gram"])
+    la, lb = F.col("la"), F.col("lb")
+    fits = (2 * F.least(la, lb) >= F.lit(least) * (la + lb) - 1e-9) & (F.abs(F.col("pa") - F.col("pb")) <= F.lit(1 - least) * (la + lb) + 1e-9) & (F.col("a_id") != F.col("b_id"))
+    pairs = met.where(fits).select("article", "a_id", "b_id").distinct()
+    side = lambda df, s: df.select("article", F.col("id").alias(f"{s}_id"), F.col("key").alias(f"{s}_key"), F.col("bins").alias(f"{s}_bins"))
+    both = F.aggregate(F.zip_with("a_bins", "b_bins", lambda m, n: F.least(m, n)), F.lit(0), lambda t, n: t + n)
+    known = pairs.join(side(a, "a"), ["article", "a_id"]).join(side(b, "b"), ["article", "b_id"])
+    return _measured(known.where(2 * both >= F.lit(least) * (F.length("a_key") + F.length("b_key")) - 1e-9), least)
+
+
+def _all_texts(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """As :func:`similar_texts`, for ratios too low for grams: texts meet where lengths and counts of characters allow the ratio, in logarithmic steps of length."""
     factor = max(2 / max(least, 1e-6) - 1, 1.0001)
     step = lambda size: F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(float(factor)))).cast("long")
-    small_a = a.select("article", "draft_index", F.col("size").alias("la"), F.col("bins").alias("x"), F.explode(F.array(*[step(F.col("size")) + k for k in (-1, 0, 1)])).alias("step"))
-    small_b = b.select("article", "published_index", F.col("size").alias("lb"), F.col("bins").alias("y"), step(F.col("size")).alias("step"))
-    both, la, lb = F.aggregate(F.zip_with("x", "y", lambda m, n: F.least(m, n)), F.lit(0), lambda t, n: t + n), F.col("la"), F.col("lb")
-    near = small_a.join(small_b, ["article", "step"]).where((la + lb == 0) | ((2 * F.least(la, lb) / (la + lb) >= least) & (2 * both / (la + lb) >= least))).select("article", "draft_index", "published_index")
-    pairs = near.join(a.select("article", "draft_index", "draft_key"), ["article", "draft_index"]).join(b.select("article", "published_index", "published_key"), ["article", "published_index"])
+    side = lambda df, s: df.select("article", F.col("id").alias(f"{s}_id"), F.col("key").alias(f"{s}_key"), F.col("size").alias(f"l{s}"), F.col("bins").alias(f"{s}_bins"), step(F.col("size")).alias("step"))
+    near = side(a, "a").withColumn("step", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)]))).join(side(b, "b"), ["article", "step"]).where("a_id != b_id")
+    both, la, lb = F.aggregate(F.zip_with("a_bins", "b_bins", lambda m, n: F.least(m, n)), F.lit(0), lambda t, n: t + n), F.col("la"), F.col("lb")
+    return _measured(near.where((2 * F.least(la, lb) >= least * (la + lb) - 1e-9) & (2 * both >= least * (la + lb) - 1e-9)), least)
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _measured(pairs: DataFrame, least: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = pa.array([article.ratio(x.as_py(), y.as_py(), least) for x, y in zip(batch.column(3), batch.column(4))], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], got], ["article", "draft_index", "published_index", "ratio"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], got], ["article", "a_id", "b_id", "ratio"])
 
-    kind = a.schema["article"].dataType.simpleString()
-    rows = pairs.select("article", "draft_index", "published_index", "draft_key", "published_key").mapInArrow(measured, f"article {kind}, draft_index int, published_index int, ratio double")
+    kind = pairs.schema["article"].dataType.simpleString()
+    rows = pairs.select("article", "a_id", "b_id", "a_key", "b_key").mapInArrow(run, f"article {kind}, a_id string, b_id string, ratio double")
     return rows.where(F.col("ratio") >= least)
 
 
-def _counted(sections_: DataFrame, name: str) -> DataFrame:
-    """article, ``name``_index, ``name``_key (what is compared), size of the key and bins: how many of its characters fall in each of 32 by code point."""
-    names = ["article", f"{name}_index", f"{name}_key", "size", "bins"]
+def _counted(sections_: DataFrame) -> DataFrame:
+    """article, section_index, id (a digest of what is compared), key (that itself), its size and bins: how many of its characters fall in each of 32 by code point."""
+    names = ["article", "section_index", "key", "size", "bins"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +173,35 @@ def _counted(sections_: DataFrame, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.string()), pa.array(map(len, keys), pa.int32()), pa.array(bins, pa.list_(pa.int32()))], names)
 
     kind = sections_.schema["article"].dataType.simpleString()
-    return sections_.select("article", F.col("section_index").cast("int"), F.col("text").cast("string")).mapInArrow(run, f"article {kind}, {name}_index int, {name}_key string, size int, bins array<int>")
+    rows = sections_.select("article", F.col("section_index").cast("int"), F.col("text").cast("string")).mapInArrow(run, f"article {kind}, section_index int, key string, size int, bins array<int>")
+    return rows.withColumn("id", F.sha2("key", 256))
+
+
+def _alike(drafts: DataFrame, published: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """article, a_id, b_id, ratio of the texts of both sides that are alike or equal, and each side's sections with their text's id."""
+    if not 0 <= least <= 1:
+        raise ValueError("節の類似度は 0 以上 1 以下で指定してください")
+    a, b = _counted(drafts), _counted(published)
+    texts = [df.select("article", "id", "key", "size", "bins").dropDuplicates(["article", "id"]) for df in (a, b)]
+    near = similar_texts(*texts, least) if least >= LEAST_BY_GRAMS else _all_texts(*texts, least)
+    equal = texts[0].select("article", "id").join(texts[1].select("article", "id"), ["article", "id"]).select("article", F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.lit(1.0).alias("ratio"))
+    return near.unionByName(equal), a.select("article", "section_index", F.col("id").alias("a_id")), b.select("article", "section_index", F.col("id").alias("b_id"))
+
+
+def similar_sections(drafts: DataFrame, published: DataFrame, least: float = UNCHANGED) -> DataFrame:
+    """article, draft_index, published_index, ratio of pairs of one article whose texts are ``least`` alike.
+
+    Texts are compared, each once, and stand for the sections that have them; see :func:`similar_texts`. Sections of a null article pair with none; empty texts equal each other.
+    """
+    pairs, a, b = _alike(drafts, published, least)
+    both = pairs.join(a.withColumnRenamed("section_index", "draft_index"), ["article", "a_id"]).join(b.withColumnRenamed("section_index", "published_index"), ["article", "b_id"])
+    return both.select("article", "draft_index", "published_index", "ratio")
+
+
+def unchanged_sections(drafts: DataFrame, published: DataFrame, least: float = UNCHANGED) -> tuple[DataFrame, DataFrame]:
+    """article, section_index of the drafts and of the published sections that are alike; copies are never paired with each other."""
+    pairs, a, b = _alike(drafts, published, least)
+    return a.join(pairs, ["article", "a_id"], "left_semi").select("article", "section_index"), b.join(pairs, ["article", "b_id"], "left_semi").select("article", "section_index")
 
 
 def filtered_sections(drafts: DataFrame, published: DataFrame, least_chars: int = LEAST_CHARS, unchanged: float = UNCHANGED) -> tuple[DataFrame, DataFrame]:
@@ -103,20 +209,18 @@ def filtered_sections(drafts: DataFrame, published: DataFrame, least_chars: int
     if least_chars < 0:
         raise ValueError("節の最小文字数は 0 以上で指定してください")
     long_drafts, long_published = drafts.where(F.col("chars") >= least_chars), published.where(F.col("chars") >= least_chars)
-    alike = similar_sections(long_drafts, long_published, unchanged)
-    gone_drafts = alike.select("article", F.col("draft_index").alias("section_index")).distinct()
-    gone_published = alike.select("article", F.col("published_index").alias("section_index")).distinct()
+    gone_drafts, gone_published = unchanged_sections(long_drafts, long_published, unchanged)
     return long_drafts.join(gone_drafts, ["article", "section_index"], "left_anti"), long_published.join(gone_published, ["article", "section_index"], "left_anti")
 
 
 def exclusions(drafts: DataFrame, published: DataFrame, least_chars: int = LEAST_CHARS, unchanged: float = UNCHANGED) -> DataFrame:
     """One row: short_draft, short_published, unchanged_draft, unchanged_published."""
     long_drafts, long_published = drafts.where(F.col("chars") >= least_chars), published.where(F.col("chars") >= least_chars)
-    alike = similar_sections(long_drafts, long_published, unchanged)
+    gone_drafts, gone_published = unchanged_sections(long_drafts, long_published, unchanged)
     short = lambda df, name: df.agg(F.count(F.when(F.col("chars") < least_chars, 1)).alias(name))
     return (
         short(drafts, "short_draft").join(short(published, "short_published"))
-        .join(alike.agg(F.count_distinct("article", "draft_index").alias("unchanged_draft"), F.count_distinct("article", "published_index").alias("unchanged_published")))
+        .join(gone_drafts.agg(F.count_distinct("article", "section_index").alias("unchanged_draft"))).join(gone_published.agg(F.count_distinct("article", "section_index").alias("unchanged_published")))
     )
 
 
@@ -173,35 +277,44 @@ def assemble(articles: DataFrame, kept: DataFrame) -> DataFrame:
     return base.select(*names).unionByName(parts.select(*names))
 
 
+#: What is wrong with a record by itself.
+_OF_RECORD = (
+    ("empty text", "text is null or trim(text) = ''"),
+    ("article with heading", "granularity = 'article' and (heading is not null or section_index is not null)"),
+    ("section without heading", "granularity = 'section' and (heading is null or heading = '' or section_index is null or section_index < 0)"),
+    ("label", "not coalesce((variant = 'draft' and label = 'ai') or (variant = 'published' and label = 'human'), false)"),
+    ("granularity", "not coalesce(granularity in ('article', 'section'), false)"),
+    ("unknown split", "not coalesce(split in ('train', 'test'), false)"),
+    ("empty id", "id is null or id = ''"),
+)
+
+
 def violations(records: DataFrame) -> DataFrame:
-    """check, key of every broken constraint: none for sound records. Each check is one grouped aggregate or filter."""
-    named = lambda df, check, key: df.select(F.lit(check).alias("check"), F.col(key).cast("string").alias("key"))
-    per = records.groupBy("article").agg(
-        F.count_distinct("split").alias("splits"), *[F.count_if((F.col("granularity") == "article") & (F.col("variant") == v)).alias(v) for v in ("draft", "published")],
-        F.count_distinct(F.when(F.col("granularity") == "section", F.col("variant"))).alias("with_sections"),
-        F.count_distinct(F.when(F.col("granularity") == "article", strip(F.col("text")))).alias("texts"),
-        F.count(F.when(F.col("granularity") == "article", 1)).alias("wholes"),
+    """check, key of every broken constraint: none for sound records.
+
+    One scan and one grouped aggregate: a record goes to the group of its id, of its article, of all records and of every check that it fails by itself; whether values differ is told by their
+    least and greatest, so groups of any size are added up before they move. A table without records fails for want of sections.
+    """
+    failed = F.filter(F.array(*[F.when(F.expr(rule), F.lit(check)) for check, rule in _OF_RECORD], F.when(~F.col("chars").eqNullSafe(visible_chars(F.col("text"))), F.lit("chars"))), lambda x: x.isNotNull())
+    to = lambda check, key: F.struct(check.alias("check"), key.cast("string").alias("key"))
+    goes_to = F.concat(F.array(to(F.lit("id"), F.col("id")), to(F.lit("article"), F.col("article")), to(F.lit("all"), F.lit(""))), F.transform(failed, lambda x: to(x, F.col("id"))))
+    whole, part = F.col("granularity") == "article", F.col("granularity") == "section"
+    facts = records.select(
+        F.explode(goes_to).alias("g"), F.col("split").alias("split"), F.when(whole, F.col("variant")).alias("whole"), F.when(part, F.col("variant")).alias("part"), F.when(whole, F.sha2(strip(F.col("text")), 256)).alias("text"),
+        F.coalesce(whole, F.lit(False)).alias("is_whole"), F.coalesce(part, F.lit(False)).alias("is_part"),
+    ).select("g.*", "split", "whole", "part", "text", "is_whole", "is_part")
+    one = records.sparkSession.range(1).select(*[F.lit(x).cast(t).alias(n) for n, x, t in (("check", "all", "string"), ("key", "", "string"), ("split", None, "string"), ("whole", None, "string"), ("part", None, "string"), ("text", None, "string"), ("is_whole", False, "boolean"), ("is_part", False, "boolean"))])
+    per = facts.unionByName(one).groupBy("check", "key").agg(
+        F.count(F.lit(1)).alias("n"), (F.min("split") != F.max("split")).alias("splits"), F.count_if(F.col("whole") == "draft").alias("drafts"), F.count_if(F.col("whole") == "published").alias("publisheds"),
+        (F.min("part") == F.max("part")).alias("one_part"), (F.min("text") == F.max("text")).alias("one_text"), F.count_if("is_whole").alias("wholes"), F.count_if("is_part").alias("parts"),
     )
-    found = [
-        named(records.groupBy("id").count().where("count > 1"), "duplicate id", "id"),
-        named(per.where("splits > 1"), "split", "article"),
-        named(per.where("draft != 1 or published != 1"), "variants", "article"),
-        named(per.where("with_sections = 1"), "sections of one variant", "article"),
-        named(per.where("wholes = 2 and texts = 1"), "identical texts", "article"),
-        named(records.where("text is null or trim(text) = ''"), "empty text", "id"),
-        named(records.where(~F.col("chars").eqNullSafe(visible_chars(F.col("text")))), "chars", "id"),
-        named(records.where("granularity = 'article' and (heading is not null or section_index is not null)"), "article with heading", "id"),
-        named(records.where("granularity = 'section' and (heading is null or heading = '' or section_index is null or section_index < 0)"), "section without heading", "id"),
-        named(records.where("not coalesce((variant = 'draft' and label = 'ai') or (variant = 'published' and label = 'human'), false)"), "label", "id"),
-        named(records.where("not coalesce(granularity in ('article', 'section'), false)"), "granularity", "id"),
-        named(records.where("not coalesce(split in ('train', 'test'), false)"), "unknown split", "id"),
-        named(records.where("id is null or id = ''"), "empty id", "id"),
-        named(records.agg(F.count(F.when(F.col("granularity") == "section", 1)).alias("n")).where("n = 0"), "no sections", "n"),
-    ]
-    out = found[0]
-    for df in found[1:]:
-        out = out.unionByName(df)
-    return out
+    of_article = F.array(F.when(F.col("splits"), "split"), F.when(F.expr("drafts != 1 or publisheds != 1"), "variants"), F.when(F.col("one_part"), "sections of one variant"), F.when(F.expr("wholes = 2 and one_text"), "identical texts"))
+    names = (
+        F.when(F.col("check") == "id", F.array(F.when(F.col("n") > 1, "duplicate id"))).when(F.col("check") == "all", F.array(F.when(F.col("parts") == 0, "no sections"))).when(F.col("check") == "article", of_article)
+        .otherwise(F.array_repeat(F.col("check"), F.col("n").cast("int")))
+    )
+    found = per.select("key", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("check"))
+    return found.select("check", F.when(F.col("check") == "no sections", F.lit("0")).otherwise(F.col("key")).alias("key"))
 
 
 def report_counts(records: DataFrame) -> DataFrame:

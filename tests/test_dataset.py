@@ -124,3 +124,61 @@ def test_violations_of_nulls_and_counts(spark):
     assert found(rows[1:]) == {"variants"} and found([*rows, ("again", *rows[0][1:])]) == {"variants"}
     assert found(other(4, None)) == {"label"} and found(other(7, -1)) == {"section without heading"} and found(other(11, None)) == {"chars"}
     assert found(other(0, "")) == {"empty id"} and "granularity" in found(other(5, None)) and "unknown split" in found(other(2, "dev"))
+
+
+def test_similar_texts_are_those_of_all_pairs(spark):
+    """Edits spread or in one place, insertions, passages that all share, copies, empty texts; ratios around the bound, three bounds."""
+    from difflib import SequenceMatcher
+
+    from hondana.functions.article import comparison_key
+
+    rng = random.Random(5)
+    letters = "あいうえおかきくけこabcde 。"
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    shared = text(150)
+
+    def edited(t, n):
+        t = list(t)
+        for _ in range(n):
+            k = rng.randrange(len(t) + 1)
+            kind = rng.randrange(3)
+            t[k : k + (kind != 0)] = [rng.choice(letters)] if kind != 1 else []
+        return "".join(t)
+
+    drafts, published = [], []
+    for k in range(60):
+        base = text(rng.choice([1, 2, 3, 10, 30, 60, 100, 300, 700])) + (shared if k % 3 == 0 else "")
+        drafts.append((k % 2, k, base))
+        published.append((k % 2, k, edited(base, rng.choice([0, 0, 1, 2, len(base) // 60, len(base) // 40, len(base) // 25]))))
+    drafts += [(0, 60, ""), (0, 61, None), (0, 62, drafts[0][2]), (None, 63, "x" * 300)]
+    published += [(0, 60, ""), (0, 61, drafts[0][2]), (None, 62, "x" * 300)]
+    a, b = (spark.createDataFrame(x, "article int, section_index int, text string") for x in (drafts, published))
+    for least in (0.98, 0.9, 0.5):
+        got = {(r.article, r.draft_index, r.published_index): r.ratio for r in dataset.similar_sections(a, b, least).collect()}
+        want = {}
+        for p, i, x in drafts:
+            for q, j, y in published:
+                if p == q and p is not None:
+                    ratio = SequenceMatcher(None, comparison_key(x or ""), comparison_key(y or ""), autojunk=False).ratio()
+                    if ratio >= least:
+                        want[p, i, j] = ratio
+        assert got == want and len(want) > 30
+        gone = dataset.unchanged_sections(a, b, least)
+        assert [sorted(map(tuple, g.collect())) for g in gone] == [sorted({(p, i) for p, i, _ in want}), sorted({(p, j) for p, _, j in want})]
+
+
+def test_a_length_always_has_more_grams_than_edits():
+    for least in (0.8, 0.9, 0.98, 1.0):
+        cuts = dataset.gram_lengths(least)
+        for n in range(1, 3000):
+            q = next(q for length, q in cuts if n >= length)
+            assert n // q > dataset.edits(n, least)
+        assert [q for _, q in cuts] == sorted((q for _, q in cuts), reverse=True) and cuts == sorted(cuts, reverse=True)
+
+
+def test_constraints_take_one_scan_and_one_shuffle(spark, tmp_path):
+    spark.createDataFrame([], dataset.RECORD).write.parquet(str(tmp_path / "r"))
+    plan = dataset.violations(spark.read.parquet(str(tmp_path / "r")))._jdf.queryExecution().sparkPlan().toString()
+    full = dataset.violations(spark.read.parquet(str(tmp_path / "r")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and full.count("Exchange hashpartitioning") == 1
+    assert [tuple(r) for r in dataset.violations(spark.createDataFrame([], dataset.RECORD)).collect()] == [("no sections", "0")]
