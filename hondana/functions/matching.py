@@ -94,12 +94,14 @@ def rule_matches(lines: DataFrame, patterns: list[str], on: str = "line", needle
     where a pattern matches is the line
     taken apart, by one expression for all, so plans stay small however many rules there are.
     """
-    rows = lines.withColumn("_folded", folded(F.col(on))) if needles else lines
+    # Without letters a needle is looked for as the line stands: folding a line costs more than most tests.
+    lettered = any(x != x.upper() or x != x.lower() for given in needles or () for x in given)
+    rows = lines.withColumn("_folded", folded(F.col(on))) if lettered else lines
 
     def test(k: int, rx: str) -> Column:
         hit = F.col(on).rlike(rx)
         given = needles[k] if needles else ()
-        return reduce(or_, [F.contains(F.col("_folded"), F.lit(x)) for x in given]) & hit if given else hit
+        return reduce(or_, [F.contains(F.col("_folded" if x != x.upper() or x != x.lower() else on), F.lit(x)) for x in given]) & hit if given else hit
 
     hit = F.filter(F.array(*[F.when(test(k, rx), F.lit(k)) for k, rx in enumerate(patterns)]), lambda k: k.isNotNull())
     rows = rows.withColumn("variant", F.explode(hit)).drop("_folded")

@@ -71,12 +71,6 @@ def name_of(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def relative(path: Column, root: str) -> Column:
-    """``path`` without ``root`` before it; a path outside of it as it is."""
-    root = root.rstrip("/") + "/"
-    return F.when(path.startswith(root), F.substring(path, len(root) + 1, 2_000_000_000)).otherwise(path)
-
-
 def flagged(notes: DataFrame) -> DataFrame:
     """One row per broken rule but the tags': doc_id, path, rule, message, matched, seq. ``notes``: :func:`parsed` with path."""
     value = lambda key: F.try_element_at("values", F.lit(key))

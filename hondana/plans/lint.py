@@ -29,6 +29,14 @@ def checks_of(profile: str) -> tuple[str, ...]:
     return PROFILES[profile]
 
 
+def with_checks(rows: DataFrame) -> DataFrame:
+    """``rows`` with a row for each check of their ``profile``: place (in order of emission) and name. A profile that isn't one is an error; null has no checks."""
+    of = F.create_map(*[x for p, checks in PROFILES.items() for x in (F.lit(p), F.array(*map(F.lit, checks)))])
+    unknown = F.raise_error(F.concat(F.lit("不明なプロファイルです: "), F.col("profile"))).cast("array<string>")
+    checks = F.when(F.col("profile").isNotNull(), F.coalesce(F.try_element_at(of, F.col("profile")), unknown))
+    return rows.select("*", F.posexplode(checks).alias("place", "name"))
+
+
 def style_issues(lines: DataFrame) -> list[DataFrame]:
     """The style checks of parsed lines."""
     extra = tuple(c for c in ("file",) if c in lines.columns)

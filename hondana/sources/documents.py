@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ VAULT_EXCLUDED = ("raw", ".obsidian", ".claude")
 #: A line end of Python's ``str.splitlines``.
 LOGICAL_BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """path, text of every file below ``path``, each a whole document."""
@@ -39,12 +42,14 @@ def in_vault(path: Column) -> Column:
 def read_vault(spark: SparkSession, root: str) -> DataFrame:
     """path (relative to ``root``), text of the notes that a vault scan takes, pruned before texts are used."""
     files = read_files(spark, root, "*.md")
-    relative = F.regexp_replace("path", "^.*?" + _quoted(root.rstrip("/")) + "/", "")
-    return files.withColumn("path", relative).where(in_vault(F.col("path")))
+    return files.withColumn("path", relative(F.col("path"), root)).where(in_vault(F.col("path")))
 
 
-def _quoted(text: str) -> str:
-    return "\\Q" + text.removeprefix("file://") + "\\E"
+def relative(path: Column, root: str) -> Column:
+    """``path`` without ``root`` before it, whatever scheme and host either names; a path outside of it as it is."""
+    plain = F.regexp_replace(path, _SCHEME, "")
+    below = re.sub(_SCHEME, "", root).rstrip("/") + "/"
+    return F.when(plain.startswith(below), F.substring(plain, len(below) + 1, 2_000_000_000)).otherwise(path)
 
 
 def vocabulary(lines: DataFrame) -> DataFrame:

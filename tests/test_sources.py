@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from hondana.__main__ import main
 from hondana.sources import documents, publish
 from hondana.sources.versions import VersionedBlobs
@@ -57,7 +59,7 @@ def test_publish(spark, tmp_path):
         return (403, json.dumps({"message": f"bad {token}"})) if payload["title"] == "no" else (201, json.dumps({"url": "u", "id": "i"}))
 
     df = spark.createDataFrame([(k, t, "body", tags, True) for k, (t, tags) in enumerate([("ok", ["a"]), ("late", ["a"]), ("down", ["a"]), ("no", ["a"]), ("ok", [])])], "doc_id long, title string, text string, tags array<string>, private boolean")
-    rows = {r.doc_id: r for r in publish.publish(df, send, "secret-token").collect()}
+    rows = {r.doc_id: r for r in publish.publish(df, send, "secret-token", str(tmp_path / "journal")).collect()}
     assert rows[0].ok and rows[0].url == "u" and rows[0].item_id == "i"
     assert [rows[k].error_message for k in (1, 2, 3, 4)] == [publish.TIMED_OUT, publish.UNREACHABLE, "bad ***", publish.NO_TAGS]
     assert publish.publish_one(send, None, "ok", "b", ["a"])["error_message"] == publish.NO_TOKEN
@@ -68,6 +70,94 @@ def test_publish(spark, tmp_path):
     assert publish.load_token({}, tmp_path) == "x" and publish.load_token({"QIITA_TOKEN": "y"}, tmp_path) == "y"
 
 
+TRANSPORT = """
+import json, os, pathlib
+
+BOX = pathlib.Path({box!r})
+
+def key(payload):
+    return payload["title"]
+
+def send(method, endpoint, payload, token, timeout):
+    with open(BOX / "sent", "a") as f:
+        f.write(payload["title"] + "\\n")
+    if (BOX / "crash").exists() and payload["title"] == "b":
+        raise RuntimeError("the task ends after sending")
+    return 201, json.dumps({{"url": "u/" + payload["title"], "id": payload["title"]}})
+
+def find(key):
+    return ("u/b", "b") if (BOX / "findable").exists() else None
+"""
+
+
+def test_nothing_is_published_twice(spark, tmp_path, monkeypatch):
+    """A task that ends between sending and telling, retried runs, and the sink's run records."""
+    (tmp_path / "transport_of_test.py").write_text(TRANSPORT.format(box=str(tmp_path)))
+    spark.sparkContext.addPyFile(str(tmp_path / "transport_of_test.py"))
+    monkeypatch.setenv("QIITA_TOKEN", "t")
+    spark.dataSource.register(publish.PublishSource)
+    ready = spark.createDataFrame([(k, t, "body", ["x"], True) for k, t in enumerate("abc")], "doc_id long, title string, text string, tags array<string>, private boolean").coalesce(1)
+    journal = str(tmp_path / "journal")
+
+    def run(**options):
+        out = ready.write.format("article_publish").option("journal", journal).option("transport", "transport_of_test:send").option("token", "t").mode("append")
+        for k, v in options.items():
+            out = out.option(k, v)
+        out.save()
+        return (tmp_path / "sent").read_text().split()
+
+    (tmp_path / "crash").touch()
+    with pytest.raises(Exception):
+        run()
+    assert (tmp_path / "sent").read_text().split() == ["a", "b"]
+    (tmp_path / "crash").unlink()
+    assert run() == ["a", "b", "c"]  # b is in doubt and not sent; a is known
+    assert {r.item_id for r in publish.read_journal(spark, journal).collect()} == {"a", "c"}
+    assert run(find="transport_of_test:find") == ["a", "b", "c"]  # looked up too early
+    (tmp_path / "findable").touch()
+    assert run(find="transport_of_test:find") == ["a", "b", "c"]
+    assert sorted((r.doc_id, r.ok, r.url) for r in publish.read_journal(spark, journal).collect()) == [(0, True, "u/a"), (1, True, "u/b"), (2, True, "u/c")]
+    assert sorted(json.loads(x.read_text())["state"] for x in (tmp_path / "journal/runs").iterdir()) == ["aborted", "committed", "committed", "committed"]
+    with pytest.raises(Exception, match="columns are missing"):
+        ready.drop("tags").write.format("article_publish").option("journal", journal).option("transport", "x:y").mode("append").save()
+
+
+def test_publish_once(tmp_path):
+    journal, sent = publish.Journal(str(tmp_path)), []
+    row = {"doc_id": 1, "title": "t", "text": "b", "tags": ["a"], "private": True}
+
+    def answers(*given):
+        given = list(given)
+
+        def send(*a):
+            sent.append(a[2]["title"])
+            x = given.pop(0)
+            if isinstance(x, Exception):
+                raise x
+            return x, "{}"
+
+        return send
+
+    refused = publish.publish_once(journal, answers(403), None, "t", row)
+    assert (refused["ok"], refused["status_code"], len(sent)) == (False, 403, 1)
+    late = publish.publish_once(journal, answers(TimeoutError()), None, "t", row)  # a refusal may be sent again
+    assert late["error_message"] == publish.TIMED_OUT and len(sent) == 2
+    assert publish.publish_once(journal, answers(), None, "t", row)["error_message"] == publish.UNSETTLED
+    assert publish.publish_once(journal, answers(), lambda key: None, "t", row)["error_message"] == publish.UNSETTLED
+    assert publish.publish_once(journal, answers(201), lambda key: None, "t", row, patience=0)["ok"] and len(sent) == 3
+    assert publish.publish_once(journal, answers(), None, "t", row)["ok"] and len(sent) == 3
+    assert publish.publish_once(journal, answers(201), None, "t", row | {"text": "new"})["ok"] and len(sent) == 4
+    assert publish.publish_once(journal, answers(), None, None, row | {"doc_id": 2})["error_message"] == publish.NO_TOKEN
+
+
+def test_relative_paths(spark):
+    from pyspark.sql import functions as F
+
+    paths = ["file:///v/a/wiki/x.md", "/v/a/wiki/x.md", "hdfs://host:1/v/a/y.md", "/v/ab/x.md", "/v/a"]
+    rows = spark.createDataFrame([(x,) for x in paths], "p string").select(documents.relative(F.col("p"), "file:///v/a/").alias("r")).collect()
+    assert [r.r for r in rows] == ["wiki/x.md", "wiki/x.md", "y.md", "/v/ab/x.md", "/v/a"]
+
+
 def test_streams(spark, tmp_path):
     docs = spark.createDataFrame([(0, "10.0.0.1"), (1, "サーバ")], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "in"))
