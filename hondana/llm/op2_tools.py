@@ -4,9 +4,10 @@ Calls and results meet by conversation and identifier in a hash join; where an i
 the second the second and so on, so all are kept and no pairs are made. Calls
 are ordered so that each follows the calls whose results its arguments use. Calls with one need form chains, which doubling steps
 take back to their first call in as many joins as the length has binary digits; levels of calls with several needs then grow outward, one join a level, over
-the edges not yet settled. Arguments are checked against the tool's schema: well-formed
-object, required keys, no unknown keys, types. Everything is serialised as canonical JSON: keys sorted, no white
-space, one form for every value (Spark's variant keeps object keys sorted).
+the edges not yet settled. Arguments are checked against the tool's schema, a tree of objects (required keys, closed or open), arrays, enumerations,
+numbers with bounds and plain types, compiled to one expression. Everything is serialised as canonical JSON: keys sorted, no white
+space, one form for every value (Spark's variant keeps object keys sorted). Numbers never pass through a binary type: their literals are
+brought to one form as text, so ``1e2`` and ``100.0`` are ``100`` and no digit of any number is lost.
 
 Edge cases, each named in ``errors``: duplicate identifiers (numbered by turn, then name and arguments; they share a level, above the needs of
 all), calls without a result, results without a call (rows of their own, no name), malformed arguments, unknown tools, missing or unknown keys, wrong
@@ -16,6 +17,9 @@ JSON null. Empty tables give an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,32 +28,158 @@ from hondana.llm import scratch
 #: Places per range when positions are counted within a conversation.
 RANGE = 1024
 
-#: tool -> {argument: (type as Spark's variant names it, required)}
-Schemas = dict[str, dict[str, tuple[str, bool]]]
+#: A tree: "string", "integer", "number", "boolean", "null", "any", or one of the classes below.
+Schema = "str | Object | Array | Enum | Number"
+#: tool -> {argument: (schema, required)}; or tool -> Object.
+Schemas = "dict[str, dict[str, tuple[Schema, bool]] | Object]"
+
+
+@dataclass(frozen=True)
+class Object:
+    """``keys``: name -> (schema, required). A closed object has no others."""
+
+    keys: dict
+    closed: bool = True
+
+
+@dataclass(frozen=True)
+class Array:
+    of: object = "any"
+
+
+@dataclass(frozen=True)
+class Enum:
+    """One of some values (anything that JSON can hold)."""
+
+    values: tuple
+
+
+@dataclass(frozen=True)
+class Number:
+    least: float | None = None
+    most: float | None = None
+    integer: bool = False
+
+
+#: Names that Spark gives the types of values.
+_SAME = {"BIGINT": "integer", "DOUBLE": "number", "STRING": "string", "BOOLEAN": "boolean"}
+#: Stands before a number's text while it travels as a string, as JSON and as the character itself.
+_MARK, _MARKED = "\\u0001", "\x01"
+#: Strings, numbers and what is between them.
+_TOKENS = '(?s)"[^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+"|-?[0-9]++(?:\\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|[^"0-9-]++|.'
+_NUMBER = "^-?(?:0|[1-9][0-9]*)(?:\\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"
+#: Zeros that a number may end or begin with before its form has an exponent.
+_ZEROS = 20
+
+
+def _plain(number: Column) -> Column:
+    """The one form of a number's literal: digits without idle zeros, and an exponent only beyond ``_ZEROS`` zeros; as it stands if its exponent has more than 18 digits."""
+    sign = F.regexp_extract(number, "^-?", 0)
+    whole, part, power = (F.regexp_extract(number, "^-?([0-9]+)(?:\\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$", k) for k in (1, 2, 3))
+    digits = F.regexp_replace(F.concat(whole, part), "^0+", "")
+    short = F.regexp_replace(digits, "0+$", "")
+    exponent = F.when(power == "", F.lit(0).cast("long")).otherwise(F.when(F.length(F.regexp_replace(power, "^[+-]?0*", "")) <= 18, power.try_cast("long"))) - F.length(part) + F.length(digits) - F.length(short)
+
+    def form(x: Column) -> Column:
+        d, e = x["d"], x["e"]
+        size = F.length(d)
+        text = (
+            F.when((e >= 0) & (e <= _ZEROS), F.concat(d, F.repeat(F.lit("0"), F.greatest(e, F.lit(0)).cast("int"))))
+            .when((e < 0) & (-e < size), F.concat(F.substr(d, F.lit(1), (size + e).cast("int")), F.lit("."), F.substr(d, (size + e + 1).cast("int"))))
+            .when((e < 0) & (-e - size <= _ZEROS), F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-e - size, F.lit(0)).cast("int")), d))
+            .otherwise(F.concat(d, F.lit("E"), e.cast("string")))
+        )
+        return F.when(d == "", F.lit("0")).when(e.isNull(), number).otherwise(F.concat(sign, text))
+
+    return F.transform(F.array(F.struct(short.alias("d"), exponent.alias("e"))), form)[0]
+
+
+def _marked(text: Column) -> Column:
+    """JSON text as a variant whose numbers are strings, marked, in their one form; null where it isn't JSON."""
+
+    def token(x: Column) -> Column:
+        number = F.concat(F.lit(f'"{_MARK}'), _plain(x), F.lit('"'))
+        # A string that begins with the mark gets a second one; a number that isn't one as JSON has it stays, and fails.
+        return F.when(x.rlike(_NUMBER), number).when(x.startswith(f'"{_MARK}') | x.startswith(f'"{_MARKED}'), F.concat(F.lit(f'"{_MARK}'), F.substr(x, F.lit(2)))).otherwise(x)
+
+    return F.try_parse_json(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), token), ""))
+
+
+def _written(value: Column) -> Column:
+    """A variant of :func:`_marked` as canonical JSON."""
+    numbers = F.regexp_replace(F.to_json(value), '"\\\\u0001(-?[0-9][0-9.eE+-]*)"', "$1")
+    return F.regexp_replace(numbers, '"\\\\u0001\\\\u0001', '"\\\\u0001')
+
+
+def _python_json(value: object) -> str:
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _errors(value: Column, schema: object, path: str) -> Column:
+    """array<string>: what is wrong with a variant (never null) of :func:`_marked`, each told with its path."""
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    # A marked number; a string that itself begins with the mark has two.
+    is_number = F.coalesce((kind == "STRING") & text.rlike(f"^{_MARKED}-?[0-9]"), F.lit(False))
+    wrong = F.array(F.lit(f"type of {path}"))
+    none = F.array().cast("array<string>")
+
+    def only(test: Column) -> Column:
+        return F.when(F.coalesce(test, F.lit(False)), none).otherwise(wrong)
+
+    is_whole = is_number & ~F.contains(text, F.lit(".")) & ~text.rlike("E-")
+    if isinstance(schema, str):
+        name = _SAME.get(schema, schema)
+        tests = {"any": F.lit(True), "string": (kind == "STRING") & ~is_number, "boolean": kind == "BOOLEAN", "null": kind == "VOID", "number": is_number, "integer": is_whole}
+        return only(tests[name])
+    if isinstance(schema, Number):
+        size = F.substr(text, F.lit(2)).try_cast("double")
+        inside = (F.lit(True) if schema.least is None else size >= schema.least) & (F.lit(True) if schema.most is None else size <= schema.most)
+        return F.when(is_whole if schema.integer else is_number, F.when(inside, none).otherwise(F.array(F.lit(f"range of {path}")))).otherwise(wrong)
+    if isinstance(schema, Enum):
+        return F.when(_written(value).isin([_written(_marked(F.lit(_python_json(x)))) for x in schema.values]), none).otherwise(F.array(F.lit(f"value of {path}")))
+    if isinstance(schema, Array):
+        each = F.transform(F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>")), lambda x: _errors(_some(x), schema.of, f"{path}[]"))
+        return F.when(kind.startswith("ARRAY"), F.array_distinct(F.flatten(each))).otherwise(wrong)
+    return F.when(kind.startswith("OBJECT"), _of_keys(value, schema, f"{path}.")).otherwise(wrong)
+
+
+def _some(value: Column) -> Column:
+    """JSON's null, where Spark makes a null of it."""
+    return F.coalesce(value, F.parse_json(F.lit("null")))
+
+
+def _of_keys(value: Column, schema: Object, before: str) -> Column:
+    by_key = F.try_variant_get(value, "$", "map<string,variant>")  # no path, so keys may hold any character
+    names, found = F.map_keys(by_key), []
+    for key, (kind, required) in sorted(schema.keys.items()):
+        own = _errors(_some(F.try_element_at(by_key, F.lit(key))), kind, f"{before}{key}")
+        there = F.array_contains(names, key)
+        found.append(F.when(there, own).otherwise(F.array(F.lit(f"missing {before}{key}")) if required else F.array().cast("array<string>")))
+    if schema.closed:
+        unknown = F.array_sort(F.array_except(names, F.array(*map(F.lit, sorted(schema.keys)))) if schema.keys else names)
+        found.append(F.transform(unknown, lambda k: F.concat(F.lit(f"unknown {before}"), k)))
+    return F.concat(*found) if found else F.array().cast("array<string>")
 
 
 def errors_of(schemas: Schemas) -> Column:
     """Errors in column ``arguments`` (JSON text) of a call of tool ``name``."""
-    parsed = F.try_parse_json("arguments")
+    parsed = _marked(F.col("arguments"))
     is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
-    by_key = F.try_variant_get(parsed, "$", "map<string,variant>")  # no path, so keys may hold any character
-    out = F.array(F.lit("unknown tool"))
-    for tool, keys in schemas.items():
-        found = []
-        for key, (kind, required) in sorted(keys.items()):
-            value = F.try_element_at(by_key, F.lit(key))
-            if required:
-                found.append(F.when(value.isNull(), F.lit(f"missing {key}")))
-            found.append(F.when(value.isNotNull() & (F.schema_of_variant(value) != kind), F.lit(f"type of {key}")))
-        unknown = F.array_sort(F.array_except(F.json_object_keys("arguments"), F.array(*map(F.lit, sorted(keys)))))
-        errors = F.concat(F.filter(F.array(*found), lambda x: x.isNotNull()), F.coalesce(F.transform(unknown, lambda k: F.concat(F.lit("unknown "), k)), F.array().cast("array<string>")))
-        out = F.when(F.col("name") == tool, F.when(is_object, errors).otherwise(F.array(F.lit("malformed arguments")))).otherwise(out)
-    return out
+
+    def judged(x: Column) -> Column:
+        out = F.array(F.lit("unknown tool"))
+        for tool, keys in schemas.items():
+            errors = _of_keys(x["v"], keys if isinstance(keys, Object) else Object(keys), "")
+            out = F.when(F.col("name") == tool, F.when(x["object"], errors).otherwise(F.array(F.lit("malformed arguments")))).otherwise(out)
+        return out
+
+    return F.transform(F.array(F.struct(parsed.alias("v"), is_object.alias("object"))), judged)[0]
 
 
 def canonical(text: Column) -> Column:
-    """JSON text with sorted keys and no white space; null where it isn't JSON."""
-    return F.to_json(F.try_parse_json(text))
+    """JSON text with sorted keys, no white space and one form for every value; null where it isn't JSON."""
+    return _written(_marked(text))
 
 
 def levels(calls: DataFrame) -> DataFrame:
