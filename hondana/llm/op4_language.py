@@ -14,12 +14,14 @@ over all languages.
 The trees take at most ``TRAIN`` documents per language (a documented bound), whole texts; every text is scored whole.
 
 Edge cases: null texts and texts without letters (Unicode category L) get ``und`` and score 0; equal code lengths go to the
-first language by code point; without training rows all get ``und``; rows come out once each; other columns are ignored.
+first language by code point; without training rows all get ``und``, and an empty table gives no rows; texts of any length are scored whole, some bytes at a
+time; rows come out once each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +36,24 @@ ORDER = 3
 TRAIN = 400
 SCALE = 20.0
 SLICE = 1 << 20
+#: Ids of chosen documents, of all languages, that go to every task; more are joined by a shuffle.
+BROADCAST = 200_000
 
 _OTHER = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> bytes:
-    """Lower-cased words of letters, each run of anything else as one space; empty if there is no letter."""
-    plain = _OTHER.sub(" ", (text or "").lower())
+    """Lower-cased words of letters with the marks that follow them (vowel signs, accents), each run of anything else as one space; empty if there is no letter."""
+    low = (text or "").lower()
+    marks = "".join(sorted(c for c in set(low) if not c.isalnum() and unicodedata.category(c)[0] == "M"))
+    if marks:
+        plain = re.sub(f"(?:(?![{marks}])[\\W\\d_])+", " ", low)
+        plain = re.sub(f"(?:(?<![^ ])[{marks}])+ ?", "", plain)  # marks of no letter
+    else:
+        plain = _OTHER.sub(" ", low)
     # What is left beside letters: other numbers, such as fractions and Roman numerals.
-    if others := [c for c in set(plain) if not c.isalpha() and c != " "]:
-        plain = re.sub(f"[{re.escape(''.join(others))} ]+", " ", plain)
+    if others := [c for c in set(plain) if not c.isalpha() and c != " " and c not in marks]:
+        plain = re.sub(f"[{re.escape(''.join(others))} ][{re.escape(''.join(others))} {marks}]*", " ", plain)
     plain = plain.strip()
     return f" {plain} ".encode("utf-8", "surrogatepass") if plain else b""
 
@@ -132,13 +142,17 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def train(docs: DataFrame, most: int = TRAIN) -> Trees:
     """Trees from at most ``most`` documents (whole; chosen by digest of doc_id) of each language outside the held-out fold."""
     mark = F.xxhash64("doc_id")
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (sampling.fold(FOLDS) != HELD_OUT)).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"), mark.alias("mark"), F.shiftright(mark, 54).alias("range"))
-    # A language may hold most rows: counts by range of marks tell up to which range its least marks lie, and only those ranges are sorted.
-    running = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("lang", "range").count().withColumn("before", F.coalesce(F.sum("count").over(running), F.lit(0)))
-    last = scratch.write(counts.where(F.col("before") < most).groupBy("lang").agg(F.max("range").alias("last")), "ranges")
-    order = Window.partitionBy("lang").orderBy("mark", "doc_id", "text")
-    chosen = rows.join(last, "lang").where("range <= last").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("lang", "rank", "text")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (sampling.fold(FOLDS) != HELD_OUT)).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"), mark.alias("mark"))
+
+    def least(df: DataFrame, *order: str) -> DataFrame:
+        """The first ``most`` rows of each language: each task passes on that many at most, before any shuffle."""
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= most)
+
+    # First by ids alone, so that texts are only read for the documents chosen, by a join with their few ids.
+    ids = scratch.write(least(rows.select("lang", "mark", "doc_id"), "mark", "doc_id").select("lang", F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct(), "ids")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    mine = rows.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_none", F.col("doc_id").isNull()).join(few, ["lang", "_id", "_none"], "left_semi")
+    chosen = least(mine.select("lang", "mark", "doc_id", "text"), "mark", "doc_id", "text").select("lang", "rank", "text")
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
