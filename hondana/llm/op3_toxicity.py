@@ -48,8 +48,9 @@ CLEAN_COST, TOXIC_COST = 0.2, 400.0
 CACHE = 150_000
 
 _WORDS = re.compile(r"[^\W_]+")
-_BROKEN = re.compile(r"[^\W_]+(?:[^\w\s]{1,3}[^\W_]+)+")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][\W_]{1,3}){2,23}[^\W_](?![^\W_])")
+#: Words that marks of any number break, and single letters spaced by up to three characters; runs of any length, each character read once.
+_BROKEN = re.compile(r"[^\W_]++(?:[^\w\s]++[^\W_]++)++")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]{1,3}[^\W_](?![^\W_])){2,}+")
 _SYMBOLS = re.compile(r"[\W_]+")
 #: Stands at both ends of a word; no word holds it.
 _MARK = "_"

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -269,6 +270,19 @@ def plain_code_length(texts, order, text):
     return total
 
 
+def test_broken_and_spaced_words_of_any_length():
+    """Runs longer than any bound, any number of marks between parts; single letters beside longer words stay apart."""
+    spaced = " ".join("abcdefghijklmnopqrstu") + " " + " ".join("idiot")
+    joined = "".join(w.strip("_") for w in op3_toxicity.windows("_" + spaced.replace(" ", "") + "_")[-1:])
+    assert joined.endswith("idiot") and any(w.endswith("idiot_") for w in op3_toxicity.words_of(spaced))
+    for text in ("id....iot", "i....d....i....o....t", "i-d-i-o-t", "i d i o t", "you i d i o t!", "i.d.i.o.t are"):
+        assert "_idiot_" in op3_toxicity.words_of(text), text
+    assert "_idiot_" not in op3_toxicity.words_of("is a big lot") and op3_toxicity.words_of("a b") == {"_a_", "_b_"}
+    start = time.process_time()
+    op3_toxicity.words_of("a " * 300_000 + "a." * 300_000 + "ab..." * 100_000)
+    assert time.process_time() - start < 20
+
+
 def test_language(spark, odd, empty):
     trees = op4_language.Trees({"x": b" abracadabra abba ", "y": b" banana bandana "}, 3)
     for text in (b" abra ", b" bandabra ", b" naan ", b" cab "):
@@ -289,6 +303,12 @@ def test_language(spark, odd, empty):
     assert {(r.lang_pred, r.score) for r in nobody} <= {("und", 0.0)} and len(nobody) == len(ODD)
 
 
+def test_letters_keep_their_marks():
+    assert op4_language.letters("हिन्दी  में, ५ और १").decode() == " हिन्दी में और "
+    assert op4_language.letters("e\u0301te\u0301 \u0301x 1\u0301 Ⅷ\u0301y ½").decode() == " e\u0301te\u0301 x y "
+    assert op4_language.letters("\u0301 \u0301 12") == b"" and op4_language.letters("A1b_c-É½d").decode() == " a b c é d "
+
+
 def test_language_sample_is_the_least_marks(spark):
     """A language that holds nearly all rows, repeated ids too: the sample is that of a plain sort."""
     docs = spark.range(3000).selectExpr("id % 2500 as doc_id", "concat('w', id) as text", "if(id % 50 = 0, 'xx', 'yy') as lang")
