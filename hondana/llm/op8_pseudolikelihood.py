@@ -7,15 +7,17 @@ the vocabulary. A document's score is the sum of the conditional log-probabiliti
 
 Tokens are lower-cased runs of letters, single digits and other marks. The vocabulary is the most frequent ones, counted over
 the whole corpus, as many as an eighth of the square root of its tokens, ``VOCABULARY`` at least; classes cut it, in order of frequency, into runs of
-about the square root of it. A token outside it is predicted as the rare token and then spelt, each byte given the one before, by the corpus's counts
-over all rare tokens; how often the corpus has it, by slots of a hash, corrects that. The output biases start from corpus counts.
+about the square root of it. A token outside it is predicted as the rare token, and then by a mixture of two distributions: the corpus's counts of the next ``LEXICON`` tokens in order of
+frequency, and a spelling, each byte given the one before, from counts over all rare tokens. The spelling's share is that of PPM method C: rare tokens beyond the
+lexicon, and one more for each of the lexicon. So all tokens' probabilities, in one place, add up to one. The output biases start from corpus counts.
 
-Training reads every document: in each, a share ``MASKED`` of the places, spread evenly, is masked and predicted. Documents are dealt by digest to groups of about
-``GROUP`` tokens; from one start a network is trained on each group in numpy, batch by batch, and the networks' mean, by places, is the result.
+Training reads every document: in each, a share ``MASKED`` of the places, spread evenly, is masked and predicted, one place at least. (That is a share of the work as well; the README says what it
+costs in likelihood.) Documents are dealt by digest of id and text, so alike however the input is split, to groups of about
+``GROUP`` tokens; from one start a network is trained on each group in numpy, batch by batch, and the networks' mean, by places, is the result, added up by ``SLICE`` weights at a time.
 
-What travels is bounded: the network by its vocabulary, spelling by pairs of bytes, slots by ``SLOTS``.
+What travels is bounded: the network by its vocabulary, spelling by pairs of bytes, the lexicon by its size.
 
-Edge cases: null and empty texts and texts without tokens have 0 tokens, sum 0 and mean null; ends of a text are seen as an edge
+Edge cases: an empty table gives no rows, texts of any length are read whole; null and empty texts and texts without tokens have 0 tokens, sum 0 and mean null; ends of a text are seen as an edge
 token; equal texts score alike; rows come out once each; other columns are ignored.
 """
 
@@ -44,12 +46,12 @@ STEP = 16384
 MASKED = 0.1
 #: Tokens a group has about, and how many groups there are at most (beyond that they grow).
 GROUP, GROUPS = 8_000_000, 4096
-#: Networks that one task averages.
-FAN = 16
+#: Networks of which one task averages a slice, and weights of a slice.
+FAN, SLICE = 16, 1 << 20
 #: Tokens whose value a task keeps.
 KNOWN = 150_000
-#: Slots for counts of rare tokens: at least two for each distinct one up to this many.
-SLOTS = 1 << 24
+#: Tokens after the vocabulary that are known by their counts.
+LEXICON = 1 << 16
 PARTS = ("near", "bias", "to_class", "class_bias", "to_word", "word_bias")
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d|[^\w\s]")
@@ -123,19 +125,21 @@ def spelling(rare: DataFrame) -> np.ndarray:
     return byte_logs(out)
 
 
-def slots_of(rare: DataFrame) -> np.ndarray:
-    """For every slot of a hash of tokens, the logarithm of how many times oftener than the average one the corpus has it."""
-    distinct, total = rare.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    size = 1 << min(SLOTS.bit_length() - 1, max(12, (2 * distinct).bit_length()))
-    out = np.full(size, 1.0)
+class Rare:
+    """P(token | rare): ``known`` tokens by their counts, any token by its spelling."""
 
-    def packed(table: pa.Table) -> pa.Table:
-        return pa.table({"part": table["part"][:1], "slots": pa.array([table["slot"].to_numpy().astype("<i4").tobytes()], pa.binary()), "n": pa.array([table["n"].to_numpy().astype("<i8").tobytes()], pa.binary())})
+    def __init__(self, known: dict[str, int], total: int, logs: np.ndarray):
+        self.logs = logs
+        counted = sum(known.values())
+        #: Share of the counts; the rest is the spelling's.
+        self.share = counted / (total + len(known) + 1)
+        self.known = {t: self.share * n / counted for t, n in known.items()}
 
-    sums = rare.groupBy(F.crc32("token").bitwiseAND(F.lit(size - 1)).alias("slot")).agg(F.sum("n").alias("n")).withColumn("part", F.shiftright("slot", 16))
-    for r in sums.groupBy("part").applyInArrow(packed, "part long, slots binary, n binary").toLocalIterator():
-        out[np.frombuffer(r.slots, "<i4")] += np.frombuffer(r.n, "<i8")
-    return np.log(out * (size / (total + size))).astype(np.float16)
+    def log_probabilities(self, tokens: list[str]) -> np.ndarray:
+        as_bytes = [t.encode("utf-8", "replace") for t in tokens]
+        counted = np.fromiter((self.known.get(t, 0.0) for t in tokens), np.float64, len(tokens))
+        by_letters = spelt(self.logs, as_bytes) + np.log1p(-self.share)
+        return np.where(counted > 0, np.logaddexp(np.log(np.maximum(counted, 1e-300)), by_letters), by_letters)
 
 
 class Network:
@@ -254,30 +258,33 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def masked_places(text: str, n: int, share: float = MASKED) -> np.ndarray:
-    """A share of the places 0 to n - 1, spread evenly from a start that depends on the text."""
-    turns = (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B1) + np.uint64(zlib.crc32(text.encode("utf-8", "replace")))) & np.uint64(0xFFFFFFFF)
-    return np.flatnonzero(turns < np.uint64(int(share * 2**32)))
+    """A share of the places 0 to n - 1, one at least, spread evenly from a start that depends on the text."""
+    start = zlib.crc32(text.encode("utf-8", "replace"))
+    turns = (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B1) + np.uint64(start)) & np.uint64(0xFFFFFFFF)
+    found = np.flatnonzero(turns < np.uint64(int(share * 2**32)))
+    return found if len(found) or not n else np.array([start % n])
 
 
 def train(docs: DataFrame, vocabulary: int | None = None, share: float = MASKED, batch: int = 2048) -> Network:
-    """Vocabulary, biases, spelling, counts of rare tokens and weights, all from the whole of ``docs``."""
+    """Vocabulary, biases, rare tokens and weights, all from the whole of ``docs``."""
     spark = docs.sparkSession
     counts = scratch.write(count_tokens(docs), "tokens")
     total = counts.agg(F.sum("n")).first()[0] or 0
     if vocabulary is None:
         vocabulary = max(VOCABULARY, math.isqrt(total) // 8)
-    top = counts.orderBy(F.col("n").desc(), "token").limit(vocabulary).collect()
+    often = counts.orderBy(F.col("n").desc(), "token").limit(vocabulary + LEXICON).collect()
+    top = often[:vocabulary]
     words = [r.token for r in top]
     network = Network(words, [r.n for r in top], total - sum(r.n for r in top), max(CLASS, math.isqrt(vocabulary)))
     known = spark.createDataFrame([(w,) for w in words], "token string")
     rare = scratch.write(counts.join(F.broadcast(known), "token", "left_anti"), "rare")  # the vocabulary: its size is a parameter
-    network.spelling, network.often = spelling(rare), slots_of(rare)
+    network.rare = Rare({r.token: r.n for r in often[vocabulary:]}, total - sum(r.n for r in top), spelling(rare))
     scratch.drop(counts)
     scratch.drop(rare)
     if not total:
         return network
     groups = max(1, min(GROUPS, total // GROUP))
-    shared = spark.sparkContext.broadcast({k: v for k, v in vars(network).items() if k not in ("spelling", "often")})
+    shared = spark.sparkContext.broadcast({k: v for k, v in vars(network).items() if k != "rare"})
 
     def given() -> Network:
         net = Network.__new__(Network)
@@ -316,25 +323,26 @@ def train(docs: DataFrame, vocabulary: int | None = None, share: float = MASKED,
         if size:
             work(np.random.default_rng(5).permutation(np.concatenate(held)))
         weights = np.concatenate([getattr(net, k).ravel() for k in PARTS]).astype("<f4")
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.seen], pa.int64()), pa.array([weights.tobytes()], pa.binary())], ["part", "n", "weights"])
+        part = TaskContext.get().partitionId()
+        for number, at in enumerate(range(0, len(weights), SLICE)):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([number], pa.int32()), pa.array([trainer.seen], pa.int64()), pa.array([weights[at : at + SLICE].tobytes()], pa.binary())], names)
 
     def mean(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["part"].to_pylist(), table["n"].to_pylist(), table["weights"]))  # parts differ
+        rows = sorted(zip(table["part"].to_pylist(), table["n"].to_pylist(), table["weights"]), key=lambda r: r[0])
         n = sum(r[1] for r in rows)
         out = np.zeros(len(rows[0][2].as_py()) // 4)
         for _, m, w in rows:
             out += np.frombuffer(w.as_py(), "<f4") * (m / max(n, 1))
-        return pa.table({"part": pa.array([rows[0][0] // FAN], pa.int64()), "n": pa.array([n], pa.int64()), "weights": pa.array([out.astype("<f4").tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([rows[0][0] // FAN], pa.int64()), "slice": table["slice"][:1], "n": pa.array([n], pa.int64()), "weights": pa.array([out.astype("<f4").tobytes()], pa.binary())})
 
-    kind = "part long, n long, weights binary"
-    # The partition in the key spreads rows that are alike, however many there are.
-    texts = docs.where("text is not null").select(F.xxhash64("doc_id", "text", F.spark_partition_id()).alias("key"), F.col("text").cast("string").alias("text"))
+    kind, names = "part long, slice int, n long, weights binary", ["part", "slice", "n", "weights"]
+    texts = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
     dealt = texts.mapInArrow(mask, "key long, rows binary").repartition(groups, "key").sortWithinPartitions("key", "rows")
     networks = scratch.write(dealt.mapInArrow(trained, kind), "networks")
     while groups > 1:
-        networks = scratch.write(networks.groupBy(F.floor(F.col("part") / FAN).alias("over")).applyInArrow(mean, kind), "networks")
+        networks = scratch.write(networks.groupBy(F.floor(F.col("part") / FAN).alias("over"), "slice").applyInArrow(mean, kind), "networks")
         groups = -(-groups // FAN)
-    at, weights = 0, np.frombuffer(bytes(networks.first().weights), "<f4")
+    at, weights = 0, np.concatenate([np.frombuffer(bytes(r.weights), "<f4") for r in networks.orderBy("slice").toLocalIterator()])
     for k in PARTS:
         old = getattr(network, k)
         setattr(network, k, weights[at : at + old.size].reshape(old.shape).copy())
@@ -361,9 +369,7 @@ class Scorer:
         new = list(set().union(*texts).difference(self.place))
         if new:
             self.place.update(zip(new, range(len(self.place) + 1, len(self.place) + len(new) + 1)))
-            as_bytes = [t.encode("utf-8", "replace") for t in new]
-            slot = np.fromiter(map(zlib.crc32, as_bytes), np.int64, len(new)) & (len(self.net.often) - 1)
-            self.value = np.concatenate([self.value, spelt(self.net.spelling, as_bytes) + self.net.often[slot]])
+            self.value = np.concatenate([self.value, self.net.rare.log_probabilities(new)])
         return np.fromiter(map(self.place.__getitem__, chain.from_iterable(texts)), np.int32, sum(map(len, texts)))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -386,7 +392,7 @@ class Scorer:
 
 def scored(docs: DataFrame, network: Network) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (natural logarithms, summed), mean of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(network))  # vocabulary times hidden units, pairs of bytes, slots
+    shared = docs.sparkSession.sparkContext.broadcast(vars(network))  # vocabulary times hidden units, pairs of bytes, the lexicon
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.__new__(Network)

@@ -1,6 +1,8 @@
 """Every operator against a plain version of itself, and on odd rows and empty tables."""
 
+import itertools
 import json
+import math
 import random
 import re
 import time
@@ -650,7 +652,8 @@ def test_pseudolikelihood(spark, odd, empty):
     tokens = op8_pseudolikelihood.tokens_of("one two three four five six seven eight")
     number = {w: k + 1 for k, w in enumerate(model.words)}
     framed = model.framed(np.array([number.get(t, 0) for t in tokens], np.int32))
-    spell = lambda t: sum(model.spelling[a, b] for a, b in zip([256, *t.encode()], [*t.encode(), 256])) + float(model.often[zlib.crc32(t.encode()) & (len(model.often) - 1)])
+    letters = lambda t: sum(float(model.rare.logs[a, b]) for a, b in zip([256, *t.encode()], [*t.encode(), 256]))
+    spell = lambda t: math.log(model.rare.known.get(t, 0) + (1 - model.rare.share) * math.exp(letters(t)))
     plain = sum(plain_log_probability(model, framed[k : k + 2], framed[k + 3 : k + 5], framed[k + 2]) + (0 if t in number else spell(t)) for k, t in enumerate(tokens))
     assert abs(plain - one.log_likelihood) < 1e-2
 
@@ -774,3 +777,31 @@ def test_mix_targets_with_many_sources(spark):
             break
         capped |= over
     assert all(abs(got[s] - (3 * size[s] if s in capped else level * weight[s])) < 1e-6 for s in names) and capped
+
+
+def test_rare_tokens_are_a_distribution():
+    """Over all strings of two letters the probabilities add up to one, however many of them are known by their counts."""
+    rng = np.random.default_rng(4)
+    pairs = np.zeros((257, 257), np.int64)
+    pairs[256, [97, 98]] = [5, 3]
+    pairs[97, [97, 98, 256]] = [1, 2, 9]
+    pairs[98, [97, 256]] = [1, 9]
+    logs = op8_pseudolikelihood.byte_logs(pairs.ravel())
+    logs = np.where(pairs > 0, np.log(np.maximum(pairs, 1) / np.maximum(pairs.sum(axis=1, keepdims=True), 1)), -np.inf)  # no other bytes, so that the strings can be listed
+    strings = ["".join(x) for n in range(1, 15) for x in itertools.product("ab", repeat=n)]
+    for known in ({}, {"a": 4, "ba": 2, "bb": 1}, dict(zip(rng.choice(strings[:60], 30, replace=False).tolist(), range(1, 31)))):
+        total = sum(known.values()) + 6
+        p = np.exp(op8_pseudolikelihood.Rare(known, total, logs).log_probabilities(strings))
+        assert abs(p.sum() - 1) < 1e-3 and all(p[strings.index(k)] > p[strings.index("ab" * 5)] for k in known)
+
+
+def test_training_is_alike_however_the_input_is_split(spark, monkeypatch):
+    """Several groups, averaged by slices of a few weights; every text has a place that is trained on."""
+    monkeypatch.setattr(op8_pseudolikelihood, "GROUP", 400)
+    monkeypatch.setattr(op8_pseudolikelihood, "SLICE", 1000)
+    monkeypatch.setattr(op8_pseudolikelihood, "FAN", 2)
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(["one", "two", "three", "four", "rare" + "x" * rng.randrange(4)]) for _ in range(rng.randrange(1, 30)))) for k in range(120)], "doc_id long, text string")
+    models = [op8_pseudolikelihood.train(d, vocabulary=4) for d in (docs.coalesce(1), docs.repartition(7))]
+    assert all(np.array_equal(getattr(models[0], k), getattr(models[1], k)) for k in op8_pseudolikelihood.PARTS) and models[0].rare.known == models[1].rare.known
+    assert all(len(op8_pseudolikelihood.masked_places(text, n)) >= 1 for text in ("a", "b c", "漢") for n in range(1, 30)) and len(op8_pseudolikelihood.masked_places("", 0)) == 0
