@@ -107,6 +107,13 @@ def leftmost_longest(found: list[tuple[int, int, str]]) -> list[tuple[int, int,
 
 
 _RESOLVE = {"each": each_apart, "all": sorted, "longest": leftmost_longest}
+
+
+def resolved(found: list[tuple[int, int, str]], mode: str) -> list[tuple[int, int, str]]:
+    """What a ``mode`` leaves of all matches (start, size, term)."""
+    return _RESOLVE[mode](found)
+
+
 _FOUND = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("term", pa.string())]))
 
 

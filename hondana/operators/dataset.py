@@ -23,6 +23,7 @@ RECORD = (
 )
 _HEADING = "(?U)^\\s{0,3}#{1,6}(?:\\s+|$)"
 _LIST = "(?U)^\\s*(?:[-+*]|\\d+[.)])\\s+"
+_MARKED = "(?U)^\\s*(?:[-+*#]|\\d+[.)])"
 _H2 = "(?U)^\\s{0,3}##(?!#)(?:\\s+|$)"
 
 
@@ -32,6 +33,11 @@ def visible_chars(text: Column) -> Column:
     return F.length(F.regexp_replace(F.array_join(lines, ""), "(?U)\\s+", ""))
 
 
+def _sentence_chars(sentence: Column) -> Column:
+    """:func:`visible_chars` of a text without line ends: most sentences begin with no mark, and then only white space is left out."""
+    return F.when(sentence.rlike(_MARKED), visible_chars(sentence)).otherwise(F.length(F.regexp_replace(sentence, "(?U)\\s+", "")))
+
+
 def sections(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, heading, section_index, text, chars: the parts of a text at its second-level headings, blank ones left out.
 
@@ -238,7 +244,7 @@ def surface_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Da
     return df.select(
         *keep,
         visible_chars(F.col("text")).cast("double").alias("chars"),
-        rate(total(visible_chars), n).alias("mean_sentence_chars"),
+        rate(total(_sentence_chars), n).alias("mean_sentence_chars"),
         rate(total(lambda s: s.endswith("。")), n).alias("period_ending_rate"),
         rate(total(lambda s: F.length(s) - F.length(F.replace(s, F.lit("、"), F.lit("")))), n).alias("commas_per_sentence"),
         rate(which(_LIST), lines).alias("list_line_rate"),

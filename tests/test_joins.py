@@ -116,3 +116,24 @@ def test_time_is_flat_in_the_number_of_terms():
         sum(1 for _ in automaton.matches(text))
         took.append(time.process_time() - start)
     assert took[1] < 4 * took[0]
+
+
+def test_sql_functions_give_what_the_library_gives(spark):
+    """Lateral joins and scalar functions from SQL, on nulls too."""
+    from hondana.functions import article, markdown
+    from hondana.plans.sql_functions import register
+
+    texts = ["# 一 `x`\n\n本文 **b** <b>t</b>\n\n二\n==\n", "", None, "import x\n\n比較 eufy と比較案 EUFY\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").createOrReplaceTempView("texts_of_test")
+    register(spark)
+    rows = lambda q: sorted(tuple(r) for r in spark.sql(q).collect())
+    given = [(k, t) for k, t in enumerate(texts) if t is not None]
+    assert rows("SELECT d.doc_id, r.* FROM texts_of_test d, LATERAL markdown_ranges(d.text) r") == [(k, a, b) for k, t in given for a, b in markdown.parse(t).ranges]
+    assert rows("SELECT d.doc_id, h.* FROM texts_of_test d, LATERAL markdown_headings(d.text) h") == [(0, 1, 1, "一 `x`"), (0, 5, 2, "二")]
+    assert rows("SELECT doc_id, mask_markdown(text), article_text(text) FROM texts_of_test WHERE doc_id != 2") == [(k, markdown.parse(t).masked, article.extract_article(t)) for k, t in given]
+    assert [tuple(r) for r in spark.sql("SELECT mask_markdown(text), article_text(text) FROM texts_of_test WHERE doc_id = 2").collect()] == [(None, None)]
+    found = rows("SELECT d.doc_id, t.* FROM texts_of_test d, LATERAL term_places(d.text, array('比較', '比較案', 'eufy', NULL, ''), 'longest') t")
+    assert found == [(3, 11, "比較", "比較"), (3, 14, "eufy", "eufy"), (3, 20, "比較案", "比較案"), (3, 24, "EUFY", "eufy")]
+    assert rows("SELECT d.doc_id, t.* FROM texts_of_test d, LATERAL term_places(d.text, CAST(NULL AS ARRAY<STRING>), 'all') t") == []
+    with pytest.raises(Exception, match="mode must be"):
+        spark.sql("SELECT * FROM term_places('a', array('a'), 'odd')").collect()
