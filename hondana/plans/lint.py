@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -50,13 +52,43 @@ def style_issues(lines: DataFrame) -> list[DataFrame]:
 
 #: Turns documents into (doc_id, json and perhaps failure).
 Linter = Callable[[DataFrame], DataFrame]
-_kept: list[DataFrame] = []
+_kept: ContextVar[list[DataFrame] | None] = ContextVar("kept", default=None)
+#: Of the last call outside of any block, in this thread.
+_last: ContextVar[DataFrame | None] = ContextVar("last", default=None)
+
+
+@contextmanager
+def keeping() -> Iterator[None]:
+    """In this block :func:`lint` keeps the parsed documents of all its calls, and drops them at the end; issues that are still to be computed then parse anew.
+
+    Blocks of different threads, and nested ones, keep what is their own.
+    """
+    token = _kept.set([])
+    try:
+        yield
+    finally:
+        for tree in _kept.get():
+            tree.unpersist()
+        _kept.reset(token)
 
 
 def release() -> None:
-    """Drop the parsed documents that earlier calls of :func:`lint` keep for their branches; issues that are still to be computed parse anew."""
-    while _kept:
-        _kept.pop().unpersist()
+    """Drop the parsed documents of the last call outside of a :func:`keeping` block."""
+    tree = _last.get()
+    if tree is not None:
+        tree.unpersist()
+        _last.set(None)
+
+
+def _keep(tree: DataFrame) -> DataFrame:
+    """Several branches read it: kept, so that each document is parsed once. A lost part is parsed again."""
+    tree = tree.persist(StorageLevel.MEMORY_AND_DISK)
+    if _kept.get() is not None:
+        _kept.get().append(tree)
+    else:
+        release()  # one at a time
+        _last.set(tree)
+    return tree
 
 
 def lint(
@@ -65,7 +97,7 @@ def lint(
     """All issues of ``docs`` (doc_id, text and, if known, file and path) under a profile; see ``hondana.schema.ISSUES``.
 
     Only branches of the profile's checks are built. The Markdown pass runs once per document, for blog checks only; its
-    result is persisted until :func:`release`. ``linters`` gives the external linter of each profile, with its configuration, where one is to run.
+    result is kept to the end of a :func:`keeping` block, outside of one until the next call or :func:`release`. ``linters`` gives the external linter of each profile, with its configuration, where one is to run.
     ``dictionary`` holds translations that aren't official, as a table (term, preferred, place) of any length or a small dict.
     The vault profile needs ``path`` (relative to the vault) and the tag ``vocabulary``.
     """
@@ -77,9 +109,7 @@ def lint(
         parts.append(("secrets", secrets.check_secrets(raw)))
     blog = profile == "blog"
     if blog and {"notation", "blog_style", "blog_structure"} & set(wanted):
-        # Several branches read it: kept, so that each document is parsed once. A lost part is parsed again.
-        tree = parsed(docs, ("doc_id", *extra)).persist(StorageLevel.MEMORY_AND_DISK)
-        _kept.append(tree)
+        tree = _keep(parsed(docs, ("doc_id", *extra)))
         lines = tree.select("doc_id", *extra, F.explode("lines").alias("l")).select("doc_id", *extra, "l.*")
     if "notation" in wanted and blog:
         parts += [("notation", notation.check_notation_blog(lines)), ("notation", notation.check_slash(lines)), ("notation", notation.check_spacing(lines))]

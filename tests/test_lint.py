@@ -185,3 +185,22 @@ def test_issues_with_source_lines(spark):
     docs = spark.createDataFrame([(1, "a\nghp_" + "x" * 36)], "doc_id long, text string")
     rows = lint.with_source(lint.lint(docs, "qiita"), docs).collect()
     assert {(r.category, r.line_number, r.source_line) for r in rows} == {("secret", 2, "ghp_" + "x" * 36), ("ai_writing", 0, None)}
+
+
+def test_parsed_documents_are_kept_for_a_block(spark):
+    """Nothing stays persisted after a block; outside of one the last call's documents do, no others."""
+    docs = spark.createDataFrame([(1, "## a\n\nサーバ と eufy\n")], "doc_id long, text string")
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    lint.release()
+    before = held()
+    with lint.keeping():
+        first = lint.lint(docs, "blog", checks=("notation",))
+        want = sorted(map(tuple, first.collect()))
+        lint.lint(docs.withColumn("file", docs.text), "blog", checks=("notation",)).collect()
+        assert held() > before
+    assert held() == before and sorted(map(tuple, first.collect())) == want
+    for k in range(3):
+        lint.lint(docs.withColumn("doc_id", docs.doc_id + k), "blog", checks=("notation",)).collect()
+    assert held() == before + 1
+    lint.release()
+    assert held() == before

@@ -1,5 +1,6 @@
 """Masking: written cases, and properties on arbitrary texts."""
 
+import re
 import time
 
 import pytest
@@ -199,3 +200,72 @@ def test_merge(ranges):
     out = m.merge_ranges(ranges)
     assert {k for a, b in out for k in range(a, b)} == {k for a, b in ranges for k in range(a, b)}
     assert all(x[1] < y[0] for x, y in zip(out, out[1:]))
+
+
+def brute_tags(s):
+    """Tags of a page by a scan of its own for each opening, written from the rules: names, quotes, braces, line ends, comments, script and style."""
+
+    def one(start):
+        for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<?", "?>")):
+            if s.startswith(opening, start):
+                end = s.find(closing, start + len(opening))
+                return (end + len(closing), "", False, True) if end >= 0 else None
+        for fragment in ("<>", "</>"):
+            if s.startswith(fragment, start):
+                return start + len(fragment), "", fragment == "</>", False
+        name = re.compile(r"</?([A-Za-z][\w.:-]*)(?=[\s/>={]|$)", re.A).match(s, start)
+        if not name:
+            return None
+        depth, quote = 0, ""
+        for k in range(name.end(), len(s)):
+            c = s[k]
+            if quote:
+                slashes = 0
+                while s[k - 1 - slashes] == "\\":
+                    slashes += 1
+                quote = "" if c == quote and slashes % 2 == 0 else quote
+            elif c in "\"'`":
+                quote = c
+            elif c in "{}":
+                depth = max(0, depth + (1 if c == "{" else -1))
+            elif depth:
+                continue
+            elif c == "\n":
+                rest = re.sub(r"^[ \t]{0,3}(?:>(?=[> \t])[ \t]?)+", "", s[k + 1 :])
+                if not re.match(r"[ \t]+[^ \t\n]|/?>|\{|[A-Za-z_:][\w.:-]*\s*=", rest, re.A):
+                    return None
+            elif c == ">":
+                line = s[s.rfind("\n", start, k) + 1 : k]
+                if "\n" in s[start:k] and re.fullmatch(r"[ \t]{0,3}(?:>[ \t]?)*", line) and s[k + 1 : k + 2] in (" ", "\t", ">"):
+                    continue
+                return k + 1, name.group(1), s[start + 1] == "/", s[start:k].rstrip().endswith("/")
+        return None
+
+    out, at = [], 0
+    while (at := s.find("<", at)) >= 0:
+        tag = one(at)
+        if not tag:
+            at += 1
+            continue
+        end, name, closing, alone = tag
+        if name.lower() in ("script", "style") and not closing and not alone:
+            m = re.compile(rf"</\s*{name}(?=[\s>])", re.I).search(s, end)
+            last = one(m.start()) if m else None
+            end = last[0] if last and last[2] and last[1].lower() == name.lower() else end
+        out.append((at, end))
+        at = end
+    return out
+
+
+def test_tags_of_pages_are_those_of_a_plain_scanner():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
+    found = [m.tag_ranges(p, []) for p in pages]
+    assert found == [brute_tags(p) for p in pages] and sum(map(len, found)) > 500
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="<>{}\"'`\\a/= \n!-?b", max_size=50))
+def test_tags_are_those_of_a_plain_scanner(text):
+    assert m.tag_ranges(text, []) == brute_tags(text)
