@@ -16,7 +16,8 @@ A document's score is a logistic function of its highest margin, fitted on the s
 The fit takes at most ``TRAIN`` documents of each class (a documented bound), whole; scoring reads every word of every text.
 
 Edge cases: texts that are null or have no word score as ones with only clean words; without documents of both
-classes every score is 0 if there are no toxic ones, else 1; rows come out once each; other columns are ignored unless kept by the caller.
+classes every score is 0 if there are no toxic ones, else 1; an empty table gives no rows; texts, words and
+runs of broken or spaced letters of any length are read whole; of words with one margin the first by its characters stands for a document; rows come out once each; other columns are ignored unless kept by the caller.
 """
 
 from __future__ import annotations

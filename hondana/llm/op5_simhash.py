@@ -18,7 +18,7 @@ by tables in the shared folder, and nothing but sums reaches the driver.
 
 Edge cases: a null text counts as empty; texts without words have fingerprint zero, which links like any
 other; fewer than three words give one shingle of all of them; component_id is the smallest doc_id, null only where all of a
-component's are; repeated rows come out once each; other columns are ignored unless kept by the caller.
+component's are; repeated rows come out once each; an empty table gives no rows; texts of any length are hashed whole; a bit that exactly half of the hashes have is not set; other columns are ignored unless kept by the caller.
 """
 
 from __future__ import annotations

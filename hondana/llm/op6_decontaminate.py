@@ -12,7 +12,7 @@ block is read, so that no broadcast and nothing on the driver exceeds that size
 
 Edge cases: null and empty texts match nothing, nor do items that are null or without letters and digits; matches of one item
 in a text don't overlap, the first counts; equal items match under each item_id; rows of ``docs`` come out once each in
-:func:`clean`; an empty benchmark matches nothing; other columns are ignored unless kept.
+:func:`clean`; an empty benchmark matches nothing, empty ``docs`` give no rows; texts of any length are searched whole; other columns are ignored unless kept.
 """
 
 from __future__ import annotations

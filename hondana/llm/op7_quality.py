@@ -2,13 +2,14 @@
 
 Statistics of a whole text are Spark columns. Boosted trees of ``DEPTH`` levels over them, grown in numpy on a
 bounded sample, give rules: every path from a root is a conjunction of comparisons. A logistic model with an
-absolute-value penalty (lasso) keeps the few rules that matter, and these are compiled into one Spark column
+absolute-value penalty (lasso) keeps the few rules that matter; both classes weigh alike there, and the offset then moves half of the way (in log odds) to the share that each has. The rules are compiled into one Spark column
 expression, so that scoring runs inside the scan's own stage with no Python.
 
 The fit takes at most ``TRAIN`` labelled documents of each class outside the held-out fold (a documented bound).
 
 Edge cases: null and empty texts have statistics 0 and score by the rules that then hold; without documents of both classes every score is
-the one label there is, else 0; rows come out once each; other columns are ignored unless kept by the caller.
+the one label there is, else 0; an empty table gives no rows; texts of any length are measured whole; where several splits of a tree gain alike the first statistic's
+lowest bound is taken, so reruns agree; rows come out once each; other columns are ignored unless kept by the caller.
 """
 
 from __future__ import annotations
@@ -150,7 +151,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], counts: dict[int, int] |
     if len(set(y.tolist())) < 2:
         return Rules(names, constant=float(y[0]) if len(y) else 0.0)
     have = counts or {k: int((y == k).sum()) for k in (0, 1)}
-    # Classes count alike while rules are sought; the offset then shifts to how many documents each has.
+    # Classes count alike while rules are sought; the offset then shifts half of the way to how many documents each has.
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * len(y)
     bins = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
     bins = [(b[:-1] + b[1:]) / 2 if len(b) > 1 else b for b in bins]

@@ -805,3 +805,40 @@ def test_training_is_alike_however_the_input_is_split(spark, monkeypatch):
     models = [op8_pseudolikelihood.train(d, vocabulary=4) for d in (docs.coalesce(1), docs.repartition(7))]
     assert all(np.array_equal(getattr(models[0], k), getattr(models[1], k)) for k in op8_pseudolikelihood.PARTS) and models[0].rare.known == models[1].rare.known
     assert all(len(op8_pseudolikelihood.masked_places(text, n)) >= 1 for text in ("a", "b c", "漢") for n in range(1, 30)) and len(op8_pseudolikelihood.masked_places("", 0)) == 0
+
+
+def test_lasso_meets_its_conditions():
+    """At the optimum the gradient of the loss is the penalty, against the weight's sign, where a weight is not zero, and no larger elsewhere."""
+    rng = np.random.default_rng(2)
+    z = rng.random((400, 25)) < rng.uniform(0.1, 0.9, 25)
+    y = (z[:, 0] & ~z[:, 1] | (rng.random(400) < 0.1)).astype(int)
+    weight = rng.uniform(0.5, 2, 400)
+    for penalty in (0.004, 0.03):
+        w, offset = op7_quality.lasso(z, y, weight, penalty, steps=6000)
+        p = 1 / (1 + np.exp(-(z @ w + offset)))
+        g = z.T @ (weight / weight.sum() * (p - y))
+        on = np.abs(w) > 1e-8
+        assert on.any() and not on.all()
+        assert np.allclose(g[on], -penalty * np.sign(w[on]), atol=1e-5) and (np.abs(g[~on]) <= penalty + 1e-5).all()
+        assert abs((weight * (p - y)).sum() / weight.sum()) < 1e-5
+
+
+def test_trees_take_the_best_split():
+    """The first split is the one of all statistics and bounds that leaves the least weighted squares, found one by one."""
+    rng = np.random.default_rng(7)
+    for _ in range(10):
+        x = rng.normal(size=(60, 4)).round(1)
+        gradient, weight = x[:, rng.integers(4)] + rng.normal(size=60), rng.uniform(0.2, 2, 60)
+        bins = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, 9)[1:-1])) for k in range(4)]
+        binned = np.stack([np.searchsorted(b, x[:, k], side="left") for k, b in enumerate(bins)], axis=1)
+        paths, value = op7_quality.grow(x, bins, binned, gradient, weight, 1)
+
+        def left(rows):
+            mean = (gradient[rows] * weight[rows]).sum() / weight[rows].sum()
+            return (weight[rows] * (gradient[rows] - mean) ** 2).sum()
+
+        sums = {(k, float(b)): left(x[:, k] <= b) + left(x[:, k] > b) for k in range(4) for b in bins[k] if 8 <= (x[:, k] <= b).sum() <= 52}
+        (k, above, bound), = paths[0]
+        assert not above and sums[k, bound] <= min(sums.values()) + 1e-9
+        side = x[:, k] <= bound
+        assert np.allclose(value[side], (gradient[side] * weight[side]).sum() / weight[side].sum())
