@@ -43,7 +43,31 @@ def check_citations(lines: DataFrame) -> DataFrame:
     extra = [c for c in ("file",) if c in lines.columns]
     owned = lines.withColumn("of", of).where("of is not null and title is null")
     counted = owned.groupBy("doc_id", *extra, F.col("of.n").alias("n"), F.col("of.title").alias("matched")).agg(F.sum(F.regexp_count("masked", F.lit(pattern(CITATION)))).alias("times"))
-    hits = counted.where(F.col("times") >= LEAST_CITATIONS).withColumn("col", F.lit(1))
+    return _citation_issues(counted.where(F.col("times") >= LEAST_CITATIONS))
+
+
+def check_citations_of(trees: DataFrame) -> DataFrame:
+    """:func:`check_citations` of parsed documents (doc_id, masked, lines), within each row: a count carried from line to line, so no line moves."""
+    extra = [c for c in ("file",) if c in trees.columns]
+    state = "struct<n:int,title:string,times:int,out:array<struct<n:int,matched:string,times:int>>>"
+
+    def closed(a: Column) -> Column:
+        return F.when(a["times"] >= LEAST_CITATIONS, F.array_append(a["out"], F.struct(a["n"].alias("n"), a["title"].alias("matched"), a["times"].alias("times")))).otherwise(a["out"])
+
+    def step(a: Column, x: Column) -> Column:
+        opens = x["title"].isNotNull()
+        times = F.when(a["n"].isNull(), 0).otherwise(a["times"] + F.regexp_count(x["masked"], F.lit(pattern(CITATION))))
+        after = F.struct(x["n"].alias("n"), x["title"].alias("title"), F.lit(0).alias("times"), closed(a).alias("out"))
+        return F.when(opens, after).otherwise(F.struct(a["n"].alias("n"), a["title"].alias("title"), times.alias("times"), a["out"].alias("out"))).cast(state)
+
+    start = F.struct(F.lit(None).alias("n"), F.lit(None).alias("title"), F.lit(0).alias("times"), F.array().alias("out")).cast(state)
+    found = F.aggregate("lines", start, step, closed)
+    rows = trees.where(F.contains("masked", F.lit("（出典"))).select("doc_id", *extra, F.explode(found).alias("s"))
+    return _citation_issues(rows.select("doc_id", *extra, "s.*"))
+
+
+def _citation_issues(counted: DataFrame) -> DataFrame:
+    hits = counted.withColumn("col", F.lit(1))
     message = F.concat(F.lit("同一小節に出典表記が "), F.col("times").cast("string"), F.lit(" 回あります。本文に統合するか、出典をまとめてください。"))
     return issue(hits, "structure", "citation-density", message, "出典表記を 2 回以下に整理する", seq=F.col("n"))
 

@@ -156,5 +156,18 @@ def check_opening_mazu(lines: DataFrame) -> DataFrame:
     filled = F.when(F.col("masked").rlike("(?U)\\S"), F.struct("n", "line", "masked"))
     extra = [c for c in ("file",) if c in lines.columns]
     after = lines.withColumn("next", F.last(filled, ignorenulls=True).over(below)).where("heading_end = 1 and next is not null").select("doc_id", *extra, "next.*")
+    return _mazu_issues(after)
+
+
+def check_opening_mazu_of(trees: DataFrame) -> DataFrame:
+    """:func:`check_opening_mazu` of parsed documents (doc_id, masked, lines), within each row: of the filled lines those after the end of a heading."""
+    extra = [c for c in ("file",) if c in trees.columns]
+    filled = F.filter("lines", lambda x: (x["heading_end"] == 1) | x["masked"].rlike("(?U)\\S"))
+    after = bound(filled, lambda rows: F.filter(rows, lambda x, k: F.when(k > 0, F.get(rows, k - 1)["heading_end"] == 1).otherwise(F.lit(False))))
+    rows = trees.where(F.contains("masked", F.lit("まず"))).select("doc_id", *extra, F.explode(after).alias("x"))
+    return _mazu_issues(rows.select("doc_id", *extra, "x.n", "x.line", "x.masked"))
+
+
+def _mazu_issues(after: DataFrame) -> DataFrame:
     hits = after.where(F.col("masked").rlike("^(?U)\\s*まず[、,]")).withColumn("matched", F.regexp_extract("line", "まず[、,]", 0)).withColumn("col", F.locate("まず", F.col("line")))
     return issue(hits, "style", "section-opening-mazu", "見出し直後の段落を「まず、」以外で始めることを推奨します。", "対象や目的を直接説明する", seq=F.lit(300_000_000) + F.col("n"))

@@ -39,15 +39,15 @@ def with_checks(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.posexplode(checks).alias("place", "name"))
 
 
-def style_issues(lines: DataFrame) -> list[DataFrame]:
-    """The style checks of parsed lines."""
+def style_issues(lines: DataFrame, trees: DataFrame) -> list[DataFrame]:
+    """The style checks of parsed documents and their lines."""
     extra = tuple(c for c in ("file",) if c in lines.columns)
     found = style.sentences(lines.where("not nominal"), "visible", ("doc_id", "n", "columns", *extra))
     ended = style.endings(found)
     # ``at`` counts in the visible line from the sentence's column on; columns map it to the source (null: nothing was left out).
     place = F.col("col") + F.col("at")
     ended = ended.withColumn("col", F.when(F.col("columns").isNull(), place).otherwise(F.try_element_at("columns", place) + 1))
-    return [style.check_open_kanji(lines), style.check_style_mixing(ended), style.check_comma_join(lines), style.check_opening_mazu(lines)]
+    return [style.check_open_kanji(lines), style.check_style_mixing(ended), style.check_comma_join(lines), style.check_opening_mazu_of(trees)]
 
 
 #: Turns documents into (doc_id, json and perhaps failure).
@@ -123,9 +123,9 @@ def lint(
     if "ai_writing" in wanted:
         parts.append(("ai_writing", external.check_ai_writing(docs, (linters or {}).get(profile))))
     if "blog_style" in wanted:
-        parts += [("blog_style", df) for df in style_issues(lines)]
+        parts += [("blog_style", df) for df in style_issues(lines, tree)]
     if "blog_structure" in wanted:
-        parts += [("blog_structure", structure.check_citations(lines)), ("blog_structure", structure.check_first_mentions(tree))]
+        parts += [("blog_structure", structure.check_citations_of(tree)), ("blog_structure", structure.check_first_mentions(tree))]
     if "frontmatter" in wanted:
         if vocabulary is None or "path" not in docs.columns:
             raise ValueError("vault プロファイルには path とタグ語彙が必要です")

@@ -204,3 +204,23 @@ def test_parsed_documents_are_kept_for_a_block(spark):
     assert held() == before + 1
     lint.release()
     assert held() == before
+
+
+def test_rules_within_rows_are_those_over_lines(spark):
+    """Citations by section and openings after headings, told within parsed documents, against windows over their lines."""
+    from pyspark.sql import functions as F
+
+    from hondana.functions.markdown import parsed
+    from hondana.operators import structure, style
+    from hondana.plans.catalog import article_docs
+
+    written = ["（出典: a）\n# 一\n（出典：a）（出典: b）\n\n（出典 : c）\n## 二\n（出典:x）\n三\n==\n（出典:x）（出典:x）\n（出典:x）（出典:x）", "# 一\n\nまず、a\n## 二\n## 三\n  まず,b\nまず、c\n四\n--\n\n\nまず、d", "まず、x", "# y", ""]
+    docs = spark.createDataFrame(list(enumerate(written)), "doc_id long, text string").withColumn("file", F.lit("f"))
+    docs = docs.unionByName(article_docs(spark, "/root/testdata/sf0.001").select((F.col("doc_id") + 100).alias("doc_id"), "text").withColumn("file", F.lit("g")))
+    tree = parsed(docs, ("doc_id", "file")).persist()
+    lines = tree.select("doc_id", "file", F.explode("lines").alias("l")).select("doc_id", "file", "l.*")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    cited, opened = rows(structure.check_citations_of(tree)), rows(style.check_opening_mazu_of(tree))
+    assert cited == rows(structure.check_citations(lines)) and len(cited) >= 2
+    assert opened == rows(style.check_opening_mazu(lines)) and len(opened) >= 3
+    tree.unpersist()
