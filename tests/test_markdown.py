@@ -269,3 +269,41 @@ def test_tags_of_pages_are_those_of_a_plain_scanner():
 @given(st.text(alphabet="<>{}\"'`\\a/= \n!-?b", max_size=50))
 def test_tags_are_those_of_a_plain_scanner(text):
     assert m.tag_ranges(text, []) == brute_tags(text)
+
+
+def brute_urls(s):
+    """URLs of a page, one place after the other, written from the rules."""
+    out, at = [], 0
+    pairs = {")": "(", "]": "[", "}": "{"}
+    while at < len(s):
+        m = re.match(r"https?://|www\.", s[at : at + 8], re.I)
+        if not m:
+            at += 1
+            continue
+        end, open_ = at + m.end(), []
+        while end < len(s) and not s[end].isspace() and s[end] not in "<>\"'。、！？）」』】〉》":
+            c = s[end]
+            if c in "([{":
+                open_.append(c)
+            elif c in pairs and (not open_ or open_.pop() != pairs[c]):
+                break
+            end += 1
+        cut = len(s[at:end].rstrip(".,;:!?。、！？"))
+        if cut:
+            out.append((at, at + cut))
+        at = max(at + 1, at + cut)
+    return out
+
+
+def test_urls_of_pages_are_those_of_a_plain_scanner():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    found = [m.url_ranges(p) for p in pages]
+    assert found == [brute_urls(p) for p in pages] and sum(map(len, found)) > 3
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["http://", "HTTPS://", "www.", "a", "(", ")", "[", "]", "{", "}", ".", "?", " ", "。", "<", "'", "・"]), max_size=14).map("".join))
+def test_urls_are_those_of_a_plain_scanner(text):
+    assert m.url_ranges(text) == brute_urls(text)
