@@ -339,6 +339,7 @@ def train(docs: DataFrame, vocabulary: int | None = None, share: float = MASKED,
     texts = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
     dealt = texts.mapInArrow(mask, "key long, rows binary").repartition(groups, "key").sortWithinPartitions("key", "rows")
     networks = scratch.write(dealt.mapInArrow(trained, kind), "networks")
+    groups = networks.agg(F.max("part")).first()[0] + 1  # as many as there are partitions
     while groups > 1:
         networks = scratch.write(networks.groupBy(F.floor(F.col("part") / FAN).alias("over"), "slice").applyInArrow(mean, kind), "networks")
         groups = -(-groups // FAN)
