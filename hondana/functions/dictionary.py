@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Characters of the terms of a pass.
 BLOCK = 8_000_000
 BLOCKS = 16
+#: Matches that a task gathers before it passes them on, but for those of one text.
+HELD = 50_000
 MODES = ("each", "all", "longest")
 
 
@@ -114,9 +116,6 @@ def resolved(found: list[tuple[int, int, str]], mode: str) -> list[tuple[int, in
     return _RESOLVE[mode](found)
 
 
-_FOUND = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("term", pa.string())]))
-
-
 def _blocks(terms: DataFrame, block: int) -> Iterator[list[tuple[str, str]]]:
     """(term in one case, term) in order, at most ``block`` characters at a time."""
     held, size = [], 0
@@ -162,11 +161,38 @@ def _search(some: list[tuple[str, str]], at: int, names: list[str], mode: str):
         words = list(spelt)
         automaton = Automaton(words)
         for batch in batches:
-            rows = []
-            for text, known in zip(batch.column(at), batch.column(len(names) - 1).to_pylist()):
-                new = [(start, len(words[n]), term) for start, n in automaton.matches(one_case(text.as_py() or "")) for term in spelt[words[n]]]
-                both = [(x["start"], x["size"], x["term"]) for x in known] + new
-                rows.append([{"start": a, "size": n, "term": t} for a, n, t in _RESOLVE[mode](both)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, _FOUND)], names)
+            first, held = 0, _Held()
+            for k in range(batch.num_rows):
+                text, known = batch.column(at)[k].as_py() or "", batch.column(len(names) - 1)[k].as_py()
+                new = [(start, len(words[n]), term) for start, n in automaton.matches(one_case(text)) for term in spelt[words[n]]]
+                held.add(_RESOLVE[mode]([(x["start"], x["size"], x["term"]) for x in known] + new if known else new))
+                if len(held.starts) >= HELD:  # a batch of long texts has more matches than a worker should hold at once
+                    yield _joined(batch.slice(first, k + 1 - first), held, names)
+                    first, held = k + 1, _Held()
+            if first < batch.num_rows:
+                yield _joined(batch.slice(first), held, names)
 
     return run
+
+
+class _Held:
+    """Matches of some rows, a list for each of their parts."""
+
+    def __init__(self):
+        self.offsets: list[int] = [0]
+        self.starts: list[int] = []
+        self.sizes: list[int] = []
+        self.terms: list[str] = []
+
+    def add(self, found: list[tuple[int, int, str]]) -> None:
+        for start, size, term in found:
+            self.starts.append(start)
+            self.sizes.append(size)
+            self.terms.append(term)
+        self.offsets.append(len(self.starts))
+
+
+def _joined(rows: pa.RecordBatch, held: _Held, names: list[str]) -> pa.RecordBatch:
+    parts = [pa.array(held.starts, pa.int32()), pa.array(held.sizes, pa.int32()), pa.array(held.terms, pa.string())]
+    found = pa.ListArray.from_arrays(pa.array(held.offsets, pa.int32()), pa.StructArray.from_arrays(parts, ["start", "size", "term"]))
+    return pa.RecordBatch.from_arrays([*rows.columns[:-1], found], names)

@@ -89,6 +89,24 @@ def test_term_matches(spark, mode):
         dictionary.term_matches(texts, spark.range(40).selectExpr("cast(id as string) as term"), block=1)
 
 
+@pytest.mark.parametrize("mode", dictionary.MODES)
+def test_a_worker_holds_few_matches_at_once(monkeypatch, mode):
+    """A batch with many matches comes out in pieces, rows in order and whole, whatever their number."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(dictionary, "HELD", 100)
+    texts = ["ab" * (k % 7 * 20) for k in range(200)] + [None, "", "x"]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("term", pa.string())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([[]] * len(texts), kind)], ["doc_id", "text", "_found"])
+    pieces = list(dictionary._search([("ab", "ab"), ("b", "B")], 1, batch.schema.names, mode)(iter([batch])))
+    rows = [r for p in pieces for r in p.to_pylist()]
+    automaton = dictionary.Automaton(["ab", "b"])
+    want = [dictionary.resolved([(s, (2, 1)[n], ("ab", "B")[n]) for s, n in automaton.matches(t or "")], mode) for t in texts]
+    assert [[(x["start"], x["size"], x["term"]) for x in r["_found"]] for r in rows] == want
+    assert [r["doc_id"] for r in rows] == list(range(len(texts))) and [r["text"] for r in rows] == texts
+    assert len(pieces) > 50 and max(sum(map(len, p.column(2).to_pylist())) for p in pieces) < 100 + 240
+
+
 def F_col(name):
     from pyspark.sql import functions as F
 
