@@ -182,3 +182,59 @@ def test_constraints_take_one_scan_and_one_shuffle(spark, tmp_path):
     full = dataset.violations(spark.read.parquet(str(tmp_path / "r")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and full.count("Exchange hashpartitioning") == 1
     assert [tuple(r) for r in dataset.violations(spark.createDataFrame([], dataset.RECORD)).collect()] == [("no sections", "0")]
+
+
+def test_similar_texts_by_any_route(spark, monkeypatch):
+    """Crowded cells go by grams, the others by counts: the same pairs, also where both are mixed; a worker passes grams on in pieces."""
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefghij klmnop") for _ in range(n)) for n in (40, 200, 205, 210, 900)]
+    near = lambda t, n: "".join(rng.choice("xyz") if k in at else c for at in [set(rng.sample(range(len(t)), n))] for k, c in enumerate(t))
+    sides = [[(k % 2, k, near(t, rng.randrange(len(t) // 50 + 1))) for k, t in enumerate(base * 6)] for _ in range(2)]
+    a, b = (spark.createDataFrame(x, "article int, section_index int, text string") for x in sides)
+    texts = [dataset._counted(df).select("article", "id", "key", "size", "bins").dropDuplicates(["article", "id"]) for df in (a, b)]
+    found = [sorted(map(tuple, dataset.similar_texts(*texts, 0.95, crowd=c).collect())) for c in (10_000, 3, 0)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 30
+    monkeypatch.setattr(dataset, "HELD", 50)
+    assert sorted(map(tuple, dataset.similar_texts(*texts, 0.95, crowd=0).collect())) == found[0]
+
+
+def test_sections_of_small_cells_make_no_grams(spark, monkeypatch):
+    """Only crowded cells are cut to grams; a row for each character of every published text is what a large table can't hold."""
+    made = []
+    plain = dataset._by_grams
+
+    def counted(a, b, least):
+        made.append(b.count())
+        return plain(a, b, least)
+
+    monkeypatch.setattr(dataset, "_by_grams", counted)
+    kind = "article string, section_index int, text string"
+    a, b = (spark.createDataFrame([("a", k, "".join(random.Random(k % 20).choice("abcdef") for _ in range(100 + k % 20)) + tail) for k in range(40)], kind) for tail in ("x", "y"))
+    pairs = dataset.similar_sections(a, b, 0.98)
+    assert pairs.count() >= 80 and made == [0]
+
+
+def test_ratio_is_that_of_sequence_matcher(monkeypatch):
+    """Edits, moved and repeated passages, ties, few letters; long near copies in little time."""
+    import time
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    monkeypatch.setattr(article, "_SHORT", 20)
+    for _ in range(400):
+        letters = rng.choice(["ab", "abcdef", "あいうa\U0001f600"])
+        a = "".join(rng.choice(letters) for _ in range(rng.randrange(0, 90)))
+        b = a if rng.random() < 0.5 else "".join(rng.choice(letters) for _ in range(rng.randrange(0, 90)))
+        for _ in range(rng.randrange(6)):
+            k, n = rng.randrange(len(b) + 1), rng.randrange(4)
+            b = b[k:] + b[:k] if n == 3 and rng.random() < 0.3 else b[:k] + "".join(rng.choice(letters) for _ in range(n)) + b[k + rng.randrange(3) :]
+        want = SequenceMatcher(None, a, b, autojunk=False).ratio()
+        assert article.ratio(a, b) == want
+        for least in (0.5, 0.9, 0.98):
+            assert article.ratio(a, b, least) == (want if want >= least else 0.0)
+    monkeypatch.undo()
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(40_000))
+    other = "".join(c if rng.random() > 0.01 else "Z" for c in long)
+    start = time.process_time()
+    assert article.ratio(long, other, 0.98) == 2 * (40_000 - other.count("Z")) / 80_000
+    assert time.process_time() - start < 10
