@@ -2,7 +2,8 @@
 
 1. ``toxicity``: documents that the string-kernel machine predicts toxic go.
 2. ``near_duplicates``: of each group of near duplicates (five-word shingles, similarity of 0.8 or more) the one with the smallest
-   doc_id stays, the first by its columns where several rows have it.
+   doc_id stays, the first by its columns where several rows have it. Pairs come from SimHash fingerprints, by segment counts and their grid; an exact
+   check on the shingles follows, which measures them and finds what differs in more bits.
 3. ``decontamination``: documents that hold an item of ``benchmark``, edits included, go.
 4. ``mixing``: documents come as many times as the mix of sources takes them.
 5. ``token_ids``: documents become ids in the binary format; the result is what the file holds per document.

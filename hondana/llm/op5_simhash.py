@@ -182,19 +182,20 @@ def _words_key(text: str | None) -> int:
     return xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), SEED)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the sequence of words), words (how many) of every row."""
+def keyed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, key (of the sequence of words), words (how many), fp (the fingerprint's bits) of every row."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, fps = [], [], []
             for x in batch.column(1):
                 text = x.as_py()
                 keys.append(_signed(_words_key(text)))
                 sizes.append(len((text or "").split()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "key", "words"])
+                fps.append(_signed(fingerprint(text, shingle)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (keys, sizes, fps)]], ["doc_id", "key", "words", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measured, "doc_id long, key long, words long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measured, "doc_id long, key long, words long, fp long")
 
 
 def shared_shingles(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
@@ -265,9 +266,21 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a", "x", "xs"), "a").join(side("b", "y", "ys"), "b").where(both >= least * (F.col("x") + F.col("y") - both) - 1e-9).select("a", "b")
 
 
-def similar_pairs(docs: DataFrame, words: int, shingle: int, least: float) -> DataFrame:
-    """node, root: components of all pairs of texts of similarity ``least`` or more, by key, for the texts that have one; ``words``: of all texts.
+def hash_links(texts: DataFrame) -> DataFrame:
+    """a, b: texts (key, fp) whose fingerprints differ in ``MOST_BITS`` bits at most, by the operator's grid (:func:`links`): every text with the least key of its fingerprint, and those of linked fingerprints."""
+    values = scratch.write(texts.groupBy("fp").agg(F.min("key").alias("first")), "values")
+    same = texts.join(values, "fp").where("key != first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    ends = lambda s: values.select(F.col("fp").alias(f"fp_{s}"), F.col("first").alias(f"key_{s}"))
+    near = links(values.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    near = near.join(ends("a"), "fp_a").join(ends("b"), "fp_b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    return same.unionByName(near)
 
+
+def similar_pairs(docs: DataFrame, texts: DataFrame, words: int, shingle: int, least: float) -> DataFrame:
+    """node, root: components of all pairs of texts of similarity ``least`` or more, by key, for the texts that have one; ``texts``: key and fp of each, ``words``: of all.
+
+    Pairs come first from the fingerprints, see :func:`hash_links`. Two texts that alike mostly differ in more bits than any grid can search, so an exact check follows, which reads the shingles themselves:
+    it measures those pairs and finds what they leave apart.
     Prefix filter: shingles in order of the number of texts that hold them; of two similar texts of size m, each must share one of its first
     m - ceil(least * m) + 1 with the other, and shingles of one text only never do. So texts are candidates that share such a shingle and whose sizes allow it.
     Each is first compared with the ends of every group that shares one; then all pairs of a group that those links leave in different components are.
@@ -286,7 +299,9 @@ def similar_pairs(docs: DataFrame, words: int, shingle: int, least: float) -> Da
     end = F.struct("key", "size")
     ends = index.groupBy("token").agg(F.array(F.min(end), F.max(end)).alias("ends")).where("ends[0] != ends[1]")
     stars = index.join(ends, "token").select(F.col("key").alias("a"), F.col("size").alias("x"), F.explode("ends").alias("e")).select("a", "x", F.col("e.key").alias("b"), F.col("e.size").alias("y"))
-    edges = scratch.write(verified(once(stars), sets, least), "links")
+    size = lambda s, name: sets.select(F.col("key").alias(s), F.col("size").alias(name))
+    hashed = hash_links(texts).join(size("a", "x"), "a").join(size("b", "y"), "b")
+    edges = scratch.write(verified(once(hashed.select("a", "x", "b", "y").unionByName(stars)), sets, least), "links")
     rooted = index.join(components(edges), F.col("key") == F.col("node"), "left").select("key", "size", "token", F.coalesce("root", "key").alias("root"))
     rooted = scratch.write(rooted, "rooted")
     # In a group of several components, every text outside the commonest one meets such texts of others as sizes and bits allow.
@@ -341,9 +356,9 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
 
     Groups are the components of all pairs with a Jaccard similarity of shingles of at least ``least``, found and measured exactly.
     """
-    all_rows = scratch.write(keyed(docs), "keyed")
-    texts = scratch.write(all_rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")), "texts")
-    roots = similar_pairs(docs, texts.agg(F.sum("words")).first()[0] or 0, shingle, least)
+    all_rows = scratch.write(keyed(docs, shingle), "keyed")
+    texts = scratch.write(all_rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"), F.first("fp").alias("fp")), "texts")
+    roots = similar_pairs(docs, texts.select("key", "fp"), texts.agg(F.sum("words")).first()[0] or 0, shingle, least)
     rooted = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("m"))
     named = rooted.join(best, "root").select("key", F.col("m.least").alias("doc_id"), F.col("m.key").alias("chosen"))

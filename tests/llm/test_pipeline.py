@@ -113,6 +113,27 @@ def test_near_duplicates_are_all_found(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()} == want and len(texts) - len(want) > 300
 
 
+def test_near_duplicates_come_from_fingerprints(spark, monkeypatch):
+    """The stage takes its first pairs from SimHash by segment counts: those within two bits, compared with all pairs; the exact check measures them."""
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(400)) for _ in range(12)]
+    texts = base + [f"{t} w{k}" for k, t in enumerate(base)] + [t.replace(" ", "  ") for t in base]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    seen, plain = [], op5_simhash.hash_links
+
+    def told(given):
+        seen.append((sorted(map(tuple, given.collect())), plain(given)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(op5_simhash, "hash_links", told)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()} == set(range(12))
+    (given, found), = seen
+    assert [dict(given)[k] for k in sorted(dict(given))] == [fp for _, fp in given] and {fp for _, fp in given} == {op5_simhash._signed(op5_simhash.fingerprint(t, corpus_pipeline.SHINGLE)) for t in texts}
+    edges = {frozenset((r.a, r.b)) for r in found.collect()}
+    near = {frozenset((a, b)) for a, x in given for b, y in given if a < b and ((x ^ y) & (1 << 64) - 1).bit_count() <= 2}
+    assert edges == near and len(near) >= 3
+
+
 def test_scratch_folders(spark, tmp_path):
     """The session's checkpoint folder comes first; owners' tables go alone."""
     with scratch.owner("a"):
