@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,7 @@ class Pieces(dict):
     """Piece of text -> its ids as little-endian uint16 bytes, asked from the library once."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
@@ -67,11 +68,21 @@ class Pieces(dict):
         #: Tokens that the library takes out before its pattern splits the text; those that hold white space cut across chunks.
         self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         self.across = any(_CHUNKS.fullmatch(x) is None for x in added)
+        #: How the tokenizer spells letters for its model, byte by byte, and the model's own call, where it gives the ids of each plain character.
+        spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {k: spelt(chr(k))[0][0] for k in range(0xC0, 0x100)}
+        plain = [chr(k) for k in (*range(0x21, 0x7F), *range(0xC0, 0x100)) if chr(k).lower() == chr(k)]
+        self.model = self.tokenizer.model.tokenize
+        self.alone = all([t.id for t in self.model(x.translate(self.spelling))] == self.tokenizer.encode(x, add_special_tokens=False).ids for x in plain)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u2").tobytes()
+        if self.alone and _PIECES.fullmatch(piece) and _SAFE.fullmatch(piece):  # the library's pattern leaves it whole: only its model is asked
+            ids = [t.id for t in self.model(piece if piece.isascii() else piece.translate(self.spelling))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        ids = pack(f"<{len(ids)}H", *ids)
         if len(piece) <= 64:
             self[piece] = ids
         return ids

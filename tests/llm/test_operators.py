@@ -57,6 +57,27 @@ def test_rans_pieces_are_the_library_s():
         assert np.frombuffer(pieces.ids(text), "<u2").tolist() == pieces.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_rans_plain_pieces_ask_only_the_model():
+    """Pieces that the library's pattern leaves whole cost one call of its model, and give its ids."""
+    import public_tokenizers
+
+    pieces, rng = op1_rans.Pieces(public_tokenizers.path("word_bpe_49k.json")), random.Random(17)
+    library, asked = pieces.tokenizer, []
+
+    class Counted:
+        def encode(self, text, **how):
+            asked.append(text)
+            return library.encode(text, **how)
+
+    pieces.tokenizer = Counted()
+    letters = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(2000)] + ["×÷", "!?", "'", "7", "~|"]
+    for word in words:
+        assert np.frombuffer(pieces.ids(word), "<u2").tolist() == library.encode(word, add_special_tokens=False).ids, word
+    assert asked == []
+    assert np.frombuffer(pieces.ids("漢字"), "<u2").tolist() == library.encode("漢字", add_special_tokens=False).ids and asked == ["漢字"]
+
+
 def test_rans_small_blocks_and_damage(spark, tmp_path):
     import public_tokenizers
 
