@@ -307,3 +307,15 @@ def test_urls_of_pages_are_those_of_a_plain_scanner():
 @given(st.lists(st.sampled_from(["http://", "HTTPS://", "www.", "a", "(", ")", "[", "]", "{", "}", ".", "?", " ", "。", "<", "'", "・"]), max_size=14).map("".join))
 def test_urls_are_those_of_a_plain_scanner(text):
     assert m.url_ranges(text) == brute_urls(text)
+
+
+def test_links_tags_and_urls_cost_few_calls():
+    """Calls of a parse by line: paragraphs, links, tags and URLs take no call for each of their words and characters."""
+    import cProfile
+    import pstats
+
+    words = "aa bb cc dd ee ff gg hh ii jj kk ll " * 4
+    text = "\n\n".join(f"{words}[{words}](./x) {words}<b x=\"{words}\">{words}</b> https://x.jp/{'y' * 200} {words}" for _ in range(50))
+    profile = cProfile.Profile()
+    profile.runcall(m.parse, text)
+    assert pstats.Stats(profile).total_calls < 50 * 300
