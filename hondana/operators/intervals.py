@@ -8,7 +8,7 @@ Bins that very many ranges of the left side share are dealt to several tasks by
 ``as_of`` sorts within stretches of ``STRETCH`` places only; what a stretch begins with is carried from the one before by its last start, a row a
 stretch. A document of any length is thus many groups.
 
-Both shuffle rows, never arrays of a document, and read nothing to the driver but which widths occur (eight at most).
+Both shuffle rows, never arrays of a document, and read nothing to the driver but which widths occur and the most ranges of a key.
 
 Edge cases: empty ranges and ranges with a null key, start or end overlap nothing; equal ranges each make their pairs; starts below zero are fine; a place without a start at or before it
 gets nulls; of several rows with one start the last by all its columns counts; empty tables give what the other side leaves.
@@ -58,15 +58,32 @@ def _shift(place: Column, width: Column) -> Column:
 
 def overlapping(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("doc_id",), hot: int = HOT) -> DataFrame:
     """One row (``keys``, left, right: both rows as structs) for every pair with equal keys whose half-open [start, end) overlap."""
-    widths = [sorted(r[0] for r in side.where("start < end").select(_width(F.col("start").cast("long"), F.col("end").cast("long"))).distinct().collect()) for side in (left, right)]
-    a = _bins(left, "left", keys, left.columns, widths[1])
-    b = _bins(right, "right", keys, right.columns, widths[0])
+    (most, first), (_, second) = _kinds(left, right, keys)
+    a = _bins(left, "left", keys, left.columns, second)
+    b = _bins(right, "right", keys, right.columns, first)
     at = [f"_{k}" for k in keys] + ["_w", "_bin"]
+    side = lambda df, s, name: df.select(*at, "_part", F.col("_start").alias(f"{s}_start"), F.col("_end").alias(f"{s}_end"), F.col("_home").alias(f"{s}_home"), name)
+    if most <= hot:  # a bin holds no more ranges than its key
+        part = F.lit(0).alias("_part")
+        return _pairs(side(a.select("*", part), "l", "left").join(side(b.select("*", part), "r", "right").drop("_part"), at), keys)
     full = a.groupBy(*at).count().where(F.col("count") > hot).select(*at, F.ceil(F.col("count") / hot).cast("int").alias("_parts"))
     a = a.join(full, at, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("_start", "_end", "left"), F.col("_parts")).cast("int")))
     b = b.join(full, at, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-    side = lambda df, s, name: df.select(*at, "_part", F.col("_start").alias(f"{s}_start"), F.col("_end").alias(f"{s}_end"), F.col("_home").alias(f"{s}_home"), name)
-    met = side(a, "l", "left").join(side(b, "r", "right"), [*at, "_part"])
+    return _pairs(side(a, "l", "left").join(side(b, "r", "right"), [*at, "_part"]), keys)
+
+
+def _kinds(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> list[tuple[int, list[int]]]:
+    """For both sides the most ranges that a key has and which widths occur, in one job; a row a side comes to the driver."""
+    sides = []
+    for k, side in enumerate((left, right)):
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), _width(F.col("start").cast("long"), F.col("end").cast("long")))
+        each = side.where("start < end").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("bits"))
+        sides.append(each.agg(F.lit(k).alias("side"), F.max("n").alias("n"), F.bit_or("bits").alias("bits")))
+    rows = sorted(sides[0].union(sides[1]).collect())
+    return [(r.n or 0, [w for w in WIDTHS if (r.bits or 0) >> w & 1]) for r in rows]
+
+
+def _pairs(met: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     pairs = met.where("(l_home or r_home) and l_start < r_end and r_start < l_end").where(F.col("_bin") == _shift(F.greatest("l_start", "r_start"), F.col("_w")))
     return pairs.select(*[F.col(f"_{k}").alias(k) for k in keys], "left", "right")
 

@@ -155,3 +155,15 @@ def test_sql_functions_give_what_the_library_gives(spark):
     assert rows("SELECT d.doc_id, t.* FROM texts_of_test d, LATERAL term_places(d.text, CAST(NULL AS ARRAY<STRING>), 'all') t") == []
     with pytest.raises(Exception, match="mode must be"):
         spark.sql("SELECT * FROM term_places('a', array('a'), 'odd')").collect()
+
+
+def test_few_ranges_a_key_move_once(spark):
+    """Where no key has more ranges than a full bin, each side is shuffled once, for the join; results are those of dealt bins."""
+    rng = random.Random(5)
+    rows = lambda n: [(rng.randrange(4), a := rng.randrange(3000), a + rng.choice((0, 1, 7, 40, 700))) for _ in range(n)]
+    left, right = (spark.createDataFrame(rows(n), "doc_id long, start long, end long") for n in (300, 200))
+    plain = intervals.overlapping(left, right)
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, intervals.overlapping(left, right, hot=3).collect()))
+    pairs = sorted((x[0], tuple(x), tuple(y)) for x in left.collect() for y in right.collect() if x[0] == y[0] and x[1] < x[2] and y[1] < y[2] and x[1] < y[2] and y[1] < x[2])
+    assert sorted((r.doc_id, tuple(r.left), tuple(r.right)) for r in plain.collect()) == pairs
