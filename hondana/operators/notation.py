@@ -8,18 +8,20 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hondana.functions.dictionary import term_matches
-from hondana.functions.matching import bound, char_at, folded, folded_text, matches, needle, pattern, rule_matches, running_sums
-from hondana.schema import issue
+from hondana.functions.matching import Probe, bound, char_at, folded, folded_text, matches, needle, pattern, rule_matches, running_sums
+from hondana.schema import Family, issue, line_issues
 
 
 @dataclass(frozen=True)
 class Variant:
-    """``body`` is free of look-around; ``before``/``after``: what may not stand beside it, ``later``: what may not follow anywhere in the line."""
+    """``body`` is a literal; ``before``/``after``: what may not stand beside it, ``later``: what may not follow anywhere in the line."""
 
     body: str
     before: str = ""
@@ -28,9 +30,10 @@ class Variant:
 
     @property
     def rx(self) -> str:
-        out = f"(?<!{self.before})" if self.before else ""
+        # What may not stand before is asked for once the body is found, not at every character.
+        behind = f"(?<!{self.before}{self.body})" if self.before else ""
         ahead = "|".join(x for x in (self.after, f".*{self.later}" if self.later else "") if x)
-        return out + self.body + (f"(?!{ahead})" if ahead else "")
+        return self.body + behind + (f"(?!{ahead})" if ahead else "")
 
 
 @dataclass(frozen=True)
@@ -142,7 +145,7 @@ def lines_with_context(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rul
 
     ``around`` is null on lines that hold no term of a rule with a context.
     """
-    terms = [folded_text(v.body) for r in rules if r.context for v in r.variants]
+    terms = sorted({folded_text(v.body) for r in rules if r.context for v in r.variants})
 
     def placed(parts: Column) -> Column:
         fences = F.transform(parts, lambda x: F.regexp_replace(x, "(?U)^\\s+", "").startswith("```").cast("int"))
@@ -150,9 +153,7 @@ def lines_with_context(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rul
         def row(x: Column, k: Column, before: Column) -> Column:
             first = F.greatest(k - 1, F.lit(1))
             near = F.lower(F.array_join(F.slice(parts, first, k + 4 - first), "\n"))
-            held = F.lit(False)
-            for term in terms:
-                held = held | F.contains(folded(x), F.lit(term))
+            held = bound(folded(x), lambda y: reduce(or_, [F.contains(y, F.lit(term)) for term in terms], F.lit(False)))
             return F.struct((k + 1).alias("n"), x.alias("line"), (before[k] % 2 == 1).alias("in_fence"), F.when(held, near).alias("around"))
 
         return bound(running_sums(fences), lambda before: F.transform(parts, lambda x, k: row(x, k, before)))
@@ -171,48 +172,76 @@ def kanji_beside(line: Column, col: Column, matched: Column) -> Column:
     return char_at(line, col - 1).rlike(KANJI) | char_at(line, col + F.length(matched)).rlike(KANJI)
 
 
+def _probes(rules: tuple[Rule, ...], on: str, within: str | None = None) -> tuple[Probe, ...]:
+    """Every variant of ``rules`` in their order."""
+    return tuple(Probe(pattern(v.rx, not rule.case_sensitive), needle(v.body), on, within) for rule in rules for v in rule.variants)
+
+
+def _rule(rules: tuple[Rule, ...], variant: Column) -> Column:
+    """The number of the rule that a variant is of."""
+    return F.element_at(F.array(*[F.lit(r) for r, rule in enumerate(rules) for _ in rule.variants]), variant + 1)
+
+
 def _hits(lines: DataFrame, rules: tuple[Rule, ...], on: str) -> DataFrame:
     """Every match of every variant, with rule and variant numbers."""
-    variants = [(r, pattern(v.rx, not rule.case_sensitive), needle(v.body)) for r, rule in enumerate(rules) for v in rule.variants]
-    rule_of = F.element_at(F.array(*[F.lit(r) for r, *_ in variants]), F.col("variant") + 1)
-    return rule_matches(lines, [rx for _, rx, _ in variants], on, [x for *_, x in variants]).withColumn("rule", rule_of)
+    return rule_matches(lines, list(_probes(rules, on))).withColumn("rule", _rule(rules, F.col("variant")))
 
 
 def _of(rules: tuple[Rule, ...], value) -> Column:
     return F.element_at(F.array(*[F.lit(value(r)) for r in rules]), F.col("rule") + 1)
 
 
+def legacy_family(rules: tuple[Rule, ...] = RULES) -> Family:
+    """The publishing profile's rules in lines with ``in_fence`` and, for rules with a context, ``around``."""
+
+    def made(k: Column) -> dict[str, Column]:
+        rule = _rule(rules, k)
+        kept = ~in_inline_code(F.col("line"), F.col("col"))
+        for r in (r for r, given in enumerate(rules) if given.context):
+            kept = kept & ((rule != r) | reduce(or_, [F.contains(F.col("around"), F.lit(word)) for word in rules[r].context]))
+        return _made(rules, k, kept)
+
+    return Family("notation", "notation", _probes(rules, "line", "_outside"), made)
+
+
+def outside_fences(lines: DataFrame) -> DataFrame:
+    """``lines`` (with in_fence) as the family of the publishing profile asks for them."""
+    return lines.withColumn("_outside", ~F.col("in_fence"))
+
+
 def check_notation_legacy(lines: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Issues of the publishing profile. Every variant that matches gives an issue, so one place may give several."""
-    context = [k for k, r in enumerate(rules) if r.context]
     known = lines if "in_fence" in lines.columns else with_fence_parity(lines)
-    if context and "around" not in lines.columns:
+    if any(r.context for r in rules) and "around" not in lines.columns:
         known = with_context(known)
-    hits = _hits(known.where("not in_fence"), rules, "line")
-    hits = hits.where(~in_inline_code(F.col("line"), F.col("col")) & (F.col("matched") != _of(rules, lambda r: r.preferred)))
-    for k in context:
-        seen = F.lit(False)
-        for word in rules[k].context:
-            seen = seen | F.contains(F.col("around"), F.lit(word))
-        hits = hits.where((F.col("rule") != k) | seen)
-    return _issues(hits, rules)
+    return line_issues(outside_fences(known), [legacy_family(rules)])
+
+
+def _made(rules: tuple[Rule, ...], variant: Column, kept: Column) -> dict[str, Column]:
+    rule = _rule(rules, variant)
+    of = lambda value: F.element_at(F.array(*[F.lit(value(r)) for r in rules]), rule + 1)
+    preferred = of(lambda r: r.preferred)
+    message = F.concat(F.lit("「"), F.col("matched"), F.lit("」→「"), preferred, F.lit("」に統一を推奨。"), of(lambda r: r.note))
+    for k, given in enumerate(rules):
+        if given.review:
+            message = F.when(rule == k, review_message(given, F.col("matched"))).otherwise(message)
+    return {"rule": of(lambda r: r.rule_name), "message": message, "suggestion": preferred, "review": of(lambda r: r.review), "seq": variant * 1_000_000 + F.col("n"), "kept": kept & (F.col("matched") != preferred)}
 
 
-def _issues(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    preferred = _of(rules, lambda r: r.preferred)
-    message = F.concat(F.lit("「"), F.col("matched"), F.lit("」→「"), preferred, F.lit("」に統一を推奨。"), _of(rules, lambda r: r.note))
-    for k, rule in enumerate(rules):
-        if rule.review:
-            message = F.when(F.col("rule") == k, review_message(rule, F.col("matched"))).otherwise(message)
-    return issue(hits, "notation", _of(rules, lambda r: r.rule_name), message, preferred, _of(rules, lambda r: r.review), seq=F.col("variant") * 1_000_000 + F.col("n"))
+def blog_family(rules: tuple[Rule, ...] | None = None) -> Family:
+    """Terms of the blog profile in masked lines."""
+    rules = rules_of("blog") if rules is None else rules
+
+    def made(k: Column) -> dict[str, Column]:
+        alone = F.element_at(F.array(*[F.lit(r.no_kanji_beside) for r in rules]), _rule(rules, k) + 1)
+        return _made(rules, k, ~(alone & kanji_beside(F.col("line"), F.col("col"), F.col("matched"))))
+
+    return Family("notation", "notation", _probes(rules, "masked"), made)
 
 
 def check_notation_blog(lines: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """Term issues of the blog profile in ``lines`` (doc_id, n, line, masked)."""
-    rules = rules_of("blog") if rules is None else rules
-    hits = _hits(lines, rules, "masked")
-    hits = hits.where((F.col("matched") != _of(rules, lambda r: r.preferred)) & ~(_of(rules, lambda r: r.no_kanji_beside) & kanji_beside(F.col("line"), F.col("col"), F.col("matched"))))
-    return _issues(hits, rules)
+    return line_issues(lines, [blog_family(rules)])
 
 
 def dictionary_table(spark: SparkSession, dictionary: dict[str, str] | None = None) -> DataFrame:

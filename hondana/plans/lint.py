@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hondana.functions.markdown import parsed
 from hondana.functions.matching import find_all, pattern, strip
 from hondana.operators import external, frontmatter, intervals, notation, secrets, structure, style
-from hondana.schema import CATEGORIES, CHECKS, ISSUE_COLUMNS
+from hondana.schema import CATEGORIES, CHECKS, ISSUE_COLUMNS, line_issues
 from hondana.sources.documents import lines as split_lines
 
 PROFILES: dict[str, tuple[str, ...]] = {
@@ -104,10 +104,14 @@ def lint(
     wanted = checks_of(profile) if checks is None else checks
     extra = tuple(c for c in ("file",) if c in docs.columns)
     parts: list[tuple[str, DataFrame]] = []
-    raw = split_lines(docs.select("doc_id", *extra, "text"), ("doc_id", *extra))
-    if "secrets" in wanted:
-        parts.append(("secrets", secrets.check_secrets(raw)))
+    out = None
     blog = profile == "blog"
+    if "notation" in wanted and not blog:
+        # Secrets are found on the same lines, in the same pass.
+        known = notation.outside_fences(notation.lines_with_context(docs, ("doc_id", *extra)))
+        out = line_issues(known, [secrets.family()] * ("secrets" in wanted) + [notation.legacy_family()], True)
+    elif "secrets" in wanted:
+        parts.append(("secrets", secrets.check_secrets(split_lines(docs.select("doc_id", *extra, "text"), ("doc_id", *extra)))))
     if blog and {"notation", "blog_style", "blog_structure"} & set(wanted):
         tree = _keep(parsed(docs, ("doc_id", *extra)))
         lines = tree.select("doc_id", *extra, F.explode("lines").alias("l")).select("doc_id", *extra, "l.*")
@@ -118,8 +122,6 @@ def lint(
         if isinstance(dictionary, DataFrame):
             fixed = sum(len(r.variants) for r in notation.rules_of("blog"))
             parts.append(("notation", notation.check_translations(lines, dictionary, fixed)))
-    elif "notation" in wanted:
-        parts.append(("notation", notation.check_notation_legacy(notation.lines_with_context(docs, ("doc_id", *extra)))))
     if "ai_writing" in wanted:
         parts.append(("ai_writing", external.check_ai_writing(docs, (linters or {}).get(profile))))
     if "blog_style" in wanted:
@@ -130,7 +132,6 @@ def lint(
         if vocabulary is None or "path" not in docs.columns:
             raise ValueError("vault プロファイルには path とタグ語彙が必要です")
         parts.append(("frontmatter", frontmatter.check_frontmatter(docs, vocabulary)))
-    out = None
     for check, df in parts:
         numbered = df.withColumn("seq", F.lit(CHECKS.index(check) * 1_000_000_000_000).cast("long") + F.col("seq")).select(*ISSUE_COLUMNS)
         out = numbered if out is None else out.unionByName(numbered)
