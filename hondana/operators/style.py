@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hondana.functions.matching import bound, char_at, find_all, matches, pattern
+from hondana.functions.matching import Probe, bound, char_at, find_all, pattern, running_sums
 from hondana.operators.notation import KANJI
-from hondana.schema import issue
+from hondana.schema import Family, issue, line_issues
 
 #: Expressions better written in kana, and their kana.
 OPEN_KANJI = {
@@ -63,7 +65,7 @@ def check_open_kanji(lines: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("taken"))
     chosen = F.aggregate(candidates, start, lambda a, m: F.when(m["col"] >= a["end"], F.struct((m["col"] - m["size"]).alias("end"), F.concat(a["taken"], F.array(m)).alias("taken"))).otherwise(a))["taken"]
     extra = [c for c in ("file",) if c in lines.columns]
-    hits = lines.where(F.col("masked").rlike("出来|事ができる|の為")).select("doc_id", "n", *extra, F.explode(chosen).alias("at")).select("doc_id", "n", *extra, "at.*")
+    hits = lines.where(reduce(or_, [F.contains("masked", F.lit(x)) for x in ("出来", "事ができる", "の為")])).select("doc_id", "n", *extra, F.explode(chosen).alias("at")).select("doc_id", "n", *extra, "at.*")
     kana = F.element_at(F.create_map(*[F.lit(x) for pair in OPEN_KANJI.items() for x in pair]), F.col("matched"))
     message = F.concat(F.lit("「"), F.col("matched"), F.lit("」は「"), kana, F.lit("」と開くことを推奨します。"))
     return issue(hits, "style", "open-kanji", message, kana, seq=F.col("n"))
@@ -71,7 +73,14 @@ def check_open_kanji(lines: DataFrame) -> DataFrame:
 
 def sentences(lines: DataFrame, on: str = "line", keep: tuple[str, ...] = ("doc_id", "n")) -> DataFrame:
     """Terminated sentences of each line with their columns; an unterminated tail is no sentence."""
-    return matches(lines, pattern(SENTENCE), on, keep).withColumnRenamed("matched", "sentence")
+    # Without a mark the pattern reads a line twice to find nothing. Sentences follow each other, so their lengths are their places.
+    marked = lines.where(reduce(or_, [F.contains(F.col(on), F.lit(m)) for m in MARKS]))
+
+    def placed(found: Column) -> Column:
+        return bound(running_sums(F.transform(found, F.length)), lambda before: F.transform(found, lambda x, k: F.struct((before[k] + 1).alias("col"), x.alias("sentence"))))
+
+    at = F.posexplode(bound(F.regexp_extract_all(F.col(on), F.lit(pattern(SENTENCE)), F.lit(0)), placed)).alias("k", "at")
+    return marked.select(*keep, at).select(*keep, "k", "at.*")
 
 
 def plain_stem(sentence: Column, size: Column) -> Column:
@@ -104,47 +113,65 @@ def _longest(body: Column, endings: tuple[str, ...]) -> Column:
 
 def endings(found: DataFrame) -> DataFrame:
     """Sentences with ``style`` (polite or plain), ``matched`` and ``at`` (0-based place of the ending in the sentence); others go."""
-    rows = found.withColumn("_body", F.rtrim("sentence", F.lit(MARKS)))
-    rows = rows.withColumn("_polite", _longest(F.col("_body"), POLITE_ENDINGS)).withColumn("_plain", _longest(F.col("_body"), PLAIN_ENDINGS)).where("_polite is not null or _plain is not null")
-    stem = plain_stem(F.col("sentence"), F.length("sentence") - F.length("_body") + F.length("_plain"))
-    rows = rows.withColumn("style", F.when(F.col("_polite").isNotNull(), F.lit("polite")).when(is_plain(F.col("_plain"), stem), F.lit("plain"))).where("style is not null")
-    rows = rows.withColumn("at", F.length("_body") - F.length(F.coalesce("_polite", "_plain")))
-    return rows.withColumn("matched", F.substr("sentence", F.col("at") + 1)).drop("_body", "_polite", "_plain")
+    sentence = F.col("sentence")
+
+    def told(body: Column, ends: Column) -> Column:
+        stem = plain_stem(sentence, F.length(sentence) - F.length(body) + F.length(ends["plain"]))
+        style = F.when(ends["polite"].isNotNull(), F.lit("polite")).when(ends["plain"].isNotNull() & is_plain(ends["plain"], stem), F.lit("plain"))
+        at = F.length(body) - F.length(F.coalesce(ends["polite"], ends["plain"]))
+        return F.struct(style.alias("style"), at.alias("at"), F.substr(sentence, at + 1).alias("matched"))
+
+    def ended(body: Column) -> Column:
+        ends = F.struct(_longest(body, POLITE_ENDINGS).alias("polite"), _longest(body, PLAIN_ENDINGS).alias("plain"))
+        return bound(ends, lambda e: F.when(e["polite"].isNotNull() | e["plain"].isNotNull(), told(body, e)))
+
+    # Of a generator's row nothing is computed twice, whatever is asked of it.
+    rows = found.withColumn("_told", F.explode(F.filter(F.array(bound(F.rtrim("sentence", F.lit(MARKS)), ended)), lambda x: x["style"].isNotNull())))
+    return rows.select("*", "_told.*").drop("_told")
 
 
 def check_style_mixing(found: DataFrame) -> DataFrame:
     """Issues from endings (doc_id, n, col, style, matched): the fewer kind of a document, or all on a tie."""
-    # Counts per document first (partial sums), then a join: no document's endings are gathered in one window.
-    counts = found.groupBy("doc_id").agg(F.count(F.when(F.col("style") == "polite", 1)).alias("polite"), F.count(F.when(F.col("style") == "plain", 1)).alias("plain")).where("polite > 0 and plain > 0")
-    mixed = found.join(counts, "doc_id").where("polite = plain or style = if(polite > plain, 'plain', 'polite')")
+    # Endings are found once and move once, as narrow rows; a window without an order takes a document's from disk where memory is short.
+    extra = [c for c in ("file",) if c in found.columns]
+    rows = found.select("doc_id", *extra, "n", "col", "style", "matched")
+    of = Window.partitionBy("doc_id")
+    counted = rows.withColumns({kind: F.count(F.when(F.col("style") == kind, 1)).over(of) for kind in ("polite", "plain")})
+    mixed = counted.where("polite > 0 and plain > 0 and (polite = plain or style = if(polite > plain, 'plain', 'polite'))")
     tie = F.col("polite") == F.col("plain")
     wish = F.when(tie, "敬体か常体のどちらか").when(F.col("polite") > F.col("plain"), "敬体（です・ます調）").otherwise("常体（だ・である調）")
     message = F.when(tie, "敬体と常体が混在しています。文体をどちらかに統一してください。").otherwise(F.concat(F.lit("記事の多数派に合わせ、"), wish, F.lit("に統一してください。")))
     return issue(mixed, "style", "style-mixing", message, wish, seq=F.lit(100_000_000) + F.col("n"))
 
 
+def comma_family() -> Family:
+    """A comma after a closing bracket that joins another sentence, in masked lines."""
+
+    def made(k: Column) -> dict[str, Column]:
+        word = F.regexp_extract("matched", "(そのため|したがって|しかし|ただし|これ|それ|なお|また)$", 1)
+        rest = F.substr("masked", F.col("col") + F.length("matched"))
+        following = F.substr(rest, F.lit(1), F.lit(1))
+        this = word.isin("これ", "それ")
+        noun = this & (following != "") & ~following.rlike("(?U)\\s|[をがはにでとへも、。！？!?]")
+        listed = this & ~following.isin("は", "も") & F.regexp_extract(rest, "^[^。！？!?\\n]*", 0).rlike(pattern(BRACKETED))
+        # An empty following is a substring of any text, so it doesn't count as another character than は or も.
+        listed = listed & (following != "")
+        suffix = F.concat(word, rest)
+        other = F.lit(False)
+        for start in NOT_CONNECTORS:
+            other = other | suffix.startswith(start)
+        there = F.substr("line", "col", F.length("matched"))
+        place = F.locate("、", there)
+        suggestion = F.concat(F.substr(there, F.lit(1), place - 1), F.lit("。"), F.substr(there, place + 1))
+        kept = ~(((word == "また") & (following == "は")) | noun | listed | other)
+        return {"rule": F.lit("comma-sentence-join"), "message": F.lit("閉じ括弧後の読点で別の文をつないでいます。"), "suggestion": suggestion, "matched": there, "kept": kept, "seq": F.lit(200_000_000) + F.col("n")}
+
+    return Family("blog_style", "style", (Probe(pattern(JOIN), ("、",), "masked"),), made)
+
+
 def check_comma_join(lines: DataFrame) -> DataFrame:
     """A comma after a closing bracket that joins another sentence."""
-    extra = tuple(c for c in ("file",) if c in lines.columns)
-    hits = matches(lines, pattern(JOIN), "masked", ("doc_id", "n", "line", "masked", *extra))
-    word = F.regexp_extract("matched", "(そのため|したがって|しかし|ただし|これ|それ|なお|また)$", 1)
-    end = F.col("col") + F.length("matched")
-    rest = F.substr("masked", end)
-    following = F.substr(rest, F.lit(1), F.lit(1))
-    this = word.isin("これ", "それ")
-    noun = this & (following != "") & ~following.rlike("(?U)\\s|[をがはにでとへも、。！？!?]")
-    listed = this & ~following.isin("は", "も") & F.regexp_extract(rest, "^[^。！？!?\\n]*", 0).rlike(pattern(BRACKETED))
-    # An empty following is a substring of any text, so it doesn't count as another character than は or も.
-    listed = listed & (following != "")
-    suffix = F.concat(word, rest)
-    other = F.lit(False)
-    for start in NOT_CONNECTORS:
-        other = other | suffix.startswith(start)
-    hits = hits.where(~(((word == "また") & (following == "は")) | noun | listed | other))
-    hits = hits.withColumn("matched", F.substr("line", "col", F.length("matched")))
-    place = F.locate("、", F.col("matched"))
-    suggestion = F.concat(F.substr("matched", F.lit(1), place - 1), F.lit("。"), F.substr("matched", place + 1))
-    return issue(hits, "style", "comma-sentence-join", "閉じ括弧後の読点で別の文をつないでいます。", suggestion, seq=F.lit(200_000_000) + F.col("n"))
+    return line_issues(lines, [comma_family()])
 
 
 def check_opening_mazu(lines: DataFrame) -> DataFrame:
