@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hondana.functions.dictionary import term_matches
-from hondana.functions.matching import Probe, bound, char_at, folded, folded_text, matches, needle, pattern, rule_matches, running_sums
+from hondana.functions.matching import Probe, bound, char_at, folded, folded_text, needle, pattern, rule_matches, running_sums
 from hondana.schema import Family, issue, line_issues
 
 
@@ -107,6 +107,10 @@ SLASH = f"(?<![A-Za-z0-9{JAPANESE}/]){_SLASH_TERM}(?:/{_SLASH_TERM})+(?=\\s|[。
 BOUNDARY = f"(?<=[A-Za-z0-9])(?=[{JAPANESE}])|(?<=[{JAPANESE}])(?=[A-Za-z0-9])"
 
 
+#: Matches where :data:`BOUNDARY` does, and looks around at no place.
+MEETING = f"[A-Za-z0-9][{JAPANESE}]|[{JAPANESE}][A-Za-z0-9]"
+
+
 def translation_rules(dictionary: dict[str, str] | None = None) -> tuple[Rule, ...]:
     """Review rules of a dictionary, read when called: what :func:`check_translations` finds, told one by one."""
     given = UNOFFICIAL_TRANSLATIONS if dictionary is None else dictionary
@@ -263,19 +267,33 @@ def check_translations(lines: DataFrame, dictionary: DataFrame, first: int = 0)
     return issue(hits, "notation", "unofficial-translation", message, None, True, seq=(F.lit(first) + F.col("place")) * 1_000_000 + F.col("n"))
 
 
+def slash_family() -> Family:
+    """Slashes between terms in masked lines, for review."""
+
+    def made(k: Column) -> dict[str, Column]:
+        there = F.substr("line", "col", F.length("matched"))
+        message = F.concat(F.lit("「"), there, F.lit("」のスラッシュが並列、固有表記、パスのどれに当たるかは文脈で決まります。表記を確認してください。"))
+        return {"rule": F.lit("slash-coordination"), "message": message, "review": F.lit(True), "matched": there, "seq": F.lit(900_000_000_000) + F.col("n")}
+
+    return Family("notation", "notation", (Probe(pattern(SLASH), ("/",), "masked"),), made)
+
+
 def check_slash(lines: DataFrame) -> DataFrame:
     """Slashes between terms, for review."""
-    extra = tuple(c for c in ("file",) if c in lines.columns)
-    hits = matches(lines, pattern(SLASH), "masked", ("doc_id", "n", "line", *extra))
-    hits = hits.withColumn("matched", F.substr("line", "col", F.length("matched")))
-    message = F.concat(F.lit("「"), F.col("matched"), F.lit("」のスラッシュが並列、固有表記、パスのどれに当たるかは文脈で決まります。表記を確認してください。"))
-    return issue(hits, "notation", "slash-coordination", message, None, True, seq=F.lit(900_000_000_000) + F.col("n"))
+    return line_issues(lines, [slash_family()])
+
+
+def spacing_family() -> Family:
+    """Places where letters or digits meet Japanese in masked lines."""
+
+    def made(k: Column) -> dict[str, Column]:
+        a, b = F.substr("line", F.col("col") - 1, F.lit(1)), F.substr("line", "col", F.lit(1))
+        spaced = F.concat(a, F.lit(" "), b)
+        return {"rule": F.lit("alnum-japanese-spacing"), "message": F.lit("英数字と日本語の間に半角スペースを入れてください。"), "suggestion": spaced, "col": F.col("col") - 1, "matched": F.concat(a, b), "seq": F.lit(950_000_000_000) + F.col("n")}
+
+    return Family("notation", "notation", (Probe(pattern(BOUNDARY), (), "masked", test=MEETING),), made)
 
 
 def check_spacing(lines: DataFrame) -> DataFrame:
     """Places where letters or digits meet Japanese; the column is that of the character before the place."""
-    extra = tuple(c for c in ("file",) if c in lines.columns)
-    hits = matches(lines, pattern(BOUNDARY), "masked", ("doc_id", "n", "line", *extra)).withColumn("col", F.col("col") - 1)
-    a, b = F.substr("line", "col", F.lit(1)), F.substr("line", F.col("col") + 1, F.lit(1))
-    hits = hits.withColumn("matched", F.concat(a, b)).withColumn("spaced", F.concat(a, F.lit(" "), b))
-    return issue(hits, "notation", "alnum-japanese-spacing", "英数字と日本語の間に半角スペースを入れてください。", F.col("spaced"), seq=F.lit(950_000_000_000) + F.col("n"))
+    return line_issues(lines, [spacing_family()])

@@ -40,14 +40,14 @@ def with_checks(rows: DataFrame) -> DataFrame:
 
 
 def style_issues(lines: DataFrame, trees: DataFrame) -> list[DataFrame]:
-    """The style checks of parsed documents and their lines."""
+    """The style checks of parsed documents and their lines that are no probes of a line."""
     extra = tuple(c for c in ("file",) if c in lines.columns)
     found = style.sentences(lines.where("not nominal"), "visible", ("doc_id", "n", "columns", *extra))
     ended = style.endings(found)
     # ``at`` counts in the visible line from the sentence's column on; columns map it to the source (null: nothing was left out).
     place = F.col("col") + F.col("at")
     ended = ended.withColumn("col", F.when(F.col("columns").isNull(), place).otherwise(F.try_element_at("columns", place) + 1))
-    return [style.check_open_kanji(lines), style.check_style_mixing(ended), style.check_comma_join(lines), style.check_opening_mazu_of(trees)]
+    return [style.check_open_kanji(lines), style.check_style_mixing(ended), style.check_opening_mazu_of(trees)]
 
 
 #: Turns documents into (doc_id, json and perhaps failure).
@@ -110,13 +110,24 @@ def lint(
         # Secrets are found on the same lines, in the same pass.
         known = notation.outside_fences(notation.lines_with_context(docs, ("doc_id", *extra)))
         out = line_issues(known, [secrets.family()] * ("secrets" in wanted) + [notation.legacy_family()], True)
-    elif "secrets" in wanted:
+    elif "secrets" in wanted and not blog:
         parts.append(("secrets", secrets.check_secrets(split_lines(docs.select("doc_id", *extra, "text"), ("doc_id", *extra)))))
     if blog and {"notation", "blog_style", "blog_structure"} & set(wanted):
-        tree = _keep(parsed(docs, ("doc_id", *extra)))
+        styled, structured = "blog_style" in wanted, "blog_structure" in wanted
+        # What is kept is what the wanted checks read, and no more.
+        fields = ("n", "line", "masked", *["visible", "columns", "nominal", "heading_end"] * styled, *["title"] * structured)
+        tree = _keep(parsed(docs, ("doc_id", *extra), (*["masked"] * (styled or structured), "lines"), fields))
         lines = tree.select("doc_id", *extra, F.explode("lines").alias("l")).select("doc_id", *extra, "l.*")
+        families = [secrets.family()] * ("secrets" in wanted)
+        if "notation" in wanted:
+            families += [notation.blog_family(), notation.slash_family(), notation.spacing_family()]
+        if styled:
+            families.append(style.comma_family())
+        if families:
+            out = line_issues(lines, families, True)
+    elif blog and "secrets" in wanted:
+        parts.append(("secrets", secrets.check_secrets(split_lines(docs.select("doc_id", *extra, "text"), ("doc_id", *extra)))))
     if "notation" in wanted and blog:
-        parts += [("notation", notation.check_notation_blog(lines)), ("notation", notation.check_slash(lines)), ("notation", notation.check_spacing(lines))]
         if dictionary is None and notation.UNOFFICIAL_TRANSLATIONS or isinstance(dictionary, dict) and dictionary:
             dictionary = notation.dictionary_table(docs.sparkSession, dictionary)
         if isinstance(dictionary, DataFrame):
