@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from hondana.functions import article
 from hondana.operators import dataset
 from hondana.plans import catalog
+from hondana.sources.documents import logical_lines
 
 
 @pytest.mark.parametrize(
@@ -238,3 +240,38 @@ def test_ratio_is_that_of_sequence_matcher(monkeypatch):
     start = time.process_time()
     assert article.ratio(long, other, 0.98) == 2 * (40_000 - other.count("Z")) / 80_000
     assert time.process_time() - start < 10
+
+
+ODD = ("#", "##", "### ", "## ", "  ##", "-", "- ", "1. ", "１) ", "*", "+ ", "\n", "\r\n", "\x1c", "\x1f", "\x85", " ", " ", "\t", "　", "\xa0", "a", "語", "です", "ます。", "。", "！", "?", "、", "\U0001f600", "x y", " ##")
+
+
+def odd_texts(spark, n):
+    rng = random.Random(8)
+    return spark.createDataFrame([(k, "".join(rng.choice(ODD) for _ in range(rng.randrange(30)))) for k in range(n)] + [(n, None), (n + 1, "")], "doc_id int, text string").repartition(4).cache()
+
+
+def visible_by_built_ins(text):
+    """The plain form: every line of a text by regular expressions of the other kind."""
+    lines = F.transform(logical_lines(text), lambda x: F.regexp_replace(F.regexp_replace(x, "(?U)^\\s{0,3}#{1,6}(?:\\s+|$)", ""), "(?U)^\\s*(?:[-+*]|\\d+[.)])\\s+", ""))
+    return F.length(F.regexp_replace(F.array_join(lines, ""), "(?U)\\s+", ""))
+
+
+def test_features_are_those_of_built_ins(spark):
+    """Sentences by a plain pattern, characters by the plain form, of texts with odd white space and marks; a text is read in one pass, not once for each feature."""
+    docs = odd_texts(spark, 1000)
+    bare = F.transform(logical_lines(F.col("text")), lambda x: F.when(x.rlike("(?U)^\\s{0,3}#{1,6}(?:\\s+|$)"), "").otherwise(F.regexp_replace(x, "(?U)^\\s*(?:[-+*]|\\d+[.)])\\s+", "")))
+    said = F.flatten(F.transform(bare, lambda x: F.regexp_extract_all(F.regexp_replace(x, "(?U)^\\s+|\\s+$", ""), F.lit("(?d).+?(?:[。！？!?]+|$)"), F.lit(0))))
+    said = F.filter(F.transform(said, lambda s: F.regexp_replace(s, "(?U)^\\s+|\\s+$", "")), lambda s: s != "")
+    lines = F.filter(logical_lines(F.col("text")), lambda x: x.rlike("(?U)\\S"))
+    total = lambda f: F.aggregate(said, F.lit(0), lambda a, s: a + f(s)).cast("double")
+    rate = lambda x, of: F.when(F.size(of) > 0, x / F.size(of)).otherwise(0.0)
+    many = lambda rx: F.size(F.filter(lines, lambda x: x.rlike(rx))).cast("double")
+    want = docs.select(
+        "doc_id", visible_by_built_ins(F.col("text")).cast("double"), rate(total(visible_by_built_ins), said), rate(total(lambda s: s.endswith("。").cast("int")), said), rate(total(lambda s: F.regexp_count(s, F.lit("、"))), said),
+        rate(many("(?U)^\\s*(?:[-+*]|\\d+[.)])\\s+"), lines), many("(?U)^\\s{0,3}#{1,6}(?:\\s+|$)"), rate(total(lambda s: s.rlike("(?:です|ます)[。！？!?]?$").cast("int")), said),
+    )
+    found = dataset.surface_features(docs)
+    assert found.columns == ["doc_id", *dataset.FEATURES]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    plan = dataset.surface_features(spark.range(1).selectExpr("id AS doc_id", "string(id) AS text"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "lambda" not in plan and "regexp" not in plan
