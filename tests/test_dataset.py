@@ -275,3 +275,34 @@ def test_features_are_those_of_built_ins(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     plan = dataset.surface_features(spark.range(1).selectExpr("id AS doc_id", "string(id) AS text"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "lambda" not in plan and "regexp" not in plan
+
+
+def test_sections_and_characters_of_odd_texts(spark):
+    """Characters of whole texts and of sections are those of the plain form; every second-level heading of a text opens a section."""
+    docs = odd_texts(spark, 1000)
+    assert docs.where(~dataset.visible_chars(F.col("text")).eqNullSafe(visible_by_built_ins(F.col("text")))).count() == 0
+    found = dataset.sections(docs)
+    assert found.where(~F.col("chars").eqNullSafe(visible_by_built_ins(F.col("text"))) | (F.col("text") != F.regexp_replace("text", "(?U)^\\s+|\\s+$", ""))).count() == 0
+    heads = F.size(F.filter(logical_lines(F.col("text")), lambda x: x.rlike("(?U)^\\s{0,3}##(?!#)(?:\\s+|$)")))
+    counts = {r.doc_id: r.n for r in found.where("heading != '（前文）'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    want = {r.doc_id: r.n for r in docs.where("text is not null").select("doc_id", heads.alias("n")).where("n > 0").collect()}
+    assert counts == want and len(want) > 100
+    assert article.sections("##  ##\n## a  ##\n## b## \n##   ") == [("##", "##  ##"), ("a", "## a  ##"), ("b##", "## b##"), ("（無題）", "##")]
+
+
+def test_records_are_made_without_moving_texts(spark, tmp_path):
+    """Sections that bring their article's columns are not joined with it again: only the facts of a record go to its groups."""
+    import duckdb
+
+    rows = [(k, "## a\n" + "text " * 100 + str(k)) for k in range(-4, 40)] + [(50, None), (51, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.QUERIES["validate_records"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(catalog.ORACLE_SQL["validate_records"]).fetchall())
+    info = spark.createDataFrame([("x", "train", "draft", "ai", "c", "p", "t")], "article string, split string, variant string, label string, commit string, source_path string, text string")
+    bare = spark.createDataFrame([("x", "draft", "h", 0, "body", 4)], "article string, variant string, heading string, section_index int, text string, chars int")
+    whole = bare.join(info.drop("text"), ["article", "variant"])
+    assert sorted(map(tuple, dataset.assemble(info, whole).collect()), key=str) == sorted(map(tuple, dataset.assemble(info, bare).collect()), key=str)
