@@ -31,20 +31,25 @@ ARTICLE_FORMS = (
 )
 
 
-def _lettered(spark: SparkSession, sf_dir: str, form) -> DataFrame:
-    """doc_id, parts: ``form`` (c, u, k) of every line of a text in order."""
+def _lettered(spark: SparkSession, sf_dir: str, form, spelt: bool = True) -> DataFrame:
+    """doc_id, parts: ``form`` (c, u, k) of every line of a text in order; u is c if not ``spelt``."""
 
     def one(x: Column, n: Column) -> Column:
-        letters = F.trim(F.regexp_replace(x, "[^A-Za-z]+", " "))
-        c = F.when(letters == "", F.lit("x")).otherwise(letters)
-        return bound(c, lambda y: bound(F.replace(y, F.lit(" "), F.lit("")), lambda u: form(y, u, (F.col("doc_id") + n + 1) % 8)))
+        k = (F.col("doc_id") + n + 1) % 8
+        filled = lambda letters: F.when(letters == "", F.lit("x")).otherwise(letters)
+        made = lambda c: bound(F.replace(c, F.lit(" "), F.lit("")), lambda u: form(c, u, k)) if spelt else form(c, c, k)
+        return bound(F.trim(F.regexp_replace(x, "[^A-Za-z]+", " ")), lambda letters: bound(filled(letters), made))
 
     docs = documents(spark, sf_dir).where("text is not null")
     return docs.select("doc_id", F.transform(F.split("text", "\n", -1), one).alias("parts"))
 
 
 def _chosen(k: Column, values: list[Column]) -> Column:
-    return F.element_at(F.array(*values), (k + 1).cast("int"))
+    """The value of number ``k``; the others are not made."""
+    cases = F.when(k == 0, values[0])
+    for n, value in enumerate(values[1:], 1):
+        cases = cases.when(k == n, value)
+    return cases
 
 
 def known_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +67,7 @@ def article_like_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def form(c: Column, u: Column, k: Column) -> Column:
         return _chosen(k, [F.replace(F.lit(given), F.lit("{c}"), c) for given, _ in ARTICLE_FORMS])
 
-    return _lettered(spark, sf_dir, form).select("doc_id", F.array_join("parts", "\n\n").alias("text"))
+    return _lettered(spark, sf_dir, form, spelt=False).select("doc_id", F.array_join("parts", "\n\n").alias("text"))
 
 
 _LINES = """

@@ -306,3 +306,40 @@ def test_records_are_made_without_moving_texts(spark, tmp_path):
     bare = spark.createDataFrame([("x", "draft", "h", 0, "body", 4)], "article string, variant string, heading string, section_index int, text string, chars int")
     whole = bare.join(info.drop("text"), ["article", "variant"])
     assert sorted(map(tuple, dataset.assemble(info, whole).collect()), key=str) == sorted(map(tuple, dataset.assemble(info, bare).collect()), key=str)
+
+
+def test_extraction_of_long_plain_texts_takes_little_time():
+    """What has no braces, comments, tags or marks is passed over, not read character by character."""
+    import time
+
+    text = "\n\n".join(["plain words and more of them " * 400] * 200)
+    start = time.process_time()
+    assert article.strip_expressions(text) == text and article.extract_article(text).count("\n\n") == 199
+    assert time.process_time() - start < 0.25
+
+
+@pytest.mark.parametrize(
+    "text, bare",
+    [
+        ("a{b}c{d", "ac"), ("a{'}'}b", "ab"), ("a{'\\'}'}b", "ab"), ("a{`x{`}b}c", "ab}c"), ("a{\"x\\", "a"), ("}a{{}b}c", "}ac"), ("", ""),
+    ],
+)
+def test_strip_expressions(text, bare):
+    assert article.strip_expressions(text) == bare
+
+
+def test_strip_comments_that_meet():
+    assert article.strip_comments("a<!-->b-->c{/*<!--*/}d-->e<!--f") == "acd-->e"
+    assert article.strip_components('a<b x="<" y>c</b>d<i q="\\">">e') == "ade"
+
+
+def test_extract_article_of_any_doc_id(spark, tmp_path):
+    """The forms of known texts are told by doc_id, also by one below zero."""
+    import duckdb
+
+    rows = [(k, "one\ntwo words\n3\n\nlast") for k in range(-9, 9)] + [(20, None), (21, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = sorted(map(tuple, catalog.QUERIES["extract_article"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(catalog.ORACLE_SQL["extract_article"]).fetchall())
