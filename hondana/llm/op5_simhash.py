@@ -14,7 +14,7 @@ fingerprints are linked through common neighbours instead: two values differ in
 some value is within one bit of both, so each one joins the groups of its 65 such values, which is exact as well.
 
 Components are found on distinct fingerprints by alternating large-star and small-star steps; lineage is cut
-by tables in the shared folder, and nothing but sums reaches the driver.
+by tables in the shared folder, and nothing but sums reaches the driver: joins are by sort and merge, see :func:`_meet`.
 
 Edge cases: a null text counts as empty; texts without words have fingerprint zero, which links like any
 other; fewer than three words give one shingle of all of them; component_id is the smallest doc_id, null only where all of a
@@ -118,22 +118,27 @@ def manhattan(x: Column, y: Column) -> Column:
     return total
 
 
+def _meet(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """The join of two tables that both grow with the input, by sort and merge. Spark takes what a generator makes of a row for one row, and a compressed file's size for a table's, so left to itself it broadcasts, through the driver, what is many times its threshold."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def links(values: DataFrame, dense: int = DENSE) -> DataFrame:
     """Edges (a, b) between values (column fp, distinct) whose graph has the components of Hamming distance at most 2."""
     cells = values.select("fp", F.explode(_cells(F.col("fp"))).alias("at")).select("fp", "at.*")
     sizes = cells.groupBy("choice", "cell").count().where("count > 1")
-    shared = scratch.write(cells.join(sizes, ["choice", "cell"]), "cells")  # most fingerprints are alone in their cells
+    shared = scratch.write(_meet(cells, sizes, ["choice", "cell"]), "cells")  # most fingerprints are alone in their cells
     a, b = shared.where(F.col("count") <= dense).alias("a"), shared.alias("b")
     x, y = F.col("a.fp"), F.col("b.fp")
     near = (manhattan(x, y) <= MOST_BITS) & (F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS)
-    pairs = a.join(b, F.expr("a.choice = b.choice and a.cell = b.cell and a.fp > b.fp") & near).select(x.alias("a"), y.alias("b"))
+    pairs = _meet(a, b, F.expr("a.choice = b.choice and a.cell = b.cell and a.fp > b.fp") & near).select(x.alias("a"), y.alias("b"))
     inside = shared.where(F.col("count") > dense).select("fp").distinct()
     if not inside.take(1):
         return pairs
     near_values = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)])
     around = inside.select("fp", F.explode(near_values).alias("point"))
     least = around.groupBy("point").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = around.join(least, "point").where("fp > b").select(F.col("fp").alias("a"), "b").distinct()
+    stars = _meet(around, least, "point").where("fp > b").select(F.col("fp").alias("a"), "b").distinct()
     return pairs.unionByName(stars)
 
 
@@ -153,10 +158,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("m"))
-        large = both.join(least, F.col("a") == F.col("node")).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _meet(both, least, F.col("a") == F.col("node")).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.distinct()
         lower = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-        small = large.join(lower, F.col("a") == F.col("node"))
+        small = _meet(large, lower, F.col("a") == F.col("node"))
         small = small.select(F.col("a"), F.col("m").alias("b")).union(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         after = scratch.write(small, "edges")
         scratch.drop(edges)
@@ -170,10 +175,10 @@ def grouped(docs: DataFrame, keep: tuple[str, ...] = (), shingle: int = SHINGLE,
     fps = scratch.write(fingerprints(docs, keep, shingle), "fingerprints")
     values = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "values")
     roots = components(links(values.select("fp"), dense))
-    rooted = values.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = _meet(values, roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("rows"))
-    named = rooted.join(of_root, "root").select("fp", "component_id", "rows")
-    return fps.join(named, "fp")
+    named = _meet(rooted, of_root, "root").select("fp", "component_id", "rows")
+    return _meet(fps, named, "fp")
 
 
 def _words_key(text: str | None) -> int:
@@ -263,16 +268,16 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose Jaccard similarity, from all shingles both hold, is at least ``least``."""
     side = lambda key, size, held: sets.select(F.col("key").alias(key), F.col("size").alias(size), F.col("tokens").alias(held))
     both = F.size(F.array_intersect("xs", "ys"))
-    return pairs.join(side("a", "x", "xs"), "a").join(side("b", "y", "ys"), "b").where(both >= least * (F.col("x") + F.col("y") - both) - 1e-9).select("a", "b")
+    return _meet(_meet(pairs, side("a", "x", "xs"), "a"), side("b", "y", "ys"), "b").where(both >= least * (F.col("x") + F.col("y") - both) - 1e-9).select("a", "b")
 
 
 def hash_links(texts: DataFrame) -> DataFrame:
     """a, b: texts (key, fp) whose fingerprints differ in ``MOST_BITS`` bits at most, by the operator's grid (:func:`links`): every text with the least key of its fingerprint, and those of linked fingerprints."""
     values = scratch.write(texts.groupBy("fp").agg(F.min("key").alias("first")), "values")
-    same = texts.join(values, "fp").where("key != first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    same = _meet(texts, values, "fp").where("key != first").select(F.col("key").alias("a"), F.col("first").alias("b"))
     ends = lambda s: values.select(F.col("fp").alias(f"fp_{s}"), F.col("first").alias(f"key_{s}"))
     near = links(values.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
-    near = near.join(ends("a"), "fp_a").join(ends("b"), "fp_b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    near = _meet(_meet(near, ends("a"), "fp_a"), ends("b"), "fp_b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     return same.unionByName(near)
 
 
@@ -298,21 +303,21 @@ def similar_pairs(docs: DataFrame, texts: DataFrame, words: int, shingle: int, l
 
     end = F.struct("key", "size")
     ends = index.groupBy("token").agg(F.array(F.min(end), F.max(end)).alias("ends")).where("ends[0] != ends[1]")
-    stars = index.join(ends, "token").select(F.col("key").alias("a"), F.col("size").alias("x"), F.explode("ends").alias("e")).select("a", "x", F.col("e.key").alias("b"), F.col("e.size").alias("y"))
+    stars = _meet(index, ends, "token").select(F.col("key").alias("a"), F.col("size").alias("x"), F.explode("ends").alias("e")).select("a", "x", F.col("e.key").alias("b"), F.col("e.size").alias("y"))
     size = lambda s, name: sets.select(F.col("key").alias(s), F.col("size").alias(name))
-    hashed = hash_links(texts).join(size("a", "x"), "a").join(size("b", "y"), "b")
+    hashed = _meet(_meet(hash_links(texts), size("a", "x"), "a"), size("b", "y"), "b")
     edges = scratch.write(verified(once(hashed.select("a", "x", "b", "y").unionByName(stars)), sets, least), "links")
-    rooted = index.join(components(edges), F.col("key") == F.col("node"), "left").select("key", "size", "token", F.coalesce("root", "key").alias("root"))
+    rooted = _meet(index, components(edges), F.col("key") == F.col("node"), "left").select("key", "size", "token", F.coalesce("root", "key").alias("root"))
     rooted = scratch.write(rooted, "rooted")
     # In a group of several components, every text outside the commonest one meets such texts of others as sizes and bits allow.
     common = rooted.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    mixed = scratch.write(rooted.join(common, "token"), "mixed")
-    known = mixed.join(with_bits(sets.join(mixed.select("key").distinct(), "key")), "key").join(sets.select("key", "first"), "key")
+    mixed = scratch.write(_meet(rooted, common, "token"), "mixed")
+    known = _meet(_meet(mixed, with_bits(_meet(sets, mixed.select("key").distinct(), "key")), "key"), sets.select("key", "first"), "key")
     a = known.where("root != most").select("token", F.col("key").alias("a"), F.col("size").alias("x"), F.col("root").alias("r"), F.col("held").alias("m"), F.col("bits").alias("u"), F.col("first").alias("p"))
     b = known.select(F.col("token").alias("at"), F.col("key").alias("b"), F.col("size").alias("y"), F.col("root").alias("s"), (F.col("root") == F.col("most")).alias("of_most"), F.col("held").alias("n"), F.col("bits").alias("v"), F.col("first").alias("q"))
     # Two texts of several groups in common meet in one: that of the first shingle their prefixes share, in the order of hashes.
     once_only = F.array_min(F.array_intersect("p", "q")) == F.col("token")
-    rest = a.join(b, (F.col("token") == F.col("at")) & (F.col("r") != F.col("s")) & fits & (F.col("of_most") | (F.col("a") < F.col("b"))) & _may_be_alike(least) & once_only)
+    rest = _meet(a, b, (F.col("token") == F.col("at")) & (F.col("r") != F.col("s")) & fits & (F.col("of_most") | (F.col("a") < F.col("b"))) & _may_be_alike(least) & once_only)
     return components(edges.unionByName(verified(once(rest), sets, least)))
 
 
@@ -359,11 +364,11 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     all_rows = scratch.write(keyed(docs, shingle), "keyed")
     texts = scratch.write(all_rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"), F.first("fp").alias("fp")), "texts")
     roots = similar_pairs(docs, texts.select("key", "fp"), texts.agg(F.sum("words")).first()[0] or 0, shingle, least)
-    rooted = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    rooted = _meet(texts, roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("m"))
-    named = rooted.join(best, "root").select("key", F.col("m.least").alias("doc_id"), F.col("m.key").alias("chosen"))
+    named = _meet(rooted, best, "root").select("key", F.col("m.least").alias("doc_id"), F.col("m.key").alias("chosen"))
     copies = all_rows.groupBy(F.col("key").alias("of"), F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
-    return named.join(copies, F.expr("chosen = of and doc_id <=> id"), "left").select("key", "doc_id", "chosen", "rows")
+    return _meet(named, copies, F.expr("chosen = of and doc_id <=> id"), "left").select("key", "doc_id", "chosen", "rows")
 
 
 def first_of_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -377,7 +382,7 @@ def first_of_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*names, "_key"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _key long"
-    rows = docs.mapInArrow(with_key, schema).join(stays, "_key").where("doc_id <=> _id")
+    rows = _meet(docs.mapInArrow(with_key, schema), stays, "_key").where("doc_id <=> _id")
     single = rows.where("_rows = 1").select(*names)
     several = rows.where("_rows > 1").groupBy("_key").agg(F.min(F.struct(*names)).alias("r")).select("r.*")
     return single.unionByName(several)

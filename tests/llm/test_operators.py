@@ -432,6 +432,20 @@ def test_simhash_links(spark):
         assert {frozenset(g) for g in by.values()} == groups
 
 
+def test_simhash_broadcasts_nothing(spark, monkeypatch, odd):
+    """Of a generator's rows, and of compressed files, Spark knows no size: whatever it takes them for, they don't go through the driver."""
+    plans, write = [], scratch.write
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(scratch, "write", lambda df, name: planned(df) or write(df, name))
+    rng = random.Random(5)
+    around = [1 << 40 ^ a ^ b for a in (1 << k for k in range(20)) for b in (0, 3)]  # crowded cells as well
+    values = spark.createDataFrame([(x,) for x in {*around, *(rng.getrandbits(63) for _ in range(200))}], "fp long")
+    planned(op5_simhash.components(op5_simhash.links(values, 8)))
+    planned(op5_simhash.op5_simhash(odd))
+    planned(op5_simhash.first_of_groups(odd.select("doc_id", "text")))
+    assert sum("SortMergeJoin" in x for x in plans) >= 8 and not [x for x in plans if "Broadcast" in x or "ShuffledHashJoin" in x]
+
+
 def test_simhash_odd_rows(odd, empty):
     import xxhash
 
