@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import reduce
+from operator import or_
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hondana.functions.markdown import parsed
+from hondana.functions.markdown import column_of, parsed, visible_of
 from hondana.functions.matching import find_all, pattern, strip
 from hondana.operators import external, frontmatter, intervals, notation, secrets, structure, style
 from hondana.schema import CATEGORIES, CHECKS, ISSUE_COLUMNS, line_issues
@@ -42,11 +44,12 @@ def with_checks(rows: DataFrame) -> DataFrame:
 def style_issues(lines: DataFrame, trees: DataFrame) -> list[DataFrame]:
     """The style checks of parsed documents and their lines that are no probes of a line."""
     extra = tuple(c for c in ("file",) if c in lines.columns)
-    found = style.sentences(lines.where("not nominal"), "visible", ("doc_id", "n", "columns", *extra))
-    ended = style.endings(found)
-    # ``at`` counts in the visible line from the sentence's column on; columns map it to the source (null: nothing was left out).
-    place = F.col("col") + F.col("at")
-    ended = ended.withColumn("col", F.when(F.col("columns").isNull(), place).otherwise(F.try_element_at("columns", place) + 1))
+    # A mark that is visible stands in the masked line as well; of a generator's row the visible line is made once.
+    marked = lines.where("not nominal").where(reduce(or_, [F.contains("masked", F.lit(m)) for m in style.MARKS]))
+    seen = marked.withColumn("visible", F.explode(F.array(visible_of(F.col("line"), F.col("shown")))))
+    ended = style.endings(style.sentences(seen, "visible", ("doc_id", "n", "shown", *extra)))
+    # ``at`` counts in the visible line from the sentence's column on.
+    ended = ended.withColumn("col", column_of(F.col("shown"), F.col("col") + F.col("at")))
     return [style.check_open_kanji(lines), style.check_style_mixing(ended), style.check_opening_mazu_of(trees)]
 
 
@@ -81,8 +84,11 @@ def release() -> None:
 
 
 def _keep(tree: DataFrame) -> DataFrame:
-    """Several branches read it: kept, so that each document is parsed once. A lost part is parsed again."""
-    tree = tree.persist(StorageLevel.MEMORY_AND_DISK)
+    """Several branches read it: kept, so that each document is parsed once. A lost part is parsed again.
+
+    On disk only. It is several times the input, so in memory it would take all the room that Spark has for blocks, while the serializer that writes and reads them holds a hundred batches of 4 MB a task besides.
+    """
+    tree = tree.persist(StorageLevel.DISK_ONLY)
     if _kept.get() is not None:
         _kept.get().append(tree)
     else:
@@ -115,9 +121,10 @@ def lint(
     if blog and {"notation", "blog_style", "blog_structure"} & set(wanted):
         styled, structured = "blog_style" in wanted, "blog_structure" in wanted
         # What is kept is what the wanted checks read, and no more.
-        fields = ("n", "line", "masked", *["visible", "columns", "nominal", "heading_end"] * styled, *["title"] * structured)
-        tree = _keep(parsed(docs, ("doc_id", *extra), (*["masked"] * (styled or structured), "lines"), fields))
+        fields = ("n", "line", "masked", *["shown", "nominal", "heading_end"] * styled, *["title"] * structured)
+        tree = _keep(parsed(docs, ("doc_id", *extra), ("lines",), fields))
         lines = tree.select("doc_id", *extra, F.explode("lines").alias("l")).select("doc_id", *extra, "l.*")
+        tree = tree.withColumn("masked", F.array_join(F.col("lines.masked"), "\n"))
         families = [secrets.family()] * ("secrets" in wanted)
         if "notation" in wanted:
             families += [notation.blog_family(), notation.slash_family(), notation.spacing_family()]

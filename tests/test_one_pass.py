@@ -4,9 +4,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from hondana.functions import markdown
 from hondana.functions.matching import pattern
 from hondana.operators import notation, style
 from hondana.plans import lint
+from hondana.plans.catalog import article_docs
 
 
 def plan(df):
@@ -39,3 +41,25 @@ def test_places_between_kinds_of_letters(spark):
     lines = spark.createDataFrame([(1, "aあb1ア c 漢"), (2, "abc"), (3, "")], "n int, line string").select(F.lit(1).alias("doc_id"), "n", "line", F.col("line").alias("masked"))
     assert [(r.line_number, r.column, r.matched_text, r.suggestion) for r in notation.check_spacing(lines).collect()] == [(1, 1, "aあ", "a あ"), (1, 2, "あb", "あ b"), (1, 4, "1ア", "1 ア")]
     assert lines.where(F.col("line").rlike(pattern(notation.MEETING)) != F.col("line").rlike(pattern(notation.BOUNDARY))).count() == 0
+
+
+def test_kept_documents_are_small_and_on_disk(spark):
+    """In memory the parsed documents of a large input take all the heap that blocks may have; a place a character is four bytes of each."""
+    docs = spark.createDataFrame([(1, "## a\n\nサーバ と `eufy` です。<b>行く</b>する。\n")], "doc_id long, text string")
+    with lint.keeping():
+        found = lint.lint(docs, "blog")
+        kept = lint._kept.get()[0]
+        assert kept.storageLevel.useDisk and not kept.storageLevel.useMemory and kept.columns == ["doc_id", "lines"]
+        assert set(kept.schema["lines"].dataType.elementType.names) == {"n", "line", "masked", "shown", "nominal", "heading_end", "title"}
+        assert sorted((r.column, r.matched_text) for r in found.where("rule_name = 'style-mixing'").collect()) == [(14, "です。"), (26, "する。")]
+
+
+def test_pieces_are_the_visible_line(spark):
+    written = ["`a`", "", "a `b` c\n<b>漢字</b>です。\n`x", "https://x.jp/ と `a\nb` c", "𠮷 `𠮷` 𠮷です。 ![a](b)"]
+    docs = spark.createDataFrame(list(enumerate(written)), "doc_id long, text string").unionByName(article_docs(spark, "/root/testdata/sf0.001").select((F.col("doc_id") + 100).alias("doc_id"), "text"))
+    lines = markdown.parsed(docs, columns=("lines",), fields=(*markdown.FIELDS, "shown")).select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.*")
+    made = lines.select("*", markdown.visible_of(F.col("line"), F.col("shown")).alias("made"))
+    places = F.transform(F.sequence(F.lit(1), F.length("visible")), lambda p: markdown.column_of(F.col("shown"), p) - 1)
+    rows = made.withColumn("places", F.when(F.length("visible") > 0, places).otherwise(F.array())).collect()
+    assert len([r for r in rows if r.shown is not None]) > 100 and {len(r.shown) for r in rows if r.shown is not None} >= {1, 3, 5}
+    assert all(r.made == r.visible and r.places == (list(range(len(r.line))) if r.columns is None else r.columns) for r in rows)
