@@ -2,13 +2,14 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from hondana.functions import markdown
 from hondana.functions.matching import pattern
 from hondana.operators import notation, style
 from hondana.plans import lint
-from hondana.plans.catalog import article_docs
+from hondana.plans.catalog import QUERIES, article_docs
 
 
 def plan(df):
@@ -63,3 +64,11 @@ def test_pieces_are_the_visible_line(spark):
     rows = made.withColumn("places", F.when(F.length("visible") > 0, places).otherwise(F.array())).collect()
     assert len([r for r in rows if r.shown is not None]) > 100 and {len(r.shown) for r in rows if r.shown is not None} >= {1, 3, 5}
     assert all(r.made == r.visible and r.places == (list(range(len(r.line))) if r.columns is None else r.columns) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["lint_articles", "lint_blog"])
+def test_queries_keep_nothing_in_memory(spark, name):
+    with lint.keeping():
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        (kept,) = lint._kept.get()
+        assert kept.storageLevel.useDisk and not kept.storageLevel.useMemory and not {"visible", "columns"} & set(kept.schema["lines"].dataType.elementType.names)
