@@ -86,7 +86,7 @@ def release() -> None:
 def _keep(tree: DataFrame) -> DataFrame:
     """Several branches read it: kept, so that each document is parsed once. A lost part is parsed again.
 
-    On disk only. It is several times the input, so in memory it would take all the room that Spark has for blocks, while the serializer that writes and reads them holds a hundred batches of 4 MB a task besides.
+    On disk only. It is several times the input, so in memory it would take all the room that Spark has for blocks, beside what tasks hold while they write and read it.
     """
     tree = tree.persist(StorageLevel.DISK_ONLY)
     if _kept.get() is not None:
